@@ -16,13 +16,10 @@ from tallyglass.sources.catalog import union_all
 LONG_TEXT = 256
 TOP_VALUES = 10
 SAMPLE_VALUES = 5
+NAME = ["table_name", "column_name"]
 NOT_SORTABLE = (T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 
-def _analysed(df: DataFrame) -> list[T.StructField]:
-    return df.schema.fields
-
-
 def _as_text(field: T.StructField) -> Column:
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.BinaryType):
@@ -74,29 +71,42 @@ def _flag(name: str) -> Column:
     return F.col("shape").bitwiseAND(F.lit(1 << FLAGS.index(name))) != 0
 
 
-def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, value, digest, length, shape, n): every distinct value with its count.
+Tables = dict[str, DataFrame]
+
+
+def _cells(tables: Tables, columns: list[str] | None, wanted) -> DataFrame:
+    """(table_name, column_name, tested, cell): the tables turned on their side."""
+    parts = []
+    for name, df in tables.items():
+        structs = [
+            F.struct(
+                F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
+                F.lit(kinds.kind_of(f.dataType) in ("text", "integer")).alias("tested"),
+                _as_text(f).alias("cell"),
+            )
+            for f in df.schema.fields
+            if wanted(f) and (columns is None or f.name in columns)
+        ]
+        if structs:
+            parts.append(df.select(F.inline(F.array(*structs))))
+    return union_all(parts)
+
 
-    Values longer than 256 characters are grouped by a SHA-256 digest, so documents do not
-    travel; their length and shape are read from the whole text before that. NULL is a value of
-    its own with `length` NULL.
+def frequencies(tables: Tables, columns: list[str] | None = None) -> DataFrame:
+    """(table_name, column_name, value, digest, length, shape, n): distinct values, counted.
+
+    All tables share one shuffle. Values longer than 256 characters are grouped by a SHA-256
+    digest, so documents do not travel; their length and shape are read from the whole text
+    before that. NULL is a value of its own with `length` NULL.
     """
-    fields = [f for f in _analysed(df) if columns is None or f.name in columns]
-    cells = F.array(*[
-        F.struct(
-            F.lit(f.name).alias("column_name"), _as_text(f).alias("cell"),
-            F.lit(kinds.kind_of(f.dataType) in ("text", "integer")).alias("tested"),
-        )
-        for f in fields
-    ])
     long = F.length("cell") > LONG_TEXT
-    grouped = df.select(F.inline(cells)).select(
-        "column_name", "tested",
+    grouped = _cells(tables, columns, lambda f: True).select(
+        *NAME, "tested",
         F.when(~long, F.col("cell")).alias("value"),
         F.when(long, F.sha2("cell", 256)).alias("digest"),
         F.length("cell").alias("length"),
         F.when(long & F.col("tested"), _shape(stripped(F.col("cell")))).alias("long_shape"),
-    ).groupBy("column_name", "tested", "value", "digest", "length", "long_shape").agg(
+    ).groupBy(*NAME, "tested", "value", "digest", "length", "long_shape").agg(
         F.count("*").alias("n")
     )
     shape = F.coalesce(
@@ -104,7 +114,7 @@ def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.lit(0),
     )
     return grouped.withColumn("text", stripped(F.col("value"))).select(
-        "column_name", "value", "digest", "length", shape.alias("shape"), "n"
+        *NAME, "value", "digest", "length", shape.alias("shape"), "n"
     )
 
 
@@ -134,13 +144,13 @@ def _column_facts(freq: DataFrame) -> DataFrame:
         .alias(f"bad_{f}")
         for f in fixed.FORMATS
     ]
-    return freq.groupBy("column_name").agg(*facts)
+    return freq.groupBy(*NAME).agg(*facts)
 
 
-def _extremes(df: DataFrame) -> DataFrame:
+def _extremes(df: DataFrame, name: str) -> DataFrame:
     """Typed minimum, maximum and mean of every column, in one aggregate without a shuffle."""
     aggregates, rows = [], []
-    for i, f in enumerate(_analysed(df)):
+    for i, f in enumerate(df.schema.fields):
         column = F.col(f"`{f.name}`")
         kind = kinds.kind_of(f.dataType)
         low = high = mean = None
@@ -151,11 +161,11 @@ def _extremes(df: DataFrame) -> DataFrame:
             mean = f"mean_{i}"
             aggregates.append(F.avg(column).alias(mean))
 
-        def text(name):
-            return (F.col(name) if name else F.lit(None)).cast("string")
+        def text(bound):
+            return (F.col(bound) if bound else F.lit(None)).cast("string")
 
         rows.append(F.struct(
-            F.lit(f.name).alias("column_name"), F.lit(i + 1).alias("ordinal"),
+            F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(i + 1).alias("ordinal"),
             F.lit(f.dataType.simpleString()).alias("declared_type"), F.lit(kind).alias("kind"),
             text(low).alias("min_value"), text(high).alias("max_value"),
             (F.col(mean) if mean else F.lit(None)).cast("double").alias("mean_value"),
@@ -206,7 +216,7 @@ def expected_format(kind: Column, detected: Column, pii: Column) -> Column:
 
 
 def _meaning(facts: DataFrame, extremes: DataFrame) -> DataFrame:
-    joined = extremes.join(facts, "column_name").withColumn(
+    joined = extremes.join(facts, NAME).withColumn(
         "detected_type", hidden_type(F.col("kind"))
     ).withColumn("pii_type", F.coalesce(pii_by_values(), pii_by_name(F.col("column_name"))))
     joined = joined.withColumn(
@@ -222,70 +232,64 @@ def _meaning(facts: DataFrame, extremes: DataFrame) -> DataFrame:
 
 # --- public operators ------------------------------------------------------------------------
 
-def top_values(
-    df: DataFrame, k: int = TOP_VALUES, columns: list[str] | None = None,
-    freq: DataFrame | None = None,
-) -> DataFrame:
-    """(column_name, rank, value, n): the `k` most frequent values per column, ties by value.
-
-    Each task keeps its own `k` best before anything is sorted together.
-    """
-    freq = frequencies(df, columns) if freq is None else freq
+def _ranked(tables: Tables, freq: DataFrame, columns: list[str] | None, k: int) -> DataFrame:
     # NULL sorts last and is dropped after ranking: a filter before it would give this branch a
     # shuffle of its own instead of the one that the column facts already use.
-    order = Window.partitionBy("column_name").orderBy(
+    order = Window.partitionBy(*NAME).orderBy(
         F.col("length").isNull(), F.desc("n"), F.coalesce("value", "digest")
     )
     best = freq.withColumn("rank", F.row_number().over(order)).where(
         (F.col("rank") <= k) & F.col("length").isNotNull()
     )
-    texts = [
-        f for f in _analysed(df)
-        if kinds.kind_of(f.dataType) in ("text", "other")
-        and (columns is None or f.name in columns)
-    ]
-    if texts:
-        # Long values come back by digest: at most k digests per column are broadcast.
-        cells = F.array(*[
-            F.struct(F.lit(f.name).alias("column_name"), _as_text(f).alias("cell")) for f in texts
-        ])
-        wanted = best.where("digest is not null").select("column_name", "digest")
-        found = df.select(F.inline(cells)).where(F.length("cell") > LONG_TEXT).withColumn(
-            "digest", F.sha2("cell", 256)
-        ).join(F.broadcast(wanted), ["column_name", "digest"], "left_semi").groupBy(
-            "column_name", "digest"
-        ).agg(F.first("cell").alias("whole"))
-        best = best.join(found, ["column_name", "digest"], "left").withColumn(
-            "value", F.coalesce("value", "whole")
-        )
-    return best.select("column_name", "rank", "value", "n")
 
+    def may_be_long(f):
+        return kinds.kind_of(f.dataType) in ("text", "other")
+
+    if not any(may_be_long(f) for df in tables.values() for f in df.schema.fields
+               if columns is None or f.name in columns):
+        return best.select(*NAME, "rank", "value", "n")
+    # Long values come back by digest: at most k digests per column are broadcast.
+    wanted = best.where("digest is not null").select(*NAME, "digest")
+    found = _cells(tables, columns, may_be_long).where(F.length("cell") > LONG_TEXT).withColumn(
+        "digest", F.sha2("cell", 256)
+    ).join(F.broadcast(wanted), [*NAME, "digest"], "left_semi").groupBy(*NAME, "digest").agg(
+        F.first("cell").alias("whole")
+    )
+    return best.join(found, [*NAME, "digest"], "left").select(
+        *NAME, "rank", F.coalesce("value", "whole").alias("value"), "n"
+    )
+
+
+def top_values(df: DataFrame, k: int = TOP_VALUES, columns: list[str] | None = None
+               ) -> DataFrame:
+    """(column_name, rank, value, n): the `k` most frequent values per column, ties by value.
 
-def has_long_text(df: DataFrame) -> bool:
-    """Whether any text value is longer than 256 characters (one aggregate, one row read)."""
-    texts = [f for f in _analysed(df) if kinds.kind_of(f.dataType) in ("text", "other")]
-    if not texts:
-        return False
-    return bool(df.agg(F.bool_or(F.greatest(
-        *[F.coalesce(F.length(_as_text(f)), F.lit(0)) for f in texts], F.lit(0)
-    ) > LONG_TEXT)).first()[0])
+    Each task keeps its own `k` best before anything is sorted together.
+    """
+    tables = {"": df}
+    return _ranked(tables, frequencies(tables, columns), columns, k).drop("table_name")
 
 
 def profile(df: DataFrame, name: str, sampled: bool = False, n_rows: int | None = None
             ) -> DataFrame:
     """One row per column of the table: the twenty facts a data analyst looks up first."""
-    freq = frequencies(df)
-    best = top_values(df, freq=freq).groupBy("column_name").agg(
+    return _profiles({name: df}, sampled, n_rows)
+
+
+def _profiles(tables: Tables, sampled: bool = False, n_rows: int | None = None) -> DataFrame:
+    freq = frequencies(tables)
+    best = _ranked(tables, freq, None, TOP_VALUES).groupBy(*NAME).agg(
         F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("best")
     ).select(
-        "column_name",
+        *NAME,
         F.transform("best", lambda b: F.struct(b.value.alias("value"), b.n.alias("count")))
         .alias("top_values"),
         F.slice(F.transform("best", lambda b: b.value), 1, SAMPLE_VALUES).alias("sample_values"),
     )
+    extremes = union_all([_extremes(df, name) for name, df in tables.items()])
     total, known = F.col("sample_size"), F.col("non_null_count")
-    return _meaning(_column_facts(freq), _extremes(df)).join(best, "column_name", "left").select(
-        F.lit(name).alias("table_name"), "column_name", "ordinal", "declared_type",
+    return _meaning(_column_facts(freq), extremes).join(best, NAME, "left").select(
+        *NAME, "ordinal", "declared_type",
         F.lit(sampled).alias("sampled"), "sample_size",
         (F.lit(n_rows).cast("bigint") if n_rows is not None else total).alias("row_count"),
         (total - known).alias("null_count"), known.alias("non_null_count"),
@@ -299,14 +303,14 @@ def profile(df: DataFrame, name: str, sampled: bool = False, n_rows: int | None
     )
 
 
-def quick_counts(df: DataFrame, name: str, rsd: float = 0.01) -> DataFrame:
-    """Counts with approximate distinct values: one pass, no shuffle, for very wide tables."""
-    fields = _analysed(df)
+def quick_counts(df: DataFrame, name: str, lg_k: int = 12) -> DataFrame:
+    """Counts with sketched distinct values: one pass, no shuffle of values, for wide tables."""
+    fields = df.schema.fields
     aggregates = [F.count("*").alias("rows")]
     for i, f in enumerate(fields):
         aggregates += [
             F.count(f"`{f.name}`").alias(f"known_{i}"),
-            F.approx_count_distinct(_as_text(f), rsd).alias(f"distinct_{i}"),
+            F.hll_sketch_estimate(F.hll_sketch_agg(_as_text(f), lg_k)).alias(f"distinct_{i}"),
         ]
     rows = [
         F.struct(
@@ -323,9 +327,9 @@ def quick_counts(df: DataFrame, name: str, rsd: float = 0.01) -> DataFrame:
 def detect_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, detected_type), judged on all distinct values."""
     types = F.lit("other")
-    for f in _analysed(df):
+    for f in df.schema.fields:
         types = F.when(F.col("column_name") == f.name, kinds.kind_of(f.dataType)).otherwise(types)
-    return _column_facts(frequencies(df, columns)).select(
+    return _column_facts(frequencies({"": df}, columns)).select(
         "column_name", hidden_type(types).alias("detected_type")
     )
 
@@ -353,7 +357,7 @@ def validity(df: DataFrame, formats: dict[str, str]) -> DataFrame:
 def detect_pii(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, pii_type, found_by): content first, then the column name."""
     by_values, by_name = pii_by_values(), pii_by_name(F.col("column_name"))
-    return _column_facts(frequencies(df, columns)).select(
+    return _column_facts(frequencies({"": df}, columns)).select(
         "column_name", F.coalesce(by_values, by_name).alias("pii_type"),
         F.when(by_values.isNotNull(), "values").when(by_name.isNotNull(), "name")
         .alias("found_by"),
@@ -386,17 +390,16 @@ def profile_all(
 
     A table that cannot be analysed is left out and named in `failed`.
     """
-    names = [only] if only else sorted(tables)
-    parts = []
-    for name in names:
+    usable = {}
+    for name in [only] if only else sorted(tables):
         try:
-            part = profile(tables[name], name)
-            part.schema  # forces analysis, so a broken table shows here and not later
-            parts.append(part)
+            tables[name].schema  # analysis happens here, so a broken table shows now
+            usable[name] = tables[name]
         except Exception as error:  # noqa: BLE001 - reported to the caller, others go on
             if failed is None:
                 raise
             failed[name] = str(error)
-    if existing_df is not None:
-        parts.append(existing_df.where(~F.col("table_name").isin(*names)))
-    return union_all(parts)
+    fresh = _profiles(usable)
+    if existing_df is None:
+        return fresh
+    return fresh.unionByName(existing_df.where(~F.col("table_name").isin(*usable)))

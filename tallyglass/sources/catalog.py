@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyglass.functions import kinds
 
@@ -114,12 +114,20 @@ def append_snapshot(snapshots_df: DataFrame, signature_df: DataFrame) -> DataFra
 
     `snapshots_df`: version, signature, table_count, is_current.
     """
-    tables = signature_df.where("scope = 'table'").agg(F.count("*").cast("int")).scalar()
-    scanned = signature_df.where("scope = 'total'").select("signature")
-    current = snapshots_df.where("is_current")
-    fresh = scanned.join(current, "signature", "left_anti").select(
-        (F.coalesce(snapshots_df.agg(F.max("version")).scalar(), F.lit(0)) + 1).alias("version"),
-        "signature", tables.alias("table_count"), F.lit(True).alias("is_current"),
+    scanned = signature_df.agg(
+        F.max(F.when(F.col("scope") == "total", F.col("signature"))).alias("signature"),
+        F.count_if(F.col("scope") == "table").cast("int").alias("table_count"),
+    ).select(F.lit(None).cast("int").alias("version"), "signature", "table_count",
+             F.lit(True).alias("is_current"), F.lit(True).alias("_new"))
+    # A history has one row per version, so it may sit in one window.
+    history = Window.partitionBy(F.lit(0))
+    known = snapshots_df.withColumn("_new", F.lit(False)).unionByName(scanned)
+    current = F.max(F.when(F.col("is_current") & ~F.col("_new"), F.col("signature"))).over(history)
+    seen = F.max(F.when(F.col("_new"), F.col("signature"))).over(history)
+    latest = F.coalesce(F.max("version").over(history), F.lit(0))
+    return known.withColumn("_changed", ~current.eqNullSafe(seen)).withColumn(
+        "_next", latest + 1
+    ).where("not _new or _changed").select(
+        F.coalesce("version", "_next").alias("version"), "signature", "table_count",
+        (F.col("_new") | (F.col("is_current") & ~F.col("_changed"))).alias("is_current"),
     )
-    changed = fresh.agg(F.count("*") > 0).scalar()
-    return snapshots_df.withColumn("is_current", F.col("is_current") & ~changed).unionByName(fresh)
