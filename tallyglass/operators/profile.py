@@ -7,6 +7,8 @@ column is already one row after the map-side sums.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyglass.functions import fixed, kinds
@@ -34,117 +36,131 @@ def _as_text(field: T.StructField) -> Column:
 # --- per-value facts -------------------------------------------------------------------------
 
 def _shape_tests(text: Column) -> dict[str, Column]:
-    """What one value looks like, blanks at its ends removed."""
-    dated = text.rlike(fixed.DATE_LIKE)
+    """What one value looks like, blanks at its ends removed. Patterns that serve both personal
+    data and formats are tested once; combinations are read from the bits later."""
     digits = F.length(F.regexp_replace(text, r"\D", ""))
-    tests = {"blank": F.length(text) == 0}
-    for pii, pattern in fixed.PII_PATTERNS.items():
-        hit = text.rlike(pattern) & ~dated
-        if pii == "phone":
-            hit = hit & digits.between(*fixed.PHONE_DIGITS)
-        tests[f"pii_{pii}"] = hit
-    tests["is_date"] = text.rlike(fixed.TEXT_DATE)
-    tests["is_integer"] = text.rlike(fixed.TEXT_INTEGER)
-    tests["is_number"] = text.rlike(fixed.TEXT_INTEGER) | text.rlike(fixed.TEXT_DECIMAL)
-    tests["is_boolean"] = F.lower(text).isin(*fixed.TEXT_BOOLEANS)
-    for name, pattern in fixed.FORMATS.items():
-        tests[f"as_{name}"] = text.rlike(pattern)
-    return tests
-
-
-FLAGS = [
-    "blank", *[f"pii_{p}" for p in fixed.PII_PATTERNS], "is_date", "is_integer", "is_number",
-    "is_boolean", *[f"as_{f}" for f in fixed.FORMATS],
-]
+    tests = {
+        "blank": F.length(text) == 0,
+        "dated": text.rlike(fixed.DATE_LIKE),
+        "ipv4": text.rlike(fixed.PII_PATTERNS["ipv4"]),
+        "dialled": text.rlike(fixed.PII_PATTERNS["phone"]) & digits.between(*fixed.PHONE_DIGITS),
+        "boolean": F.lower(text).isin(*fixed.TEXT_BOOLEANS),
+    }
+    return tests | {name: text.rlike(pattern) for name, pattern in fixed.FORMATS.items()}
+
+
+BITS = ["blank", "dated", "ipv4", "dialled", "boolean", *fixed.FORMATS]
+PII_BITS = {"email": "email", "iban": "iban", "siret": "siret", "ipv4": "ipv4",
+            "phone": "dialled"}
 
 
 def _shape(text: Column) -> Column:
     """All tests of one value as the bits of one number, so that they travel as one column."""
     tests = _shape_tests(text)
     bits = F.lit(0)
-    for i, name in enumerate(FLAGS):
+    for i, name in enumerate(BITS):
         bits = bits + F.when(tests[name], F.lit(1 << i)).otherwise(F.lit(0))
     return bits
 
 
-def _flag(name: str) -> Column:
-    return F.col("shape").bitwiseAND(F.lit(1 << FLAGS.index(name))) != 0
+def _bit(name: str) -> Column:
+    return F.col("shape").bitwiseAND(F.lit(1 << BITS.index(name))) != 0
 
 
 Tables = dict[str, DataFrame]
 
 
-def _cells(tables: Tables, columns: list[str] | None, wanted) -> DataFrame:
-    """(table_name, column_name, tested, cell): the tables turned on their side."""
-    parts = []
+@dataclass(frozen=True)
+class Cells:
+    """The tables turned on their side: (c, cell), where `c` numbers `names` from 1.
+
+    A number instead of two names keeps the rows that are shuffled small.
+    """
+
+    names: list[tuple[str, str, str]]  # table, column, kind
+    df: DataFrame
+
+    def named(self, df: DataFrame) -> DataFrame:
+        tables = F.array(*[F.lit(t) for t, _, _ in self.names])
+        columns = F.array(*[F.lit(c) for _, c, _ in self.names])
+        others = [c for c in df.columns if c != "c"]
+        return df.select(F.element_at(tables, F.col("c")).alias("table_name"),
+                         F.element_at(columns, F.col("c")).alias("column_name"), *others)
+
+    def is_kind(self, *kinds_wanted: str) -> Column:
+        ids = [i for i, (_, _, kind) in enumerate(self.names, 1) if kind in kinds_wanted]
+        return F.col("c").isin(*ids)
+
+    def only(self, *kinds_wanted: str) -> DataFrame | None:
+        if not any(kind in kinds_wanted for _, _, kind in self.names):
+            return None
+        return self.df.where(self.is_kind(*kinds_wanted))
+
+
+def cells(tables: Tables, columns: list[str] | None = None) -> Cells:
+    names, parts = [], []
     for name, df in tables.items():
-        structs = [
-            F.struct(
-                F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
-                F.lit(kinds.kind_of(f.dataType) in ("text", "integer")).alias("tested"),
-                _as_text(f).alias("cell"),
-            )
-            for f in df.schema.fields
-            if wanted(f) and (columns is None or f.name in columns)
-        ]
+        structs = []
+        for f in df.schema.fields:
+            if columns is None or f.name in columns:
+                names.append((name, f.name, kinds.kind_of(f.dataType)))
+                structs.append(F.struct(F.lit(len(names)).alias("c"), _as_text(f).alias("cell")))
         if structs:
             parts.append(df.select(F.inline(F.array(*structs))))
-    return union_all(parts)
+    return Cells(names, union_all(parts))
 
 
-def frequencies(tables: Tables, columns: list[str] | None = None) -> DataFrame:
-    """(table_name, column_name, value, digest, length, shape, n): distinct values, counted.
+def frequencies(source: Cells) -> DataFrame:
+    """(c, value, digest, length, shape, n): every distinct value of every column, counted.
 
     All tables share one shuffle. Values longer than 256 characters are grouped by a SHA-256
     digest, so documents do not travel; their length and shape are read from the whole text
     before that. NULL is a value of its own with `length` NULL.
     """
     long = F.length("cell") > LONG_TEXT
-    grouped = _cells(tables, columns, lambda f: True).select(
-        *NAME, "tested",
-        F.when(~long, F.col("cell")).alias("value"),
-        F.when(long, F.sha2("cell", 256)).alias("digest"),
-        F.length("cell").alias("length"),
-        F.when(long & F.col("tested"), _shape(stripped(F.col("cell")))).alias("long_shape"),
-    ).groupBy(*NAME, "tested", "value", "digest", "length", "long_shape").agg(
-        F.count("*").alias("n")
+    tested = source.is_kind("text", "integer")
+    about = F.struct(
+        F.sha2("cell", 256).alias("digest"), F.length("cell").alias("length"),
+        F.when(tested, _shape(stripped(F.col("cell")))).otherwise(0).alias("shape"),
     )
+    grouped = source.df.select(
+        "c", F.when(~long, F.col("cell")).alias("value"), F.when(long, about).alias("about"),
+    ).groupBy("c", "value", "about").agg(F.count("*").alias("n"))
     shape = F.coalesce(
-        "long_shape", F.when(F.col("tested") & F.col("text").isNotNull(), _shape(F.col("text"))),
+        "about.shape", F.when(tested & F.col("text").isNotNull(), _shape(F.col("text"))),
         F.lit(0),
     )
     return grouped.withColumn("text", stripped(F.col("value"))).select(
-        *NAME, "value", "digest", "length", shape.alias("shape"), "n"
+        "c", "value", "about.digest", F.coalesce("about.length", F.length("value"))
+        .alias("length"), shape.alias("shape"), "n",
     )
 
 
 def _column_facts(freq: DataFrame) -> DataFrame:
     """Counts and shape totals per column; every buffer is a number, so this stays hashed."""
     known = F.col("length").isNotNull()
-    filled = known & ~_flag("blank")
+    filled = known & ~_bit("blank")
+
+    def rows(test):
+        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+
     facts = [
-        F.sum("n").alias("sample_size"),
-        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null_count"),
-        F.count(F.when(known, 1)).alias("distinct_count"),
+        F.sum("n").alias("sample_size"), rows(known).alias("non_null_count"),
+        F.count("length").alias("distinct_count"),
         (F.sum(F.col("n") * F.col("length")) / F.sum(F.when(known, F.col("n"))))
         .alias("avg_length"),
-        F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0)).alias("filled"),
+        rows(filled).alias("filled"),
     ]
     facts += [
-        F.coalesce(F.sum(F.when(filled & _flag(f"pii_{p}"), F.col("n"))), F.lit(0))
-        .alias(f"pii_{p}")
-        for p in fixed.PII_PATTERNS
+        rows(filled & _bit(bit) & ~_bit("dated")).alias(f"pii_{p}") for p, bit in PII_BITS.items()
     ]
     facts += [
-        all_of(_flag(name), filled).alias(name)
-        for name in ("is_date", "is_integer", "is_number", "is_boolean")
+        all_of(_bit(bit), filled).alias(name)
+        for name, bit in (("is_date", "date"), ("is_integer", "integer"),
+                          ("is_number", "numeric"), ("is_boolean", "boolean"))
     ]
-    facts += [
-        F.coalesce(F.sum(F.when(known & ~_flag(f"as_{f}"), F.col("n"))), F.lit(0))
-        .alias(f"bad_{f}")
-        for f in fixed.FORMATS
-    ]
-    return freq.groupBy(*NAME).agg(*facts)
+    facts += [rows(known & ~_bit(f)).alias(f"bad_{f}") for f in fixed.FORMATS]
+    return freq.groupBy("c").agg(*facts)
 
 
 def _extremes(df: DataFrame, name: str) -> DataFrame:
@@ -232,31 +248,27 @@ def _meaning(facts: DataFrame, extremes: DataFrame) -> DataFrame:
 
 # --- public operators ------------------------------------------------------------------------
 
-def _ranked(tables: Tables, freq: DataFrame, columns: list[str] | None, k: int) -> DataFrame:
+def _ranked(source: Cells, freq: DataFrame, k: int) -> DataFrame:
     # NULL sorts last and is dropped after ranking: a filter before it would give this branch a
     # shuffle of its own instead of the one that the column facts already use.
-    order = Window.partitionBy(*NAME).orderBy(
+    order = Window.partitionBy("c").orderBy(
         F.col("length").isNull(), F.desc("n"), F.coalesce("value", "digest")
     )
     best = freq.withColumn("rank", F.row_number().over(order)).where(
         (F.col("rank") <= k) & F.col("length").isNotNull()
     )
-
-    def may_be_long(f):
-        return kinds.kind_of(f.dataType) in ("text", "other")
-
-    if not any(may_be_long(f) for df in tables.values() for f in df.schema.fields
-               if columns is None or f.name in columns):
-        return best.select(*NAME, "rank", "value", "n")
+    texts = source.only("text", "other")
+    if texts is None:
+        return best.select("c", "rank", "value", "n")
     # Long values come back by digest: at most k digests per column are broadcast.
-    wanted = best.where("digest is not null").select(*NAME, "digest")
-    found = _cells(tables, columns, may_be_long).where(F.length("cell") > LONG_TEXT).withColumn(
+    wanted = best.where("digest is not null").select("c", "digest")
+    found = texts.where(F.length("cell") > LONG_TEXT).withColumn(
         "digest", F.sha2("cell", 256)
-    ).join(F.broadcast(wanted), [*NAME, "digest"], "left_semi").groupBy(*NAME, "digest").agg(
+    ).join(F.broadcast(wanted), ["c", "digest"], "left_semi").groupBy("c", "digest").agg(
         F.first("cell").alias("whole")
     )
-    return best.join(found, [*NAME, "digest"], "left").select(
-        *NAME, "rank", F.coalesce("value", "whole").alias("value"), "n"
+    return best.join(found, ["c", "digest"], "left").select(
+        "c", "rank", F.coalesce("value", "whole").alias("value"), "n"
     )
 
 
@@ -266,8 +278,8 @@ def top_values(df: DataFrame, k: int = TOP_VALUES, columns: list[str] | None = N
 
     Each task keeps its own `k` best before anything is sorted together.
     """
-    tables = {"": df}
-    return _ranked(tables, frequencies(tables, columns), columns, k).drop("table_name")
+    source = cells({"": df}, columns)
+    return source.named(_ranked(source, frequencies(source), k)).drop("table_name")
 
 
 def profile(df: DataFrame, name: str, sampled: bool = False, n_rows: int | None = None
@@ -277,18 +289,20 @@ def profile(df: DataFrame, name: str, sampled: bool = False, n_rows: int | None
 
 
 def _profiles(tables: Tables, sampled: bool = False, n_rows: int | None = None) -> DataFrame:
-    freq = frequencies(tables)
-    best = _ranked(tables, freq, None, TOP_VALUES).groupBy(*NAME).agg(
+    source = cells(tables)
+    freq = frequencies(source)
+    best = _ranked(source, freq, TOP_VALUES).groupBy("c").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("best")
     ).select(
-        *NAME,
+        "c",
         F.transform("best", lambda b: F.struct(b.value.alias("value"), b.n.alias("count")))
         .alias("top_values"),
         F.slice(F.transform("best", lambda b: b.value), 1, SAMPLE_VALUES).alias("sample_values"),
     )
     extremes = union_all([_extremes(df, name) for name, df in tables.items()])
     total, known = F.col("sample_size"), F.col("non_null_count")
-    return _meaning(_column_facts(freq), extremes).join(best, NAME, "left").select(
+    facts = source.named(_column_facts(freq).join(best, "c", "left"))
+    return _meaning(facts, extremes).select(
         *NAME, "ordinal", "declared_type",
         F.lit(sampled).alias("sampled"), "sample_size",
         (F.lit(n_rows).cast("bigint") if n_rows is not None else total).alias("row_count"),
@@ -329,7 +343,8 @@ def detect_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     types = F.lit("other")
     for f in df.schema.fields:
         types = F.when(F.col("column_name") == f.name, kinds.kind_of(f.dataType)).otherwise(types)
-    return _column_facts(frequencies({"": df}, columns)).select(
+    source = cells({"": df}, columns)
+    return source.named(_column_facts(frequencies(source))).select(
         "column_name", hidden_type(types).alias("detected_type")
     )
 
@@ -357,7 +372,8 @@ def validity(df: DataFrame, formats: dict[str, str]) -> DataFrame:
 def detect_pii(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, pii_type, found_by): content first, then the column name."""
     by_values, by_name = pii_by_values(), pii_by_name(F.col("column_name"))
-    return _column_facts(frequencies({"": df}, columns)).select(
+    source = cells({"": df}, columns)
+    return source.named(_column_facts(frequencies(source))).select(
         "column_name", F.coalesce(by_values, by_name).alias("pii_type"),
         F.when(by_values.isNotNull(), "values").when(by_name.isNotNull(), "name")
         .alias("found_by"),
