@@ -7,10 +7,24 @@ from pyspark.sql import Column, functions as F
 BLANKS = " \t\n\r\f\v"
 
 
+def quoted(text: str) -> str:
+    """A SQL literal, backslashes and all."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def stripped_sql(value: str) -> str:
+    """SQL for a text without blanks at its ends."""
+    return f"btrim({value}, ' \\t\\n\\r\\f\\u000B')"
+
+
 def stripped(value: Column) -> Column:
     return F.btrim(value, F.lit(BLANKS))
 
 
+def rlike_sql(value: str, pattern: str) -> str:
+    return f"({value} rlike {quoted(pattern)})"
+
+
 def percent(ratio: Column, digits: int = 1) -> Column:
     """`0.992` as `99.2%`."""
     return F.format_string(f"%.{digits}f%%", ratio * 100)
@@ -31,23 +45,3 @@ def contains_any(name: Column, parts: tuple[str, ...]) -> Column:
 
 def has_word(name: Column, candidates: tuple[str, ...]) -> Column:
     return F.arrays_overlap(words(name), F.array(*[F.lit(c) for c in candidates]))
-
-
-def first_hint(name: Column, hints: tuple[str, ...]) -> Column:
-    """First hint the name answers to: a suffix (`_at`), a whole word, or a part of 4+ letters."""
-    low, parts = F.lower(name), words(name)
-    tests = []
-    for hint in hints:
-        if hint.startswith("_"):
-            test = low.endswith(hint)
-        else:
-            test = F.array_contains(parts, hint)
-            if len(hint) >= 4:
-                test = test | low.contains(hint)
-        tests.append(F.when(test, F.lit(hint)))
-    return F.coalesce(*tests) if tests else F.lit(None).cast("string")
-
-
-def all_of(flag: Column, when: Column) -> Column:
-    """Aggregate: the flag holds on every row where `when` does (true over no rows)."""
-    return F.coalesce(F.bool_and(F.when(when, flag)), F.lit(True))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyglass.functions import fixed, kinds
-from tallyglass.functions.text import all_of, contains_any, stripped
+from tallyglass.functions.text import quoted, rlike_sql, stripped, stripped_sql
 from tallyglass.sources.catalog import union_all
 
 LONG_TEXT = 256
@@ -22,49 +22,52 @@ NAME = ["table_name", "column_name"]
 NOT_SORTABLE = (T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 
-def _as_text(field: T.StructField) -> Column:
-    column = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.BinaryType):
-        return F.hex(column)
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(column) if not isinstance(field.dataType, T.ArrayType) else (
-            F.when(column.isNotNull(), F.to_json(F.struct(column)))
-        )
-    return column.cast("string")
+def _name(field: T.StructField) -> str:
+    return "`" + field.name.replace("`", "``") + "`"
 
 
-# --- per-value facts -------------------------------------------------------------------------
+def _text_sql(field: T.StructField) -> str:
+    """SQL for the value of any column as text."""
+    name = _name(field)
+    if isinstance(field.dataType, T.BinaryType):
+        return f"hex({name})"
+    if isinstance(field.dataType, T.ArrayType):
+        return f"if({name} is null, null, to_json(struct({name})))"
+    if isinstance(field.dataType, (T.MapType, T.StructType)):
+        return f"to_json({name})"
+    return f"cast({name} as string)"
 
-def _shape_tests(text: Column) -> dict[str, Column]:
-    """What one value looks like, blanks at its ends removed. Patterns that serve both personal
-    data and formats are tested once; combinations are read from the bits later."""
-    digits = F.length(F.regexp_replace(text, r"\D", ""))
-    tests = {
-        "blank": F.length(text) == 0,
-        "dated": text.rlike(fixed.DATE_LIKE),
-        "ipv4": text.rlike(fixed.PII_PATTERNS["ipv4"]),
-        "dialled": text.rlike(fixed.PII_PATTERNS["phone"]) & digits.between(*fixed.PHONE_DIGITS),
-        "boolean": F.lower(text).isin(*fixed.TEXT_BOOLEANS),
-    }
-    return tests | {name: text.rlike(pattern) for name, pattern in fixed.FORMATS.items()}
 
+# --- per-value facts -------------------------------------------------------------------------
+# Long expressions are written as SQL text: one parse instead of hundreds of calls to the JVM.
 
 BITS = ["blank", "dated", "ipv4", "dialled", "boolean", *fixed.FORMATS]
 PII_BITS = {"email": "email", "iban": "iban", "siret": "siret", "ipv4": "ipv4",
             "phone": "dialled"}
 
 
-def _shape(text: Column) -> Column:
-    """All tests of one value as the bits of one number, so that they travel as one column."""
-    tests = _shape_tests(text)
-    bits = F.lit(0)
-    for i, name in enumerate(BITS):
-        bits = bits + F.when(tests[name], F.lit(1 << i)).otherwise(F.lit(0))
-    return bits
+def _shape_sql(text: str) -> str:
+    """What one value looks like, as the bits of one number, so that it travels as one column.
+
+    Patterns that serve both personal data and formats are tested once; combinations are read
+    from the bits later. `text` has no blanks at its ends.
+    """
+    low, high = fixed.PHONE_DIGITS
+    digits = f"length(regexp_replace({text}, '[^0-9]', ''))"
+    booleans = ", ".join(quoted(b) for b in fixed.TEXT_BOOLEANS)
+    tests = {
+        "blank": f"length({text}) = 0",
+        "dated": rlike_sql(text, fixed.DATE_LIKE),
+        "ipv4": rlike_sql(text, fixed.PII_PATTERNS["ipv4"]),
+        "dialled": f"{rlike_sql(text, fixed.PII_PATTERNS['phone'])} "
+                   f"and {digits} between {low} and {high}",
+        "boolean": f"lower({text}) in ({booleans})",
+    } | {name: rlike_sql(text, pattern) for name, pattern in fixed.FORMATS.items()}
+    return " + ".join(f"if({tests[name]}, {1 << i}, 0)" for i, name in enumerate(BITS))
 
 
-def _bit(name: str) -> Column:
-    return F.col("shape").bitwiseAND(F.lit(1 << BITS.index(name))) != 0
+def _bit_sql(name: str) -> str:
+    return f"(shape & {1 << BITS.index(name)} <> 0)"
 
 
 Tables = dict[str, DataFrame]
@@ -81,20 +84,21 @@ class Cells:
     df: DataFrame
 
     def named(self, df: DataFrame) -> DataFrame:
-        tables = F.array(*[F.lit(t) for t, _, _ in self.names])
-        columns = F.array(*[F.lit(c) for _, c, _ in self.names])
+        tables = ", ".join(quoted(t) for t, _, _ in self.names)
+        columns = ", ".join(quoted(c) for _, c, _ in self.names)
         others = [c for c in df.columns if c != "c"]
-        return df.select(F.element_at(tables, F.col("c")).alias("table_name"),
-                         F.element_at(columns, F.col("c")).alias("column_name"), *others)
+        return df.selectExpr(f"element_at(array({tables}), c) as table_name",
+                             f"element_at(array({columns}), c) as column_name", *others)
 
-    def is_kind(self, *kinds_wanted: str) -> Column:
-        ids = [i for i, (_, _, kind) in enumerate(self.names, 1) if kind in kinds_wanted]
-        return F.col("c").isin(*ids)
+    def kind_sql(self, *wanted: str) -> str:
+        """SQL test: the column is of one of these kinds."""
+        ids = [str(i) for i, (_, _, kind) in enumerate(self.names, 1) if kind in wanted]
+        return f"c in ({', '.join(ids)})" if ids else "false"
 
-    def only(self, *kinds_wanted: str) -> DataFrame | None:
-        if not any(kind in kinds_wanted for _, _, kind in self.names):
+    def only(self, *wanted: str) -> DataFrame | None:
+        if not any(kind in wanted for _, _, kind in self.names):
             return None
-        return self.df.where(self.is_kind(*kinds_wanted))
+        return self.df.where(self.kind_sql(*wanted))
 
 
 def cells(tables: Tables, columns: list[str] | None = None) -> Cells:
@@ -104,9 +108,9 @@ def cells(tables: Tables, columns: list[str] | None = None) -> Cells:
         for f in df.schema.fields:
             if columns is None or f.name in columns:
                 names.append((name, f.name, kinds.kind_of(f.dataType)))
-                structs.append(F.struct(F.lit(len(names)).alias("c"), _as_text(f).alias("cell")))
+                structs.append(f"named_struct('c', {len(names)}, 'cell', {_text_sql(f)})")
         if structs:
-            parts.append(df.select(F.inline(F.array(*structs))))
+            parts.append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
     return Cells(names, union_all(parts))
 
 
@@ -117,133 +121,105 @@ def frequencies(source: Cells) -> DataFrame:
     digest, so documents do not travel; their length and shape are read from the whole text
     before that. NULL is a value of its own with `length` NULL.
     """
-    long = F.length("cell") > LONG_TEXT
-    tested = source.is_kind("text", "integer")
-    about = F.struct(
-        F.sha2("cell", 256).alias("digest"), F.length("cell").alias("length"),
-        F.when(tested, _shape(stripped(F.col("cell")))).otherwise(0).alias("shape"),
-    )
-    grouped = source.df.select(
-        "c", F.when(~long, F.col("cell")).alias("value"), F.when(long, about).alias("about"),
+    tested = source.kind_sql("text", "integer")
+    long = f"length(cell) > {LONG_TEXT}"
+    whole_shape = _shape_sql(stripped_sql("cell"))
+    grouped = source.df.selectExpr(
+        "c", f"if({long}, null, cell) as value",
+        f"if({long}, named_struct('digest', sha2(cell, 256), 'length', length(cell), "
+        f"'shape', if({tested}, {whole_shape}, 0)), null) as about",
     ).groupBy("c", "value", "about").agg(F.count("*").alias("n"))
-    shape = F.coalesce(
-        "about.shape", F.when(tested & F.col("text").isNotNull(), _shape(F.col("text"))),
-        F.lit(0),
-    )
-    return grouped.withColumn("text", stripped(F.col("value"))).select(
-        "c", "value", "about.digest", F.coalesce("about.length", F.length("value"))
-        .alias("length"), shape.alias("shape"), "n",
+    return grouped.selectExpr("*", f"{stripped_sql('value')} as text").selectExpr(
+        "c", "value", "about.digest", "coalesce(about.length, length(value)) as length",
+        f"coalesce(about.shape, if({tested} and text is not null, {_shape_sql('text')}, 0)) "
+        "as shape", "n",
     )
 
 
 def _column_facts(freq: DataFrame) -> DataFrame:
     """Counts and shape totals per column; every buffer is a number, so this stays hashed."""
-    known = F.col("length").isNotNull()
-    filled = known & ~_bit("blank")
+    known, filled = "length is not null", f"length is not null and not {_bit_sql('blank')}"
 
-    def rows(test):
-        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    def rows(test, name):
+        return f"coalesce(sum(if({test}, n, 0)), 0) as {name}"
 
     facts = [
-        F.sum("n").alias("sample_size"), rows(known).alias("non_null_count"),
-        F.count("length").alias("distinct_count"),
-        (F.sum(F.col("n") * F.col("length")) / F.sum(F.when(known, F.col("n"))))
-        .alias("avg_length"),
-        rows(filled).alias("filled"),
+        "sum(n) as sample_size", rows(known, "non_null_count"),
+        "count(length) as distinct_count",
+        "sum(n * length) / sum(if(length is null, null, n)) as avg_length",
+        rows(filled, "filled"),
     ]
     facts += [
-        rows(filled & _bit(bit) & ~_bit("dated")).alias(f"pii_{p}") for p, bit in PII_BITS.items()
+        rows(f"{filled} and {_bit_sql(bit)} and not {_bit_sql('dated')}", f"pii_{p}")
+        for p, bit in PII_BITS.items()
     ]
     facts += [
-        all_of(_bit(bit), filled).alias(name)
+        f"coalesce(bool_and(if({filled}, {_bit_sql(bit)}, null)), true) as {name}"
         for name, bit in (("is_date", "date"), ("is_integer", "integer"),
                           ("is_number", "numeric"), ("is_boolean", "boolean"))
     ]
-    facts += [rows(known & ~_bit(f)).alias(f"bad_{f}") for f in fixed.FORMATS]
-    return freq.groupBy("c").agg(*facts)
+    facts += [rows(f"{known} and not {_bit_sql(f)}", f"bad_{f}") for f in fixed.FORMATS]
+    return freq.groupBy("c").agg(*[F.expr(f) for f in facts])
 
 
 def _extremes(df: DataFrame, name: str) -> DataFrame:
     """Typed minimum, maximum and mean of every column, in one aggregate without a shuffle."""
-    aggregates, rows = [], []
+    aggregates, rows = ["count(*) as n"], []
     for i, f in enumerate(df.schema.fields):
-        column = F.col(f"`{f.name}`")
-        kind = kinds.kind_of(f.dataType)
-        low = high = mean = None
+        column, kind = _name(f), kinds.kind_of(f.dataType)
+        low = high = mean = "null"
         if not isinstance(f.dataType, NOT_SORTABLE):
             low, high = f"low_{i}", f"high_{i}"
-            aggregates += [F.min(column).alias(low), F.max(column).alias(high)]
+            aggregates += [f"min({column}) as {low}", f"max({column}) as {high}"]
         if kind in ("integer", "number"):
             mean = f"mean_{i}"
-            aggregates.append(F.avg(column).alias(mean))
-
-        def text(bound):
-            return (F.col(bound) if bound else F.lit(None)).cast("string")
-
-        rows.append(F.struct(
-            F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(i + 1).alias("ordinal"),
-            F.lit(f.dataType.simpleString()).alias("declared_type"), F.lit(kind).alias("kind"),
-            text(low).alias("min_value"), text(high).alias("max_value"),
-            (F.col(mean) if mean else F.lit(None)).cast("double").alias("mean_value"),
-        ))
-    summary = df.agg(*aggregates) if aggregates else df.agg(F.count("*"))
-    return summary.select(F.inline(F.array(*rows)))
+            aggregates.append(f"avg({column}) as {mean}")
+        rows.append(
+            f"named_struct('table_name', {quoted(name)}, 'column_name', {quoted(f.name)}, "
+            f"'ordinal', {i + 1}, 'declared_type', {quoted(f.dataType.simpleString())}, "
+            f"'kind', '{kind}', 'min_value', cast({low} as string), "
+            f"'max_value', cast({high} as string), 'mean_value', cast({mean} as double))"
+        )
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 # --- what the facts mean ---------------------------------------------------------------------
 
-def hidden_type(kind: Column) -> Column:
-    """Type a column really holds: its own, or one that all its text values agree on."""
-    return (
-        F.when(kind == "integer", "integer").when(kind == "number", "numeric")
-        .when(kind == "boolean", "boolean").when(kind == "temporal", "datetime")
-        .when((kind != "text") | (F.col("filled") == 0), "text")
-        .when(F.col("is_date"), "datetime (text)")
-        .when(F.col("is_integer"), "integer (text)")
-        .when(F.col("is_number"), "numeric (text)")
-        .when(F.col("is_boolean"), "boolean (text)")
-        .otherwise("text")
-    )
-
-
-def pii_by_name(name: Column) -> Column:
-    result = F.lit(None).cast("string")
-    for pii, hints in reversed(list(fixed.PII_NAME_HINTS.items())):
-        result = F.when(contains_any(name, hints), pii).otherwise(result)
-    return result
-
-
-def pii_by_values() -> Column:
-    """First kind that at least 80 % of the filled values match."""
-    result = F.lit(None).cast("string")
-    for pii in reversed(list(fixed.PII_PATTERNS)):
-        share = F.col(f"pii_{pii}") / F.nullif(F.col("filled"), F.lit(0))
-        result = F.when(share >= fixed.PII_SHARE, pii).otherwise(result)
-    return result
-
-
-def expected_format(kind: Column, detected: Column, pii: Column) -> Column:
-    return F.when(kind == "text", (
-        F.when(pii.isin("email", "phone", "iban", "siret"), pii)
-        .when(detected == "datetime (text)", "date")
-        .when(detected == "integer (text)", "integer")
-        .when(detected == "numeric (text)", "numeric")
-    ))
+# Type a column really holds: its own, or one that all its text values agree on.
+HIDDEN_TYPE = """
+case when kind = 'integer' then 'integer' when kind = 'number' then 'numeric'
+  when kind = 'boolean' then 'boolean' when kind = 'temporal' then 'datetime'
+  when kind <> 'text' or filled = 0 then 'text' when is_date then 'datetime (text)'
+  when is_integer then 'integer (text)' when is_number then 'numeric (text)'
+  when is_boolean then 'boolean (text)' else 'text' end"""
+
+# First kind of personal data that enough of the filled values match, and by name.
+PII_BY_VALUES = "case " + " ".join(
+    f"when filled > 0 and pii_{p} / filled >= {fixed.PII_SHARE} then '{p}'"
+    for p in fixed.PII_PATTERNS
+) + " end"
+PII_BY_NAME = "case " + " ".join(
+    "when " + " or ".join(f"contains(lower(column_name), '{h}')" for h in hints) + f" then '{p}'"
+    for p, hints in fixed.PII_NAME_HINTS.items()
+) + " end"
+
+EXPECTED_FORMAT = """
+case when kind <> 'text' or non_null_count = 0 then null
+  when pii_type in ('email', 'phone', 'iban', 'siret') then pii_type
+  when detected_type = 'datetime (text)' then 'date'
+  when detected_type = 'integer (text)' then 'integer'
+  when detected_type = 'numeric (text)' then 'numeric' end"""
+
+INVALID = "case format_checked " + " ".join(
+    f"when '{f}' then bad_{f}" for f in fixed.FORMATS) + " end"
 
 
 def _meaning(facts: DataFrame, extremes: DataFrame) -> DataFrame:
-    joined = extremes.join(facts, NAME).withColumn(
-        "detected_type", hidden_type(F.col("kind"))
-    ).withColumn("pii_type", F.coalesce(pii_by_values(), pii_by_name(F.col("column_name"))))
-    joined = joined.withColumn(
-        "format_checked",
-        F.when(F.col("non_null_count") > 0, expected_format(
-            F.col("kind"), F.col("detected_type"), F.col("pii_type"))),
-    )
-    invalid = F.lit(None).cast("bigint")
-    for name in fixed.FORMATS:
-        invalid = F.when(F.col("format_checked") == name, F.col(f"bad_{name}")).otherwise(invalid)
-    return joined.withColumn("invalid_count", invalid)
+    return extremes.join(facts, NAME).selectExpr(
+        "*", f"{HIDDEN_TYPE} as detected_type", f"coalesce({PII_BY_VALUES}, {PII_BY_NAME}) "
+        "as pii_type",
+    ).selectExpr("*", f"{EXPECTED_FORMAT} as format_checked").selectExpr(
+        "*", f"{INVALID} as invalid_count")
 
 
 # --- public operators ------------------------------------------------------------------------
@@ -300,20 +276,18 @@ def _profiles(tables: Tables, sampled: bool = False, n_rows: int | None = None)
         F.slice(F.transform("best", lambda b: b.value), 1, SAMPLE_VALUES).alias("sample_values"),
     )
     extremes = union_all([_extremes(df, name) for name, df in tables.items()])
-    total, known = F.col("sample_size"), F.col("non_null_count")
     facts = source.named(_column_facts(freq).join(best, "c", "left"))
-    return _meaning(facts, extremes).select(
-        *NAME, "ordinal", "declared_type",
-        F.lit(sampled).alias("sampled"), "sample_size",
-        (F.lit(n_rows).cast("bigint") if n_rows is not None else total).alias("row_count"),
-        (total - known).alias("null_count"), known.alias("non_null_count"),
-        (1 - known / total).alias("null_rate"), "distinct_count",
-        (F.col("distinct_count") / F.nullif(known, F.lit(0))).alias("distinct_ratio"),
+    rows = "sample_size" if n_rows is None else f"cast({n_rows} as bigint)"
+    return _meaning(facts, extremes).selectExpr(
+        *NAME, "ordinal", "declared_type", f"{str(sampled).lower()} as sampled", "sample_size",
+        f"{rows} as row_count", "sample_size - non_null_count as null_count", "non_null_count",
+        "1 - non_null_count / sample_size as null_rate", "distinct_count",
+        "distinct_count / nullif(non_null_count, 0) as distinct_ratio",
         "min_value", "max_value", "mean_value", "avg_length", "detected_type", "pii_type",
         "format_checked", "invalid_count",
-        F.coalesce("top_values", F.array().cast("array<struct<value:string,count:bigint>>"))
-        .alias("top_values"),
-        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
+        "coalesce(top_values, cast(array() as array<struct<value:string,count:bigint>>)) "
+        "as top_values",
+        "coalesce(sample_values, cast(array() as array<string>)) as sample_values",
     )
 
 
@@ -324,7 +298,8 @@ def quick_counts(df: DataFrame, name: str, lg_k: int = 12) -> DataFrame:
     for i, f in enumerate(fields):
         aggregates += [
             F.count(f"`{f.name}`").alias(f"known_{i}"),
-            F.hll_sketch_estimate(F.hll_sketch_agg(_as_text(f), lg_k)).alias(f"distinct_{i}"),
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.expr(_text_sql(f)), lg_k))
+            .alias(f"distinct_{i}"),
         ]
     rows = [
         F.struct(
@@ -340,13 +315,11 @@ def quick_counts(df: DataFrame, name: str, lg_k: int = 12) -> DataFrame:
 
 def detect_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, detected_type), judged on all distinct values."""
-    types = F.lit("other")
-    for f in df.schema.fields:
-        types = F.when(F.col("column_name") == f.name, kinds.kind_of(f.dataType)).otherwise(types)
     source = cells({"": df}, columns)
-    return source.named(_column_facts(frequencies(source))).select(
-        "column_name", hidden_type(types).alias("detected_type")
-    )
+    by_kind = ", ".join(quoted(kind) for _, _, kind in source.names)
+    facts = _column_facts(frequencies(source)).selectExpr(
+        "*", f"element_at(array({by_kind}), c) as kind")
+    return source.named(facts).selectExpr("column_name", f"{HIDDEN_TYPE} as detected_type")
 
 
 def validity(df: DataFrame, formats: dict[str, str]) -> DataFrame:
@@ -371,12 +344,11 @@ def validity(df: DataFrame, formats: dict[str, str]) -> DataFrame:
 
 def detect_pii(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, pii_type, found_by): content first, then the column name."""
-    by_values, by_name = pii_by_values(), pii_by_name(F.col("column_name"))
     source = cells({"": df}, columns)
-    return source.named(_column_facts(frequencies(source))).select(
-        "column_name", F.coalesce(by_values, by_name).alias("pii_type"),
-        F.when(by_values.isNotNull(), "values").when(by_name.isNotNull(), "name")
-        .alias("found_by"),
+    return source.named(_column_facts(frequencies(source))).selectExpr(
+        "column_name", f"coalesce({PII_BY_VALUES}, {PII_BY_NAME}) as pii_type",
+        f"case when {PII_BY_VALUES} is not null then 'values' "
+        f"when {PII_BY_NAME} is not null then 'name' end as found_by",
     )
 
 

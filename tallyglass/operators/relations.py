@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyglass.functions.text import percent
+from tallyglass.functions.text import percent, quoted
 from tallyglass.sources.catalog import union_all
 
 INTEGER_TYPES = ("tinyint", "smallint", "int", "bigint")
@@ -78,14 +78,12 @@ def _edge_values(edges: list, tables: dict[str, DataFrame], side: str) -> DataFr
     table_of, column_of = f"{side}_table", f"{side}_column"
     parts = []
     for name in sorted({e[table_of] for e in edges}):
-        columns = [
-            F.struct(
-                *[F.lit(e[c]).alias(c) for c in EDGE],
-                F.col(e[column_of]).cast("string").alias("v"),
-            )
+        structs = [
+            "named_struct(" + ", ".join(f"'{c}', {quoted(e[c])}" for c in EDGE)
+            + f", 'v', cast(`{e[column_of]}` as string))"
             for e in edges if e[table_of] == name
         ]
-        parts.append(tables[name].select(F.inline(F.array(*columns))))
+        parts.append(tables[name].selectExpr(f"inline(array({', '.join(structs)}))"))
     return union_all(parts).where("v is not null").groupBy(*EDGE, "v").agg(
         F.count("*").alias("n")
     )

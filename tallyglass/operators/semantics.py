@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyglass.functions import fixed
-from tallyglass.functions.text import contains_any, first_hint, has_word
+from tallyglass.functions.text import contains_any, has_word, quoted
 
 DECIDED = ("validated", "corrected", "rejected")
 COLUMN = ["table_name", "column_name"]
@@ -19,35 +19,51 @@ def concepts(spark, lexicon=fixed.LEXICON) -> DataFrame:
     )
 
 
-def _candidate(entry: dict, rank: int) -> Column:
-    """What speaks for one concept on one profiled column, as a sortable struct."""
-    name, table = F.col("column_name"), F.col("table_name")
-    none = F.lit(0.0)
-    pii_hit = F.col("pii_type") == entry["pii"] if entry.get("pii") else F.lit(False)
-    time_hit = F.col("detected_type").startswith("datetime") if entry.get("temporal") else (
-        F.lit(False))
-    content = F.when(pii_hit, 0.9).when(time_hit, 0.75).otherwise(none)
-
-    hint = first_hint(name, entry["name_hints"])
-    fits = F.col("detected_type").isin("integer", "numeric") if entry.get("numeric_only") else (
-        F.lit(True))
-    by_name = F.when(hint.isNotNull() & fits, F.when(content >= 0.7, 0.85).otherwise(0.7))
-    table_hint = first_hint(table, entry.get("table_hints", ()))
-    on_key = (name == "id") | (name == F.concat(F.rtrim(table, F.lit("s")), F.lit("_id")))
-    by_table = F.when(table_hint.isNotNull() & on_key, 0.8)
-    reasons = F.concat_ws(
-        " ; ",
-        F.when(pii_hit, f"values look like {entry.get('pii')}"),
-        F.when(time_hit, "values are points in time"),
-        F.when(hint.isNotNull() & ~fits, F.concat(F.lit("name says "), hint,
-                                                  F.lit(" but values are not numbers"))),
-        F.when(hint.isNotNull() & fits, F.concat(F.lit("name says "), hint)),
-        F.when(by_table.isNotNull(), F.concat(F.lit("key of table "), table)),
-    )
-    return F.struct(
-        F.greatest(content, by_name, by_table).alias("confidence"), F.lit(-rank).alias("order"),
-        F.lit(entry["concept"]).alias("concept"), reasons.alias("rationale"),
-    )
+def _lexicon_sql(lexicon) -> str:
+    """The lexicon as one literal array, so that a column weighs all of it in one row."""
+    def words(values):
+        listed = ", ".join(quoted(v) for v in values)
+        return f"array({listed})" if values else "cast(array() as array<string>)"
+
+    return "array(" + ", ".join(
+        f"named_struct('rank', {i}, 'concept', {quoted(e['concept'])}, "
+        f"'name_hints', {words(e['name_hints'])}, "
+        f"'table_hints', {words(e.get('table_hints', ()))}, "
+        f"'pii', {quoted(e['pii']) if e.get('pii') else 'cast(null as string)'}, "
+        f"'temporal', {str(bool(e.get('temporal'))).lower()}, "
+        f"'numeric_only', {str(bool(e.get('numeric_only'))).lower()})"
+        for i, e in enumerate(lexicon)) + ")"
+
+
+def _first_hint(hints: str, name: str, words: str) -> str:
+    """First hint the name answers to: a suffix (`_at`), a whole word, or a part of 4+ letters."""
+    return (f"try_element_at(filter({hints}, h -> if(startswith(h, '_'), endswith({name}, h), "
+            f"array_contains({words}, h) or (length(h) >= 4 and contains({name}, h)))), 1)")
+
+
+def _signals_sql(lexicon) -> str:
+    """What speaks for each concept: content, name, table."""
+    return f"""transform({_lexicon_sql(lexicon)}, e -> named_struct(
+      'rank', e.rank, 'concept', e.concept,
+      'content', case when e.pii = pii_type then 0.9D
+        when e.temporal and startswith(detected_type, 'datetime') then 0.75D else 0D end,
+      'hint', {_first_hint('e.name_hints', 'low_name', 'name_words')},
+      'fits', not e.numeric_only or detected_type in ('integer', 'numeric'),
+      'table_hint', if(column_name in ('id', concat(rtrim('s', table_name), '_id')),
+        {_first_hint('e.table_hints', 'low_table', 'table_words')}, null)))"""
+
+
+CANDIDATES = """transform(signals, s -> named_struct(
+  'confidence', greatest(s.content,
+    case when s.hint is not null and s.fits then if(s.content >= 0.7D, 0.85D, 0.7D) end,
+    case when s.table_hint is not null then 0.8D end),
+  'order', -s.rank, 'concept', s.concept,
+  'rationale', concat_ws(' ; ',
+    case when s.content = 0.9D then concat('values look like ', pii_type)
+      when s.content = 0.75D then 'values are points in time' end,
+    case when s.hint is not null then
+      concat('name says ', s.hint, if(s.fits, '', ' but values are not numbers')) end,
+    case when s.table_hint is not null then concat('key of table ', table_name) end)))"""
 
 
 def propose_concepts(profile_df: DataFrame, lexicon=fixed.LEXICON) -> DataFrame:
@@ -55,8 +71,13 @@ def propose_concepts(profile_df: DataFrame, lexicon=fixed.LEXICON) -> DataFrame:
 
     The lexicon is a short list, so each column weighs all of it in one row: no join at all.
     """
-    best = F.array_max(F.array(*[_candidate(entry, i) for i, entry in enumerate(lexicon)]))
-    found = profile_df.select(*COLUMN, best.alias("b")).where(F.col("b.confidence") > 0)
+    found = profile_df.selectExpr(
+        *COLUMN, "pii_type", "detected_type", "lower(column_name) as low_name",
+        "lower(table_name) as low_table",
+        "split(lower(column_name), '[_\\\\W]+') as name_words",
+        "split(lower(table_name), '[_\\\\W]+') as table_words",
+    ).selectExpr(*COLUMN, "pii_type", f"{_signals_sql(lexicon)} as signals").selectExpr(
+        *COLUMN, f"array_max({CANDIDATES}) as b").where("b.confidence > 0")
     return found.select(
         *COLUMN, "b.concept", F.round("b.confidence", 2).alias("confidence"), "b.rationale"
     )

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from workload.base import ORACLES, QUERIES
 
-for _part in ("sources", "shapes", "joins", "profiles",
+for _part in ("sources", "shapes", "joins", "profiles", "quality", "concepts",
               ):
     import_module(f"workload.{_part}")
 
