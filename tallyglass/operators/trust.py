@@ -19,7 +19,7 @@ def _short(names: Column) -> Column:
 
 
 def _lookup(df: DataFrame, key: str, value: Column) -> Column:
-    """A catalog-sized table as one map, for use inside rows of another table."""
+    """A catalog-sized table as one map, to be set beside the rows of another table."""
     pairs = df.groupBy(F.lower(key).alias("k")).agg(value.alias("v"))
     return pairs.agg(F.map_from_entries(F.collect_list(F.struct("k", "v")))).scalar()
 
@@ -99,18 +99,21 @@ def confidence(
 
     `audit_df`: analysis_id, tables_used, row_count, sampled, truncated, n_assumptions.
     """
-    scores = _lookup(quality_df, "table_name", F.max("score"))
-    statuses = _lookup(mappings_df, "table_name", F.collect_set("status"))
-    names = F.col("_names")
+    names, scores = F.col("_names"), F.col("_scores")
     subs = {
         "quality": quality_subscore(names, scores),
-        "concepts": concept_subscore(names, statuses),
-        "relations": relation_subscore(names, _edges(relations_df)),
+        "concepts": concept_subscore(names, F.col("_statuses")),
+        "relations": relation_subscore(names, F.col("_edges")),
         "query": F.lit(1.0),
         "coverage": coverage_subscore(),
         "hypotheses": hypothesis_subscore(),
     }
-    rows = audit_df.withColumn("_names", _short("tables_used")).select(
+    known = audit_df.select(
+        "*", _short("tables_used").alias("_names"), _edges(relations_df).alias("_edges"),
+        _lookup(quality_df, "table_name", F.max("score")).alias("_scores"),
+        _lookup(mappings_df, "table_name", F.collect_set("status")).alias("_statuses"),
+    )
+    rows = known.select(
         "*", *[sub.alias(f"{name}_sub") for name, sub in subs.items()],
         F.size(_found(names, scores)).alias("_scored"),
     )
@@ -149,11 +152,6 @@ def confidence(
 
 # --- checks ----------------------------------------------------------------------------------
 
-def _used_profiles(profile_df: DataFrame, needed: Column) -> Column:
-    """Map `table -> profiled columns`, narrowed to what the checks look at."""
-    return _lookup(profile_df, "table_name", F.sort_array(F.collect_list(needed)))
-
-
 def checks(
     audit_df: DataFrame, profile_df: DataFrame, as_of: str, measured_df: DataFrame | None = None
 ) -> DataFrame:
@@ -168,9 +166,7 @@ def checks(
         F.expr("try_cast(left(max_value, 10) as date)").alias("latest"),
         F.col("detected_type").alias("type"),
     )
-    profiles = _used_profiles(profile_df, facts)
     names, used = F.col("_names"), F.col("_cols")
-    known = F.flatten(_found(names, profiles))
     money = F.filter("_known", lambda p: p["name"].rlike(fixed.MONEY_CHECK_NAME))
     used_money = F.filter(money, lambda p: F.array_contains(used, p["name"]))
     is_gross = lambda p: p["name"].rlike(fixed.GROSS_CHECK_NAME)
@@ -213,15 +209,19 @@ def checks(
             .otherwise(F.concat(size.cast("string"), F.lit(" rows")))),
     ]
     if measured_df is not None:
-        wide = measured_df.where("cardinality in ('1-n', 'n-n')").agg(F.collect_list(F.struct(
-            F.lower("from_table").alias("a"), F.lower("to_table").alias("b")))).scalar()
-        doubled = (F.size(_involved(wide, names)) > 0) & F.col("aggregates")
+        doubled = (F.size(_involved(F.col("_wide"), names)) > 0) & F.col("aggregates")
         tests.append(check(
             "join_fanout", F.size(names) > 1, F.when(doubled, "warn").otherwise("pass"),
             F.when(doubled, "rows may be counted twice").otherwise("no fan-out")))
-    return audit_df.withColumn("_names", _short("tables_used")).withColumn(
-        "_cols", _short("columns_used")
-    ).withColumn("_known", known).select(
+    beside = [_lookup(profile_df, "table_name", F.sort_array(F.collect_list(facts)))
+              .alias("_profiles")]
+    if measured_df is not None:
+        beside.append(measured_df.where("cardinality in ('1-n', 'n-n')").agg(
+            F.collect_list(F.struct(F.lower("from_table").alias("a"),
+                                    F.lower("to_table").alias("b")))).scalar().alias("_wide"))
+    return audit_df.select(
+        "*", _short("tables_used").alias("_names"), _short("columns_used").alias("_cols"), *beside
+    ).withColumn("_known", F.flatten(_found(names, F.col("_profiles")))).select(
         "analysis_id", F.inline(F.filter(F.array(*tests), lambda c: c.isNotNull()))
     )
 
@@ -289,25 +289,28 @@ def table_proof(
     audit_df: DataFrame, columns_df: DataFrame, quality_df: DataFrame, mappings_df: DataFrame
 ) -> DataFrame:
     """Why this table: share of the needed real columns it has, its quality, its concept."""
-    everything = columns_df.agg(F.collect_set(F.lower("column_name"))).scalar()
-    by_table = _lookup(columns_df, "table_name", F.collect_set(F.lower("column_name")))
-    scores = _lookup(quality_df, "table_name", F.max("score"))
-    concepts = _lookup(mappings_df.where("status in ('validated', 'corrected')"), "table_name",
-                       F.min("concept"))
-    main = F.try_element_at("_names", F.lit(1))
-    needed = F.filter("_cols", lambda c: F.array_contains(everything, c))
-    own = F.coalesce(F.try_element_at(by_table, F.col("table_name")),
-                     F.array().cast("array<string>"))
-    present = F.filter("_needed", lambda c: F.array_contains(own, c))
-    rows = audit_df.withColumn("_names", _short("tables_used")).withColumn(
-        "_cols", _short("columns_used")
-    ).where(F.size("_names") > 0).withColumn("table_name", main).withColumn("_needed", needed)
+    decided = mappings_df.where("status in ('validated', 'corrected')")
+    names = F.collect_set(F.lower("column_name"))
+    table = F.col("table_name")
+    rows = audit_df.select(
+        "analysis_id", "n_assumptions", _short("columns_used").alias("_cols"),
+        F.try_element_at(_short("tables_used"), F.lit(1)).alias("table_name"),
+        columns_df.agg(names).scalar().alias("_all"),
+        _lookup(columns_df, "table_name", names).alias("_by_table"),
+        _lookup(quality_df, "table_name", F.max("score")).alias("_scores"),
+        _lookup(decided, "table_name", F.min("concept")).alias("_concepts"),
+    ).where(table.isNotNull())
+    rows = rows.withColumn(
+        "_needed", F.filter("_cols", lambda c: F.array_contains(F.col("_all"), c))
+    ).withColumn("_own", F.coalesce(F.try_element_at("_by_table", table),
+                                    F.array().cast("array<string>")))
+    present = F.filter("_needed", lambda c: F.array_contains(F.col("_own"), c))
     rows = rows.select(
         "analysis_id", "table_name", "n_assumptions",
         F.size("_needed").alias("columns_needed"), F.size(present).alias("columns_present"),
-        F.bround(F.nullif(F.try_element_at(scores, F.col("table_name")), F.lit(0.0)) * 100)
+        F.bround(F.nullif(F.try_element_at("_scores", table), F.lit(0.0)) * 100)
         .cast("int").alias("quality_pct"),
-        F.try_element_at(concepts, F.col("table_name")).alias("concept"),
+        F.try_element_at("_concepts", table).alias("concept"),
     )
     coverage = F.coalesce(
         F.bround(F.col("columns_present") / F.nullif(F.col("columns_needed"), F.lit(0)) * 100),

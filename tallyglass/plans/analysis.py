@@ -155,12 +155,11 @@ def investigate(
     if date_col is not None:
         line = series.monthly_series(subject.base, date_col, value)
         first = series.trend_step(line)
-        points = F.array(
-            F.struct(F.lit(1).alias("place"), F.col("first_period").alias("label"),
-                     F.col("first_value").alias("value")),
-            F.struct(F.lit(2), F.col("last_period"), F.col("last_value")),
-            F.struct(F.lit(3), F.col("low_period"), F.col("low_value")),
-        )
+        points = F.array(*[
+            F.struct(F.lit(i).alias("place"), F.col(f"{point}_period").alias("label"),
+                     F.col(f"{point}_value").alias("value"))
+            for i, point in enumerate(("first", "last", "low"), start=1)
+        ])
         steps = steps.unionByName(first.select("direction", F.inline(points)).select(
             F.lit(0).alias("step_no"), F.lit("trend").alias("step"), "label", "value", "place",
             F.col("direction").alias("detail"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -159,10 +160,10 @@ AUDIT = [
 ]
 # Table quality that moves with the data.
 QUALITY = {
-    "orders": "avg(case when o_orderkey % 70 = 0 then 0.0 else 1.0 end)",
-    "customer": "avg(case when c_custkey % 13 = 0 then 0.0 else 1.0 end)",
-    "lineitem": "avg(case when l_linenumber > 5 then 0.0 else 1.0 end)",
-    "part": "avg(case when p_size > 30 then 0.0 else 1.0 end)",
+    "orders": "avg(case when o_orderkey % 70 = 0 then 0e0 else 1e0 end)",
+    "customer": "avg(case when c_custkey % 13 = 0 then 0e0 else 1e0 end)",
+    "lineitem": "avg(case when l_linenumber > 5 then 0e0 else 1e0 end)",
+    "part": "avg(case when p_size > 30 then 0e0 else 1e0 end)",
 }
 
 
@@ -237,6 +238,9 @@ LEXICON_SQL = "(values " + ", ".join(
 
 # --- oracle side of a profile: one branch per column -----------------------------------------
 
+re_search = re.search
+
+
 def _re(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
