@@ -57,6 +57,23 @@ def normal(columns, rows):
     return sorted(columns), sorted(tuple(canonical(r[i]) for i in order) for r in rows)
 
 
+def type_gaps(df, cursor) -> list[str]:
+    """Columns whose types differ between the engines, so that hashes of values might."""
+    names = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+             "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz"}
+    spark_types = dict(df.dtypes)
+    gaps = []
+    for name, kind, *_ in cursor.description:
+        sql, own = str(kind), spark_types.get(name)
+        if sql.startswith("DECIMAL"):
+            same = own.startswith("decimal") and own.split(",")[1] == sql.lower().split(",")[1]
+        else:
+            same = names.get(sql) == own
+        if not same:
+            gaps.append(f"{name}: {own} / {sql}")
+    return gaps
+
+
 def compare(spark, con, name, sf_dir):
     """(rows, problem or None, seconds)."""
     start = time.time()
@@ -71,6 +88,9 @@ def compare(spark, con, name, sf_dir):
     want = normal(expected_columns, cursor.fetchall())
     if got[0] != want[0]:
         return len(rows), f"columns {got[0]} != {want[0]}", took
+    gaps = type_gaps(df, cursor)
+    if gaps:
+        print(f"     {name}: types differ: {', '.join(gaps)}", flush=True)
     if got[1] != want[1]:
         missing = [r for r in want[1] if r not in got[1]][:3]
         extra = [r for r in got[1] if r not in want[1]][:3]

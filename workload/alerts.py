@@ -111,7 +111,8 @@ def _(spark, sf):
 @query("M3_rolled_state", f"""
 select coalesce(e.alert_id, s.alert_id) as alert_id,
   round(coalesce(value, last_value), 4) as last_value,
-  case when value is not null then last_value else previous_value end as previous_value,
+  cast(case when value is not null then last_value else previous_value end as double)
+    as previous_value,
   coalesce(status, last_status) as last_status
 from {EVALUATED_SQL} e full join (select * from {STATE_SQL}) s on s.alert_id = e.alert_id
 """)

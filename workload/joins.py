@@ -40,8 +40,8 @@ hits as (
     or (f.n_rows = t.n_rows and f.table_name < t.table_name))),
 best as (select *, row_number() over (partition by ft, fc order by rank, tt) as rn from hits)
 select ft as from_table, fc as from_column, tt as to_table, tc as to_column,
-  'inferred' as kind, 'proposed' as status, case when stem = tt then 0.8 else 0.65 end
-  as confidence
+  'inferred' as kind, 'proposed' as status, cast(case when stem = tt then 0.8 else 0.65 end
+  as double) as confidence
 from best where rn = 1
 """)
 def _(spark, sf):

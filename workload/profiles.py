@@ -19,17 +19,17 @@ RATES = ("null_rate", "distinct_ratio", "mean_value", "avg_length")
 def flat(df, columns=None):
     """Profile columns that SQL shows alike, rates rounded."""
     return df.select(*[
-        F.round(c, 4).alias(c) if c in RATES else F.col(c) for c in columns or FLAT
+        F.round(c, 6).alias(c) if c in RATES else F.col(c) for c in columns or FLAT
     ])
 
 
 def flat_sql(*parts, columns=None, where="true") -> str:
     expressions = {
-        "null_rate": "round(1 - non_null_count / cast(sample_size as double), 4) as null_rate",
-        "distinct_ratio": "round(distinct_count / cast(nullif(non_null_count, 0) as double), 4) "
+        "null_rate": "round(1 - non_null_count / cast(sample_size as double), 6) as null_rate",
+        "distinct_ratio": "round(distinct_count / cast(nullif(non_null_count, 0) as double), 6) "
                           "as distinct_ratio",
-        "mean_value": "round(mean_value, 4) as mean_value",
-        "avg_length": "round(avg_length, 4) as avg_length",
+        "mean_value": "round(mean_value, 6) as mean_value",
+        "avg_length": "round(avg_length, 6) as avg_length",
     }
     shown = ", ".join(expressions.get(c, c) for c in columns or FLAT)
     return f"select {shown} from ({profile_sql(*parts)}) where {where}"

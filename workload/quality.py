@@ -135,7 +135,7 @@ def _(spark, sf):
 
 @query("D10_base_score", f"""
 select round(avg(score), 6) as score, count(*) as tables_scored,
-  sum(n_columns) as columns_scored, (select count(*) from {base.EDGES_SQL}) as relations_scored
+  cast(sum(n_columns) as bigint) as columns_scored, (select count(*) from {base.EDGES_SQL}) as relations_scored
 from {TABLE_SCORES_SQL}
 """)
 def _(spark, sf):

@@ -99,7 +99,7 @@ def knowledge(spark, sf, names=("region", "nation", "customer", "orders")):
 
 
 @query("G3_candidate_dimensions", """
-select dimension, kind, count(*) as groups, sum(n) as n from (
+select dimension, kind, count(*) as groups, cast(sum(n) as bigint) as n from (
   select 'o_orderstatus' as dimension, 'categorical' as kind, o_orderstatus as label,
     count(*) as n from orders group by all
   union all select 'o_orderpriority', 'categorical', o_orderpriority, count(*) from orders

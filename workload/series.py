@@ -119,10 +119,10 @@ def _(spark, sf):
 @query("T7_ruptures", f"""
 select day as period, previous, value, round((value - previous) / abs(previous) * 100, 4) as pct
 from (select *, lag(value) over (order by day) as previous from {DAILY_SQL})
-where abs(value - previous) / abs(previous) > 0.3
+where abs(value - previous) / abs(previous) > 0.05
 """)
 def _(spark, sf):
-    return rounded(T.ruptures(daily(spark, sf), "day", "value"), "pct", digits=4)
+    return rounded(T.ruptures(daily(spark, sf), "day", "value", threshold=0.05), "pct", digits=4)
 
 
 @query("T7_ruptures_of_raw_events", """

@@ -181,8 +181,8 @@ def _(spark, sf):
 
 
 @query("A9_audit_log", f"""
-select cast(created_at as date) as day, status, count(*) as n, sum(row_count) as row_total,
-  count(*) filter (truncated) as n_truncated, sum(len(tables_used)) as n_tables
+select cast(created_at as date) as day, status, count(*) as n, cast(sum(row_count) as bigint) as row_total,
+  count(*) filter (truncated) as n_truncated, cast(sum(len(tables_used)) as bigint) as n_tables
 from {base.AUDIT_SQL} group by all
 """)
 def _(spark, sf):

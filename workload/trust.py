@@ -81,7 +81,7 @@ def subs_value(column):
 
 
 @query("X2_relation_subscore", f"""
-select relations_sub, count(*) as n from {SUBS_SQL} group by all
+select cast(relations_sub as double) as relations_sub, count(*) as n from {SUBS_SQL} group by all
 """)
 def _(spark, sf):
     return confidence(spark, sf).groupBy("relations_sub").agg(F.count("*").alias("n"))
@@ -181,8 +181,8 @@ g as (
     (select min(concept) from {KEY_MAPPINGS_SQL}
       where km.table_name = t and km.status in ('validated', 'corrected')) as concept
   from f left join {base.QUALITY_SQL} q on q.table_name = t)
-select analysis_id, t as table_name, coverage_pct, needed as columns_needed,
-  coalesce(present, 0) as columns_present, quality_pct, concept,
+select analysis_id, t as table_name, coverage_pct, cast(needed as int) as columns_needed,
+  cast(present as int) as columns_present, quality_pct, concept,
   case when n_assumptions >= 3 or coalesce(quality_pct < 70, false) then 'weak'
     when (coalesce(quality_pct >= 98, false) or concept is not null) and n_assumptions = 0
       then 'strong'
