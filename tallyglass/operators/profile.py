@@ -101,6 +101,16 @@ class Cells:
         return self.df.where(self.kind_sql(*wanted))
 
 
+def spread(df: DataFrame, few: int = 8) -> DataFrame:
+    """Deal a table out again if it sits in a handful of partitions while cores stand idle.
+
+    Every row is about to become one row per column, and a file with one row group would do all
+    of that in one task. Larger tables have more partitions and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(few, cores) else df
+
+
 def cells(tables: Tables, columns: list[str] | None = None) -> Cells:
     names, parts = [], []
     for name, df in tables.items():
@@ -110,7 +120,7 @@ def cells(tables: Tables, columns: list[str] | None = None) -> Cells:
                 names.append((name, f.name, kinds.kind_of(f.dataType)))
                 structs.append(f"named_struct('c', {len(names)}, 'cell', {_text_sql(f)})")
         if structs:
-            parts.append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
+            parts.append(spread(df).selectExpr(f"inline(array({', '.join(structs)}))"))
     return Cells(names, union_all(parts))
 
 
@@ -121,7 +131,9 @@ def frequencies(source: Cells) -> DataFrame:
     digest, so documents do not travel; their length and shape are read from the whole text
     before that. NULL is a value of its own with `length` NULL.
     """
-    tested = source.kind_sql("text", "integer")
+    # Of a whole number only the length can look personal, and only from ten digits on.
+    tested = (f"({source.kind_sql('text')} or ({source.kind_sql('integer')} "
+              f"and length(cell) >= {fixed.PHONE_DIGITS[0]}))")
     long = f"length(cell) > {LONG_TEXT}"
     whole_shape = _shape_sql(stripped_sql("cell"))
     grouped = source.df.selectExpr(
@@ -131,7 +143,8 @@ def frequencies(source: Cells) -> DataFrame:
     ).groupBy("c", "value", "about").agg(F.count("*").alias("n"))
     return grouped.selectExpr("*", f"{stripped_sql('value')} as text").selectExpr(
         "c", "value", "about.digest", "coalesce(about.length, length(value)) as length",
-        f"coalesce(about.shape, if({tested} and text is not null, {_shape_sql('text')}, 0)) "
+        f"coalesce(about.shape, if({tested.replace('cell', 'value')} and text is not null, "
+        f"{_shape_sql('text')}, 0)) "
         "as shape", "n",
     )
 

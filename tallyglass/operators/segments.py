@@ -160,10 +160,13 @@ def segment_by(
     groups = df.select(value.alias("_v"), F.inline(cells)).where("label is not null").groupBy(
         "dimension", "kind", "label"
     ).agg(F.count("*").alias("n"), F.sum("_v").alias("total"))
-    sizes = groups.groupBy("dimension").agg(F.count("*").alias("_k")).where(
-        F.col("_k").between(fixed.MIN_GROUPS, max_groups)
-    )
-    return groups.join(sizes, "dimension", "left_semi").select(
+    # One group more than allowed is enough to see that a dimension has too many: each task
+    # passes on only so many rows per dimension, and nothing is computed twice to count them.
+    first = Window.partitionBy("dimension").orderBy("label")
+    seen = groups.withColumn("_i", F.row_number().over(first)).where(
+        F.col("_i") <= max_groups + 1
+    ).withColumn("_k", F.count("*").over(Window.partitionBy("dimension")))
+    return seen.where(F.col("_k").between(fixed.MIN_GROUPS, max_groups)).select(
         "dimension", "kind", "label", "n", "total", (F.col("total") / F.col("n")).alias("avg")
     )
 

@@ -21,6 +21,11 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _local(metadata_df: DataFrame) -> DataFrame:
+    """Catalog rows as a local relation: at most one per table or column."""
+    return metadata_df.sparkSession.createDataFrame(metadata_df.collect(), metadata_df.schema)
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per table; parquet answers a bare count from its footers."""
     return union_all([
@@ -67,19 +72,24 @@ def build_catalog(
     tables: dict[str, DataFrame], keys: DataFrame | None = None, schema: str = "main",
     comments: dict[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Return (tables, columns). `keys` holds (table_name, column_name) of the primary keys."""
+    """Return (tables, columns). `keys` holds (table_name, column_name) of the primary keys.
+
+    Both are read off the tables once, here: they are as small as the schema, and everything
+    later joins them many times.
+    """
     spark = next(iter(tables.values())).sparkSession
     comments = comments or {}
     notes = F.lit(None).cast("string")
     for name, comment in comments.items():
         notes = F.when(F.col("table_name") == name, F.lit(comment)).otherwise(notes)
-    tables_df = row_counts(tables).select(
+    tables_df = _local(row_counts(tables)).select(
         F.lit(schema).alias("schema_name"), "table_name", F.lit("table").alias("kind"), "n_rows",
         notes.alias("comment"),
     )
     columns_df = table_columns(spark, tables, schema)
-    keys = unique_keys(tables) if keys is None else keys
-    marked = keys.select("table_name", "column_name", F.lit(True).alias("_key"))
+    keys = _local((unique_keys(tables) if keys is None else keys).select(
+        "table_name", "column_name"))
+    marked = keys.withColumn("_key", F.lit(True))
     columns_df = columns_df.join(marked, ["table_name", "column_name"], "left").select(
         "schema_name", "table_name", "column_name", "ordinal", "data_type", "nullable",
         "default_value", F.coalesce("_key", F.lit(False)).alias("is_pk"),

@@ -47,12 +47,16 @@ def read_delimited(spark: SparkSession, path: str, name: str | None = None) -> D
     quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
     spans_lines = not lines.where(quotes % 2 == 1).isEmpty()
 
-    raw = (
+    reader = (
         spark.read.option("sep", sniff_delimiter("\n".join(head).lstrip(BOM)))
-        .option("header", True).option("inferSchema", False).option("enforceSchema", False)
+        .option("header", True).option("inferSchema", False)
         .option("multiLine", spans_lines).option("quote", '"').option("escape", '"')
-        .option("nullValue", "").option("emptyValue", "").csv(path)
+        .option("nullValue", "").option("emptyValue", "")
     )
+    raw = reader.csv(path)
+    if not any(c.startswith("_c") for c in raw.columns):
+        # Files of a folder must agree on their headers; Spark cannot check blank ones.
+        raw = reader.option("enforceSchema", False).csv(path)
     names = []
     for i, column in enumerate(raw.columns):
         plain = column.lstrip(BOM).strip()
