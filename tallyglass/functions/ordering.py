@@ -3,28 +3,58 @@
 A plain ordered window puts every row of its key into one task. Both helpers here first split
 the key by a bucket that follows the order (a calendar period, or leading digits of a hash),
 work inside the buckets, and stitch the buckets with one small row per bucket. The number of
-buckets has a fixed bound: days or months on a calendar, or 65,536 hash prefixes.
+buckets has a fixed bound: periods of a calendar, or 65,536 hash prefixes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+MOST_ROWS = 1_000_000
+UNITS = ("month", "day", "hour", "minute")
+
+
+def _start(order: str, unit: str) -> Column:
+    return F.date_format(F.date_trunc(unit, F.col(order)), "yyyy-MM-dd HH:mm")
+
+
+def fitting_unit(df: DataFrame, order: str, keys: tuple[str, ...], most: int = MOST_ROWS) -> str:
+    """The coarsest calendar unit in which no key has more than `most` rows.
+
+    One counting pass by minute; the coarser units are summed up from its result. A burst that
+    puts a third of the data into one day is cut by the hour or the minute.
+    """
+    level = df.groupBy(*keys, _start(order, "minute").alias("_at")).agg(F.count("*").alias("n"))
+    widest = []
+    for unit, width in (("hour", 13), ("day", 10), ("month", 7)):
+        level_up = level.groupBy(*keys, F.substring("_at", 1, width).alias("_at")).agg(
+            F.sum("n").alias("n"))
+        widest.append(level_up.agg(F.max("n").alias("n")).select(F.lit(unit).alias("unit"), "n"))
+        level = level_up
+    found = {r.unit: r.n or 0 for r in reduce(DataFrame.unionByName, widest).collect()}
+    return next((u for u in UNITS[:-1] if found[u] <= most), UNITS[-1])
+
+
 def previous_value(
     df: DataFrame, order: str, value: str, out: str, keys: tuple[str, ...] = (),
-    unit: str = "month",
+    unit: str | None = None,
 ) -> DataFrame:
     """Add `out`: the last non-NULL `value` before this row, by `order` within `keys`.
 
-    `order` must be unique within a key. `unit` is the calendar bucket for dates and timestamps;
-    a text period (`yyyy-MM`, `yyyy-MM-dd`) is bucketed by its year.
+    `order` must be unique within a key. Timestamps are bucketed by `unit`, or by the coarsest
+    calendar unit without an overfull bucket; dates and text periods (`yyyy-MM`, `yyyy-MM-dd`)
+    by year, which holds 366 of them at most.
     """
     kind = df.schema[order].dataType.typeName()
-    bucket = (
-        F.substring(order, 1, 4) if kind == "string"
-        else F.date_format(F.date_trunc(unit, F.col(order)), "yyyy-MM-dd")
-    )
+    if kind == "string":
+        bucket = F.substring(order, 1, 4)
+    elif kind == "date":
+        bucket = F.date_format(order, "yyyy")
+    else:
+        bucket = _start(order, unit or fitting_unit(df, order, keys))
     parts = df.withColumn("_bucket", bucket)
     within = (
         Window.partitionBy(*keys, "_bucket").orderBy(order)

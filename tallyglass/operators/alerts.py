@@ -102,7 +102,7 @@ def alert_events(events_df: DataFrame, evaluated_df: DataFrame, at: str | Column
 
 
 def evaluate_history(
-    measurements_df: DataFrame, alerts_df: DataFrame, unit: str = "month"
+    measurements_df: DataFrame, alerts_df: DataFrame, unit: str | None = None
 ) -> DataFrame:
     """Replay a history of (alert_id, at, value): the status every measurement would have had."""
     stepped = previous_value(measurements_df, "at", "value", "previous", ("alert_id",), unit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyglass.functions.text import percent, quoted
+from tallyglass.functions.text import percent
 from tallyglass.sources.catalog import union_all
 
 INTEGER_TYPES = ("tinyint", "smallint", "int", "bigint")
@@ -71,7 +71,7 @@ def infer_relations(
 
 
 def _edge_values(edges: list, tables: dict[str, DataFrame], side: str) -> DataFrame:
-    """How often each value occurs on one side of each edge: one scan per table.
+    """(e, v, n): how often each value occurs on one side of each edge; one scan per table.
 
     Counting before the join means a value that fills a third of a table travels as one row.
     """
@@ -79,14 +79,11 @@ def _edge_values(edges: list, tables: dict[str, DataFrame], side: str) -> DataFr
     parts = []
     for name in sorted({e[table_of] for e in edges}):
         structs = [
-            "named_struct(" + ", ".join(f"'{c}', {quoted(e[c])}" for c in EDGE)
-            + f", 'v', cast(`{e[column_of]}` as string))"
-            for e in edges if e[table_of] == name
+            f"named_struct('e', {i}, 'v', cast(`{e[column_of]}` as string))"
+            for i, e in enumerate(edges) if e[table_of] == name
         ]
         parts.append(tables[name].selectExpr(f"inline(array({', '.join(structs)}))"))
-    return union_all(parts).where("v is not null").groupBy(*EDGE, "v").agg(
-        F.count("*").alias("n")
-    )
+    return union_all(parts).where("v is not null").groupBy("e", "v").agg(F.count("*").alias("n"))
 
 
 def measure_relations(relations_df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -96,33 +93,32 @@ def measure_relations(relations_df: DataFrame, tables: dict[str, DataFrame]) ->
     the target key repeats. The relation list is catalog-sized and read by the driver.
     """
     edges = [
-        r.asDict() for r in relations_df.select(*EDGE).distinct().collect()
+        r.asDict() for r in relations_df.select(*EDGE).distinct().orderBy(*EDGE).collect()
         if r.from_table in tables and r.to_table in tables
     ]
-    left = _edge_values(edges, tables, "from")
-    right = _edge_values(edges, tables, "to").withColumnRenamed("n", "m")
-    joined = left.join(right, [*EDGE, "v"], "left")
-    measured = joined.groupBy(*EDGE).agg(
-        F.sum("n").alias("total"),
-        F.coalesce(F.sum(F.when(F.col("m").isNull(), F.col("n"))), F.lit(0)).alias("orphans"),
-        F.count("*").alias("distinct_from"),
-        F.coalesce(F.max("n"), F.lit(0)).alias("_most_from"),
-        F.coalesce(F.max("m"), F.lit(1)).alias("_most_to"),
-    )
-    sides = F.concat(
-        F.when(F.col("_most_from") > 1, "n").otherwise("1"), F.lit("-"),
-        F.when(F.col("_most_to") > 1, "n").otherwise("1"),
-    )
     known = relations_df.sparkSession.createDataFrame(
-        [tuple(e[c] for c in EDGE) for e in edges], ", ".join(f"{c} string" for c in EDGE)
-    )
-    return known.join(measured, EDGE, "left").select(
-        *EDGE,
-        F.coalesce("total", F.lit(0)).alias("total"),
-        F.coalesce("orphans", F.lit(0)).alias("orphans"),
-        F.coalesce("distinct_from", F.lit(0)).alias("distinct_from"),
-        F.coalesce(1 - F.col("orphans") / F.col("total"), F.lit(1.0)).alias("ratio"),
-        F.coalesce(sides, F.lit("n-1")).alias("cardinality"),
+        [(i, *(e[c] for c in EDGE)) for i, e in enumerate(edges)],
+        "e int, " + ", ".join(f"{c} string" for c in EDGE),
+    )
+    if not edges:
+        counts = relations_df.sparkSession.createDataFrame(
+            [], "e int, total bigint, orphans bigint, distinct_from bigint, n_from bigint, "
+                "n_to bigint")
+    else:
+        left = _edge_values(edges, tables, "from")
+        right = _edge_values(edges, tables, "to").withColumnRenamed("n", "m")
+        counts = left.join(right, ["e", "v"], "left").groupBy("e").agg(
+            F.sum("n").alias("total"),
+            F.sum(F.when(F.col("m").isNull(), F.col("n"))).alias("orphans"),
+            F.count("*").alias("distinct_from"), F.max("n").alias("n_from"),
+            F.max("m").alias("n_to"),
+        )
+    return known.join(counts, "e", "left").selectExpr(
+        *EDGE, "coalesce(total, 0) as total", "coalesce(orphans, 0) as orphans",
+        "coalesce(distinct_from, 0) as distinct_from",
+        "coalesce(1 - coalesce(orphans, 0) / total, 1.0D) as ratio",
+        "concat(if(total is null or n_from > 1, 'n', '1'), '-', if(n_to > 1, 'n', '1')) "
+        "as cardinality",
     )
 
 

@@ -6,8 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyglass.functions import fixed, kinds
-from tallyglass.functions.text import stripped
+from tallyglass.functions import fixed
+from tallyglass.functions.text import rlike_sql, stripped_sql
+from tallyglass.operators.profile import cells
 
 
 def column_roles(df: DataFrame) -> DataFrame:
@@ -15,30 +16,25 @@ def column_roles(df: DataFrame) -> DataFrame:
 
     Distinct values are counted from one grouped pass, not one `Expand` branch per column.
     """
-    cells = F.array(*[
-        F.struct(F.lit(f.name).alias("column_name"), F.lit(i).alias("ordinal"),
-                 F.lit(kinds.kind_of(f.dataType)).alias("kind"),
-                 F.lit(bool(re.search(fixed.ROLE_ID_NAME, f.name))).alias("is_id"),
-                 F.lit(bool(re.search(fixed.ROLE_TIME_NAME, f.name))).alias("is_time"),
-                 F.col(f"`{f.name}`").cast("string").alias("v"))
-        for i, f in enumerate(df.schema.fields)
-    ])
-    text = stripped(F.col("v"))
+    source = cells({"": df})
+    text = stripped_sql("cell")
     # Long texts travel as a digest; their shape is read before that.
-    short = F.when(F.length("v") <= 256, F.col("v")).otherwise(F.sha2("v", 256))
-    grouped = df.select(F.inline(cells)).select(
-        "column_name", "ordinal", "kind", "is_id", "is_time", short.alias("v"),
-        (text.rlike(fixed.ROLE_DATE)).alias("dated"),
-        (text.rlike(fixed.ROLE_NUMBER)).alias("numbered"),
-    ).groupBy("column_name", "ordinal", "kind", "is_id", "is_time", "v", "dated", "numbered").agg(
-        F.count("*").alias("n")
-    )
-    known = F.col("v").isNotNull()
-    facts = grouped.groupBy("column_name", "ordinal", "kind", "is_id", "is_time").agg(
-        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("filled"),
-        F.count("v").alias("distinct"),
+    values = source.df.where("cell is not null").selectExpr(
+        "c", "if(length(cell) <= 256, cell, sha2(cell, 256)) as v",
+        f"{rlike_sql(text, fixed.ROLE_DATE)} as dated",
+        f"{rlike_sql(text, fixed.ROLE_NUMBER)} as numbered",
+    ).groupBy("c", "v", "dated", "numbered").agg(F.count("*").alias("n"))
+    counted = values.groupBy("c").agg(
+        F.sum("n").alias("filled"), F.count("*").alias("distinct"),
         F.bool_and("dated").alias("dated"), F.bool_and("numbered").alias("numbered"),
     )
+    listed = df.sparkSession.createDataFrame(
+        [(i, name, kind, bool(re.search(fixed.ROLE_ID_NAME, name)),
+          bool(re.search(fixed.ROLE_TIME_NAME, name)))
+         for i, (_, name, kind) in enumerate(source.names, 1)],
+        "c int, column_name string, kind string, is_id boolean, is_time boolean",
+    )
+    facts = listed.join(counted, "c", "left").fillna(0, ["filled", "distinct"])
     number = F.col("kind").isin("integer", "number") | ((F.col("kind") == "text")
                                                         & F.col("numbered"))
     few = F.col("distinct") <= F.greatest(F.lit(30), F.floor(F.col("filled") / 2))

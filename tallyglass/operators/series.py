@@ -113,7 +113,7 @@ def read_series(df: DataFrame, time: str, value: str) -> DataFrame:
 
 def ruptures(
     df: DataFrame, time: str, value: str, threshold: float = 0.3,
-    keys: tuple[str, ...] = (), unit: str = "month",
+    keys: tuple[str, ...] = (), unit: str | None = None,
 ) -> DataFrame:
     """Changes of more than 30 % against the value before, up or down."""
     known = df.where(F.col(value).isNotNull()).select(*keys, time, value)

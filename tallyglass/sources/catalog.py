@@ -49,23 +49,25 @@ def unique_keys(tables: dict[str, DataFrame]) -> DataFrame:
     Candidates are judged by name and type first, so only those columns are read. Stands in for
     the primary keys a parquet folder cannot declare.
     """
-    cells = []
+    names, cells = [], []
     for name, df in tables.items():
-        candidates = [
-            F.struct(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
-                     F.col(f.name).cast("bigint").alias("v"))
-            for f in df.schema.fields
-            if kinds.kind_of(f.dataType) == "integer" and kinds.is_key_name(f.name)
-        ]
-        if candidates:
-            cells.append(df.select(F.inline(F.array(*candidates))))
+        structs = []
+        for f in df.schema.fields:
+            if kinds.kind_of(f.dataType) == "integer" and kinds.is_key_name(f.name):
+                structs.append(f"named_struct('c', {len(names)}, 'v', cast(`{f.name}` as bigint))")
+                names.append((len(names), name, f.name))
+        if structs:
+            cells.append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
+    spark = next(iter(tables.values())).sparkSession
+    listed = spark.createDataFrame(names, "c int, table_name string, column_name string")
+    if not cells:
+        return listed.drop("c")
     # Counting per value lets map-side sums absorb a hot value before anything moves.
-    per_value = union_all(cells).groupBy("table_name", "column_name", "v").agg(
-        F.count("*").alias("n")
-    )
-    return per_value.groupBy("table_name", "column_name").agg(
+    per_value = union_all(cells).groupBy("c", "v").agg(F.count("*").alias("n"))
+    full = per_value.groupBy("c").agg(
         F.max("n").alias("most"), F.count_if(F.col("v").isNull()).alias("n_null")
-    ).where("most = 1 and n_null = 0").select("table_name", "column_name")
+    ).where("most = 1 and n_null = 0")
+    return listed.join(full, "c").select("table_name", "column_name")
 
 
 def build_catalog(

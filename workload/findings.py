@@ -10,7 +10,7 @@ from workload import base
 from workload.base import profile_sql, query, tables
 from workload.joins import measured_sql, planted
 from workload.segments import knowledge, rounded
-from workload.series import ENDS, LINE_SQL, OUTLIERS_SQL, line
+from workload.series import AMOUNT, ENDS, LINE_SQL, OUTLIERS_SQL, line
 
 SHOWN = ["category", "severity", "level", "table_name", "column_name", "period", "figure"]
 PARTS = (base.CONTACTS_PART, base.ORDERS_PART)
@@ -87,9 +87,19 @@ def _(spark, sf):
     return rounded(I.rank_findings(every(spark, sf)).select(*SHOWN), "figure", digits=4)
 
 
-@query("I3_discoveries_of_the_catalog")
+PLAIN = ("region", "nation", "customer", "orders")
+PLAIN_COLUMNS_SQL = COLUMNS_SQL.replace(
+    profile_sql(*PARTS), profile_sql(*[base.plain_part(n) for n in PLAIN]))
+PLAIN_SERIES_SQL = SERIES_SQL.replace(AMOUNT, "cast(o_totalprice as decimal(18,2))")
+
+
+@query("I3_discoveries_of_the_catalog", f"""
+select {ROUNDED} from (select * from {PLAIN_COLUMNS_SQL} union all select * from {PLAIN_SERIES_SQL})
+order by {ORDER} limit 12
+""")
 def _(spark, sf):
-    return analysis.discover(knowledge(spark, sf))
+    found = analysis.discover(knowledge(spark, sf, PLAIN))
+    return rounded(found.select(*SHOWN), "figure", digits=4)
 
 
 NAMES_SQL = ", ".join(f"('category', '{c}')" for c in I.CATEGORIES) + ", " + ", ".join(

@@ -132,8 +132,8 @@ from (select *, lag(value) over (partition by event_type order by ts) as previou
 where abs(value - previous) / abs(previous) > 0.3
 """)
 def _(spark, sf):
-    return rounded(T.ruptures(table(spark, sf, "events"), "ts", "value", keys=("event_type",),
-                              unit="day"), "pct", digits=4)
+    return rounded(T.ruptures(table(spark, sf, "events"), "ts", "value", keys=("event_type",)),
+                   "pct", digits=4)
 
 
 @query("T8_concentration", """
