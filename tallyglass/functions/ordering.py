@@ -77,8 +77,9 @@ def previous_value(
 
 
 def hash_bucket(digest: Column) -> Column:
-    """The leading 16 bits of a hexadecimal digest."""
-    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
+    """The leading 16 bits of a hexadecimal digest; never NULL, so that joins on it add no filter
+    and both branches of a numbering can share one shuffle."""
+    return F.coalesce(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"), F.lit(0))
 
 
 def running_number(df: DataFrame, digest: str, group: str, out: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyglass.functions import fixed
 from tallyglass.functions.ordering import running_number
+from tallyglass.session import ensure_checkpoint_dir
 
 
 def _prefix(kind: str) -> str:
@@ -37,15 +40,34 @@ def token_mapping(df: DataFrame, pii: dict[str, str]) -> DataFrame:
     )
 
 
+def store_mapping(mapping_df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write a mapping once, by column, and read it from there on.
+
+    A mapping is used for every protected column and again for the way back; numbering all
+    values each time would read the source over and over. Without a folder it goes to the
+    shared checkpoint folder of the cluster.
+    """
+    spark = mapping_df.sparkSession
+    if folder is None:
+        folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    mapping_df.write.partitionBy("column_name").parquet(folder)
+    return spark.read.schema(mapping_df.schema).parquet(folder)
+
+
 def pseudonymize(
-    df: DataFrame, pii: dict[str, str], mapping_df: DataFrame | None = None
+    df: DataFrame, pii: dict[str, str], mapping_df: DataFrame | None = None,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(safe table, mapping): each personal value replaced by its token, NULL kept.
 
+    The mapping is stored (see `store_mapping`) unless a stored one is given.
+
     A value that fills much of a column makes one join key hot; the mapping holds it once, so
     the adaptive skew join splits the rows and repeats that one partition of the mapping.
     """
-    mapping = token_mapping(df, pii) if mapping_df is None else mapping_df
+    mapping = mapping_df
+    if mapping is None:
+        mapping = store_mapping(token_mapping(df, pii), folder)
     safe = df
     for column in (c for c in df.columns if c in pii):
         tokens = mapping.where(F.col("column_name") == column).select(

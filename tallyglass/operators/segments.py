@@ -26,8 +26,11 @@ class Dimension:
                          linked)
 
     @staticmethod
-    def month(column: str, name: str | None = None, linked: str | None = None) -> "Dimension":
-        return Dimension(name or f"{column} (month)", "temporal", column, month_key(column),
+    def month(column: str, name: str | None = None, linked: str | None = None,
+              in_text: bool = False) -> "Dimension":
+        """Months of a date; of one kept as text, values that are no real date are left out."""
+        moment = F.col(column).try_cast("timestamp") if in_text else F.col(column)
+        return Dimension(name or f"{column} (month)", "temporal", column, month_key(moment),
                          linked)
 
     @staticmethod
@@ -108,7 +111,8 @@ def _dimension_of(row, linked: str | None) -> list[Dimension]:
     suffix = "" if linked is None else f" ({linked})"
     kind = kinds.kind_of_name(row.data_type)
     if kind == "temporal" or (row.detected_type or "").startswith("datetime"):
-        return [Dimension.month(column, f"{row.column_name} by month{suffix}", linked)]
+        return [Dimension.month(column, f"{row.column_name} by month{suffix}", linked,
+                                kind == "text")]
     if row.is_pk or kinds.is_key_name(row.column_name):
         return []
     if kind in ("integer", "number"):

@@ -20,8 +20,11 @@ def monthly_series(
 ) -> DataFrame:
     """(period `yyyy-MM`, value): the sum of a measure, or the rows, per month."""
     value = F.count("*") if measure is None else F.sum(measure)
-    return df.where(F.col(date_col).isNotNull()).groupBy(
-        month_key(date_col).alias("period")
+    moment = F.col(date_col)
+    if df.schema[date_col].dataType.typeName() == "string":
+        moment = moment.try_cast("timestamp")
+    return df.where(moment.isNotNull()).groupBy(
+        month_key(moment).alias("period")
     ).agg(value.cast("double").alias("value"))
 
 

@@ -73,7 +73,9 @@ def _typed(raw: DataFrame) -> DataFrame:
     for i, name in enumerate(raw.columns):
         value = F.col(f"`{name}`")
         tests += [
-            F.bool_and(value.rlike(fixed.FILE_INTEGER)).alias(f"int_{i}"),
+            # Longer whole numbers do not fit a BIGINT and are read as DOUBLE.
+            F.bool_and(value.rlike(fixed.FILE_INTEGER) & (F.length(value) <= 18))
+            .alias(f"int_{i}"),
             F.bool_and(F.regexp_replace(value, ",", ".").rlike(fixed.FILE_REAL)).alias(f"num_{i}"),
         ]
     seen = raw.agg(*tests).first()

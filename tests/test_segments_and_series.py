@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.functions.buckets import Bands, time_bucket
-from tallyglass.functions.ordering import previous_value, running_number
+from tallyglass.functions.ordering import fitting_unit, previous_value, running_number
 from tallyglass.operators import segments as G, series as T
 from tallyglass.operators.segments import Dimension
 
@@ -89,6 +89,13 @@ def line(spark, *values):
         "period string, value double")
 
 
+def test_dates_kept_as_text_are_read_and_impossible_ones_left_out(spark):
+    df = spark.createDataFrame(
+        [("2024-01-05", 1.0), ("2024-01-09 10:00", 2.0), ("2024-13-45", 4.0), (None, 8.0)],
+        "d string, v double")
+    assert [tuple(r) for r in T.monthly_series(df, "d", "v").collect()] == [("2024-01", 3.0)]
+
+
 def test_a_series_that_collapses(spark):
     fallen = line(spark, 100, 110, 105, 30)
     trend = T.trend(fallen).first()
@@ -129,6 +136,17 @@ def test_previous_value_equals_a_plain_scan_when_one_key_holds_most_rows(spark):
     assert got == want
 
 
+def test_crowded_periods_are_cut_finer(spark):
+    df = spark.range(4000).selectExpr(
+        "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) as t",
+        "cast(id as double) as v")
+    assert fitting_unit(df, "t", (), most=10_000) == "month"
+    assert fitting_unit(df, "t", (), most=3_700) == "hour"
+    assert fitting_unit(df, "t", (), most=100) == "minute"
+    assert previous_value(df, "t", "v", "p", unit="minute").where(
+        "v > 0 and p <> v - 1 or v > 0 and p is null").isEmpty()
+
+
 def test_running_number_counts_every_group_from_one(spark):
     df = spark.range(500).selectExpr("id % 3 as g", "md5(cast(id as string)) as d")
     rows = running_number(df, "d", "g", "n").collect()
