@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tallyglass.functions import fixed, kinds
 from tallyglass.functions.text import quoted, rlike_sql, stripped, stripped_sql

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyglass.functions import fixed
 from tallyglass.operators import (
     findings, profile as profiling, quality, relations, segments, series,
 )
@@ -64,7 +65,7 @@ def choose_subject(
     dims = segments.candidate_dimensions(
         fact, known.columns_df, known.profile_df, known.relations_df, measure
     )
-    dims = dims[:8]
+    dims = dims[:fixed.MAX_DIMENSIONS]
     joined = relations.star(
         fact, known.relations_df, known.tables
     ) if any(d.linked for d in dims) else known.tables[fact]
@@ -75,9 +76,6 @@ def _money(measure: str | None) -> Column | None:
     return None if measure is None else F.col(measure).cast("decimal(18,2)")
 
 
-REPORT = ["section", "place", "dimension", "label", "other", "value", "share", "n"]
-
-
 def _section(df, section, place, dimension, label, other, value, share, n) -> DataFrame:
     none = F.lit(None)
     return df.select(
@@ -117,7 +115,8 @@ def deep_analysis(subject: Subject, measure: Column | None = None) -> DataFrame:
         shown = cells.withColumn("value", F.coalesce(col("total").cast("double"),
                                                      col("n").cast("double")))
         parts += [
-            _section(shown.orderBy(F.desc("value"), "a", "b").limit(6), "crosstab", F.lit(1),
+            _section(shown.orderBy(F.desc("value"), "a", "b").limit(fixed.CROSSTAB_REPORTED),
+                     "crosstab", F.lit(1),
                      F.lit(" x ".join(pair)), col("a"), col("b"), col("value"), None, col("n")),
             _section(segments.segment_flags(stats, cells), "flag", F.lit(1), col("dimension"),
                      col("label"), col("flag"), col("strength"), None, None),

@@ -39,6 +39,22 @@ def test_bounded_flags_only_what_was_really_cut(spark):
     assert access.bounded(df, 9).count() == 9
 
 
+def test_hidden_tables_and_columns_reach_nobody_in_the_team(spark):
+    columns = spark.createDataFrame(
+        [("Orders", "Amount", "int"), ("Orders", "id", "int"), ("staff", "id", "int")],
+        "table_name string, column_name string, data_type string")
+    off = spark.createDataFrame(
+        [("a", "orders", "amount"), ("a", "STAFF", None), ("b", "orders", None)],
+        "space string, table_name string, column_name string")
+    seen = access.visible_columns(columns, off, "a").collect()
+    assert [(r.table_name, r.column_name) for r in seen] == [("Orders", "id")]
+    tables = {"Orders": spark.createDataFrame([(1, 2)], "Amount int, id int"),
+              "staff": spark.createDataFrame([(1,)], "id int")}
+    left = access.govern(tables, off, "a")
+    assert list(left) == ["Orders"] and left["Orders"].columns == ["id"]
+    assert set(access.govern(tables, off, "c")) == {"Orders", "staff"}
+
+
 def test_sample_is_repeatable_and_about_the_size(spark):
     df = spark.range(50_000)
     part, sampled = access.sampled(df, threshold=10_000, size=5_000)

@@ -4,9 +4,8 @@ from importlib import import_module
 
 from workload.base import ORACLES, QUERIES
 
-for _part in ("sources", "shapes", "joins", "profiles", "quality", "concepts",
-              "segments", "series", "findings", "trust", "alerts", "privacy", "results",
-              ):
+for _part in ("sources", "shapes", "joins", "profiles", "quality", "concepts", "segments",
+              "series", "findings", "trust", "alerts", "privacy", "results"):
     import_module(f"workload.{_part}")
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyglass.operators import findings as I, profile as P, relations as R
 from tallyglass.plans import analysis
 from workload import base
-from workload.base import profile_sql, query, tables
+from workload.base import profile_sql, query
 from workload.joins import measured_sql, planted
 from workload.segments import knowledge, rounded
 from workload.series import AMOUNT, ENDS, LINE_SQL, OUTLIERS_SQL, line

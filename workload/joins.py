@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyglass.operators import relations as R
 from tallyglass.sources import catalog
 from workload import base
-from workload.base import EDGES, STAR, query, table, tables
+from workload.base import EDGES, STAR, query, tables
 
 STEM = "regexp_replace(bare, '(_id|id|_key|key)$', '')"
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tallyglass.operators import result
 from workload import base
 from workload.base import query, table

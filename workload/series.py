@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions.buckets import time_bucket
 from tallyglass.operators import series as T
-from workload import base
 from workload.base import query, table
 from workload.segments import rounded
 

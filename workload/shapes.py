@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions.buckets import UNITS, time_bucket
 from tallyglass.operators import query as Q
-from tallyglass.sources.catalog import union_all
-from workload import base
 from workload.base import query, table, tables
 
 MONEY = "cast(o_totalprice as decimal(18,2))"

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyglass.operators import profile as profiling, relations, semantics
+from tallyglass.operators import profile as profiling, semantics
 from tallyglass.session import ensure_checkpoint_dir
 from tallyglass.sources import access, catalog, delimited, sinks
 from workload import base
