@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyglass.llm import bpe, simhash
+from tallyglass.llm import bpe, secrets, simhash, urls
 from tallyglass.llm.common import table
 
 QUERIES = {}
@@ -44,3 +44,58 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, ranks, keep=("doc_id", "token_ids")).select(
         "doc_id", F.expr("length(token_ids) div 4").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op2_secrets_ownership")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws(
+        "/", "source", "lang"))
+    found = secrets.scan(docs, repository="repository")
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    live = F.size(F.filter("spans", lambda s: F.element_at(
+        "owners", F.sha2(s["value"], 256)) < secrets.COPIED_OWNERS)).cast("long")
+    return found.select(
+        "doc_id", *[number(k).alias(f"n_{k}") for k, *_ in secrets.BASE],
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"), live.alias("n_live"))
+
+
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+         ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+LISTED_HOSTS = r"(^|[.-])(casino|bets|pills)([.-]|$)"
+
+
+@query("op8_urls_blocked_bloom", """
+with h as (
+  select page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
+  from pages),
+c as (
+  select *, regexp_replace(regexp_replace(host, '^(?:www|m)\\.', ''), ':(?:80|443)?$', '')
+    || regexp_replace(regexp_replace(path, '/index\\.html?$|\\.html?$', ''), '/+$', '') as canonical
+  from h),
+l as (
+  select distinct canonical from c
+  where canonical <> '' and regexp_matches(host, '(^|[.-])(casino|bets|pills)([.-]|$)')),
+r(verdict, name, start) as (
+  values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+j as (
+  select c.*, l.canonical is not null as listed,
+    (select max_by({'rule': name || start, 'verdict': verdict}, length(name || start)) from r
+     where (host = name or ends_with(host, '.' || name)) and starts_with(path, start)) as fit
+  from c left join l using (canonical))
+select page_id, host, path, fit.rule as rule,
+  coalesce(fit.verdict, case when listed then 'block' else 'allow' end) as verdict, listed
+from j""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    name, page = urls.host(F.col("url")), urls.path(F.col("url"))
+    listed = pages.where(F.regexp_like(name, F.lit(LISTED_HOSTS))).select(
+        urls.canonical(name, page).alias("canonical"))
+    return urls.judge(pages, listed, RULES)
