@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyglass.llm import bpe, secrets, simhash, urls
+from tallyglass.llm import bpe, secrets, simhash, urls, vptree
 from tallyglass.llm.common import table
 
 QUERIES = {}
@@ -99,3 +99,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = pages.where(F.regexp_like(name, F.lit(LISTED_HOSTS))).select(
         urls.canonical(name, page).alias("canonical"))
     return urls.judge(pages, listed, RULES)
+
+
+@query("op6_nearest_vptree")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
