@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyglass.llm import bpe, secrets, simhash, urls, vptree
-from tallyglass.llm.common import table
+from tallyglass.llm import bpe, secrets, simhash, toxicity, urls, vptree
+from tallyglass.llm.common import held_out, table
 
 QUERIES = {}
 ORACLES = {}
@@ -105,3 +105,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict:
+    """Learned only from documents whose crc32 of the id leaves a remainder by 5."""
+    return toxicity.fit(docs, labels.where(~held_out("doc_id", 5)))
+
+
+@query("op10_toxicity_gru")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out("doc_id", 5).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
