@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyglass.llm import bpe, secrets, simhash, toxicity, urls, vptree
+from tallyglass.llm import bpe, contamination, secrets, simhash, toxicity, urls, vptree
 from tallyglass.llm.common import held_out, table
 
 QUERIES = {}
@@ -119,3 +119,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", held_out("doc_id", 5).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_contamination_cgk")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", (F.size("found") > 0).alias("contaminated"),
+        F.transform("found", lambda x: x["item"]).alias("item_ids"),
+        F.array_min(F.transform("found", lambda x: x["distance"])).alias("least_distance"))
