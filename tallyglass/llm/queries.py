@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyglass.llm import bpe, contamination, secrets, simhash, toxicity, urls, vptree
+from tallyglass.llm import (
+    bpe, contamination, repeats, secrets, simhash, toxicity, urls, vptree,
+)
 from tallyglass.llm.common import held_out, table
 
 QUERIES = {}
@@ -128,3 +130,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.size("found") > 0).alias("contaminated"),
         F.transform("found", lambda x: x["item"]).alias("item_ids"),
         F.array_min(F.transform("found", lambda x: x["distance"])).alias("least_distance"))
+
+
+@query("op3_repeats_difference_cover")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
