@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyglass.llm import (
-    bpe, contamination, repeats, secrets, simhash, toxicity, urls, vptree,
+    bpe, contamination, ppm, repeats, secrets, simhash, toxicity, urls, vptree,
 )
 from tallyglass.llm.common import held_out, table
 
@@ -138,3 +138,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_scores_ppm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
