@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from tallyglass.llm.common import held_out, prepare, whole_text
 from tallyglass.llm.repeats import pack, parts_of, unpack
 
-ORDER = 4
+ORDER = 5
 SYMBOLS, END = 257, 256
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 6 << 20
 PART_BYTES = 12 << 20
 BLOCK = 1 << 20
 ANSWER = "chunk int, part int, payload binary, seen long, total long"
