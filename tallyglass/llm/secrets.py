@@ -36,6 +36,10 @@ def _text() -> Column:
     return F.coalesce(F.col("__text"), F.lit(""))
 
 
+def _long_enough(spans: Column, least: int) -> Column:
+    return F.filter(spans, lambda s: F.char_length(s["value"]) >= least)
+
+
 def candidates(docs: DataFrame, keep: tuple, owner: str, repository: str, text: str) -> DataFrame:
     """The kept columns, owner, repository, the text where there are candidates, and their spans."""
     out = docs.select(*keep, F.col(owner).cast("string").alias("__owner"),
@@ -47,8 +51,7 @@ def candidates(docs: DataFrame, keep: tuple, owner: str, repository: str, text:
     for rank, (kind, pattern, group, least) in enumerate(kinds):
         found = F.col(f"__m_{kind}")
         values = F.when(F.size(found) > 0, matches(_text(), pattern, group)) if group else found
-        spans[kind] = F.filter(placed(_text(), pattern, found, values, kind, rank),
-                               lambda x, n=least: F.char_length(x["value"]) >= n)
+        spans[kind] = _long_enough(placed(_text(), pattern, found, values, kind, rank), least)
     return out.select(
         *keep, "__owner", "__repo", "__text",
         F.array_sort(F.concat(*[spans[k] for k, *_ in BASE])).alias("__base"),
@@ -105,15 +108,19 @@ def listed(spans: Column) -> Column:
 def redacted(scanned: DataFrame, copied: int = COPIED_OWNERS) -> Column:
     """The text of a scanned row with every live-looking secret replaced; copied examples stay."""
     text = F.coalesce(F.col("__text"), F.lit(""))
-    for kind, pattern, group, least in (*BASE, *ADDED):
-        values = F.array_distinct(F.transform(F.filter(
-            F.col("spans"), lambda s, k=kind: s["kind"] == k), lambda s: s["value"]))
-        secret = F.filter(values, lambda v: F.element_at("owners", F.sha2(v, 256)) < copied)
+    for kind, pattern, group, _ in (*BASE, *ADDED):
+        text = _without(text, kind, pattern, group, copied)
+    return text
 
-        def change(m, secret=secret, pattern=pattern, group=group):
-            value = F.regexp_extract(m, pattern, group) if group else m
-            return F.when(F.array_contains(secret, value), F.lit(MARK)).otherwise(m)
 
-        text = F.when(F.size(secret) > 0,
-                      replaced(text, pattern, matches(text, pattern), change)).otherwise(text)
-    return text
+def _without(text: Column, kind: str, pattern: str, group: int, copied: int) -> Column:
+    """The text without the live-looking secrets of one kind."""
+    secrets = F.transform(F.filter("spans", lambda s: (s["kind"] == kind) & (F.element_at(
+        "owners", F.sha2(s["value"], 256)) < copied)), lambda s: s["value"])
+
+    def change(m):
+        value = F.regexp_extract(m, pattern, group) if group else m
+        return F.when(F.array_contains(secrets, value), F.lit(MARK)).otherwise(m)
+
+    return F.when(F.size(secrets) > 0, replaced(text, pattern, matches(text, pattern), change)
+                  ).otherwise(text)
