@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyglass.llm import (
-    bpe, contamination, ppm, repeats, secrets, simhash, toxicity, urls, vptree,
+    bpe, contamination, pii, ppm, repeats, secrets, simhash, toxicity, urls, vptree,
 )
 from tallyglass.llm.common import held_out, table
 
@@ -143,3 +143,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_scores_ppm")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op1_pii_feistel")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), "a key for the test tables")
