@@ -18,6 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tallyglass.llm.common import prepare, whole_text
@@ -205,15 +206,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple = ("doc_id",
                              ).alias("found"))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(
-            Items(sorted((r["item"], r["text"]) for r in part), similarity))
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(
+            Items(sorted((r["item"], r["text"]) for r in part), similarity)))
 
         def rows(batches, shared=shared, names=(*keep, "__bytes", "found")):
             kind = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int64())]))
+            block = cloudpickle.loads(shared.value)
             for batch in batches:
                 texts = [t.decode("utf-8", "replace") for t in batch.column("__bytes").to_pylist()]
                 found = []
-                for old, new in zip(batch.column("found").to_pylist(), shared.value.find(texts),
+                for old, new in zip(batch.column("found").to_pylist(), block.find(texts),
                                     strict=True):
                     least = {x["item"]: x["distance"] for x in old}
                     for item, d in new:
