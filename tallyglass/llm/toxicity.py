@@ -8,10 +8,9 @@ toxic window, as one passage is enough.
 
 Training runs on the driver, over a sample with a stated bound: SAMPLE_DOCS labelled documents,
 chosen by a hash of their id, and WINDOWS_OF_DOC windows spread over each. A label belongs to a
-document, so after some rounds over random windows, every document is represented by the window that
-scores highest. From then on a positive label counts by the square of that score: labels that
-nothing in the text bears out are noise, and are not learned by heart.
-Scoring runs over all windows of all documents, in blocks of words of bounded size.
+document, so after two thirds of the rounds, over random windows, every document is represented by
+the window that scores highest. From then on a positive label counts by the square of that score:
+labels that nothing in the text bears out are noise, and are not learned by heart. Scoring runs over all windows of all documents, in blocks of words of bounded size.
 """
 
 from __future__ import annotations
@@ -26,8 +25,8 @@ SAMPLE_DOCS = 4000
 WINDOWS_OF_DOC = 24
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 8, 8, 256
-MIN_DOCS = 40
-ROUNDS, WARM, BATCH, RATE, DECAY = 12, 8, 64, 0.003, 0.01
+SHARE_OF_DOCS = 80  # a word is frequent if at least one document in so many has it
+STEPS, BATCH, RATE, DECAY = 600, 64, 0.003, 0.01
 MARKS = b".,;:!?\"'()[]{}*#&$%-_|<>~+=/\\"
 BLOCK_WORDS = 200_000
 
@@ -185,7 +184,8 @@ def train(sample: list[tuple[int, list[list[bytes]]]], seed: int = 11) -> dict:
     for _, windows in sample:
         for w in {w for window in windows for w in window}:
             seen[w] = seen.get(w, 0) + 1
-    frequent = sorted(w for w, n in seen.items() if n >= MIN_DOCS)
+    least = max(2, len(sample) // SHARE_OF_DOCS)
+    frequent = sorted(w for w, n in seen.items() if n >= least)
     vocabulary = {w: i + 1 for i, w in enumerate(frequent)}
     p = parameters(len(vocabulary) + 1)
     if not sample:
@@ -198,8 +198,9 @@ def train(sample: list[tuple[int, list[list[bytes]]]], seed: int = 11) -> dict:
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     trust = np.ones(len(label))
-    for turn in range(ROUNDS):
-        if turn < WARM:
+    rounds = -(-STEPS * BATCH // len(sample))
+    for turn in range(rounds):
+        if turn < rounds * 2 // 3:
             chosen = first[:-1] + (rng.random(len(label)) * np.diff(first)).astype(int)
         else:
             table = gates(p, book.inputs(p))
