@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tallyglass.functions.text import percent
 from tallyglass.sources.catalog import union_all
@@ -23,13 +23,16 @@ def infer_relations(
 
     An integer column `<stem>_id`, `<stem>id` or `<stem>key` points to the table called like the
     stem (0.8) or its plural (0.65), or, failing that, to the one table whose primary key has the
-    same name (0.65). Two primary keys of one name point from the smaller table to the larger.
+    same name (0.65). Only a table with exactly one key column can be pointed to: with two, nothing
+    tells which is meant. Two primary keys of one name point from the smaller table to the larger.
     """
     sizes = tables_df.select(F.col("table_name").alias("_sized"), "n_rows")
     whole = columns_df.where(F.col("data_type").isin(*INTEGER_TYPES)).withColumn(
         "bare", _bare(F.col("column_name"))
     )
-    keys = whole.where("is_pk").join(
+    single = columns_df.where("is_pk").groupBy(F.col("table_name").alias("_single")).agg(
+        F.count("*").alias("_keys")).where("_keys = 1")
+    keys = whole.where("is_pk").join(single, F.col("table_name") == F.col("_single")).join(
         sizes, F.col("table_name") == F.col("_sized")
     ).select(
         F.col("table_name").alias("to_table"), F.col("column_name").alias("to_column"),
@@ -70,20 +73,46 @@ def infer_relations(
     )
 
 
+def common_type(left: T.DataType, right: T.DataType) -> str:
+    """The type in which two keys are compared, so that equal values have equal text."""
+    types = (left, right)
+    if all(isinstance(t, (T.IntegralType)) for t in types):
+        return "bigint"
+    if all(isinstance(t, (T.IntegralType, T.DecimalType)) for t in types):
+        scale = max(t.scale if isinstance(t, T.DecimalType) else 0 for t in types)
+        return f"decimal(38,{min(scale, 18)})"
+    if all(isinstance(t, T.NumericType) for t in types):
+        return "double"
+    if all(isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) for t in types):
+        return "timestamp"
+    return "string"
+
+
 def _edge_values(edges: list, tables: dict[str, DataFrame], side: str) -> DataFrame:
-    """(e, v, n): how often each value occurs on one side of each edge; one scan per table.
+    """(e, v, t, n): how often each value occurs on one side of each edge; one scan per table.
 
-    Counting before the join means a value that fills a third of a table travels as one row.
+    Whole numbers travel as such (v), all else as text of the edge's common type (t). Counting
+    before the join means a value that fills a third of a table travels as one row.
     """
     table_of, column_of = f"{side}_table", f"{side}_column"
     parts = []
     for name in sorted({e[table_of] for e in edges}):
-        structs = [
-            f"named_struct('e', {i}, 'v', cast(`{e[column_of]}` as string))"
-            for i, e in enumerate(edges) if e[table_of] == name
-        ]
+        structs = []
+        for i, e in enumerate(edges):
+            if e[table_of] != name:
+                continue
+            kind = common_type(*(tables[e[f"{s}_table"]].schema[e[f"{s}_column"]].dataType
+                                 for s in ("from", "to")))
+            value = f"try_cast(`{e[column_of]}` as {kind})"
+            if kind == "bigint":
+                number, text = value, "cast(null as string)"
+            else:
+                value = f"{value} + 0.0D" if kind == "double" else value
+                number, text = "cast(null as bigint)", f"cast({value} as string)"
+            structs.append(f"named_struct('e', {i}, 'v', {number}, 't', {text})")
         parts.append(tables[name].selectExpr(f"inline(array({', '.join(structs)}))"))
-    return union_all(parts).where("v is not null").groupBy("e", "v").agg(F.count("*").alias("n"))
+    return union_all(parts).where("v is not null or t is not null").groupBy("e", "v", "t").agg(
+        F.count("*").alias("n"))
 
 
 def measure_relations(relations_df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -107,7 +136,8 @@ def measure_relations(relations_df: DataFrame, tables: dict[str, DataFrame]) ->
     else:
         left = _edge_values(edges, tables, "from")
         right = _edge_values(edges, tables, "to").withColumnRenamed("n", "m")
-        counts = left.join(right, ["e", "v"], "left").groupBy("e").agg(
+        same = [left[c].eqNullSafe(right[c]) for c in ("v", "t")]
+        counts = left.join(right, [left.e == right.e, *same], "left").groupBy(left.e).agg(
             F.sum("n").alias("total"),
             F.sum(F.when(F.col("m").isNull(), F.col("n"))).alias("orphans"),
             F.count("*").alias("distinct_from"), F.max("n").alias("n_from"),
@@ -131,22 +161,32 @@ def cardinality(relations_df: DataFrame, tables: dict[str, DataFrame]) -> DataFr
     return measure_relations(relations_df, tables).select(*EDGE, "cardinality")
 
 
+def edges_of(fact: str, relations_df: DataFrame) -> dict[str, Row]:
+    """The edges that leave a table, by name: the table pointed to, and where two edges point to the
+    same one, also the column (`address_by_billing_id`)."""
+    edges = relations_df.where(
+        (F.col("from_table") == fact) & (F.col("status") != "rejected")
+    ).orderBy("from_column", "to_table", "to_column").collect()
+    targets = [e.to_table for e in edges]
+    return {e.to_table if targets.count(e.to_table) == 1 else f"{e.to_table}_by_{e.from_column}": e
+            for e in edges}
+
+
 def star(
-    fact: str, relations_df: DataFrame, tables: dict[str, DataFrame], max_dims: int = 3
+    fact: str, relations_df: DataFrame, tables: dict[str, DataFrame],
+    only: set[str] | None = None,
 ) -> DataFrame:
-    """The fact table joined to the tables it points to, one hop, at most `max_dims` of them.
+    """The fact table joined to the tables it points to, one hop; `only` names the edges wanted.
 
-    Linked columns are named `<table>__<column>`; unused ones are pruned by the optimizer, and
-    a linked table is broadcast by size, not by wish.
+    Linked columns are named `<edge>__<column>` (see `edges_of`); unused ones are pruned by the
+    optimizer, and a linked table is broadcast by size, not by wish.
     """
-    edges = relations_df.where(
-        (F.col("from_table") == fact) & (F.col("status") != "rejected")
-    ).orderBy("from_column", "to_table").limit(max_dims).collect()
     joined = tables[fact]
-    for e in edges:
-        linked = tables[e.to_table]
-        linked = linked.select(*[F.col(c).alias(f"{e.to_table}__{c}") for c in linked.columns])
-        joined = joined.join(linked, F.col(e.from_column) == F.col(f"{e.to_table}__{e.to_column}"))
+    for name, e in edges_of(fact, relations_df).items():
+        if only is None or name in only:
+            linked = tables[e.to_table]
+            linked = linked.select(*[F.col(c).alias(f"{name}__{c}") for c in linked.columns])
+            joined = joined.join(linked, F.col(e.from_column) == F.col(f"{name}__{e.to_column}"))
     return joined
 
 

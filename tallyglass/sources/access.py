@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
-def sampled(
-    df: DataFrame, n_rows: int | None = None, threshold: int = 1_000_000, size: int = 100_000,
-    seed: int = 7,
-) -> tuple[DataFrame, bool]:
-    """The whole table below `threshold` rows, else about `size` rows; with a flag for which.
+def sampled(df: DataFrame, fraction: float, *key: str) -> DataFrame:
+    """The rows whose key's hash lies under `fraction`; everything from one on.
 
-    The seed is fixed, so every later pass over the sample sees the same rows.
+    A sample is asked for, never a matter of size. The same key is in or out in every table, at
+    every scale and on every pass.
     """
-    n_rows = df.count() if n_rows is None else n_rows
-    if n_rows < threshold:
-        return df, False
-    return df.sample(withReplacement=False, fraction=min(1.0, size / n_rows), seed=seed), True
+    if fraction >= 1:
+        return df
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
+    return df.where(F.substring(F.md5(text), 1, 8) < f"{max(0, round(fraction * 2 ** 32)):08x}")
 
 
-def bounded(df: DataFrame, row_limit: int = 10_000) -> DataFrame:
-    """At most `row_limit` rows, with `truncated` true only if there were more."""
-    more = df.limit(row_limit + 1).agg(F.count("*") > row_limit).scalar()
-    return df.limit(row_limit).withColumn("truncated", more)
+def bounded(df: DataFrame, row_limit: int) -> DataFrame:
+    """At most `row_limit` rows, with `truncated` true only if there were more.
+
+    One row more than asked for is taken, once; both answers come from those rows.
+    """
+    everything = Window.partitionBy()
+    return df.limit(row_limit + 1).withColumn(
+        "truncated", F.count("*").over(everything) > row_limit
+    ).withColumn("_i", F.row_number().over(everything.orderBy(F.lit(1)))).where(
+        F.col("_i") <= row_limit).drop("_i")
 
 
 def hidden(exceptions_df: DataFrame, space: str) -> DataFrame:

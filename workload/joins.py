@@ -15,13 +15,14 @@ STEM = "regexp_replace(bare, '(_id|id|_key|key)$', '')"
 @query("J1_inferred_relations", f"""
 with cols as (
   select c.*, regexp_replace(lower(c.column_name), '^[a-z]_', '') as bare, s.n_rows,
-    k.column_name is not null as is_pk
+    k.column_name is not null as is_pk,
+    count(k.column_name) over (partition by c.table_name) as n_keys
   from {base.columns_sql(STAR)} c join {base.sizes_sql(STAR)} s on s.table_name = c.table_name
   left join {base.unique_keys_sql(STAR)} k
     on k.table_name = c.table_name and k.column_name = c.column_name
-  where data_type in ('int', 'bigint')),
+  where true),
 stems as (select *, {STEM} as stem from cols
-  where regexp_matches(bare, '.(_id|id|_key|key)$')),
+  where regexp_matches(bare, '.(_id|id|_key|key)$') and data_type in ('int', 'bigint')),
 spelled as (
   select *, 1 as rank, stem as spelling from stems
   union all select *, 2, stem || 's' from stems
@@ -31,11 +32,11 @@ spelled as (
 hits as (
   select f.table_name as ft, f.column_name as fc, t.table_name as tt, t.column_name as tc,
     rank, stem
-  from spelled f join cols t on t.is_pk and lower(t.table_name) = spelling
+  from spelled f join cols t on t.is_pk and t.n_keys = 1 and lower(t.table_name) = spelling
   where f.table_name <> t.table_name
   union all
   select f.table_name, f.column_name, t.table_name, t.column_name, 9, stem
-  from stems f join cols t on t.is_pk and t.bare = f.bare
+  from stems f join cols t on t.is_pk and t.n_keys = 1 and t.bare = f.bare
   where f.table_name <> t.table_name and (not f.is_pk or f.n_rows < t.n_rows
     or (f.n_rows = t.n_rows and f.table_name < t.table_name))),
 best as (select *, row_number() over (partition by ft, fc order by rank, tt) as rn from hits)
