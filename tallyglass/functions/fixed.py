@@ -158,14 +158,11 @@ MEASURE_HINTS = (
 # --- fixed values: segmentation --------------------------------------------------------------
 MIN_GROUPS = 2
 MAX_GROUPS = 25
-MAX_DIMENSIONS = 8
-MAX_LINKED_TABLES = 3
 MAX_CATEGORY_RATIO = 0.9
 BANDS = 5
 READABLE_GROUPS = 8
 READABLE_BONUS = 0.03
 GRADIENT = 1.2
-CROSSTAB_CELLS = 12
 CROSSTAB_REPORTED = 6
 
 # --- fixed values: confidence ----------------------------------------------------------------

@@ -75,15 +75,16 @@ def series_findings(series_df: DataFrame, table: str) -> DataFrame:
     ))
 
 
-def rank_findings(findings_df: DataFrame, max_items: int = 12) -> DataFrame:
-    """The most pressing findings: critical first, then by severity."""
+def rank_findings(findings_df: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Findings, critical first, then by severity; the first `max_items` where asked for."""
     def place(column, values):
         return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))
 
-    return findings_df.select(*FINDING).orderBy(
+    ordered = findings_df.select(*FINDING).orderBy(
         place("level", LEVELS), place("severity", SEVERITIES), F.desc("category"), "table_name",
         F.asc_nulls_last("column_name"), F.asc_nulls_last("period"),
-    ).limit(max_items)
+    )
+    return ordered if max_items is None else ordered.limit(max_items)
 
 
 def finding_counts(findings_df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyglass.functions import fixed, kinds
 from tallyglass.functions.buckets import Bands, month_key
+from tallyglass.operators import relations
 
 
 @dataclass(frozen=True)
@@ -78,31 +79,22 @@ def candidate_dimensions(
     fact: str, columns_df: DataFrame, profile_df: DataFrame, relations_df: DataFrame,
     measure: str | None = None,
 ) -> list[Dimension]:
-    """Dimensions of the fact table and of up to three linked ones, read from the catalog.
+    """Dimensions of the fact table and of all that it points to, read from the catalog.
 
     Dates become months, numbers become bands, text is used with 2 to 25 values; keys, personal
-    data and the measure are left out. Columns of a linked table are `<table>__<column>`, as the
+    data and the measure are left out. Columns of a linked table are `<edge>__<column>`, as the
     star join names them.
     """
-    edges = relations_df.where(
-        (F.col("from_table") == fact) & (F.col("status") != "rejected")
-    ).orderBy("from_column", "to_table").select("to_table").collect()
-    names = [fact, *dict.fromkeys(e.to_table for e in edges)]
-    rows = columns_df.where(F.col("table_name").isin(*names)).join(
-        profile_df.drop("ordinal"), ["table_name", "column_name"], "left"
-    ).orderBy("table_name", "ordinal").collect()
+    edges = relations.edges_of(fact, relations_df)
+    rows = columns_df.where(
+        F.col("table_name").isin(fact, *{e.to_table for e in edges.values()})
+    ).join(profile_df.drop("ordinal"), ["table_name", "column_name"], "left").orderBy(
+        "table_name", "ordinal").collect()
     found: list[Dimension] = []
-    linked_used = 0
-    for table in names:
-        own = table == fact
-        if not own and linked_used == fixed.MAX_LINKED_TABLES:
-            break
-        before = len(found)
+    for edge, table in [(None, fact), *((name, e.to_table) for name, e in edges.items())]:
         for row in (r for r in rows if r.table_name == table):
-            if row.pii_type or (own and row.column_name == measure):
-                continue
-            found += _dimension_of(row, None if own else table)
-        linked_used += not own and len(found) > before
+            if not row.pii_type and not (edge is None and row.column_name == measure):
+                found += _dimension_of(row, edge)
     return found
 
 
@@ -147,11 +139,12 @@ def segment_by(
     df: DataFrame, dims: list[Dimension], measure: str | Column | None = None,
     max_groups: int = fixed.MAX_GROUPS,
 ) -> DataFrame:
-    """(dimension, kind, label, n, total, avg) for up to eight dimensions in one shuffle.
+    """(dimension, kind, label, n, total, avg) for all dimensions in one shuffle.
 
     Each row is sent to all dimensions at once and summed on the map side, so neither the number
     of dimensions nor a dominant value adds data to the shuffle. A dimension is kept only with
-    2 to 25 groups; NULL labels are not a group.
+    2 to 25 groups (see `rejected_dimensions`); NULL labels are not a group. No dimensions give no
+    rows.
     """
     value = F.lit(None).cast("double") if measure is None else (
         F.col(measure) if isinstance(measure, str) else measure
@@ -159,8 +152,8 @@ def segment_by(
     cells = F.array(*[
         F.struct(F.lit(d.name).alias("dimension"), F.lit(d.kind).alias("kind"),
                  d.expr.cast("string").alias("label"))
-        for d in dims[:fixed.MAX_DIMENSIONS]
-    ])
+        for d in dims
+    ]) if dims else F.expr("cast(array() as array<struct<dimension:string,kind:string,label:string>>)")
     groups = df.select(value.alias("_v"), F.inline(cells)).where("label is not null").groupBy(
         "dimension", "kind", "label"
     ).agg(F.count("*").alias("n"), F.sum("_v").alias("total"))
@@ -175,6 +168,13 @@ def segment_by(
     )
 
 
+def rejected_dimensions(segments_df: DataFrame, dims: list[Dimension]) -> DataFrame:
+    """(dimension, kind): those that were tried and have no usable number of groups."""
+    tried = segments_df.sparkSession.createDataFrame(
+        [(d.name, d.kind) for d in dims], "dimension string, kind string")
+    return tried.join(segments_df.select("dimension").distinct(), "dimension", "left_anti")
+
+
 def _weight() -> Column:
     """Share weight of a group: its positive total, or its rows where nothing is measured."""
     return F.when(F.col("total").isNull(), F.col("n").cast("double")).otherwise(
@@ -215,7 +215,7 @@ def segment_stats(segments_df: DataFrame) -> DataFrame:
 
 
 def ranked(stats_df: DataFrame) -> DataFrame:
-    """Dimensions by power; at most eight rows, so one ordered window is enough."""
+    """Dimensions by power; as few rows as dimensions, so one ordered window is enough."""
     return stats_df.withColumn(
         "place", F.row_number().over(Window.orderBy(F.desc("power"), "dimension"))
     )
@@ -260,9 +260,9 @@ def drivers(segments_df: DataFrame, stats_df: DataFrame, top: int = 3) -> DataFr
 
 def crosstab(
     df: DataFrame, dim_a: Dimension, dim_b: Dimension, measure: str | Column | None = None,
-    k: int = fixed.CROSSTAB_CELLS,
+    k: int | None = None,
 ) -> DataFrame:
-    """The first cells of two dimensions by measure (or rows); no cell without both labels."""
+    """All cells of two dimensions, or the first k by measure (or rows); none without both labels."""
     value = F.lit(None).cast("double") if measure is None else (
         F.col(measure) if isinstance(measure, str) else measure
     )
@@ -272,11 +272,11 @@ def crosstab(
     ).where("a is not null and b is not null").groupBy("a", "b").agg(
         F.count("*").alias("n"), F.sum("_v").alias("total")
     )
-    return cells.orderBy(_standing().desc(), "a", "b").limit(k)
+    return cells if k is None else cells.orderBy(_standing().desc(), "a", "b").limit(k)
 
 
 def dominant_cell(crosstab_df: DataFrame) -> DataFrame:
-    """The top cell and its share of the listed cells (a dozen at most)."""
+    """The top cell and its share of all cells given."""
     listed = crosstab_df.withColumn("value", _standing())
     # Equal cells: the first in label order, as the crosstab lists them.
     first = F.min_by(F.struct("a", "b"), F.struct(-F.col("value"), F.col("a"), F.col("b")))
@@ -290,7 +290,7 @@ def dominant_cell(crosstab_df: DataFrame) -> DataFrame:
 
 
 def second_dimension(stats_df: DataFrame, bases: dict[str, str]) -> tuple[str, str] | None:
-    """The two dimensions worth crossing, chosen on at most eight rows.
+    """The two dimensions worth crossing, chosen on one row per dimension.
 
     The second is the next strongest on another column; time only joins time or stands last.
     """

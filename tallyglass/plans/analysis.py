@@ -12,8 +12,6 @@ from tallyglass.operators import (
 )
 from tallyglass.sources import catalog
 
-MAX_STEPS = 5
-
 
 @dataclass
 class Knowledge:
@@ -52,11 +50,44 @@ class Subject:
     dims: list[segments.Dimension]
 
 
+def without(
+    known: Knowledge, hidden_tables: tuple[str, ...] = (),
+    hidden_columns: tuple[tuple[str, str], ...] = (),
+) -> Knowledge:
+    """What is known, less hidden tables and (table, column) pairs; names in any case."""
+    tables = {t.lower() for t in hidden_tables}
+    columns = {(t.lower(), c.lower()) for t, c in hidden_columns}
+    if not tables and not columns:
+        return known
+
+    def seen(df: DataFrame, *names: tuple[str, str]) -> DataFrame:
+        """Rows in which none of the (table, column) names is hidden."""
+        for table, column in names:
+            if tables:
+                df = df.where(~F.lower(table).isin(*tables))
+            if column in df.columns:
+                for t, c in sorted(columns):
+                    df = df.where(~((F.lower(table) == t) & (F.lower(column) == c)))
+        return df
+
+    own = ("table_name", "column_name")
+    ends = (("from_table", "from_column"), ("to_table", "to_column"))
+    left = {
+        name: df.drop(*[c for c in df.columns if (name.lower(), c.lower()) in columns])
+        for name, df in known.tables.items() if name.lower() not in tables
+    }
+    return Knowledge(left, seen(known.tables_df, own), seen(known.columns_df, own),
+                     seen(known.profile_df, own), seen(known.relations_df, *ends),
+                     seen(known.measured_df, *ends))
+
+
 def choose_subject(
     known: Knowledge, fact: str | None = None, measure: str | None = None,
-    count_only: bool = False,
+    count_only: bool = False, hidden_tables: tuple[str, ...] = (),
+    hidden_columns: tuple[tuple[str, str], ...] = (),
 ) -> Subject:
-    """Fact table, measure and dimensions, chosen on the catalog where not given."""
+    """Fact table, measure and dimensions, chosen on the visible catalog where not given."""
+    known = without(known, hidden_tables, hidden_columns)
     if fact is None:
         fact = segments.pick_fact(known.tables_df, known.relations_df).first().table_name
     if measure is None:
@@ -65,15 +96,16 @@ def choose_subject(
     dims = segments.candidate_dimensions(
         fact, known.columns_df, known.profile_df, known.relations_df, measure
     )
-    dims = dims[:fixed.MAX_DIMENSIONS]
     joined = relations.star(
-        fact, known.relations_df, known.tables
-    ) if any(d.linked for d in dims) else known.tables[fact]
+        fact, known.relations_df, known.tables, {d.linked for d in dims if d.linked})
     return Subject(fact, joined, measure, dims)
 
 
-def _money(measure: str | None) -> Column | None:
-    return None if measure is None else F.col(measure).cast("decimal(18,2)")
+def _value(subject: Subject, measure: Column | None) -> Column | None:
+    """What is summed: the measure as it is, unless the caller gives another expression."""
+    if measure is not None:
+        return measure
+    return None if subject.measure is None else F.col(subject.measure)
 
 
 def _section(df, section, place, dimension, label, other, value, share, n) -> DataFrame:
@@ -91,9 +123,10 @@ def _section(df, section, place, dimension, label, other, value, share, n) -> Da
 def deep_analysis(subject: Subject, measure: Column | None = None) -> DataFrame:
     """Everything worth saying about one subject, as one result set by section.
 
-    Segments are at most 8 x 25 rows; they are computed once, kept, and read by all sections.
+    Segments are at most 25 rows per dimension; they are computed once, kept, and read by all
+    sections.
     """
-    value = _money(subject.measure) if measure is None else measure
+    value = _value(subject, measure)
     groups = segments.segment_by(subject.base, subject.dims, value).persist()
     stats = segments.segment_stats(groups)
     col = F.col
@@ -125,32 +158,35 @@ def deep_analysis(subject: Subject, measure: Column | None = None) -> DataFrame:
 
 
 def investigate(
-    subject: Subject, date_col: str | None = None, measure: Column | None = None
+    subject: Subject, date_col: str | None = None, measure: Column | None = None,
+    steps: int | None = None,
 ) -> DataFrame:
-    """(step_no, step, label, value, place, detail): trend first, then up to five dimensions."""
-    value = _money(subject.measure) if measure is None else measure
-    dims = subject.dims[:MAX_STEPS]
+    """(step_no, step, label, value, place, detail): trend first, then the dimensions by power.
+
+    All dimensions are measured and ranked; `steps` asks for the strongest only. Those without a
+    usable number of groups are listed as rejected.
+    """
+    value, dims = _value(subject, measure), subject.dims
+    top = len(dims) if steps is None else steps
     groups = segments.segment_by(subject.base, dims, value).persist()
     stats = segments.segment_stats(groups)
-    driven = segments.drivers(groups, stats, top=MAX_STEPS).select(
+    driven = segments.drivers(groups, stats, top=top).select(
         "dimension", F.concat_ws(" ", "driver", F.concat_ws(" -> ", "from_label", "to_label"))
         .alias("finding"),
     )
-    figures = segments.top_segments(groups, stats, d=MAX_STEPS, g=4).join(
+    figures = segments.top_segments(groups, stats, d=top, g=4).join(
         driven, "dimension"
     ).select(
         F.col("place").alias("step_no"), F.col("dimension").alias("step"), "label",
         F.col("value").cast("double").alias("value"), F.col("rank").alias("place"),
         F.col("finding").alias("detail"),
     )
-    tried = subject.base.sparkSession.createDataFrame([(d.name,) for d in dims], "step string")
-    rejected = tried.join(groups.select(F.col("dimension").alias("step")).distinct(), "step",
-                          "left_anti").select(
-        F.lit(99).alias("step_no"), "step", F.lit("rejected").alias("label"),
+    rejected = segments.rejected_dimensions(groups, dims).select(
+        F.lit(99).alias("step_no"), F.col("dimension").alias("step"), F.lit("rejected").alias("label"),
         F.lit(None).cast("double").alias("value"), F.lit(1).alias("place"),
         F.lit("no usable groups").alias("detail"),
     )
-    steps = figures.unionByName(rejected)
+    found = figures.unionByName(rejected)
     if date_col is not None:
         line = series.monthly_series(subject.base, date_col, value)
         first = series.trend_step(line)
@@ -159,33 +195,39 @@ def investigate(
                      F.col(f"{point}_value").alias("value"))
             for i, point in enumerate(("first", "last", "low"), start=1)
         ])
-        steps = steps.unionByName(first.select("direction", F.inline(points)).select(
+        found = found.unionByName(first.select("direction", F.inline(points)).select(
             F.lit(0).alias("step_no"), F.lit("trend").alias("step"), "label", "value", "place",
             F.col("direction").alias("detail"),
         ))
-    return steps
+    return found
 
 
 def discover(
-    known: Knowledge, fact: str | None = None, hidden: tuple[str, ...] = (), max_items: int = 12
+    known: Knowledge, fact: str | None = None, hidden_tables: tuple[str, ...] = (),
+    hidden_columns: tuple[tuple[str, str], ...] = (), max_items: int | None = None,
+    measure: Column | None = None,
 ) -> DataFrame:
-    """Ranked findings: broken relations, suspicious columns, and the key measure over time."""
-    seen = known.measured_df.where(
-        ~F.lower("from_table").isin(*hidden, "") & ~F.lower("to_table").isin(*hidden, ""))
-    profiled = known.profile_df.where(~F.lower("table_name").isin(*hidden, ""))
-    parts = [findings.relation_findings(seen), findings.column_findings(profiled)]
-    dated = profiled.where("detected_type like 'datetime%'").orderBy(
+    """Ranked findings: broken relations, suspicious columns, and the key measure over time.
+
+    Hidden tables and columns take no part; a fact table without a date has no series.
+    """
+    known = without(known, hidden_tables, hidden_columns)
+    parts = [findings.relation_findings(known.measured_df),
+             findings.column_findings(known.profile_df)]
+    dated = known.profile_df.where("detected_type like 'datetime%'").orderBy(
         "table_name", "ordinal").select("table_name", "column_name").collect()
     dates = {}
     for row in dated:
         dates.setdefault(row.table_name, row.column_name)
-    if dates:
-        if fact is None:
-            with_dates = known.tables_df.where(F.col("table_name").isin(*dates))
-            fact = segments.pick_fact(with_dates, known.relations_df).first().table_name
-        picked = segments.pick_measure(known.columns_df, known.profile_df)
-        measure = picked.where(F.col("table_name") == fact).first().measure
-        line = series.monthly_series(known.tables[fact], dates[fact], _money(measure))
+    if fact is None and dates:
+        with_dates = known.tables_df.where(F.col("table_name").isin(*dates))
+        fact = segments.pick_fact(with_dates, known.relations_df).first().table_name
+    if fact in dates:
+        if measure is None:
+            picked = segments.pick_measure(known.columns_df, known.profile_df)
+            name = picked.where(F.col("table_name") == fact).first().measure
+            measure = None if name is None else F.col(name)
+        line = series.monthly_series(known.tables[fact], dates[fact], measure)
         parts.append(findings.series_findings(line, fact))
     return findings.rank_findings(catalog.union_all(parts), max_items)
 

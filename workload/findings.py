@@ -84,7 +84,7 @@ ORDER = ("list_position(['critical', 'important', 'opportunity', 'info'], level)
 
 @query("I3_ranked_findings", f"select {ROUNDED} from {ALL_SQL} order by {ORDER} limit 12")
 def _(spark, sf):
-    return rounded(I.rank_findings(every(spark, sf)).select(*SHOWN), "figure", digits=4)
+    return rounded(I.rank_findings(every(spark, sf), 12).select(*SHOWN), "figure", digits=4)
 
 
 PLAIN = ("region", "nation", "customer", "orders")
@@ -98,7 +98,21 @@ select {ROUNDED} from (select * from {PLAIN_COLUMNS_SQL} union all select * from
 order by {ORDER} limit 12
 """)
 def _(spark, sf):
-    found = analysis.discover(knowledge(spark, sf, PLAIN))
+    found = analysis.discover(knowledge(spark, sf, PLAIN), max_items=12,
+                              measure=F.col("o_totalprice").cast("decimal(18,2)"))
+    return rounded(found.select(*SHOWN), "figure", digits=4)
+
+
+@query("I3_discoveries_less_hidden", f"""
+select {ROUNDED} from {PLAIN_COLUMNS_SQL}
+where table_name <> 'customer' and column_name <> 'o_orderpriority'
+union all select {ROUNDED} from {PLAIN_SERIES_SQL}
+""")
+def _(spark, sf):
+    found = analysis.discover(
+        knowledge(spark, sf, PLAIN), hidden_tables=("Customer",),
+        hidden_columns=(("ORDERS", "O_OrderPriority"),),
+        measure=F.col("o_totalprice").cast("decimal(18,2)"))
     return rounded(found.select(*SHOWN), "figure", digits=4)
 
 

@@ -163,6 +163,18 @@ def _(spark, sf):
                    "avg", digits=4)
 
 
+MORE_SQL = {f"order day {d}": f"cast((o_orderkey + {d}) % {d + 2} as varchar)" for d in range(10)}
+
+
+@query("G6_segmentation_by_ten", " union all ".join(
+    f"select '{name}' as dimension, {label} as label, count(*) as n from orders group by 2"
+    for name, label in MORE_SQL.items()))
+def _(spark, sf):
+    ten = [Dimension(name, "categorical", "o_orderkey", F.expr(label.replace("varchar", "string")))
+           for name, label in MORE_SQL.items()]
+    return G.segment_by(table(spark, sf, "orders"), ten).select("dimension", "label", "n")
+
+
 @query("G7_segment_stats", f"""
 select dimension, kind, groups, round(top_share, 6) as top_share, round(hhi, 6) as hhi,
   round(cv, 6) as cv, round(power, 6) as power, top_label from {STATS_SQL}
@@ -207,17 +219,18 @@ def _(spark, sf):
 CROSSTAB_SQL = f"""(
 select {DIMENSIONS_SQL['age (band)'][1]} as a, c_mktsegment as b, count(*) as n,
   sum(amount) as total
-from {BASE_SQL} group by all order by total desc, a, b limit 12)"""
+from {BASE_SQL} group by all)"""
 
 
-def cross(spark, sf):
+def cross(spark, sf, k=None):
     return G.crosstab(base_table(spark, sf), Dimension.band("age", Bands(18, 11)),
-                      Dimension.category("c_mktsegment"), "amount")
+                      Dimension.category("c_mktsegment"), "amount", k)
 
 
-@query("G10_crosstab", f"select a, b, n, cast(total as double) as total from {CROSSTAB_SQL}")
+@query("G10_crosstab", f"""select a, b, n, cast(total as double) as total from {CROSSTAB_SQL}
+order by total desc, a, b limit 12""")
 def _(spark, sf):
-    return cross(spark, sf).withColumn("total", F.col("total").cast("double"))
+    return cross(spark, sf, 12).withColumn("total", F.col("total").cast("double"))
 
 
 @query("G11_dominant_cell", f"""
@@ -304,8 +317,7 @@ def _(spark, sf):
 
 @query("V1_investigation", f"""
 with ranked as (select *, cast(row_number() over (order by power desc, dimension) as int) as pl
-  from {STATS_SQL} where dimension in ('o_orderstatus', 'o_orderpriority', 'c_mktsegment',
-    'age (band)', 'year')),
+  from {STATS_SQL}),
 line as (select strftime(o_orderdate, '%Y-%m') as p, cast(sum(amount) as double) as v
   from {BASE_SQL} group by all)
 select r.pl as step_no, s.dimension as step, s.label, round(s.value, 4) as value, s.rank as place
@@ -313,6 +325,8 @@ from ({TOP_SQL}) s join ranked r on r.dimension = s.dimension where s.rank <= 4
 union all select 0, 'trend', min(p), round(min_by(v, p), 4), 1 from line
 union all select 0, 'trend', max(p), round(max_by(v, p), 4), 2 from line
 union all select 0, 'trend', arg_min(p, (v, p)), round(min(v), 4), 3 from line
+union all select 99, d, 'rejected', null, 1 from (values {", ".join(f"('{d}')" for d in DIMENSIONS_SQL)})
+  as t(d) where d not in (select dimension from {SEGMENTS_SQL})
 """)
 def _(spark, sf):
     subject = analysis.Subject("orders", base_table(spark, sf), "amount", dims())
