@@ -6,7 +6,7 @@ of its character trigrams. Two gated recurrent layers read a window in both dire
 weighs their states, and a logistic unit scores the sum. A document's score is that of its most
 toxic window, as one passage is enough.
 
-Training runs on the driver, over a sample with a stated bound: SAMPLE_DOCS labelled documents,
+Training runs in one task, over a sample with a stated bound: SAMPLE_DOCS labelled documents,
 chosen by a hash of their id, and WINDOWS_OF_DOC windows spread over each. A label belongs to a
 document, so after two thirds of the rounds, over random windows, every document is represented by
 the window that scores highest. From then on a positive label counts by the square of that score:
@@ -15,6 +15,8 @@ labels that nothing in the text bears out are noise, and are not learned by hear
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -159,30 +161,30 @@ def gates(p: dict, x: np.ndarray) -> dict:
     return {side: x @ p["w" + side] + p["b" + side] for side in "fb"}
 
 
-def numbered(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words of windows, and the windows as rows of their numbers with a mask."""
+def numbered(windows, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of n windows, and the windows as rows of their numbers with a mask."""
     known: dict[bytes, int] = {b"": 0}
-    ids = np.zeros((len(windows), WINDOW), np.int64)
-    mask = np.zeros((len(windows), WINDOW))
+    ids = np.zeros((n, WINDOW), np.int64)
+    mask = np.zeros((n, WINDOW))
     for i, window in enumerate(windows):
         ids[i, :len(window)] = [known.setdefault(w, len(known)) for w in window]
         mask[i, :len(window)] = 1
     return list(known), ids, mask
 
 
-def train(sample: list[tuple[int, list[list[bytes]]]], seed: int = 11) -> dict:
-    """A model from (label, windows) of documents; without documents, one that scores all low.
+def train(sample: list[tuple[int, list[bytes]]], seed: int = 11) -> dict:
+    """A model from (label, windows as joined words); without documents, one that scores all low.
 
     A document that shares a window with an earlier one is a copy, and adds nothing.
     """
     met, fresh = set(), []
     for label, windows in sample:
-        if met.isdisjoint(own := {b" ".join(w) for w in windows if w}):
+        if met.isdisjoint(own := {w for w in windows if w}):
             fresh.append((label, windows))
         met |= own
     sample, seen = fresh, {}
     for _, windows in sample:
-        for w in {w for window in windows for w in window}:
+        for w in {w for window in windows for w in window.split()}:
             seen[w] = seen.get(w, 0) + 1
     least = max(2, len(sample) // SHARE_OF_DOCS)
     frequent = sorted(w for w, n in seen.items() if n >= least)
@@ -191,7 +193,8 @@ def train(sample: list[tuple[int, list[list[bytes]]]], seed: int = 11) -> dict:
     if not sample:
         return {"p": p, "vocabulary": vocabulary}
     rng = np.random.default_rng(seed)
-    words, ids, mask = numbered([w for _, windows in sample for w in windows])
+    words, ids, mask = numbered(
+        (w.split() for _, windows in sample for w in windows), sum(len(w) for _, w in sample))
     book = Words(words, vocabulary)
     label = np.array([y for y, _ in sample], float)
     first = np.cumsum([0] + [len(windows) for _, windows in sample])
@@ -245,7 +248,7 @@ def score_texts(texts: list[bytes], model: dict) -> np.ndarray:
     owner: list[int] = []
 
     def flush():
-        words, ids, mask = numbered(windows)
+        words, ids, mask = numbered(windows, len(windows))
         table = gates(p, Words(words, model["vocabulary"]).inputs(p))
         for k in range(0, len(ids), 1024):
             got = forward(p, table, ids[k:k + 1024], mask[k:k + 1024].astype(np.float32))
@@ -265,7 +268,7 @@ def score_texts(texts: list[bytes], model: dict) -> np.ndarray:
     return best
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> list:
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> DataFrame:
     """(label, windows) of at most `size` labelled documents, at most WINDOWS_OF_DOC of each."""
     def spread(batches):
         for batch in batches:
@@ -279,21 +282,28 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> list:
                                   ["label", "windows"])
 
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(size)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("label", whole_text().alias("text")
-                                                           ).mapInArrow(
-        spread, "label int, windows array<binary>").limit(2 * size).collect()
-    found = sorted((r.label, [bytes(w) for w in r.windows]) for r in rows)
-    return [(y, [w.split() for w in windows]) for y, windows in found]
+    return docs.join(F.broadcast(chosen), "doc_id").select(
+        "label", whole_text().alias("text")).mapInArrow(
+        spread, "label int, windows array<binary>").limit(2 * size)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
         label: str = "toxic", size: int = SAMPLE_DOCS) -> dict:
     """A model learned from labelled documents; labels other than 0 and 1 take no part."""
     prepare(docs.sparkSession)
-    return train(sample(
+
+    def learn(batches):
+        rows = []
+        for batch in batches:
+            rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        yield pa.record_batch([pa.array([pickle.dumps(train(sorted(rows)))])], ["model"])
+
+    chosen = sample(
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(
-            "label in (0, 1) and doc_id is not null"), size))
+            "label in (0, 1) and doc_id is not null"), size)
+    found = chosen.repartition(1).mapInArrow(learn, "model binary").first()
+    return train([]) if found is None else pickle.loads(found.model)
 
 
 def score(docs: DataFrame, model: dict, keep: tuple = ("doc_id",), text: str = "text"
