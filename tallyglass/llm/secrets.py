@@ -69,7 +69,8 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, keep: tuple = ("doc_id",), owner: str = "source",
          repository: str = "source", text: str = "text", copied: int = COPIED_OWNERS) -> DataFrame:
     """One row per row of docs: the kept columns, base and spans (arrays of start, rank, stop, kind,
-    value), and owners (map from a value's hash to its number of distinct owners).
+    value), owners (map from a value's hash to its number of distinct owners), and, where there are
+    candidates, __text.
 
     Null texts are empty and have empty arrays. Null owners and repositories count as none. Repeated
     rows stay. An empty table gives no rows. Columns of docs other than those named are not read.
@@ -77,7 +78,8 @@ def scan(docs: DataFrame, keep: tuple = ("doc_id",), owner: str = "source",
     prepare(docs.sparkSession)
     found = candidates(docs, keep, owner, repository, text).withColumn(
         "__key", F.when(F.size("__base") + F.size("__added") > 0, F.sha2(
-            F.to_json(F.struct(F.struct(*keep).alias("k"), "__base", "__added")), 256))).checkpoint()
+            F.to_json(F.struct(F.struct(*keep).alias("k"), "__base", "__added")), 256))).withColumn(
+        "__text", F.when(F.col("__key").isNotNull(), F.col("__text"))).checkpoint()
     held = found.where("__key is not null")
     hashes = held.select("__key", F.explode(F.array_distinct(F.transform(
         F.concat("__base", "__added"), lambda s: F.sha2(s["value"], 256)))).alias("hash")).distinct()
@@ -105,22 +107,30 @@ def listed(spans: Column) -> Column:
                                                                  s["stop"])), ",")
 
 
-def redacted(scanned: DataFrame, copied: int = COPIED_OWNERS) -> Column:
-    """The text of a scanned row with every live-looking secret replaced; copied examples stay."""
-    text = F.coalesce(F.col("__text"), F.lit(""))
+def redact(scanned: DataFrame, copied: int = COPIED_OWNERS) -> DataFrame:
+    """Scanned rows with every live-looking secret of __text replaced; copied examples stay.
+
+    Kinds are replaced one after the other, each in a projection of its own, so that the
+    expressions do not grow into one another. Rows without such secrets are left alone.
+    """
     for kind, pattern, group, _ in (*BASE, *ADDED):
-        text = _without(text, kind, pattern, group, copied)
-    return text
+        live = F.transform(F.filter("spans", _is_live(kind, copied)), lambda s: s["value"])
+        out = scanned.withColumn("__live", live).withColumn(
+            "__hits", F.when(F.size("__live") > 0, matches(_text(), pattern)))
+        text = replaced(_text(), pattern, F.col("__hits"), _marked(pattern, group))
+        scanned = out.withColumn(
+            "__text", F.when(F.size("__live") > 0, text).otherwise(F.col("__text"))
+        ).drop("__live", "__hits")
+    return scanned
 
 
-def _without(text: Column, kind: str, pattern: str, group: int, copied: int) -> Column:
-    """The text without the live-looking secrets of one kind."""
-    secrets = F.transform(F.filter("spans", lambda s: (s["kind"] == kind) & (F.element_at(
-        "owners", F.sha2(s["value"], 256)) < copied)), lambda s: s["value"])
+def _is_live(kind: str, copied: int):
+    return lambda s: (s["kind"] == kind) & (
+        F.element_at("owners", F.sha2(s["value"], 256)) < copied)
 
+
+def _marked(pattern: str, group: int):
     def change(m):
         value = F.regexp_extract(m, pattern, group) if group else m
-        return F.when(F.array_contains(secrets, value), F.lit(MARK)).otherwise(m)
-
-    return F.when(F.size(secrets) > 0, replaced(text, pattern, matches(text, pattern), change)
-                  ).otherwise(text)
+        return F.when(F.array_contains("__live", value), F.lit(MARK)).otherwise(m)
+    return change
