@@ -50,14 +50,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with live-looking secrets replaced; null texts stay null."""
-    scanned = secrets.scan(docs.withColumn("__source", F.col("source")).withColumn(
-        "__repository", F.concat_ws("/", "source", "lang")), keep=tuple(COLUMNS),
-        owner="__source", repository="__repository")
+    scanned = secrets.scan(docs.withColumn("__repository", F.concat_ws("/", "source", "lang")),
+                           keep=tuple(COLUMNS), repository="__repository")
     changed = F.size("spans") > 0
-    text = F.when(changed, secrets.redacted(scanned)).otherwise(F.col("text"))
-    return scanned.withColumn("text", text).withColumn(
-        "n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*COLUMNS)
+    return secrets.redact(scanned).withColumns({
+        "text": F.when(changed, F.col("__text")).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.char_length("__text").cast("long")).otherwise(F.col("n_chars")),
+    }).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
