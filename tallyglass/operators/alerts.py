@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyglass.functions import fixed
@@ -12,10 +13,12 @@ from tallyglass.sources.catalog import union_all
 def alert_values(
     alerts_df: DataFrame, tables: dict[str, DataFrame], definitions_df: DataFrame | None = None
 ) -> DataFrame:
-    """(alert_id, value): the monitored scalar of every alert, in one pass per table and filter.
+    """(alert_id, value, error): the monitored scalar of every alert, in one pass per table.
 
-    An alert names a table, expression and filter, or a measure definition. The list of alerts
-    is configuration and is read by the driver.
+    An alert names a table, expression and filter, or a measure definition. One that cannot be
+    evaluated has a message in `error` and no value; the others are not affected. Rows are tagged
+    with the filters they meet and summed per tag, so all filters of a table share its scan. The
+    list of alerts is configuration and is read by the driver.
     """
     wanted = alerts_df.select("alert_id", "table_name", "expression", "filter", "definition")
     if definitions_df is not None:
@@ -28,23 +31,68 @@ def alert_values(
             F.coalesce("_e", "expression").alias("expression"),
             F.coalesce("_f", "filter").alias("filter"),
         )
-    passes: dict[tuple[str, str | None], list] = {}
+    usable: dict[str, list] = {}
+    failed = []
     for row in wanted.orderBy("alert_id").collect():
-        if not row.table_name or not row.expression:
-            raise ValueError(f"alert {row.alert_id} needs a table and an expression")
-        passes.setdefault((row.table_name, row.filter or None), []).append(row)
-    parts = []
-    for (table, condition), rows in passes.items():
-        df = tables[table].where(condition) if condition else tables[table]
-        values = df.agg(*[F.expr(r.expression).cast("double").alias(f"v{i}")
-                          for i, r in enumerate(rows)])
-        parts.append(values.select(F.inline(F.array(*[
-            F.struct(F.lit(r.alert_id).alias("alert_id"), F.col(f"v{i}").alias("value"))
-            for i, r in enumerate(rows)
-        ]))))
+        problem = _problem(row, tables)
+        if problem is None:
+            usable.setdefault(row.table_name, []).append(row)
+        else:
+            failed.append((row.alert_id, None, problem))
+    parts = [_values_of(tables[name], rows) for name, rows in usable.items()]
+    if failed or not parts:
+        parts.append(alerts_df.sparkSession.createDataFrame(
+            failed, "alert_id string, value double, error string"))
     return union_all(parts)
 
 
+def _problem(row, tables: dict[str, DataFrame]) -> str | None:
+    """Why an alert cannot be evaluated, as far as its names and types tell."""
+    if not row.table_name or not row.expression:
+        return "an alert needs a table and an expression"
+    if row.table_name not in tables:
+        return f"unknown table {row.table_name}"
+    try:
+        _ = _chosen(tables[row.table_name], row.filter).agg(
+            F.expr(row.expression).cast("double")).schema
+    except AnalysisException as error:
+        return error.getMessage().split("\n")[0]
+    return None
+
+
+def _chosen(df: DataFrame, condition: str | None) -> DataFrame:
+    return df.where(condition) if condition else df
+
+
+def _values_of(df: DataFrame, rows: list) -> DataFrame:
+    """The values of all alerts of one table."""
+    conditions = list(dict.fromkeys(r.filter or None for r in rows))
+    expressions = list(dict.fromkeys(r.expression for r in rows))
+    sums = [F.expr(e).cast("double").alias(f"v{i}") for i, e in enumerate(expressions)]
+    if len(conditions) == 1:
+        summed = _chosen(df, conditions[0]).agg(*sums).withColumn("_tag", F.lit(0))
+    else:
+        tags = F.filter(F.array(*[
+            F.when(F.lit(True) if c is None else F.expr(c), F.lit(i))
+            for i, c in enumerate(conditions)]), lambda t: t.isNotNull())
+        found = df.withColumn("_tag", F.explode(tags)).groupBy("_tag").agg(*sums)
+        # A filter that no row meets still has a value: that of no rows.
+        none = df.where("false").agg(*sums).withColumn(
+            "_tag", F.explode(F.array(*[F.lit(i) for i in range(len(conditions))])))
+        whole = F.struct(*[f"v{i}" for i in range(len(sums))])
+        summed = found.withColumn("_met", F.lit(1)).unionByName(
+            none.withColumn("_met", F.lit(0))).groupBy("_tag").agg(
+            F.max_by(whole, "_met").alias("_all")).select("_tag", "_all.*")
+    cells = F.array(*[
+        F.struct(F.lit(conditions.index(r.filter or None)).alias("_of"),
+                 F.lit(r.alert_id).alias("alert_id"),
+                 F.col(f"v{expressions.index(r.expression)}").alias("value"))
+        for r in rows
+    ])
+    return summed.select("_tag", F.inline(cells)).where("_of = _tag").select(
+        "alert_id", "value", F.lit(None).cast("string").alias("error"))
+
+
 def condition_status(comparison: Column, threshold: Column, value: Column, before: Column
                      ) -> Column:
     """`triggered`, `ok`, or `error` for a missing value."""
@@ -65,7 +113,7 @@ def evaluate_alerts(values_df: DataFrame, alerts_df: DataFrame, state_df: DataFr
     change = (value - before) / F.nullif(F.abs(before), F.lit(0.0)) * 100
     relative = F.col("comparison").isin("pct_drop", "pct_change")
     message = (
-        F.when(value.isNull(), "no value")
+        F.when(F.col("error").isNotNull(), F.col("error")).when(value.isNull(), "no value")
         .when(relative & before.isNull(), F.format_string("first value %.2f", value))
         .when(relative & (before == 0), "previous value is zero")
         .when(relative, F.format_string("%.1f%% (%.2f to %.2f)", change, before, value))
@@ -73,6 +121,8 @@ def evaluate_alerts(values_df: DataFrame, alerts_df: DataFrame, state_df: DataFr
                                    F.col("threshold").cast("double")))
     )
     rules = alerts_df.select("alert_id", "comparison", "threshold")
+    if "error" not in values_df.columns:
+        values_df = values_df.withColumn("error", F.lit(None).cast("string"))
     return values_df.join(rules, "alert_id").join(state, "alert_id", "left").select(
         "alert_id", "value", "previous",
         condition_status(F.col("comparison"), F.col("threshold"), value, before)
@@ -135,7 +185,10 @@ def product_metrics(
         return F.round(F.avg(F.when(status == "ok", F.col(column))), 2)
 
     groups = [by] if by else []
-    return audit_df.where(F.col("created_at") >= since).groupBy(*groups).agg(
+    recent = audit_df.where(F.col("created_at") >= since)
+    if "day" in audit_df.columns:  # the log's folders: only those of the window are read
+        recent = recent.where(F.col("day") >= since.cast("date"))
+    return recent.groupBy(*groups).agg(
         F.lit(days).alias("window_days"), F.count("*").alias("total"),
         n("ok").alias("n_ok"), n("clarification").alias("n_clarification"),
         n("unanswerable").alias("n_unanswerable"), n("blocked").alias("n_blocked"),

@@ -2,81 +2,69 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyglass.functions import fixed
-from tallyglass.functions.ordering import running_number
-from tallyglass.session import ensure_checkpoint_dir
 
 
 def _prefix(kind: str) -> str:
     return fixed.TOKEN_PREFIXES.get(kind, fixed.OTHER_PREFIX)
 
 
-def token_mapping(df: DataFrame, pii: dict[str, str]) -> DataFrame:
-    """(column_name, pii_type, value, token) for every distinct value of the PII columns.
+def token(kind: str, value: Column, salt: str = "") -> Column:
+    """The token of a value: the prefix of its kind and digits from a salted hash of both.
 
-    Numbers run per prefix in the order of a hash of column and value: first appearance means
-    nothing in a distributed table, hash order says nothing about the values, and it splits
-    evenly, so no task ever numbers a whole prefix. At least three digits, more when needed.
+    Two parts of 60 bits keep distinct values apart; no table of values is needed to make one, and
+    equal values get equal tokens everywhere.
     """
+    digest = F.sha2(F.concat_ws("|", F.lit(salt), F.lit(kind), value), 256)
+    parts = [F.lpad(F.conv(F.substring(digest, at, 15), 16, 10), 19, "0") for at in (1, 16)]
+    return F.when(value.isNotNull(), F.concat(F.lit(_prefix(kind) + "-"), *parts))
+
+
+def _present(df: DataFrame, pii: dict[str, str]) -> dict[str, str]:
     present = {c: kind for c, kind in pii.items() if c in df.columns}
     if not present:
         raise ValueError("none of the columns to protect is in the table")
+    return present
+
+
+def token_mapping(df: DataFrame, pii: dict[str, str], salt: str = "") -> DataFrame:
+    """(column_name, pii_type, value, token) for every distinct value of the PII columns."""
     cells = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("pii_type"),
-                 F.lit(_prefix(kind)).alias("prefix"), F.col(c).cast("string").alias("value"))
-        for c, kind in present.items()
+                 F.col(c).cast("string").alias("value"),
+                 token(kind, F.col(c).cast("string"), salt).alias("token"))
+        for c, kind in _present(df, pii).items()
     ])
-    values = df.select(F.inline(cells)).where("value is not null").distinct().withColumn(
-        "digest", F.md5(F.concat_ws("|", "column_name", "value"))
-    )
-    numbered = running_number(values, "digest", "prefix", "number")
-    return numbered.select(
-        "column_name", "pii_type", "value",
-        F.concat("prefix", F.lit("-"), F.format_string("%03d", "number")).alias("token"),
-    )
+    return df.select(F.inline(cells)).where("value is not null").distinct()
 
 
-def store_mapping(mapping_df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write a mapping once, by column, and read it from there on.
+def store_mapping(mapping_df: DataFrame, folder: str) -> DataFrame:
+    """Write a mapping, by column, to a folder only its keepers can read, and read it from there.
 
-    A mapping is used for every protected column and again for the way back; numbering all
-    values each time would read the source over and over. Without a folder it goes to the
-    shared checkpoint folder of the cluster.
+    The mapping holds every real value: see `forget_mapping`.
     """
-    spark = mapping_df.sparkSession
-    if folder is None:
-        folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     mapping_df.write.partitionBy("column_name").parquet(folder)
-    return spark.read.schema(mapping_df.schema).parquet(folder)
+    return mapping_df.sparkSession.read.schema(mapping_df.schema).parquet(folder)
 
 
-def pseudonymize(
-    df: DataFrame, pii: dict[str, str], mapping_df: DataFrame | None = None,
-    folder: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(safe table, mapping): each personal value replaced by its token, NULL kept.
+def forget_mapping(spark: SparkSession, folder: str) -> None:
+    """Delete a stored mapping; from then on tokens cannot be turned back."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    The mapping is stored (see `store_mapping`) unless a stored one is given.
 
-    A value that fills much of a column makes one join key hot; the mapping holds it once, so
-    the adaptive skew join splits the rows and repeats that one partition of the mapping.
+def pseudonymize(df: DataFrame, pii: dict[str, str], salt: str = "") -> tuple[DataFrame, DataFrame]:
+    """(safe table, mapping): each personal value replaced by its token, NULL kept.
+
+    The safe table is made row by row, without a join. The mapping is needed only for the way back;
+    it is computed when it is used, and stored only by `store_mapping`.
     """
-    mapping = mapping_df
-    if mapping is None:
-        mapping = store_mapping(token_mapping(df, pii), folder)
-    safe = df
-    for column in (c for c in df.columns if c in pii):
-        tokens = mapping.where(F.col("column_name") == column).select(
-            F.col("value").alias("_value"), F.col("token").alias("_token")
-        )
-        safe = safe.join(
-            tokens, F.col(column).cast("string") == F.col("_value"), "left"
-        ).withColumn(column, F.col("_token")).select(*df.columns)
-    return safe, mapping
+    present = _present(df, pii)
+    safe = df.withColumns({c: token(kind, F.col(c).cast("string"), salt)
+                           for c, kind in present.items()})
+    return safe, token_mapping(df, pii, salt)
 
 
 def reidentify(
@@ -84,16 +72,17 @@ def reidentify(
 ) -> DataFrame:
     """Put real values back wherever a whole token stands in a text; unknown tokens stay.
 
-    Each text is cut once into plain pieces and tokens. Distinct tokens of a text are looked up
-    and come back as one small map per row, so a token repeated a thousand times is one lookup.
+    Each text is cut once into plain pieces and tokens. Distinct tokens of an id are looked up and
+    come back as one small map, so a token repeated a thousand times, or in a thousand rows of one
+    id, is one lookup.
     """
-    token = F.lit(fixed.TOKEN)
+    pattern = F.lit(fixed.TOKEN)
     found = F.array_distinct(F.flatten(F.array(*[
-        F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), token, F.lit(0))
+        F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), pattern, F.lit(0))
         for c in text_cols
     ])))
-    values = mapping_df.select("token", "value")
-    known = texts_df.select(id_col, F.explode(found).alias("token")).join(
+    values = mapping_df.select("token", "value").distinct()
+    known = texts_df.select(id_col, F.explode(found).alias("token")).distinct().join(
         values, "token"
     ).groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_real")
@@ -101,7 +90,7 @@ def reidentify(
 
     def restored(column: Column) -> Column:
         pieces = F.split(column, fixed.TOKEN, -1)
-        tokens = F.regexp_extract_all(column, token, F.lit(0))
+        tokens = F.regexp_extract_all(column, pattern, F.lit(0))
         return F.array_join(F.zip_with(pieces, tokens, lambda piece, t: F.concat(
             piece, F.coalesce(F.try_element_at("_real", t), t, F.lit("")))), "")
 

@@ -23,10 +23,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; make a local one only where none is set."""
+    """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
+
+    Executors of a cluster share no temporary folder, so there it must be set; in local mode one is
+    made where none is.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tallyglass-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(current)

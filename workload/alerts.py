@@ -69,7 +69,22 @@ left join (select alert_id, cast(last_value as double) as previous from {STATE_S
 
 @query("M1_alert_values", f"select alert_id, round(value, 4) as value from {VALUES_SQL}")
 def _(spark, sf):
-    return values(spark, sf).withColumn("value", F.round("value", 4))
+    return values(spark, sf).select("alert_id", F.round("value", 4).alias("value"))
+
+
+BROKEN = [("bad_column", "orders", "sum(no_such_column)", None, None, "gt", 1.0),
+          ("no_table", None, "count(*)", None, None, "gt", 1.0),
+          ("lost_table", "no_such_table", "count(*)", None, None, "gt", 1.0)]
+
+
+@query("M1_values_beside_failing_alerts", f"""
+select alert_id, round(value, 4) as value, false as failed from {VALUES_SQL}
+union all select x, null, true from (values ('bad_column'), ('no_table'), ('lost_table')) as t(x)
+""")
+def _(spark, sf):
+    every = alerts(spark).union(spark.createDataFrame(BROKEN, ALERT_SCHEMA))
+    return M.alert_values(every, tables(spark, sf), _definitions(spark)).select(
+        "alert_id", F.round("value", 4).alias("value"), F.col("error").isNotNull().alias("failed"))
 
 
 def evaluated(spark, sf):

@@ -10,32 +10,31 @@ from workload.base import query
 
 PII = {"email": "email", "phone": "phone", "c_name": "name", "host": "ipv4", "iban": "iban",
        "c_mktsegment": "other"}
-MAPPING_SQL = "(select column_name, pii_type, value, concat(prefix, '-', " \
-    "case when number < 1000 then lpad(cast(number as varchar), 3, '0') " \
-    "else cast(number as varchar) end) as token from (select *, row_number() over " \
-    "(partition by prefix order by md5(column_name || '|' || value)) as number from (" \
-    + " union ".join(
-        f"select '{c}' as column_name, '{k}' as pii_type, "
-        f"'{base.fixed.TOKEN_PREFIXES.get(k, 'PII')}' as prefix, {c} as value "
-        f"from {base.CONTACTS_SQL} where {c} is not null" for c, k in PII.items()
-    ) + ")))"
+SALT = "a salt for the test tables"
 
 
-SAFE_SQL = f"""(
-with m as {MAPPING_SQL}
-select c_custkey, age, {', '.join(f't_{c}.token as {c}' for c in PII)}
-from {base.CONTACTS_SQL} c """ + " ".join(
-    f"left join m t_{c} on t_{c}.column_name = '{c}' and t_{c}.value = c.{c}" for c in PII
-) + ")"
+def token_sql(kind: str, value: str) -> str:
+    digest = f"sha256(concat_ws('|', '{SALT}', '{kind}', {value}))"
+    parts = " || ".join(f"lpad(cast(cast('0x' || substring({digest}, {at}, 15) as bigint) "
+                        "as varchar), 19, '0')" for at in (1, 16))
+    prefix = base.fixed.TOKEN_PREFIXES.get(kind, "PII")
+    return f"case when {value} is not null then '{prefix}-' || {parts} end"
+
+
+MAPPING_SQL = "(" + " union ".join(
+    f"select '{c}' as column_name, '{k}' as pii_type, {c} as value, {token_sql(k, c)} as token "
+    f"from {base.CONTACTS_SQL} where {c} is not null" for c, k in PII.items()) + ")"
+SAFE_SQL = (f"(select c_custkey, age, {', '.join(f'{token_sql(k, c)} as {c}' for c, k in PII.items())} "
+            f"from {base.CONTACTS_SQL})")
 
 
 def protected(spark, sf):
-    return privacy.pseudonymize(base.contacts(spark, sf), PII)
+    return privacy.pseudonymize(base.contacts(spark, sf), PII, SALT)
 
 
 @query("P1_token_mapping", f"select * from {MAPPING_SQL}")
 def _(spark, sf):
-    return privacy.token_mapping(base.contacts(spark, sf), PII)
+    return privacy.token_mapping(base.contacts(spark, sf), PII, SALT)
 
 
 @query("P1_pseudonymized", f"select * from {SAFE_SQL}")
@@ -61,9 +60,20 @@ def _(spark, sf):
     return privacy.reidentify(texts, mapping, "c_custkey", ["note", "title"])
 
 
+@query("P2_reidentified_repeated_ids", """
+select conv_id, turn, concat('about ', role, ': ', role, '.') as note from conversations
+""")
+def _(spark, sf):
+    talk = base.table(spark, sf, "conversations")
+    safe, mapping = privacy.pseudonymize(talk, {"role": "name"}, SALT)
+    texts = safe.select("conv_id", "turn", F.concat(
+        F.lit("about "), "role", F.lit(": "), "role", F.lit(".")).alias("note"))
+    return privacy.reidentify(texts, mapping, "conv_id", ["note"])
+
+
 @query("P3_privacy_audit", f"""
 select column_name, pii_type, 'pseudonymisation' as method, count(*) as values_protected
 from {MAPPING_SQL} group by all
 """)
 def _(spark, sf):
-    return privacy.privacy_audit(privacy.token_mapping(base.contacts(spark, sf), PII))
+    return privacy.privacy_audit(privacy.token_mapping(base.contacts(spark, sf), PII, SALT))
