@@ -35,6 +35,8 @@ def _text_sql(field: T.StructField) -> str:
         return f"if({name} is null, null, to_json(struct({name})))"
     if isinstance(field.dataType, (T.MapType, T.StructType)):
         return f"to_json({name})"
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return f"cast({name} + 0 as string)"  # zero and minus zero are one value
     return f"cast({name} as string)"
 
 
@@ -101,29 +103,48 @@ class Cells:
         return self.df.where(self.kind_sql(*wanted))
 
 
-def spread(df: DataFrame, few: int = 8) -> DataFrame:
-    """Deal a table out again if it sits in a handful of partitions while cores stand idle.
-
-    Every row is about to become one row per column, and a file with one row group would do all
-    of that in one task. Larger tables have more partitions and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(few, cores) else df
-
-
-def cells(tables: Tables, columns: list[str] | None = None) -> Cells:
+def cells(tables: Tables, columns: list[str] | None = None, wanted: tuple[str, ...] = ()
+          ) -> Cells:
+    """All columns are named; where kinds are wanted, only values of those are read."""
     names, parts = [], []
     for name, df in tables.items():
         structs = []
         for f in df.schema.fields:
             if columns is None or f.name in columns:
-                names.append((name, f.name, kinds.kind_of(f.dataType)))
-                structs.append(f"named_struct('c', {len(names)}, 'cell', {_text_sql(f)})")
+                kind = kinds.kind_of(f.dataType)
+                names.append((name, f.name, kind))
+                if not wanted or kind in wanted:
+                    structs.append(f"named_struct('c', {len(names)}, 'cell', {_text_sql(f)})")
         if structs:
-            parts.append(spread(df).selectExpr(f"inline(array({', '.join(structs)}))"))
+            parts.append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
+    if not parts:
+        spark = next(iter(tables.values())).sparkSession
+        parts.append(spark.createDataFrame([], "c int, cell string"))
     return Cells(names, union_all(parts))
 
 
+def _value_facts(source: Cells) -> DataFrame:
+    """Shape totals per column, for every column named, in one pass without a shuffle of values.
+
+    Every row counts as it comes: nothing here depends on which values are equal.
+    """
+    tested = _tested_sql(source, "cell")
+    each = source.df.selectExpr(
+        "c", "length(cell) as length",
+        f"if({tested} and cell is not null, {_shape_sql(stripped_sql('cell'))}, 0) as shape",
+        "1 as n")
+    spark = source.df.sparkSession
+    every = spark.range(1, len(source.names) + 1).select(F.col("id").cast("int").alias("c"))
+    facts = every.join(_column_facts(each), "c", "left")
+    return facts.withColumn("filled", F.coalesce("filled", F.lit(0)))
+
+
+def _tested_sql(source: Cells, cell: str) -> str:
+    """Whose shape is looked at: texts, and whole numbers long enough to be a telephone number."""
+    return (f"({source.kind_sql('text')} or ({source.kind_sql('integer')} "
+            f"and length({cell}) >= {fixed.PHONE_DIGITS[0]}))")
+
+
 def frequencies(source: Cells) -> DataFrame:
     """(c, value, digest, length, shape, n): every distinct value of every column, counted.
 
@@ -131,9 +152,7 @@ def frequencies(source: Cells) -> DataFrame:
     digest, so documents do not travel; their length and shape are read from the whole text
     before that. NULL is a value of its own with `length` NULL.
     """
-    # Of a whole number only the length can look personal, and only from ten digits on.
-    tested = (f"({source.kind_sql('text')} or ({source.kind_sql('integer')} "
-              f"and length(cell) >= {fixed.PHONE_DIGITS[0]}))")
+    tested = _tested_sql(source, "cell")
     long = f"length(cell) > {LONG_TEXT}"
     whole_shape = _shape_sql(stripped_sql("cell"))
     grouped = source.df.selectExpr(
@@ -143,7 +162,7 @@ def frequencies(source: Cells) -> DataFrame:
     ).groupBy("c", "value", "about").agg(F.count("*").alias("n"))
     return grouped.selectExpr("*", f"{stripped_sql('value')} as text").selectExpr(
         "c", "value", "about.digest", "coalesce(about.length, length(value)) as length",
-        f"coalesce(about.shape, if({tested.replace('cell', 'value')} and text is not null, "
+        f"coalesce(about.shape, if({_tested_sql(source, 'value')} and text is not null, "
         f"{_shape_sql('text')}, 0)) "
         "as shape", "n",
     )
@@ -327,10 +346,10 @@ def quick_counts(df: DataFrame, name: str, lg_k: int = 12) -> DataFrame:
 
 
 def detect_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, detected_type), judged on all distinct values."""
-    source = cells({"": df}, columns)
+    """(column_name, detected_type): the schema decides, or all values of a text column."""
+    source = cells({"": df}, columns, ("text",))
     by_kind = ", ".join(quoted(kind) for _, _, kind in source.names)
-    facts = _column_facts(frequencies(source)).selectExpr(
+    facts = _value_facts(source).selectExpr(
         "*", f"element_at(array({by_kind}), c) as kind")
     return source.named(facts).selectExpr("column_name", f"{HIDDEN_TYPE} as detected_type")
 
@@ -357,8 +376,8 @@ def validity(df: DataFrame, formats: dict[str, str]) -> DataFrame:
 
 def detect_pii(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, pii_type, found_by): content first, then the column name."""
-    source = cells({"": df}, columns)
-    return source.named(_column_facts(frequencies(source))).selectExpr(
+    source = cells({"": df}, columns, ("text", "integer"))
+    return source.named(_value_facts(source)).selectExpr(
         "column_name", f"coalesce({PII_BY_VALUES}, {PII_BY_NAME}) as pii_type",
         f"case when {PII_BY_VALUES} is not null then 'values' "
         f"when {PII_BY_NAME} is not null then 'name' end as found_by",

@@ -55,13 +55,14 @@ def test_hidden_tables_and_columns_reach_nobody_in_the_team(spark):
     assert set(access.govern(tables, off, "c")) == {"Orders", "staff"}
 
 
-def test_sample_is_repeatable_and_about_the_size(spark):
-    df = spark.range(50_000)
-    part, sampled = access.sampled(df, threshold=10_000, size=5_000)
-    assert sampled and abs(part.count() - 5_000) < 400
-    assert part.count() == part.count()
-    whole, sampled = access.sampled(df)
-    assert not sampled and whole.count() == 50_000
+def test_sample_is_asked_for_and_the_same_everywhere(spark):
+    df = spark.range(1_200_000)
+    assert access.sampled(df, 1.0, "id").count() == 1_200_000
+    part = access.sampled(df, 0.1, "id")
+    assert abs(part.count() - 120_000) < 2_000
+    some = access.sampled(df.where("id % 7 = 0"), 0.1, "id")
+    assert some.join(part, "id", "left_anti").count() == 0
+    assert access.sampled(df, 0.0, "id").count() == 0
 
 
 def test_snapshot_versions_move_only_on_change(spark):
@@ -181,16 +182,24 @@ def test_tokens_are_stable_and_text_comes_back(spark):
     safe, mapping = privacy.pseudonymize(df, {"full_name": "name", "email": "email"})
     rows = {r.amount: r for r in safe.collect()}
     assert rows[1].full_name == rows[3].full_name != rows[2].full_name
-    assert rows[2].email is None and rows[1].email == "EMAIL-001"
-    assert {r.full_name for r in rows.values()} == {"NOM-001", "NOM-002"}
+    mail = rows[1].email
+    assert rows[2].email is None and mail.startswith("EMAIL-") and mail[6:].isdigit()
     texts = spark.createDataFrame(
-        [(1, f"{rows[1].full_name} wrote; EMAIL-001, EMAIL-0011, NOM-999 xEMAIL-001"), (2, None)],
+        [(1, f"{rows[1].full_name} wrote; {mail}, {mail}1, NOM-999 x{mail}"), (1, mail), (2, None)],
         "id int, note string")
-    back = {r.id: r.note for r in privacy.reidentify(texts, mapping, "id", ["note"]).collect()}
-    assert back == {1: "Ann wrote; a@x.fr, EMAIL-0011, NOM-999 xEMAIL-001", 2: None}
+    back = [(r.id, r.note) for r in privacy.reidentify(texts, mapping, "id", ["note"]).collect()]
+    assert sorted(back, key=str) == sorted(
+        [(1, f"Ann wrote; a@x.fr, {mail}1, NOM-999 x{mail}"), (1, "a@x.fr"), (2, None)], key=str)
 
 
-def test_numbers_grow_past_three_digits(spark):
+def test_tokens_keep_values_apart_and_need_the_salt(spark, tmp_path):
     df = spark.range(1200).selectExpr("concat('p', id) as who")
     tokens = {r.token for r in privacy.token_mapping(df, {"who": "name"}).collect()}
-    assert len(tokens) == 1200 and "NOM-001" in tokens and "NOM-1200" in tokens
+    assert len(tokens) == 1200
+    other = {r.token for r in privacy.token_mapping(df, {"who": "name"}, "salt").collect()}
+    assert not tokens & other
+    folder = str(tmp_path / "mapping")
+    stored = privacy.store_mapping(privacy.token_mapping(df, {"who": "name"}), folder)
+    assert stored.count() == 1200
+    privacy.forget_mapping(spark, folder)
+    assert not (tmp_path / "mapping").exists()
