@@ -49,7 +49,11 @@ def canonical(value):
         return ("l", str([canonical(v) for v in value]))
     if isinstance(value, str):
         return ("s", value)
-    return ("n", f"{float(value):.9g}")
+    if isinstance(value, int):
+        return ("n", str(value))
+    text = f"{float(value):.9g}"
+    return ("n", str(int(float(text))) if float(text).is_integer() and abs(float(text)) < 1e15
+            else text)
 
 
 def normal(columns, rows):

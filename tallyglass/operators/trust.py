@@ -99,6 +99,14 @@ def confidence(
 
     `audit_df`: analysis_id, tables_used, row_count, sampled, truncated, n_assumptions.
     """
+    return _scored(audit_df, quality_df, mappings_df, relations_df).select(
+        "analysis_id", "score", *[f"{n}_sub" for n in PARTS], "factors", "breakdown")
+
+
+def _scored(
+    audit_df: DataFrame, quality_df: DataFrame, mappings_df: DataFrame, relations_df: DataFrame
+) -> DataFrame:
+    """The audit rows with their confidence beside them."""
     names, scores = F.col("_names"), F.col("_scores")
     subs = {
         "quality": quality_subscore(names, scores),
@@ -143,7 +151,8 @@ def confidence(
         for n, w in fixed.CONFIDENCE_WEIGHTS.items()
     ])
     return rows.select(
-        "analysis_id", _clamp(score).alias("score"), *[sub[n].alias(f"{n}_sub") for n in PARTS],
+        *[c for c in audit_df.columns if c not in ("score", "factors", "breakdown")],
+        _clamp(score).alias("score"), *[sub[n].alias(f"{n}_sub") for n in PARTS],
         F.when(F.size(factors) == 0, F.array(F.lit("all signals good"))).otherwise(factors)
         .alias("factors"),
         F.sort_array(breakdown, asc=False).alias("breakdown"),
@@ -160,6 +169,14 @@ def checks(
     Amount basis, dates, NULLs in used columns, join fan-out (for analyses that join and
     aggregate) and the row count. Judged within each audit row, without a join.
     """
+    return _checked(audit_df, profile_df, as_of, measured_df).select(
+        "analysis_id", F.inline("_checks"))
+
+
+def _checked(
+    audit_df: DataFrame, profile_df: DataFrame, as_of: str, measured_df: DataFrame | None = None
+) -> DataFrame:
+    """The audit rows with the array of their checks beside them."""
     facts = F.struct(
         F.col("ordinal").alias("ordinal"), F.lower("column_name").alias("name"),
         F.coalesce("null_rate", F.lit(0.0)).alias("null_rate"),
@@ -222,8 +239,7 @@ def checks(
     return audit_df.select(
         "*", _short("tables_used").alias("_names"), _short("columns_used").alias("_cols"), *beside
     ).withColumn("_known", F.flatten(_found(names, F.col("_profiles")))).select(
-        "analysis_id", F.inline(F.filter(F.array(*tests), lambda c: c.isNotNull()))
-    )
+        *audit_df.columns, F.filter(F.array(*tests), lambda c: c.isNotNull()).alias("_checks"))
 
 
 def reliability(
@@ -242,14 +258,43 @@ def reliability(
         F.max(F.when(F.col("check") == "row_count", F.col("result"))).alias("rows"),
     )
     joined = confidence_df.join(tallied, "analysis_id", "left")
+    if audit_df is not None:
+        flags = audit_df.select("analysis_id", "causal", "has_drivers")
+        joined = joined.join(flags, "analysis_id", "left")
+    return _rated(joined, audit_df is not None)
+
+
+def rate_analyses(
+    audit_df: DataFrame, profile_df: DataFrame, as_of: str, quality_df: DataFrame,
+    mappings_df: DataFrame, relations_df: DataFrame, measured_df: DataFrame | None = None,
+) -> DataFrame:
+    """What `reliability` says, straight from the log: read once, neither exploded nor joined.
+
+    Checks stay an array of their row, and are counted in the projection that scores it.
+    """
+    checked = _checked(audit_df, profile_df, as_of, measured_df)
+    rows = _scored(checked, quality_df, mappings_df, relations_df)
+
+    def having(result: str) -> Column:
+        return F.size(F.filter("_checks", lambda c: c["result"] == result))
+
+    def of(check: str) -> Column:
+        return F.try_element_at(F.filter("_checks", lambda c: c["check"] == check),
+                                F.lit(1))["result"]
+
+    return _rated(rows.withColumns({
+        "n_fail": having("fail"), "n_warn": having("warn"), "nulls": of("nulls"),
+        "dates": of("dates"), "rows": of("row_count")}), True)
+
+
+def _rated(joined: DataFrame, flagged: bool) -> DataFrame:
+    """(analysis_id, percent, stars, factors, verdict) of rows with scores and counted checks."""
     fails, warns = F.coalesce("n_fail", F.lit(0)), F.coalesce("n_warn", F.lit(0))
     score = _clamp(F.col("score") - 0.20 * fails - 0.05 * warns)
     stars = F.when(F.col("rows") == "fail", 1).otherwise(
         F.least(F.lit(5), F.greatest(F.lit(1), F.bround(score * 5).cast("int"))))
     verdict = F.lit(None).cast("string")
-    if audit_df is not None:
-        flags = audit_df.select("analysis_id", "causal", "has_drivers")
-        joined = joined.join(flags, "analysis_id", "left")
+    if flagged:
         verdict = F.when(F.col("causal") & ~F.col("has_drivers"), "cannot_conclude")
 
     def ok(test, otherwise):

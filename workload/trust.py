@@ -161,8 +161,9 @@ select analysis_id, cast(round_even(cast(s * 100 as double), 0) as int) as perce
 from s
 """)
 def _(spark, sf):
-    return X.reliability(checks(spark, sf), confidence(spark, sf), base.audit(spark, sf)).drop(
-        "factors")
+    return X.rate_analyses(
+        base.audit(spark, sf), profiles(spark, sf), AS_OF, base.quality_scores(spark, sf),
+        key_mappings(spark), base.edges(spark)).drop("factors")
 
 
 PROOF_SQL = f"""(
