@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyglass.functions import fixed
 from tallyglass.operators import (
@@ -202,6 +202,39 @@ def investigate(
     return found
 
 
+def what_if(
+    subject: Subject, pct: float, measure: Column | None = None, top: int = 4
+) -> DataFrame:
+    """A change of the measure in percent, spread over the leading groups of one dimension.
+
+    (total, projected, delta, dimension, rank, label, share, gain). The dimension is the first of
+    the subject's that has a usable number of groups; without one there are no rows.
+    """
+    value = _value(subject, measure)
+    plan = segments.project(subject.base, value, pct)
+    groups = segments.segment_by(subject.base, subject.dims, value)
+    usable = {r.dimension for r in groups.select("dimension").distinct().collect()}
+    chosen = next((d.name for d in subject.dims if d.name in usable), "")
+    spread = segments.allocate_gain(
+        groups, plan.select("delta").scalar(), chosen, top)
+    facts = plan.select(F.struct("total", "projected", "delta").alias("facts")).scalar()
+    return spread.withColumn("facts", facts).select(
+        "facts.*", "dimension", "rank", "label", "share", "gain")
+
+
+def reuse_findings(spark: SparkSession, folder: str, fingerprint: str, find) -> tuple[DataFrame, bool]:
+    """(findings, whether they were reused): those stored under an unchanged fingerprint.
+
+    Otherwise `find()` is run, and its result is stored in the shared folder for the next time.
+    """
+    place = f"{folder.rstrip('/')}/{fingerprint}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    reused = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    if not reused:
+        find().write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place), reused
+
+
 def discover(
     known: Knowledge, fact: str | None = None, hidden_tables: tuple[str, ...] = (),
     hidden_columns: tuple[tuple[str, str], ...] = (), max_items: int | None = None,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import os
 import re
 
@@ -11,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyglass.functions import fixed
 
 BOM = "﻿"
-SNIFFED_CHARACTERS = 4096
 
 
 def table_name(path: str) -> str:
@@ -21,36 +19,39 @@ def table_name(path: str) -> str:
     return name if name and not name[0].isdigit() else f"t_{name}"
 
 
-def sniff_delimiter(head: str) -> str:
-    try:
-        return csv.Sniffer().sniff(head, delimiters=fixed.DELIMITERS).delimiter
-    except csv.Error:
-        return ","
+def find_delimiter(lines: DataFrame) -> str:
+    """The delimiter that cuts every line alike, or else every line most often; by all lines."""
+    bare = lines.where("trim(value) <> ''").select(
+        F.regexp_replace("value", '"[^"]*"', "").alias("line"))
+    counts = [F.length("line") - F.length(F.translate("line", d, "")) for d in fixed.DELIMITERS]
+    seen = bare.agg(*[f(c).alias(f"{name}_{i}") for i, c in enumerate(counts)
+                      for name, f in (("low", F.min), ("high", F.max))]).first()
+    if seen["low_0"] is None:
+        raise ValueError("the file is empty")
+    ranked = [(seen[f"low_{i}"] == seen[f"high_{i}"] > 0, seen[f"low_{i}"], -i)
+              for i in range(len(fixed.DELIMITERS))]
+    best = max(ranked)
+    return fixed.DELIMITERS[-best[2]] if best[1] > 0 else ","
 
 
-def read_delimited(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+def read_delimited(
+    spark: SparkSession, path: str, name: str | None = None, sep: str | None = None,
+    multi_line: bool = False,
+) -> DataFrame:
     """Read one file or a folder of files whose first row is a header.
 
     Types come from every row, not a sample: a column is BIGINT when all its values are whole
-    numbers, DOUBLE when all are numbers (decimal comma accepted), and text otherwise. Files
-    stay splittable unless a quoted field really spans lines.
+    numbers, DOUBLE when all are numbers (decimal comma accepted), and text otherwise. Without
+    `sep` all lines decide on it. Files are split among tasks line by line, so an unclosed quote
+    spoils one line at most; quoted fields that span lines need `multi_line`, one task per file.
     """
-    lines = spark.read.text(path)
-    head, size = [], 0
-    for row in lines.limit(200).collect():
-        head.append(row.value[: SNIFFED_CHARACTERS - size])
-        size += len(head[-1]) + 1
-        if size >= SNIFFED_CHARACTERS:
-            break
-    if not head:
-        raise ValueError(f"{path} is empty")
-    quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
-    spans_lines = not lines.where(quotes % 2 == 1).isEmpty()
+    if sep is None:
+        sep = find_delimiter(spark.read.text(path))
 
     reader = (
-        spark.read.option("sep", sniff_delimiter("\n".join(head).lstrip(BOM)))
+        spark.read.option("sep", sep)
         .option("header", True).option("inferSchema", False)
-        .option("multiLine", spans_lines).option("quote", '"').option("escape", '"')
+        .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
         .option("nullValue", "").option("emptyValue", "")
     )
     raw = reader.csv(path)

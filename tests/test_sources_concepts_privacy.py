@@ -29,7 +29,15 @@ def test_delimited_types_use_every_row_and_quotes_may_span_lines(spark, tmp_path
     df = delimited.read_delimited(spark, write(tmp_path, "t.csv", body))
     assert dict(df.dtypes) == {"a": "bigint", "b": "string"} and df.count() == 601
     spanning = write(tmp_path, "s.csv", 'a,b\n1,"two\nlines"\n2,x\n')
-    assert delimited.read_delimited(spark, spanning).orderBy("a").first().b == "two\nlines"
+    spanned = delimited.read_delimited(spark, spanning, multi_line=True)
+    assert spanned.orderBy("a").first().b == "two\nlines"
+
+
+def test_delimiter_is_decided_by_all_lines_and_an_odd_quote_spoils_one(spark, tmp_path):
+    late = write(tmp_path, "late.csv", "a;b\n" + "1,5;2\n" * 500 + "3;4\n")
+    assert delimited.read_delimited(spark, late).count() == 501
+    odd = write(tmp_path, "odd.csv", 'a,b\n1,x\n2,"open\n3,y\n4,z\n')
+    assert delimited.read_delimited(spark, odd).count() == 4
 
 
 def test_bounded_flags_only_what_was_really_cut(spark):

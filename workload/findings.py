@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyglass.operators import findings as I, profile as P, relations as R
 from tallyglass.plans import analysis
+from tallyglass.session import ensure_checkpoint_dir
 from workload import base
 from workload.base import profile_sql, query
 from workload.joins import measured_sql, planted
@@ -179,3 +182,15 @@ def _(spark, sf):
     now = print_of(spark, sf, P.profile_all({"customer": base.contacts(spark, sf)}),
                    scores.where("table_name <> 'part'"))
     return I.stale_reason(before, now).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("I6_reused_findings", f"select {ROUNDED}, true as reused from {ALL_SQL}")
+def _(spark, sf):
+    folder = f"{ensure_checkpoint_dir(spark)}/findings-{uuid.uuid4().hex}"
+
+    def find():
+        return every(spark, sf).select(*SHOWN)
+
+    _, first = analysis.reuse_findings(spark, folder, "v1", find)
+    again, reused = analysis.reuse_findings(spark, folder, "v1", find)
+    return rounded(again, "figure", digits=4).withColumn("reused", F.lit(reused and not first))

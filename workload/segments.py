@@ -370,3 +370,19 @@ def _(spark, sf):
     plan = G.project(base_table(spark, sf), "amount", 10)
     return rounded(rounded(G.allocate_gain(
         groups, plan.select("delta").scalar(), "c_mktsegment"), "share"), "gain", digits=2)
+
+
+@query("W2_what_if", f"""
+with whole as (select cast(sum(amount) as double) as total from {BASE_SQL})
+select round(w.total, 4) as total, round(w.total * 1.1, 2) as projected,
+  round(w.total * 1.1 - w.total, 2) as delta, dimension, rank, label, round(share, 6) as share,
+  round((w.total * 1.1 - w.total) * share, 2) as gain
+from (select dimension, label, cast(row_number() over (order by total desc, label) as int) as rank,
+    cast(total as double) / sum(cast(total as double)) over () as share
+  from {SEGMENTS_SQL} where dimension = 'o_orderstatus'), whole w
+where rank <= 4
+""")
+def _(spark, sf):
+    subject = analysis.Subject("orders", base_table(spark, sf), "amount", dims())
+    return rounded(rounded(rounded(analysis.what_if(subject, 10), "share"), "total", digits=4),
+                   "projected", "delta", "gain", digits=2)
