@@ -29,6 +29,8 @@ def test_every_oracle_has_a_query():
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
-    assert entry.queries().keys() == QUERIES.keys()
-    assert entry.oracle_sql() == ORACLES
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert ORACLES.items() <= entry.oracle_sql().items()
+    more = entry.queries().keys() - QUERIES.keys()  # of the subpackage llm, where it exists
+    assert all(name == "pipeline" or name.startswith("op") for name in more)
     assert {"dimension", "power"} <= set(entry.entry(spark).columns)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from tallyglass.operators import alerts, quality, trust
+from tallyglass.operators import alerts, quality, relations, trust
 
 PROFILE = ("table_name string, column_name string, declared_type string, sampled boolean, "
            "null_count bigint, non_null_count bigint, distinct_count bigint, "
@@ -136,3 +136,46 @@ def test_alert_conditions(spark, comparison, threshold, before, value, expected)
 def test_windows_of_product_metrics_are_bounded(spark):
     with pytest.raises(ValueError):
         alerts.product_metrics(spark.range(1), "2024-01-01", days=0)
+
+
+def edges_frame(spark, *edges):
+    return spark.createDataFrame(
+        [(*e, "inferred", "proposed", 0.8) for e in edges],
+        "from_table string, from_column string, to_table string, to_column string, kind string, "
+        "status string, confidence double")
+
+
+def test_keys_of_different_types_are_compared_by_value(spark):
+    tables = {"a": spark.sql("select 1L as k, -0.0D as f, '7' as t union all select 2L, 1.5D, 'x'"),
+              "b": spark.sql("select cast(1 as decimal(10,2)) as k, 0 as f, 7 as t "
+                             "union all select 2, 3, 8")}
+    edges = edges_frame(spark, ("a", "k", "b", "k"), ("a", "f", "b", "f"), ("a", "t", "b", "t"))
+    orphans = {r.from_column: r.orphans for r in relations.integrity(edges, tables).collect()}
+    assert orphans == {"k": 0, "f": 1, "t": 1}
+
+
+def test_two_edges_to_one_table_and_all_linked_tables(spark):
+    tables = {"orders": spark.sql("select 1 as billing, 2 as shipping, 1 as c, 1 as d, 1 as e"),
+              "address": spark.sql("select 1 as id, 'Lyon' as city union all select 2, 'Lille'")}
+    tables |= {n: spark.sql(f"select 1 as id, '{n}' as name") for n in ("cc", "dd", "ee")}
+    edges = edges_frame(
+        spark, ("orders", "billing", "address", "id"), ("orders", "shipping", "address", "id"),
+        ("orders", "c", "cc", "id"), ("orders", "d", "dd", "id"), ("orders", "e", "ee", "id"))
+    row = relations.star("orders", edges, tables).first()
+    assert row["address_by_billing__city"] == "Lyon"
+    assert row["address_by_shipping__city"] == "Lille"
+    assert (row["cc__name"], row["dd__name"], row["ee__name"]) == ("cc", "dd", "ee")
+    one = relations.star("orders", edges, tables, {"cc"})
+    assert [c for c in one.columns if "__" in c] == ["cc__id", "cc__name"]
+
+
+def test_only_a_table_with_one_key_is_pointed_to(spark):
+    columns = spark.createDataFrame(
+        [("store", "id", "bigint", True), ("store", "legacy_key", "bigint", True),
+         ("item", "id", "bigint", True), ("sale", "store_id", "bigint", False),
+         ("sale", "item_id", "bigint", False)],
+        "table_name string, column_name string, data_type string, is_pk boolean")
+    sizes = spark.createDataFrame([("store", 3), ("item", 3), ("sale", 9)],
+                                  "table_name string, n_rows bigint")
+    rows = relations.infer_relations(columns, sizes).collect()
+    assert [(r.from_column, r.to_table, r.to_column) for r in rows] == [("item_id", "item", "id")]

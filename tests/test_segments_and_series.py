@@ -56,6 +56,17 @@ def test_dimensions_need_two_to_twentyfive_groups(spark):
     assert kept == {"many": 25, "gaps": 2}
 
 
+def test_all_dimensions_are_measured_and_the_rejected_named(spark):
+    df = spark.range(200).selectExpr("id", *[f"id % {k + 2} as d{k}" for k in range(10)],
+                                     "id as each", "0.004D as rate")
+    dims = [Dimension.category(f"d{k}") for k in range(10)] + [Dimension.category("each")]
+    groups = G.segment_by(df, dims, "rate")
+    assert {r.dimension for r in groups.collect()} == {f"d{k}" for k in range(10)}
+    assert groups.where("dimension = 'd0'").agg(F.sum("total")).first()[0] == pytest.approx(0.8)
+    assert [r.dimension for r in G.rejected_dimensions(groups, dims).collect()] == ["each"]
+    assert G.segment_by(df, []).count() == 0
+
+
 def test_second_dimension_prefers_another_column_and_not_time(spark):
     stats = spark.createDataFrame(
         [("age", "band", 0.9), ("age by two", "band", 0.8), ("month", "temporal", 0.7),
