@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 from tallyglass.llm.common import prepare, whole_text
 
 SAMPLE_DOCS = 4000
-WINDOWS_OF_DOC = 24
+WINDOWS_OF_DOC = 12
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 8, 8, 256
 SHARE_OF_DOCS = 80  # a word is frequent if at least one document in so many has it
 STEPS, BATCH, RATE, DECAY = 600, 64, 0.003, 0.01
 MARKS = b".,;:!?\"'()[]{}*#&$%-_|<>~+=/\\"
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 100_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -56,13 +56,18 @@ class Words:
         code = code % CHAR_ROWS
         reach = np.repeat(np.arange(len(words)), size)
         offset = np.arange(len(reach)) - np.repeat(np.cumsum(size) - size, size)
-        self.gram, self.of, self.size = code[first[reach] + offset], reach, np.maximum(size, 1)
+        self.gram, self.of = code[first[reach] + offset].astype(np.int32), reach.astype(np.int32)
+        self.size = np.maximum(size, 1)
 
     def inputs(self, p: dict) -> np.ndarray:
         grams = np.zeros((len(self.word), CHAR_DIM), p["char"].dtype)
-        if len(self.gram):
-            starts = np.searchsorted(self.of, np.arange(len(self.word)))
-            grams = np.add.reduceat(p["char"][self.gram], starts) / self.size[:, None]
+        for k in range(0, len(self.word), 1 << 14):
+            first = np.searchsorted(self.of, np.arange(k, min(k + (1 << 14), len(grams)) + 1))
+            if first[-1] > first[0]:
+                sums = np.add.reduceat(p["char"][self.gram[first[0]:first[-1]]],
+                                       np.minimum(first[:-1], first[-1] - 1) - first[0])
+                sums[first[1:] == first[:-1]] = 0
+                grams[k:k + (1 << 14)] = sums / self.size[k:k + (1 << 14), None]
         return np.concatenate((p["word"][self.word], grams), axis=1).astype(p["char"].dtype)
 
 
@@ -164,8 +169,8 @@ def gates(p: dict, x: np.ndarray) -> dict:
 def numbered(windows, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words of n windows, and the windows as rows of their numbers with a mask."""
     known: dict[bytes, int] = {b"": 0}
-    ids = np.zeros((n, WINDOW), np.int64)
-    mask = np.zeros((n, WINDOW))
+    ids = np.zeros((n, WINDOW), np.int32)
+    mask = np.zeros((n, WINDOW), np.float32)
     for i, window in enumerate(windows):
         ids[i, :len(window)] = [known.setdefault(w, len(known)) for w in window]
         mask[i, :len(window)] = 1
@@ -206,9 +211,11 @@ def train(sample: list[tuple[int, list[bytes]]], seed: int = 11) -> dict:
         if turn < rounds * 2 // 3:
             chosen = first[:-1] + (rng.random(len(label)) * np.diff(first)).astype(int)
         else:
-            table = gates(p, book.inputs(p))
-            scores = np.concatenate([forward(p, table, ids[k:k + 2048], mask[k:k + 2048])
-                                     for k in range(0, len(ids), 2048)])
+            low = {k: v.astype(np.float32) for k, v in p.items()}
+            table = gates(low, book.inputs(low))
+            scores = np.concatenate([forward(low, table, ids[k:k + 512], mask[k:k + 512])
+                                     for k in range(0, len(ids), 512)])
+            del table
             chosen = np.array([a + int(np.argmax(scores[a:b]))
                                for a, b in zip(first[:-1], first[1:], strict=True)])
             trust = np.where(label == 1, scores[chosen] ** 2, 1.0)
@@ -251,7 +258,7 @@ def score_texts(texts: list[bytes], model: dict) -> np.ndarray:
         words, ids, mask = numbered(windows, len(windows))
         table = gates(p, Words(words, model["vocabulary"]).inputs(p))
         for k in range(0, len(ids), 1024):
-            got = forward(p, table, ids[k:k + 1024], mask[k:k + 1024].astype(np.float32))
+            got = forward(p, table, ids[k:k + 1024], mask[k:k + 1024])
             np.maximum.at(best, owner[k:k + 1024], got)
         windows.clear()
         owner.clear()
