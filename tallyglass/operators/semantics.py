@@ -91,23 +91,20 @@ def amount_variant(name: Column) -> Column:
 
 
 def flag_arbitration(proposals_df: DataFrame) -> DataFrame:
-    """Mark every amount column when net, gross or unmarked amounts exist side by side."""
+    """Mark every amount column when net, gross or unmarked amounts exist side by side.
+
+    The note says how many there are of each kind; which they are, the rows themselves tell.
+    """
     amount = F.col("concept") == "Montant"
     marked = proposals_df.withColumn(
         "variant", F.when(amount, amount_variant(F.col("column_name")))
     )
-    shown = F.concat(
-        F.concat_ws(".", *COLUMN), F.lit(" ("), F.coalesce("variant", F.lit("unmarked")),
-        F.lit(")"),
-    )
-    # Amount columns are a part of the catalog: a list of names, not of data.
-    seen = marked.where(amount).agg(
-        F.count_distinct("variant").alias("variants"),
-        F.count_if(F.col("variant").isNull()).alias("unmarked"),
-        F.concat_ws(", ", F.sort_array(F.collect_list(shown))).alias("listing"),
-    )
-    clash = (F.col("variants") > 1) | ((F.col("variants") == 1) & (F.col("unmarked") > 0))
-    listing = seen.select(F.when(clash, F.col("listing"))).scalar()
+    kinds = ("net", "gross", "unmarked")
+    seen = marked.where(amount).agg(*[
+        F.count_if(F.coalesce("variant", F.lit("unmarked")) == kind).alias(kind) for kind in kinds])
+    clash = sum(((F.col(kind) > 0).cast("int") for kind in kinds), F.lit(0)) > 1
+    listing = seen.select(F.when(clash, F.concat_ws(", ", *[
+        F.concat_ws(" ", F.col(kind).cast("string"), F.lit(kind)) for kind in kinds]))).scalar()
     note = F.when(amount, listing)
     return marked.select(
         *COLUMN, "concept", "confidence", "rationale", "variant",
@@ -222,21 +219,19 @@ def review_mappings(
 
 
 def dictionary(mappings_df: DataFrame, concepts_df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(concept -> columns, table -> synonyms), from decided mappings only."""
+    """(concept, table, column) and (table, word), one row each, from decided mappings only.
+
+    A concept may have very many columns: whoever exports the dictionary folds the rows.
+    """
     decided = mappings_df.where("status in ('validated', 'corrected')")
-    by_concept = decided.groupBy("concept").agg(
-        F.sort_array(F.collect_set(F.concat_ws(".", *COLUMN))).alias("columns")
-    )
-    # A table answers to as many words as its concepts have: a few dozen.
+    by_concept = decided.select("concept", *COLUMN).distinct()
     words = F.transform(
         F.concat(F.array("concept"), F.coalesce("synonyms", F.array().cast("array<string>"))),
         F.lower,
     )
     by_table = decided.select("table_name", "concept").distinct().join(
         concepts_df, "concept", "left"
-    ).select("table_name", F.explode(words).alias("word")).groupBy("table_name").agg(
-        F.sort_array(F.collect_set("word")).alias("synonyms")
-    )
+    ).select("table_name", F.explode(words).alias("word")).distinct()
     return by_concept, by_table
 
 

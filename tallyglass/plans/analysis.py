@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyglass.functions import fixed
 from tallyglass.operators import (
-    findings, profile as profiling, quality, relations, segments, series,
+    findings, profile as profiling, quality, relations, segments, semantics, series,
 )
 from tallyglass.sources import catalog
 
@@ -265,6 +265,19 @@ def discover(
     return findings.rank_findings(catalog.union_all(parts), max_items)
 
 
+def map_concepts(
+    profile_df: DataFrame, existing_df: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(mappings, counts): columns proposed, flagged, corrected by what people confirmed, and merged.
+
+    Decisions in `existing_df` stay as they are and teach the proposals of columns of the same name.
+    """
+    proposed = semantics.flag_arbitration(semantics.propose_concepts(profile_df))
+    taught = semantics.apply_learning(
+        proposed, profile_df, semantics.learned_patterns(existing_df))
+    return semantics.merge_proposals(existing_df, taught)
+
+
 def score_quality(
     known: Knowledge, usage_df: DataFrame, as_of: str, weights: dict[str, float] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

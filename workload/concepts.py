@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyglass.functions import fixed
 from tallyglass.operators import profile as P, semantics as S
 from tallyglass.sources import catalog
+from tallyglass.plans import analysis
 from workload import base
 from workload.base import profile_sql, query, table, tables
 
@@ -95,8 +96,8 @@ with p as (select *, case when concept = 'Montant' then {_variant_sql('column_na
   as variant from {proposals_sql()}),
 clash as (select count(distinct variant) > 1 or (count(distinct variant) = 1
     and count(*) filter (variant is null) > 0) as clash,
-  string_agg(table_name || '.' || column_name || ' (' || coalesce(variant, 'unmarked') || ')',
-    ', ' order by table_name || '.' || column_name) as listing
+  count(*) filter (variant = 'net') || ' net, ' || count(*) filter (variant = 'gross')
+    || ' gross, ' || count(*) filter (variant is null) || ' unmarked' as listing
   from p where concept = 'Montant')
 select table_name, column_name, concept, variant, concept = 'Montant' and clash
   as needs_arbitration,
@@ -209,6 +210,27 @@ def _(spark, sf):
     return S.merge_proposals(base.mappings(spark, sf), fresh(spark, sf))[1]
 
 
+@query("E6_concept_chain", f"""
+with p as (select *, case when concept = 'Montant' then {_variant_sql('column_name')} end
+  as variant from {proposals_sql()}),
+clash as (select count(distinct variant) > 1 or (count(distinct variant) = 1
+    and count(*) filter (variant is null) > 0) as clash from p where concept = 'Montant')
+select 'elsewhere' as table_name, 'EMAIL' as column_name, 'Contrat' as concept,
+  'validated' as status, false as needs_arbitration
+union all
+select table_name, column_name, case when lower(column_name) = 'email' then 'Contrat'
+  else concept end, 'proposed', lower(column_name) <> 'email' and concept = 'Montant' and clash
+from p, clash
+""")
+def _(spark, sf):
+    said = spark.createDataFrame(
+        [("elsewhere", "EMAIL", "Contrat", 1.0, "said", "validated", False)],
+        "table_name string, column_name string, concept string, confidence double, "
+        "rationale string, status string, needs_arbitration boolean")
+    return analysis.map_concepts(profiles(spark, sf), said)[0].select(
+        "table_name", "column_name", "concept", "status", "needs_arbitration")
+
+
 DECISIONS = ["lower(p_type) as table_name",
              "concat('Col_', cast(p_partkey as string)) as column_name",
              "case p_size % 4 when 0 then 'validate' when 1 then 'reject' when 2 then 'correct' "
@@ -253,27 +275,23 @@ VALID_SQL = f"(select * from {base.MAPPINGS_SQL} where status in ('validated', '
 
 
 @query("E8_dictionary_concepts", f"""
-select concept, count(*) as n, string_agg(table_name || '.' || column_name, ','
-  order by table_name || '.' || column_name) as columns
-from {VALID_SQL} group by concept
+select distinct concept, table_name, column_name from {VALID_SQL}
 """)
 def _(spark, sf):
     by_concept, _ = S.dictionary(base.mappings(spark, sf), S.concepts(spark))
-    return by_concept.select("concept", F.size("columns").cast("bigint").alias("n"),
-                             F.array_join("columns", ",").alias("columns"))
+    return by_concept
 
 
 @query("E8_dictionary_tables", f"""
-select table_name, string_agg(distinct word, ',' order by word) as synonyms from (
+select table_name, word from (
   select table_name, lower(concept) as word from {VALID_SQL}
   union select table_name, lower(w) from (
     select table_name, unnest(synonyms) as w from {VALID_SQL} v
     join {base.LEXICON_SQL} on lexicon.concept = v.concept))
-group by table_name
 """)
 def _(spark, sf):
     _, by_table = S.dictionary(base.mappings(spark, sf), S.concepts(spark))
-    return by_table.select("table_name", F.array_join("synonyms", ",").alias("synonyms"))
+    return by_table
 
 
 @query("E9_measure_arbitration", f"""
