@@ -46,16 +46,18 @@ def table_columns(spark: SparkSession, tables: dict[str, DataFrame], schema: str
 def unique_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """Key columns by their values: key-like name, no NULL, as many distinct values as rows.
 
-    Candidates are judged by name and type first, so only those columns are read. Stands in for
-    the primary keys a parquet folder cannot declare.
+    Candidates are judged by name and type first, then by their range: whole numbers with NULLs, or
+    with fewer numbers between the smallest and the largest than rows, cannot all differ. Only
+    the values of what is left are shuffled. Stands in for the primary keys a parquet folder
+    cannot declare.
     """
+    likely = _likely_keys(tables)
     names, cells = [], []
     for name, df in tables.items():
         structs = []
-        for f in df.schema.fields:
-            if kinds.kind_of(f.dataType) == "integer" and kinds.is_key_name(f.name):
-                structs.append(f"named_struct('c', {len(names)}, 'v', cast(`{f.name}` as bigint))")
-                names.append((len(names), name, f.name))
+        for column in likely.get(name, []):
+            structs.append(f"named_struct('c', {len(names)}, 'v', cast(`{column}` as bigint))")
+            names.append((len(names), name, column))
         if structs:
             cells.append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
     spark = next(iter(tables.values())).sparkSession
@@ -70,6 +72,22 @@ def unique_keys(tables: dict[str, DataFrame]) -> DataFrame:
     return listed.join(full, "c").select("table_name", "column_name")
 
 
+def _likely_keys(tables: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """Key-named whole-number columns whose range leaves room for all rows; one row per table."""
+    parts = []
+    for name, df in tables.items():
+        fits = [
+            f"if(count(`{f.name}`) = count(*) and cast(max(`{f.name}`) as decimal(20,0)) "
+            f"- min(`{f.name}`) + 1 >= count(*), '{f.name}', null)"
+            for f in df.schema.fields
+            if kinds.kind_of(f.dataType) == "integer" and kinds.is_key_name(f.name)
+        ]
+        if fits:
+            parts.append(df.selectExpr(f"array_compact(array({', '.join(fits)})) as likely").select(
+                F.lit(name).alias("table_name"), "likely"))
+    return {r.table_name: r.likely for r in union_all(parts).collect()} if parts else {}
+
+
 def build_catalog(
     tables: dict[str, DataFrame], keys: DataFrame | None = None, schema: str = "main",
     comments: dict[str, str] | None = None,
