@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over `documents`, each written and read again before the next.
 
 1. toxicity: documents scored 0.5 or more go (learned from labels outside the held-out fold);
-2. near-duplicates: one document of each group of linked fingerprints stays, the smallest id;
+2. near-duplicates: one document of each group of linked fingerprints stays, the smallest id; rows
+   without an id, or with a repeated one, are in a group by their text alone;
 3. decontamination: documents that hold a passage of the benchmark go;
 4. secrets: live-looking secrets are replaced in the text, n_chars follows;
 5. tokens: token ids, their number, and whether decoding gives the text back.
@@ -32,13 +33,9 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component, once; a component without ids keeps one
-    row. Of rows with the same id and text one stays, chosen by its other columns."""
-    groups = simhash.near_duplicates(docs).select("doc_id", "component_id")
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    return rows.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select(
-        *[F.col(f"row.{c}").alias(c) for c in COLUMNS])
+    """The document of the smallest id of each component, nulls last, once; of several rows with
+    that id the smallest by the other columns."""
+    return simhash.one_of_each(docs, tuple(COLUMNS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

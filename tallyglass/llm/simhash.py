@@ -50,16 +50,22 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text"):
-    """(doc_id, fp long) of every row, repeated rows included; a null or empty text has 0."""
+def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text",
+                 keep: tuple = ()):
+    """(doc_id, fp long) of every row, repeated rows included; a null or empty text has 0. With
+    keep, also row: a struct of those columns."""
     def rows(batches):
         for batch in batches:
-            fps = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t, words) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())],
+                                             [*batch.schema.names[:-1], "fp"])
 
     prepare(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")
-                       ).mapInArrow(rows, "doc_id long, fp long")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
+                         *([F.struct(*keep).alias("row")] if keep else []),
+                         whole_text(text).alias("text"))
+    return source.mapInArrow(rows, source.withColumn("text", F.lit(0).cast("long")).withColumnRenamed(
+        "text", "fp").schema)
 
 
 def remainders() -> np.ndarray:
@@ -132,6 +138,16 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def components(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(fp, root, least, component_id) of every distinct fingerprint of fps (doc_id, fp): the
+    component's smallest fingerprint, and the smallest doc_id of fp and of the component."""
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    roots = connected(links(distinct, bucket)).select(F.col("node").alias("fp"), "root")
+    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "root", "least", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, bucket: int = BUCKET,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs.
@@ -142,10 +158,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, bucket: int = BUCKET,
     of docs are not looked at.
     """
     fps = fingerprints(docs, words, doc_id, text).checkpoint()
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    roots = connected(links(distinct, bucket)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(names, "fp").select(
+    return fps.join(components(fps, bucket), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, keep: tuple, words: int = 3, bucket: int = BUCKET,
+                doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The kept columns of one row of each component: that of the smallest doc_id, nulls last, and
+    of several such rows the smallest by the kept columns in their order.
+
+    Rows are told apart by their component, not by their id: rows without an id, or with the same
+    one, stay as long as their texts are not linked. Rows are folded by fingerprint before they
+    meet the components, so that a text that fills a third of the table is one row by then.
+    """
+    names = components(fingerprints(docs, words, doc_id, text).checkpoint(), bucket)
+    best = fingerprints(docs, words, doc_id, text, keep).groupBy("fp").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("best"))
+    chosen = best.join(names.where("least <=> component_id").select("fp", "root"), "fp").groupBy(
+        "root").agg(F.min("best").alias("best"))
+    return chosen.select(*[F.col(f"best.row.{c}").alias(c) for c in keep])

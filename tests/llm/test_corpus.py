@@ -254,3 +254,21 @@ def test_pipeline(spark, odd):
     for name, stage in corpus_pipeline.STAGES[2:]:
         assert stage(spark, rows, sf).count() == rows.count(), name
         assert stage(spark, rows.limit(0), sf).count() == 0, name
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    one, two, three = ("the quick brown fox jumps over the lazy dog again",
+                       "a wholly different sentence about rivers and stones",
+                       "numbers and letters fill this third line up to its end")
+    rows = [(None, "a text without an id"), (None, None), (4, ""), (None, one), (None, one),
+            (None, two), (7, one), (8, two), (8, three), (8, three), (9, three), (None, "only here"),
+            (None, "only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars")
+    kept = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs, "")
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(None, "a text without an id"), (4, ""), (7, one), (8, two), (8, three),
+                          (None, "only here")], key=str)
+    assert kept.columns == docs.columns
