@@ -4,6 +4,8 @@ Candidates of all texts are hashed, and each hash is counted by distinct reposit
 A value that many owners carry is an example that was copied about; a value that stays with few
 owners looks like a live credential. Base patterns are always reported. Opaque tokens (long runs of
 mixed letters and digits), which alone would be too vague, are reported only where they look live.
+So are private keys: a key is its whole block up to the END line, or without one the lines of base64
+that follow, and what is counted is its body without line breaks.
 Only DataFrame functions are used. Counting sums before it shuffles, so a hash held by a third of
 all rows is no larger than any other afterwards.
 """
@@ -23,8 +25,16 @@ BASE = (
     ("access", "AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", "(?<![0-9a-f])[0-9a-f]{16,}", 0, 16),
 )
+#: Of a private key's block. Repeated groups are possessive: these need no stack in Java.
+END = "-----END [A-Z ]{0,40}PRIVATE KEY-----"
+BREAK = r"(?:\s|\\[nr])"
+BODY = (rf"(?:[^-]++|-(?!----))*+(?={END})"
+        rf"|(?:{BREAK}{{1,8}}+(?:Proc-Type|DEK-Info):[^\r\n\\]{{0,200}}+)*+"
+        rf"(?:{BREAK}{{0,8}}+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
+        rf"(?:{BREAK}{{1,8}}+[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}+|(?<=[\r\n][A-Za-z0-9+/]{{1,15}})"
+        r"(?=[\r\n]|\z)))?+")
 ADDED = (
-    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("pem", f"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----({BODY})(?:{END})?", 1, 1),
     ("opaque", "(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])(?=[0-9_-]{0,200}[A-Za-z])"
                "[A-Za-z0-9_-]{20,}", 0, 20),
 )
@@ -40,6 +50,18 @@ def _long_enough(spans: Column, least: int) -> Column:
     return F.filter(spans, lambda s: F.char_length(s["value"]) >= least)
 
 
+def _value(kind: str, match: Column, group: Column) -> Column:
+    """What counts of a match: its group; of a key, the body without breaks, or a lone header."""
+    if kind != "pem":
+        return group
+    body = F.regexp_replace(group, BREAK, "")
+    return F.when(body == "", match).otherwise(body)
+
+
+def _values(kind: str, found: Column, groups: Column) -> Column:
+    return F.zip_with(found, groups, lambda m, g: _value(kind, m, g))
+
+
 def candidates(docs: DataFrame, keep: tuple, owner: str, repository: str, text: str) -> DataFrame:
     """The kept columns, owner, repository, the text where there are candidates, and their spans."""
     out = docs.select(*keep, F.col(owner).cast("string").alias("__owner"),
@@ -50,7 +72,8 @@ def candidates(docs: DataFrame, keep: tuple, owner: str, repository: str, text:
     spans = {}
     for rank, (kind, pattern, group, least) in enumerate(kinds):
         found = F.col(f"__m_{kind}")
-        values = F.when(F.size(found) > 0, matches(_text(), pattern, group)) if group else found
+        values = F.when(F.size(found) > 0, _values(
+            kind, found, matches(_text(), pattern, group))) if group else found
         spans[kind] = _long_enough(placed(_text(), pattern, found, values, kind, rank), least)
     return out.select(
         *keep, "__owner", "__repo", "__text",
@@ -92,13 +115,16 @@ def scan(docs: DataFrame, keep: tuple = ("doc_id",), owner: str = "source",
     def live(s):
         return F.element_at("owners", F.sha2(s["value"], 256)) < copied
 
-    def apart(s):
-        return ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    def apart(s, keys):
+        within = F.exists(keys, lambda k: (k["start"] <= s["start"]) & (s["stop"] <= k["stop"]))
+        return (s["kind"] == "pem") | ~within & ~F.exists(
+            "__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
 
-    return joined.select(
-        *keep, F.col("__text"), F.col("__base").alias("base"),
-        F.array_sort(F.concat("__base", F.filter("__added", lambda s: live(s) & apart(s)))
-                     ).alias("spans"), "owners")
+    added = F.flatten(F.transform(  # the keys of a text are filtered out once, not for each span
+        F.array(F.filter("__added", lambda s: s["kind"] == "pem")),
+        lambda keys: F.filter("__added", lambda s: live(s) & apart(s, keys))))
+    return joined.select(*keep, F.col("__text"), F.col("__base").alias("base"),
+                         F.array_sort(F.concat("__base", added)).alias("spans"), "owners")
 
 
 def listed(spans: Column) -> Column:
@@ -111,13 +137,14 @@ def redact(scanned: DataFrame, copied: int = COPIED_OWNERS) -> DataFrame:
     """Scanned rows with every live-looking secret of __text replaced; copied examples stay.
 
     Kinds are replaced one after the other, each in a projection of its own, so that the
-    expressions do not grow into one another. Rows without such secrets are left alone.
+    expressions do not grow into one another. Private keys come first, as other kinds may lie in
+    them. Rows without such secrets are left alone.
     """
-    for kind, pattern, group, _ in (*BASE, *ADDED):
+    for kind, pattern, group, _ in (ADDED[0], *BASE, *ADDED[1:]):
         live = F.transform(F.filter("spans", _is_live(kind, copied)), lambda s: s["value"])
         out = scanned.withColumn("__live", live).withColumn(
             "__hits", F.when(F.size("__live") > 0, matches(_text(), pattern)))
-        text = replaced(_text(), pattern, F.col("__hits"), _marked(pattern, group))
+        text = replaced(_text(), pattern, F.col("__hits"), _marked(kind, pattern, group))
         scanned = out.withColumn(
             "__text", F.when(F.size("__live") > 0, text).otherwise(F.col("__text"))
         ).drop("__live", "__hits")
@@ -129,8 +156,8 @@ def _is_live(kind: str, copied: int):
         F.element_at("owners", F.sha2(s["value"], 256)) < copied)
 
 
-def _marked(pattern: str, group: int):
+def _marked(kind: str, pattern: str, group: int):
     def change(m):
-        value = F.regexp_extract(m, pattern, group) if group else m
+        value = _value(kind, m, F.regexp_extract(m, pattern, group)) if group else m
         return F.when(F.array_contains("__live", value), F.lit(MARK)).otherwise(m)
     return change

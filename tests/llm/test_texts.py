@@ -102,6 +102,38 @@ def test_secrets_shared_by_owners_stay(spark):
     assert spans == {0: 0, 1: 0, 2: 0, 7: 1}
 
 
+def pem(seed, label="RSA ", lines=20, end=True, head="", br="\n"):
+    rng = random.Random(seed)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    body = ["".join(rng.choice(alphabet) for _ in range(64)) for _ in range(lines)] + ["q7+/Zw=="]
+    return br.join([f"-----BEGIN {label}PRIVATE KEY-----", *([head, ""] if head else []), *body,
+                    *([f"-----END {label}PRIVATE KEY-----"] if end else [])])
+
+
+def test_private_keys_are_told_apart_and_taken_whole(spark):
+    encrypted = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789abcdef0123456789abcdef"
+    keys = [pem(0), pem(1), pem(2), pem(3, "", end=False), pem(4, head=encrypted),
+            pem(5, "EC ", br="\\n"), pem(6, head=encrypted, end=False),
+            pem(7, lines=6000), pem(8, lines=6000, end=False), pem(9, end=False, br=" ")]
+    rows = [(i, f"before\n{k}\nafter it", f"owner{i}") for i, k in enumerate(keys)]
+    example = pem(10)
+    rows += [(100 + i, f"x {k} y", f"owner{i}") for i, k in enumerate(
+        [example, example.replace("\n", "\r\n"), example.replace("\n", "\\n")])]
+    rows += [(200, f"{pem(0)} and {example}", "owner0"), (201, "-" * 5 + "BEGIN PRIVATE KEY" + "-" * 5
+                                                           + " heads a file of words", "owner1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = secrets.scan(df)
+    got = {r.doc_id: r for r in secrets.redact(out).select("doc_id", "spans", "__text").collect()}
+    for i, key in enumerate(keys):
+        assert got[i]["__text"] == f"before\n{secrets.MARK}\nafter it", i
+        assert [(s.start, s.stop) for s in got[i].spans if s.kind == "pem"] == [(7, 7 + len(key))]
+        assert not any(s.kind == "opaque" for s in got[i].spans)
+    for i in range(3):
+        assert got[100 + i]["__text"] == rows[len(keys) + i][1] and not got[100 + i].spans
+    assert got[200]["__text"] == f"{secrets.MARK} and {example}"
+    assert got[201]["__text"] == f"{secrets.MARK} heads a file of words"
+
+
 def luhn_ok(digits):
     odd = [int(d) for d in digits[::-1]]
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(odd)) % 10 == 0
