@@ -7,8 +7,8 @@ weighs their states, and a logistic unit scores the sum. A document's score is t
 toxic window, as one passage is enough.
 
 Training runs in one task, over a sample with a stated bound: SAMPLE_DOCS labelled documents,
-chosen by a hash of their id, and WINDOWS_OF_DOC windows spread over each. A label belongs to a
-document, so after two thirds of the rounds, over random windows, every document is represented by
+chosen by a hash of their id, each with all its windows. Their words are numbered once, and windows
+are cut from the numbers and scored in blocks of bounded size. A label belongs to a document, so after two thirds of the rounds, over random windows, every document is represented by
 the window that scores highest. From then on a positive label counts by the square of that score:
 labels that nothing in the text bears out are noise, and are not learned by heart. Scoring runs over all windows of all documents, in blocks of words of bounded size.
 """
@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 from tallyglass.llm.common import prepare, whole_text
 
 SAMPLE_DOCS = 4000
-WINDOWS_OF_DOC = 12
+COMPARED = 12  # windows spread over a document by which copies of it are known
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 8, 8, 256
 SHARE_OF_DOCS = 80  # a word is frequent if at least one document in so many has it
 STEPS, BATCH, RATE, DECAY = 600, 64, 0.003, 0.01
 MARKS = b".,;:!?\"'()[]{}*#&$%-_|<>~+=/\\"
 BLOCK_WORDS = 100_000
+BLOCK_WINDOWS = 2048
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -177,55 +178,84 @@ def numbered(windows, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(known), ids, mask
 
 
-def train(sample: list[tuple[int, list[bytes]]], seed: int = 11) -> dict:
-    """A model from (label, windows as joined words); without documents, one that scores all low.
+class Sample:
+    """Labels and numbered words of training documents, and the windows over them, by number.
 
-    A document that shares a window with an earlier one is a copy, and adds nothing.
+    A document that shares one of its compared windows with an earlier one is a copy, and adds
+    nothing. Only the distinct words and four bytes of each word are held.
     """
-    met, fresh = set(), []
-    for label, windows in sample:
-        if met.isdisjoint(own := {w for w in windows if w}):
-            fresh.append((label, windows))
-        met |= own
-    sample, seen = fresh, {}
-    for _, windows in sample:
-        for w in {w for window in windows for w in window.split()}:
-            seen[w] = seen.get(w, 0) + 1
-    least = max(2, len(sample) // SHARE_OF_DOCS)
-    frequent = sorted(w for w, n in seen.items() if n >= least)
-    vocabulary = {w: i + 1 for i, w in enumerate(frequent)}
+
+    def __init__(self, rows):
+        known: dict[bytes, int] = {b"": 0}
+        met, label, lines, seen = set(), [], [], {}
+        for y, line in rows:
+            words = line.split()
+            starts = window_starts(len(words))
+            some = np.unique(np.linspace(0, len(starts) - 1, COMPARED).astype(int)).tolist()
+            own = {b" ".join(words[starts[k]:starts[k] + WINDOW]) for k in some} - {b""}
+            if met.isdisjoint(own):
+                label.append(y)
+                lines.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32))
+                for k in np.unique(lines[-1]).tolist():
+                    seen[k] = seen.get(k, 0) + 1
+            met |= own
+        self.label, self.words = np.array(label, float), list(known)
+        self.ids = np.concatenate([*lines, np.zeros(1, np.int32)])
+        self.begin = np.cumsum([0] + [len(x) for x in lines])
+        self.first = np.cumsum([0] + [len(window_starts(len(x))) for x in lines])
+        least = max(2, len(label) // SHARE_OF_DOCS)
+        self.frequent = sorted(self.words[k] for k, n in seen.items() if n >= least)
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and masks of windows."""
+        doc = np.searchsorted(self.first, chosen, side="right") - 1
+        at = (self.begin[doc] + (chosen - self.first[doc]) * STRIDE)[:, None] + np.arange(WINDOW)
+        held = at < self.begin[doc + 1][:, None]
+        return np.where(held, self.ids[np.where(held, at, -1)], 0), held.astype(np.float32)
+
+    def scores(self, p: dict, vocabulary: dict) -> np.ndarray:
+        """The scores of all windows, in blocks."""
+        out = np.zeros(self.first[-1], np.float32)
+        for k in range(0, len(out), BLOCK_WINDOWS):
+            ids, mask = self.windows(np.arange(k, min(k + BLOCK_WINDOWS, len(out))))
+            rows, small = np.unique(ids, return_inverse=True)
+            small = small.reshape(ids.shape)
+            table = gates(p, Words([self.words[r] for r in rows], vocabulary).inputs(p))
+            for j in range(0, len(ids), 512):
+                out[k + j:k + j + 512] = forward(p, table, small[j:j + 512], mask[j:j + 512])
+        return out
+
+
+def train(rows, seed: int = 11) -> dict:
+    """A model from (label, joined words) of documents; without any, one that scores all low."""
+    sample = Sample(rows)
+    vocabulary = {w: i + 1 for i, w in enumerate(sample.frequent)}
     p = parameters(len(vocabulary) + 1)
-    if not sample:
+    label, words, first = sample.label, sample.words, sample.first
+    if not len(label):
         return {"p": p, "vocabulary": vocabulary}
     rng = np.random.default_rng(seed)
-    words, ids, mask = numbered(
-        (w.split() for _, windows in sample for w in windows), sum(len(w) for _, w in sample))
-    book = Words(words, vocabulary)
-    label = np.array([y for y, _ in sample], float)
-    first = np.cumsum([0] + [len(windows) for _, windows in sample])
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     trust = np.ones(len(label))
-    rounds = -(-STEPS * BATCH // len(sample))
+    rounds = -(-STEPS * BATCH // len(label))
     for turn in range(rounds):
         if turn < rounds * 2 // 3:
             chosen = first[:-1] + (rng.random(len(label)) * np.diff(first)).astype(int)
         else:
             low = {k: v.astype(np.float32) for k, v in p.items()}
-            table = gates(low, book.inputs(low))
-            scores = np.concatenate([forward(low, table, ids[k:k + 512], mask[k:k + 512])
-                                     for k in range(0, len(ids), 512)])
-            del table
+            scores = sample.scores(low, vocabulary)
             chosen = np.array([a + int(np.argmax(scores[a:b]))
                                for a, b in zip(first[:-1], first[1:], strict=True)])
             trust = np.where(label == 1, scores[chosen] ** 2, 1.0)
         order = rng.permutation(len(chosen))
         for k in range(0, len(order), BATCH):
             at = order[k:k + BATCH]
-            rows, small = np.unique(ids[chosen[at]], return_inverse=True)
+            ids, m = sample.windows(chosen[at])
+            rows, small = np.unique(ids, return_inverse=True)
             small = small.reshape(len(at), WINDOW)
             part = Words([words[r] for r in rows], vocabulary)
-            x, m, keep = part.inputs(p), mask[chosen[at]], {}
+            x, keep = part.inputs(p), {}
             score = forward(p, gates(p, x), small, m, keep)
             g, d_rows = backward(p, small, m, keep, (score - label[at]) * trust[at] / len(at))
             d_x = np.zeros_like(x)
@@ -276,22 +306,17 @@ def score_texts(texts: list[bytes], model: dict) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> DataFrame:
-    """(label, windows) of at most `size` labelled documents, at most WINDOWS_OF_DOC of each."""
-    def spread(batches):
+    """(label, joined words) of at most `size` labelled documents, each whole."""
+    def joined(batches):
         for batch in batches:
-            parts = []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                starts = window_starts(len(words))
-                some = np.unique(np.linspace(0, len(starts) - 1, WINDOWS_OF_DOC).astype(int))
-                parts.append([b" ".join(words[starts[k]:starts[k] + WINDOW]) for k in some])
-            yield pa.record_batch([batch.column(0), pa.array(parts, pa.list_(pa.binary()))],
-                                  ["label", "windows"])
+            lines = [b" ".join(words_of(text)) for text in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(lines, pa.binary())],
+                                  ["label", "words"])
 
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(size)
     return docs.join(F.broadcast(chosen), "doc_id").select(
         "label", whole_text().alias("text")).mapInArrow(
-        spread, "label int, windows array<binary>").limit(2 * size)
+        joined, "label int, words binary").limit(2 * size)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -300,16 +325,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prepare(docs.sparkSession)
 
     def learn(batches):
-        rows = []
-        for batch in batches:
-            rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        yield pa.record_batch([pa.array([pickle.dumps(train(sorted(rows)))])], ["model"])
+        rows = (row for batch in batches for row in zip(
+            batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        yield pa.record_batch([pa.array([pickle.dumps(train(rows))])], ["model"])
 
     chosen = sample(
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(
             "label in (0, 1) and doc_id is not null"), size)
-    found = chosen.repartition(1).mapInArrow(learn, "model binary").first()
+    found = chosen.repartition(1).sortWithinPartitions("label", "words").mapInArrow(learn, "model binary").first()
     return train([]) if found is None else pickle.loads(found.model)
 
 

@@ -251,6 +251,21 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(df, empty).where("score between 0 and 1").count() == 400
 
 
+def test_toxicity_reads_whole_training_documents(spark):
+    rng = random.Random(6)
+    lines = [" ".join(f"plain{rng.randrange(400)}" for _ in range(n)) for n in (0, 5, 900, 1700)]
+    lines[3] = lines[3][:4000] + " vile " + lines[3][4000:]
+    sample = toxicity.Sample(enumerate(x.encode() for x in lines))
+    got = [[sample.words[k] for k, m in zip(ids, mask, strict=True) if m] for ids, mask in zip(
+        *(x.tolist() for x in sample.windows(np.arange(sample.first[-1]))), strict=True)]
+    assert got == [x.encode().split()[a:a + toxicity.WINDOW] for x in lines
+                   for a in toxicity.window_starts(len(x.split()))]
+    df = spark.createDataFrame([(i, x, i % 2) for i, x in enumerate(lines)],
+                               "doc_id long, text string, label int")
+    rows = toxicity.sample(df.drop("label"), df.select("doc_id", "label")).collect()
+    assert sorted(bytes(r[1]) for r in rows) == sorted(x.encode() for x in lines)
+
+
 def test_toxicity_windows_cover_everything():
     for n in (0, 1, 16, 17, 32, 33, 100):
         seen = {k for a in toxicity.window_starts(n) for k in range(a, a + toxicity.WINDOW)}
