@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyglass.llm import (
-    bpe, contamination, pii, ppm, repeats, secrets, simhash, toxicity, urls, vptree,
+    bpe, contamination, lexical, minhash, pii, ppm, repeats, secrets, simhash, toxicity, urls,
+    vptree, whitening,
 )
 from tallyglass.llm.common import held_out, table
 
@@ -148,3 +149,47 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_pii_feistel")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"), "a key for the test tables")
+
+
+@query("op11_minhash_tensored")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_search_aho_corasick", r"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '') as terms
+  from documents),
+i as (
+  select item_id, unnest(list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')) as term
+  from benchmark),
+asked as (select item_id, term, count(*) as repeats from i group by all),
+whole as (
+  select count(*) filter (len(terms) > 0) as docs, cast(sum(len(terms)) as bigint) as terms from d),
+tf as (
+  select doc_id, n, term, count(*) as tf
+  from (select doc_id, len(terms) as n, unnest(terms) as term from d)
+  where term in (select term from asked) group by all),
+df as (select term, count(*) as df from tf group by term),
+scored as (
+  select item_id, doc_id, cast(sum(
+    repeats * cast(floor(1000 * ln((2 * docs + 2) / cast(2 * df + 1 as double))) as bigint)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // whole.terms)))) as bigint)
+    as score
+  from tf join df using (term) join asked using (term) cross join whole
+  group by all)
+select item_id, cast(row_number() over w as int) as rank, doc_id, score
+from scored where score > 0
+window w as (partition by item_id order by score desc, doc_id)
+qualify row_number() over w <= 20""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_whitening_cholesky_jacobi")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
