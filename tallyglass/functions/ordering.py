@@ -1,9 +1,9 @@
-"""Previous value and running rank without sorting a whole table, or a whole key, in one task.
+"""Previous value without sorting a whole table, or a whole key, in one task.
 
-A plain ordered window puts every row of its key into one task. Both helpers here first split
-the key by a bucket that follows the order (a calendar period, or leading digits of a hash),
-work inside the buckets, and stitch the buckets with one small row per bucket. The number of
-buckets has a fixed bound: periods of a calendar, or 65,536 hash prefixes.
+A plain ordered window puts every row of its key into one task. Here the rows are first cut into
+ranges of the order column, at its percentiles, so that all ranges have about as many rows, however
+these crowd in time. Windows work inside the ranges, and the last value of each range is
+carried over by one small row per range and key.
 """
 
 from __future__ import annotations
@@ -14,47 +14,71 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 MOST_ROWS = 1_000_000
-UNITS = ("month", "day", "hour", "minute")
+MOST_RANGES = 4096
 
 
-def _start(order: str, unit: str) -> Column:
-    return F.date_format(F.date_trunc(unit, F.col(order)), "yyyy-MM-dd HH:mm")
+def _position(order: str, kind: str) -> Column:
+    """The order column as a number that follows it."""
+    column = F.col(order)
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(column.cast("timestamp"))
+    return column.cast("double") if kind in ("double", "float", "decimal") else column.cast("long")
 
 
-def fitting_unit(df: DataFrame, order: str, keys: tuple[str, ...], most: int = MOST_ROWS) -> str:
-    """The coarsest calendar unit in which no key has more than `most` rows.
+def cut_points(df: DataFrame, position: Column, rows: int = MOST_ROWS,
+               most: int = MOST_RANGES) -> list:
+    """Percentiles of a column at which it falls into ranges of about `rows` rows, ascending.
 
-    One counting pass by minute; the coarser units are summed up from its result. A burst that
-    puts a third of the data into one day is cut by the hour or the minute.
+    One counting pass and one pass with a sketch; at most `most` numbers reach the driver.
     """
-    level = df.groupBy(*keys, _start(order, "minute").alias("_at")).agg(F.count("*").alias("n"))
-    widest = []
-    for unit, width in (("hour", 13), ("day", 10), ("month", 7)):
-        level_up = level.groupBy(*keys, F.substring("_at", 1, width).alias("_at")).agg(
-            F.sum("n").alias("n"))
-        widest.append(level_up.agg(F.max("n").alias("n")).select(F.lit(unit).alias("unit"), "n"))
-        level = level_up
-    found = {r.unit: r.n or 0 for r in reduce(DataFrame.unionByName, widest).collect()}
-    return next((u for u in UNITS[:-1] if found[u] <= most), UNITS[-1])
+    known = df.select(position.alias("_p")).where("_p is not null")
+    ranges = min(-(-known.count() // rows), most)
+    if ranges < 2:
+        return []
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = known.agg(F.percentile_approx("_p", shares, 4 * most).alias("cuts")).first().cuts
+    return sorted(set(cuts))
+
+
+def range_of(position: Column, cuts: list) -> Column:
+    """The number of cut points at or below a value, found in two steps; NULL is in range 0."""
+    if not cuts:
+        return F.lit(0)
+    width = max(int(len(cuts) ** .5), 1)
+    groups = [cuts[i:i + width] for i in range(0, len(cuts), width)]
+
+    def below(points) -> Column:
+        return F.size(F.filter(points, lambda cut: cut <= position))
+
+    def literals(points) -> Column:
+        return F.array(*[F.lit(x) for x in points])
+
+    coarse = F.greatest(below(literals([g[0] for g in groups])) - 1, F.lit(0))
+    fine = below(F.element_at(F.array(*[literals(g) for g in groups]), coarse + 1))
+    return F.coalesce(F.when(position.isNotNull(), coarse * width + fine), F.lit(0)).cast("int")
 
 
 def previous_value(
     df: DataFrame, order: str, value: str, out: str, keys: tuple[str, ...] = (),
-    unit: str | None = None,
+    unit: str | None = None, rows: int = MOST_ROWS,
 ) -> DataFrame:
     """Add `out`: the last non-NULL `value` before this row, by `order` within `keys`.
 
-    `order` must be unique within a key. Timestamps are bucketed by `unit`, or by the coarsest
-    calendar unit without an overfull bucket; dates and text periods (`yyyy-MM`, `yyyy-MM-dd`)
-    by year, which holds 366 of them at most.
+    `order` must be unique within a key. Ranges of timestamps and numbers are found when this is
+    called, from the percentiles of all rows, so a range holds about `rows` rows of all keys together;
+    where `unit` names a calendar unit, timestamps are cut by that instead. Dates and text periods
+    (`yyyy-MM`, `yyyy-MM-dd`) are cut by year, which holds 366 of them at most.
     """
     kind = df.schema[order].dataType.typeName()
     if kind == "string":
         bucket = F.substring(order, 1, 4)
     elif kind == "date":
         bucket = F.date_format(order, "yyyy")
+    elif unit is not None:
+        bucket = F.date_format(F.date_trunc(unit, F.col(order)), "yyyy-MM-dd HH:mm")
     else:
-        bucket = _start(order, unit or fitting_unit(df, order, keys))
+        position = _position(order, kind)
+        bucket = range_of(position, cut_points(df, position, rows))
     parts = df.withColumn("_bucket", bucket)
     within = (
         Window.partitionBy(*keys, "_bucket").orderBy(order)
@@ -64,36 +88,16 @@ def previous_value(
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
     last_known = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
+    named = {c: f"_of_{c}" for c in (*keys, "_bucket")}
     edges = parts.groupBy(*keys, "_bucket").agg(last_known.alias("_edge")).select(
-        *keys, "_bucket", F.last("_edge", ignorenulls=True).over(across).alias("_carried")
+        *[F.col(c).alias(new) for c, new in named.items()],
+        F.last("_edge", ignorenulls=True).over(across).alias("_carried"),
     )
+    same = [F.col(c).eqNullSafe(F.col(new)) for c, new in named.items()]
     return (
-        parts.join(edges, [*keys, "_bucket"], "left")
+        parts.join(edges, reduce(Column.__and__, same), "left")
         .withColumn(
             out, F.coalesce(F.last(value, ignorenulls=True).over(within), F.col("_carried"))
         )
         .select(*df.columns, out)
     )
-
-
-def hash_bucket(digest: Column) -> Column:
-    """The leading 16 bits of a hexadecimal digest; never NULL, so that joins on it add no filter
-    and both branches of a numbering can share one shuffle."""
-    return F.coalesce(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"), F.lit(0))
-
-
-def running_number(df: DataFrame, digest: str, group: str, out: str) -> DataFrame:
-    """Number the rows 1, 2, 3… by `digest` within `group`; `digest` is unique in its group."""
-    parts = df.withColumn("_bucket", hash_bucket(F.col(digest)))
-    before = (
-        Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = parts.groupBy(group, "_bucket").agg(F.count("*").alias("_n")).select(
-        group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy(group, "_bucket").orderBy(digest)
-    return (
-        parts.join(starts, [group, "_bucket"])
-        .withColumn(out, F.row_number().over(inside) + F.col("_start"))
-        .select(*df.columns, out)
-    )

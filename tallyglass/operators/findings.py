@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyglass.functions.text import percent
 from tallyglass.operators import series
@@ -104,34 +104,112 @@ def finding_counts(findings_df: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(
-    relations_df: DataFrame, profile_df: DataFrame, quality_df: DataFrame, signature: str = ""
-) -> DataFrame:
-    """One row of 12-digit hashes: schema, profiles, quality, and all of them together.
+DIGITS = 12
 
-    The inputs are metadata, one line per relation or column.
-    """
-    def short(text):
-        return F.substring(F.sha2(text, 256), 1, 12)
 
-    def joined(df, line):
-        return df.agg(F.concat_ws("|", F.array_sort(F.collect_list(line)))).scalar()
+def _order_free(lines: Column) -> Column:
+    """A digest of a set of texts from sums of their hashes, so that sets merge in any order."""
+    part = F.conv(F.substring(F.sha2(lines, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return F.concat_ws(":", F.count("*"), F.coalesce(F.sum(part), F.lit(0)))
 
+
+def _lines(relations_df: DataFrame, profile_df: DataFrame, quality_df: DataFrame) -> DataFrame:
+    """(component, table_name, column_name, line): what fingerprints rest on, a line for each fact."""
     def shown(column, digits=6):
         return F.coalesce(F.format_string(f"%.{digits}f", F.col(column)), F.lit("-"))
 
     def text(column):
         return F.coalesce(F.col(column).cast("string"), F.lit("-"))
 
-    relation = F.concat_ws(":", "from_table", "from_column", "to_table", "status",
-                           shown("ratio"))
-    column = F.concat_ws(":", "table_name", "column_name", shown("null_rate"),
-                         text("invalid_count"), text("detected_type"), text("pii_type"))
-    score = F.concat_ws(":", "table_name", text("column_name"), shown("score", 4))
-    one = relations_df.sparkSession.range(1).select(
-        short(F.concat(F.lit(signature + "|"), joined(relations_df, relation))).alias("schema"),
-        short(joined(profile_df, column)).alias("profiles"),
-        short(joined(quality_df, score)).alias("quality"),
+    def part(df, component, table, column, line):
+        return df.select(F.lit(component).alias("component"), F.col(table).alias("table_name"),
+                         F.col(column).alias("column_name"), line.alias("line"))
+
+    return part(
+        relations_df, "schema", "from_table", "from_column", F.concat_ws(
+            ":", "from_table", "from_column", "to_table", "status", shown("ratio"))
+    ).unionByName(part(
+        profile_df, "profiles", "table_name", "column_name", F.concat_ws(
+            ":", "table_name", "column_name", shown("null_rate"), text("invalid_count"),
+            text("detected_type"), text("pii_type")))
+    ).unionByName(part(
+        quality_df, "quality", "table_name", "column_name", F.concat_ws(
+            ":", "table_name", text("column_name"), shown("score", 4))))
+
+
+def fingerprint_tree(
+    relations_df: DataFrame, profile_df: DataFrame, quality_df: DataFrame
+) -> DataFrame:
+    """(component, table_name, column_name, level, digest): a hash for each column, table and component.
+
+    Level 2 are columns, 1 tables (column NULL), 0 components (table NULL too). A node's digest is
+    the sum of its lines' hashes, so parts of a catalog can be hashed apart and in any order, and no
+    node gathers its lines.
+    """
+    lines = _lines(relations_df, profile_df, quality_df)
+    return lines.groupingSets(
+        [("component",), ("component", "table_name"), ("component", "table_name", "column_name")],
+        "component", "table_name", "column_name",
+    ).agg(
+        F.grouping_id().alias("_g"), _order_free(F.col("line")).alias("_sum")
+    ).select(
+        "component", "table_name", "column_name",
+        F.expr("case _g when 3 then 0 when 1 then 1 else 2 end").alias("level"),
+        F.substring(F.sha2("_sum", 256), 1, DIGITS).alias("digest"),
+    )
+
+
+def changes(before_df: DataFrame, now_df: DataFrame) -> DataFrame:
+    """(component, table_name, column_name, change): what differs between two fingerprint trees.
+
+    Trees are compared level by level: only below components that differ are tables compared, and
+    only below those their columns. `change` is added, removed or changed; a table's own facts have
+    no column.
+    """
+    keys = ["component", "table_name", "column_name"]
+
+    def at(df, level, digest):
+        return df.where(F.col("level") == level).select(*keys, F.col("digest").alias(digest))
+
+    def same(names):
+        cond = F.col(f"x.{names[0]}").eqNullSafe(F.col(f"y.{names[0]}"))
+        for name in names[1:]:
+            cond = cond & F.col(f"x.{name}").eqNullSafe(F.col(f"y.{name}"))
+        return cond
+
+    def compared(level, among=None):
+        names = keys[:level + 1]
+        sides = [at(before_df, level, "old"), at(now_df, level, "new")]
+        if among is not None:
+            sides = [side.alias("x").join(among.alias("y"), same(names[:-1]), "left_semi")
+                     for side in sides]
+        both = sides[0].alias("x").join(sides[1].alias("y"), same(names), "full")
+        return both.where(~F.col("old").eqNullSafe(F.col("new"))).select(
+            *[F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in keys],
+            F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
+            .otherwise("changed").alias("change"))
+
+    return compared(2, compared(1, compared(0)))
+
+
+def fingerprint(
+    relations_df: DataFrame, profile_df: DataFrame, quality_df: DataFrame, signature: str = ""
+) -> DataFrame:
+    """One row of 12-digit hashes: schema, profiles, quality, and all of them together.
+
+    They are the roots of the fingerprint tree; the signature of the catalog is part of the schema.
+    """
+    def short(text):
+        return F.substring(F.sha2(text, 256), 1, DIGITS)
+
+    lines = _lines(relations_df, profile_df, quality_df)
+    roots = lines.groupBy("component").agg(_order_free(F.col("line")).alias("_sum"))
+    one = roots.agg(*[
+        F.coalesce(F.max(F.when(F.col("component") == part, F.col("_sum"))), F.lit("0:0")).alias(part)
+        for part in ("schema", "profiles", "quality")
+    ]).select(
+        short(F.concat(F.lit(signature + "|"), "schema")).alias("schema"),
+        short(F.col("profiles")).alias("profiles"), short(F.col("quality")).alias("quality"),
     )
     return one.withColumn("combined", short(F.concat_ws("+", "schema", "profiles", "quality")))
 

@@ -1,8 +1,13 @@
 """Column profiles: counts, distinct values, extremes, top values, hidden types, personal data.
 
-One value-frequency table per source table carries everything but the typed extremes: the table
-is scanned and shuffled once, whatever its number of columns, and a value that fills a third of a
+Small tables: one value-frequency table carries everything but the typed extremes. The tables are
+scanned and shuffled once, whatever their number of columns, and a value that fills a third of a
 column is already one row after the map-side sums.
+
+Large tables: no facts need a shuffle of values but the distinct counts of what is no whole number.
+Counts and shapes are sums of rows as they come, whole numbers are counted by bitmaps (see `distinct`),
+and top values come from candidates that are counted again (see `heavy`). Both ways give the same
+rows; SMALL_BYTES, by the size of the tables as the optimizer knows it, decides between them.
 """
 
 from __future__ import annotations
@@ -13,10 +18,12 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tallyglass.functions import fixed, kinds
 from tallyglass.functions.text import quoted, rlike_sql, stripped, stripped_sql
+from tallyglass.operators import distinct, heavy
 from tallyglass.sources.catalog import union_all
 
 LONG_TEXT = 256
 TOP_VALUES = 10
+SMALL_BYTES = 1 << 30
 SAMPLE_VALUES = 5
 NAME = ["table_name", "column_name"]
 NOT_SORTABLE = (T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
@@ -256,6 +263,20 @@ def _meaning(facts: DataFrame, extremes: DataFrame) -> DataFrame:
 
 # --- public operators ------------------------------------------------------------------------
 
+def _whole_values(source: Cells, best: DataFrame, name: str) -> DataFrame:
+    """Long values by their digest, in column `name`: at most k digests per column are broadcast."""
+    texts = source.only("text", "other")
+    if texts is None:
+        return best.withColumn("whole", F.lit(None).cast("string"))
+    wanted = best.where(F.col(name).isNotNull()).select("c", name)
+    found = texts.where(F.length("cell") > LONG_TEXT).withColumn(
+        name, F.sha2("cell", 256)
+    ).join(F.broadcast(wanted), ["c", name], "left_semi").groupBy("c", name).agg(
+        F.first("cell").alias("whole")
+    )
+    return best.join(found, ["c", name], "left")
+
+
 def _ranked(source: Cells, freq: DataFrame, k: int) -> DataFrame:
     # NULL sorts last and is dropped after ranking: a filter before it would give this branch a
     # shuffle of its own instead of the one that the column facts already use.
@@ -265,41 +286,98 @@ def _ranked(source: Cells, freq: DataFrame, k: int) -> DataFrame:
     best = freq.withColumn("rank", F.row_number().over(order)).where(
         (F.col("rank") <= k) & F.col("length").isNotNull()
     )
-    texts = source.only("text", "other")
-    if texts is None:
-        return best.select("c", "rank", "value", "n")
-    # Long values come back by digest: at most k digests per column are broadcast.
-    wanted = best.where("digest is not null").select("c", "digest")
-    found = texts.where(F.length("cell") > LONG_TEXT).withColumn(
-        "digest", F.sha2("cell", 256)
-    ).join(F.broadcast(wanted), ["c", "digest"], "left_semi").groupBy("c", "digest").agg(
-        F.first("cell").alias("whole")
-    )
-    return best.join(found, ["c", "digest"], "left").select(
+    return _whole_values(source, best, "digest").select(
         "c", "rank", F.coalesce("value", "whole").alias("value"), "n"
     )
 
 
+def _items(source: Cells) -> DataFrame:
+    """(c, item): values with a mark, digests of long ones with another."""
+    return source.df.where("cell is not null").selectExpr(
+        "c", f"if(length(cell) > {LONG_TEXT}, concat('#', sha2(cell, 256)), concat('=', cell)) "
+        "as item")
+
+
+def _counted_numbers(source: Cells, tables: Tables) -> dict[int, tuple[int, bool]]:
+    """For columns of `source` that bitmaps suit: the distinct count, and whether no value repeats."""
+    names, values = distinct.whole_numbers(tables)
+    place = {name: i for i, name in enumerate(((t, c) for t, c, _ in source.names), 1)}
+    fits = [] if values is None else [
+        i for i, yes in distinct.dense(values).items() if yes and names[i - 1] in place]
+    if not fits:
+        return {}
+    values = values.where(F.col("c").isin(*fits))
+    known = values.groupBy("c").agg(F.count("v").alias("known"))
+    return {place[names[r.c - 1]]: (r.distinct_count, r.distinct_count == r.known)
+            for r in distinct.by_bitmaps(values).join(known, "c").collect()}
+
+
+def _heavy(source: Cells, k: int, numbers: dict[int, tuple[int, bool]]) -> DataFrame:
+    """(c, rank, value, n) from candidates; see `heavy`."""
+    items = _items(source)
+    unique = [c for c, (_, once) in numbers.items() if once]
+    others = [c for c in range(1, len(source.names) + 1) if c not in unique]
+    best = heavy.top_items(items, others, k)
+    if unique:
+        best = best.unionByName(heavy.smallest(items, unique, k))
+    best = best.selectExpr(
+        "c", "rank", "n", "if(item like '=%', substring(item, 2), null) as value",
+        "if(item like '#%', substring(item, 2), null) as digest")
+    return _whole_values(source, best, "digest").select(
+        "c", "rank", F.coalesce("value", "whole").alias("value"), "n")
+
+
+def _bytes(tables: Tables) -> int:
+    """The size of the tables as the optimizer knows it, or zero."""
+    return sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+               for df in tables.values())
+
+
 def top_values(df: DataFrame, k: int = TOP_VALUES, columns: list[str] | None = None
                ) -> DataFrame:
     """(column_name, rank, value, n): the `k` most frequent values per column, ties by value.
 
-    Each task keeps its own `k` best before anything is sorted together.
+    Candidates are found by sketches and counted again, so values are shuffled only where many
+    of them might be as frequent as the last one wanted.
     """
     source = cells({"": df}, columns)
-    return source.named(_ranked(source, frequencies(source), k)).drop("table_name")
+    return source.named(_heavy(source, k, _counted_numbers(source, {"": df}))).drop("table_name")
 
 
-def profile(df: DataFrame, name: str, sampled: bool = False, n_rows: int | None = None
-            ) -> DataFrame:
-    """One row per column of the table: the twenty facts a data analyst looks up first."""
-    return _profiles({name: df}, sampled, n_rows)
+def profile(df: DataFrame, name: str, sampled: bool = False, n_rows: int | None = None,
+            small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """One row per column of the table: the twenty facts a data analyst looks up first.
 
+    Tables of more than `small_bytes` are profiled without a shuffle of all their values.
+    """
+    return _profiles({name: df}, sampled, n_rows, small_bytes)
 
-def _profiles(tables: Tables, sampled: bool = False, n_rows: int | None = None) -> DataFrame:
-    source = cells(tables)
+
+def _by_frequencies(source: Cells) -> tuple[DataFrame, DataFrame]:
     freq = frequencies(source)
-    best = _ranked(source, freq, TOP_VALUES).groupBy("c").agg(
+    return _column_facts(freq), _ranked(source, freq, TOP_VALUES)
+
+
+def _by_summaries(source: Cells, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """The same facts and top values; only values of columns without a bitmap are shuffled, once each."""
+    numbers = _counted_numbers(source, tables)
+    others = _items(source)
+    if numbers:
+        others = others.where(~F.col("c").isin(*numbers))
+    counts = distinct.by_values(others.withColumnRenamed("item", "v")).unionByName(
+        others.sparkSession.createDataFrame(
+            [(c, n) for c, (n, _) in numbers.items()], "c int, distinct_count bigint"))
+    facts = _value_facts(source).drop("distinct_count").join(counts, "c", "left")
+    return facts.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long"))), \
+        _heavy(source, TOP_VALUES, numbers)
+
+
+def _profiles(tables: Tables, sampled: bool = False, n_rows: int | None = None,
+              small_bytes: int = SMALL_BYTES) -> DataFrame:
+    source = cells(tables)
+    small = _bytes(tables) <= small_bytes
+    column_facts, ranked = _by_frequencies(source) if small else _by_summaries(source, tables)
+    best = ranked.groupBy("c").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("best")
     ).select(
         "c",
@@ -308,7 +386,7 @@ def _profiles(tables: Tables, sampled: bool = False, n_rows: int | None = None)
         F.slice(F.transform("best", lambda b: b.value), 1, SAMPLE_VALUES).alias("sample_values"),
     )
     extremes = union_all([_extremes(df, name) for name, df in tables.items()])
-    facts = source.named(_column_facts(freq).join(best, "c", "left"))
+    facts = source.named(column_facts.join(best, "c", "left"))
     rows = "sample_size" if n_rows is None else f"cast({n_rows} as bigint)"
     return _meaning(facts, extremes).selectExpr(
         *NAME, "ordinal", "declared_type", f"{str(sampled).lower()} as sampled", "sample_size",
@@ -404,7 +482,7 @@ def primary_keys(profile_df: DataFrame) -> DataFrame:
 
 def profile_all(
     tables: dict[str, DataFrame], only: str | None = None, existing_df: DataFrame | None = None,
-    failed: dict[str, str] | None = None,
+    failed: dict[str, str] | None = None, small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Profiles of all tables, or of one; its rows replace the older ones of the same table.
 
@@ -419,7 +497,7 @@ def profile_all(
             if failed is None:
                 raise
             failed[name] = str(error)
-    fresh = _profiles(usable)
+    fresh = _profiles(usable, small_bytes=small_bytes)
     if existing_df is None:
         return fresh
     return fresh.unionByName(existing_df.where(~F.col("table_name").isin(*usable)))

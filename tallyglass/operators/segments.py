@@ -275,6 +275,29 @@ def crosstab(
     return cells if k is None else cells.orderBy(_standing().desc(), "a", "b").limit(k)
 
 
+def crosstab_margins(
+    df: DataFrame, dim_a: Dimension, dim_b: Dimension, measure: str | Column | None = None,
+) -> DataFrame:
+    """Cells, row and column totals and the grand total of two dimensions, from one shuffle.
+
+    grouping_id: 0 for a cell, 1 where `b` is summed over, 2 where `a` is, 3 for the grand total. Rows
+    without one of the labels are in no cell and no margin, so margins are the sums of the cells.
+    """
+    value = F.lit(None).cast("double") if measure is None else (
+        F.col(measure) if isinstance(measure, str) else measure
+    )
+    labelled = df.select(
+        dim_a.expr.cast("string").alias("a"), dim_b.expr.cast("string").alias("b"),
+        value.alias("_v"),
+    ).where("a is not null and b is not null")
+    # Rows are summed into cells before they are multiplied by the grouping sets.
+    cells = labelled.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("_v").alias("total"))
+    return cells.cube("a", "b").agg(
+        F.grouping_id().cast("int").alias("grouping_id"), F.sum("n").alias("n"),
+        F.sum("total").alias("total"),
+    ).where("n is not null")
+
+
 def dominant_cell(crosstab_df: DataFrame) -> DataFrame:
     """The top cell and its share of all cells given."""
     listed = crosstab_df.withColumn("value", _standing())

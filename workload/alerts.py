@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyglass.functions.buckets import time_bucket
 from tallyglass.operators import alerts as M
+from tallyglass.session import ensure_checkpoint_dir
+from tallyglass.streaming import alerts as owned
 from workload import base
 from workload.base import query, table, tables
 from workload.shapes import _definitions
@@ -203,3 +207,60 @@ from {USAGE_SQL} where event <> 'hack' group by 1 order by n desc, key limit 20
 """)
 def _(spark, sf):
     return M.usage(table(spark, sf, "events").selectExpr(*USAGE))[1]
+
+
+WATCHED = [
+    ("many", "events", "count(*)", None, None, "gt", 4.0),
+    ("views", "events", "count(*)", "event_type = 'view'", None, "pct_drop", 1.0),
+    ("spent", "events", "sum(cast(value as decimal(18,2)))", "event_type = 'purchase'", None,
+     "pct_change", 0.5),
+    ("users", "events", "count(distinct user_id)", None, None, "lt", 10.0),
+    ("nothing", "events", "sum(value)", "event_type = 'none'", None, "gt", 0.0),
+]
+WATCHED_RULES = "(values " + ", ".join(
+    f"('{a[0]}', '{a[5]}', {a[6]})" for a in WATCHED) + ") as r(alert_id, comparison, threshold)"
+BATCHES = "(select *, event_id % 2 as batch from events)"
+WATCHED_SQL = f"""(
+select 'many' as alert_id, batch, cast(count(*) as double) as value from {BATCHES} group by batch
+union all select 'views', batch, cast(count(*) filter (event_type = 'view') as double) from {BATCHES}
+  group by batch
+union all select 'spent', batch, cast(sum(cast(value as decimal(18,2)))
+  filter (event_type = 'purchase') as double) from {BATCHES} group by batch
+union all select 'users', batch, cast(count(distinct user_id) as double) from {BATCHES} group by batch
+union all select 'nothing', batch, null from {BATCHES} group by batch)"""
+WATCHED_EVENTS_SQL = f"""(
+select *, {FIRED} as status from (
+  select *, lag(value) over (partition by alert_id order by batch) as previous,
+    (select max(ts) from events e where e.event_id % 2 = w.batch) as "at" from {WATCHED_SQL} w)
+join {WATCHED_RULES} using (alert_id))"""
+
+
+def watched(spark, sf):
+    """The events come in two loads; after each one, a trigger takes what is new."""
+    store = f"{ensure_checkpoint_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "events")
+    rules = spark.createDataFrame(WATCHED, ALERT_SCHEMA)
+    for load in (0, 1):
+        rows.where(F.col("event_id") % 2 == load).write.mode("append").parquet(f"{store}/source")
+        owned.watch(spark, f"{store}/source", rows.schema, "events", rules, store, "ts"
+                    ).awaitTermination()
+    return store
+
+
+@query("M2_events_of_a_stream", f"""
+select alert_id, batch, "at", round(value, 4) as value, round(previous, 4) as previous, status
+from {WATCHED_EVENTS_SQL}
+""")
+def _(spark, sf):
+    return owned.events(spark, watched(spark, sf)).drop("message").withColumns(
+        {c: F.round(c, 4) for c in ("value", "previous")})
+
+
+@query("M3_state_of_a_stream", f"""
+select alert_id, round(value, 4) as last_value, round(previous, 4) as previous_value,
+  status as last_status
+from {WATCHED_EVENTS_SQL} where batch = 1
+""")
+def _(spark, sf):
+    return owned.state(spark, watched(spark, sf)).withColumns(
+        {c: F.round(c, 4) for c in ("last_value", "previous_value")})

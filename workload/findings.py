@@ -133,22 +133,31 @@ def _(spark, sf):
     return I.finding_counts(every(spark, sf))
 
 
+def lines_sql(parts, quality_filter="true") -> str:
+    """(component, table_name, column_name, line) as fingerprints rest on them."""
+    return f"""(
+    select 'schema' as component, e.from_table as table_name, e.from_column as column_name,
+      concat_ws(':', e.from_table, e.from_column, e.to_table, status, printf('%.6f', ratio)) as line
+    from {base.EDGES_SQL.replace('as edges(', 'as e(')} join {measured_sql()} m
+      on m.from_table = e.from_table and m.from_column = e.from_column
+    union all
+    select 'profiles', table_name, column_name, concat_ws(':', table_name, column_name,
+      printf('%.6f', 1 - non_null_count / cast(sample_size as double)),
+      coalesce(cast(invalid_count as varchar), '-'), detected_type, coalesce(pii_type, '-'))
+    from ({profile_sql(*parts)})
+    union all
+    select 'quality', table_name, null, concat_ws(':', table_name, '-', printf('%.4f', score))
+    from {base.QUALITY_SQL} where {quality_filter})"""
+
+
 def fingerprint_sql(parts, quality_filter="true") -> str:
-    return f"""
-    select substring(sha256('|' || (select string_agg(l, '|' order by l) from (
-        select concat_ws(':', e.from_table, e.from_column, e.to_table, status,
-          printf('%.6f', ratio)) as l
-        from {base.EDGES_SQL.replace('as edges(', 'as e(')} join {measured_sql()} m
-          on m.from_table = e.from_table and m.from_column = e.from_column))), 1, 12) as schema,
-      substring(sha256((select string_agg(l, '|' order by l) from (
-        select concat_ws(':', table_name, column_name,
-          printf('%.6f', 1 - non_null_count / cast(sample_size as double)),
-          coalesce(cast(invalid_count as varchar), '-'), detected_type,
-          coalesce(pii_type, '-')) as l
-        from ({profile_sql(*parts)})))), 1, 12) as profiles,
-      substring(sha256((select string_agg(l, '|' order by l) from (
-        select concat_ws(':', table_name, '-', printf('%.4f', score)) as l
-        from {base.QUALITY_SQL} where {quality_filter}))), 1, 12) as quality"""
+    def digest(component, prefix=""):
+        return (f"(select substring(sha256('{prefix}' || concat_ws(':', count(*), coalesce(sum(cast("
+                f"'0x' || substring(sha256(line), 1, 15) as bigint)), 0))), 1, 12) "
+                f"from l where component = '{component}') as {component}")
+
+    return (f"with l as {lines_sql(parts, quality_filter)} select {digest('schema', '|')}, "
+            f"{digest('profiles')}, {digest('quality')}")
 
 
 def _combined(sql: str) -> str:
@@ -156,10 +165,17 @@ def _combined(sql: str) -> str:
             f"as combined from ({sql})")
 
 
-def print_of(spark, sf, profile_df, quality_df):
+def rests_on(spark, sf, profile_df, quality_df):
     relations = base.edges(spark).join(measured(spark, sf), R.EDGE)
-    quality = quality_df.withColumn("column_name", F.lit(None).cast("string"))
-    return I.fingerprint(relations, profile_df, quality)
+    return relations, profile_df, quality_df.withColumn("column_name", F.lit(None).cast("string"))
+
+
+def print_of(spark, sf, profile_df, quality_df):
+    return I.fingerprint(*rests_on(spark, sf, profile_df, quality_df))
+
+
+def tree_of(spark, sf, profile_df, quality_df):
+    return I.fingerprint_tree(*rests_on(spark, sf, profile_df, quality_df))
 
 
 @query("I5_fingerprint", _combined(fingerprint_sql(PARTS)))
@@ -184,6 +200,28 @@ def _(spark, sf):
     return I.stale_reason(before, now).withColumn("reasons", F.array_join("reasons", ","))
 
 
+@query("I6_changed_columns", f"""
+with a as (select component, table_name, column_name, string_agg(line, '|' order by line) as line
+    from {lines_sql(PARTS)} group by 1, 2, 3),
+b as (select component, table_name, column_name, string_agg(line, '|' order by line) as line
+    from {lines_sql((base.CONTACTS_PART,), "table_name <> 'part'")} group by 1, 2, 3)
+select coalesce(a.component, b.component) as component,
+  coalesce(a.table_name, b.table_name) as table_name,
+  coalesce(a.column_name, b.column_name) as column_name,
+  case when a.line is null then 'added' when b.line is null then 'removed' else 'changed' end
+    as change
+from a full join b on a.component = b.component and a.table_name = b.table_name
+  and a.column_name is not distinct from b.column_name
+where a.line is distinct from b.line
+""")
+def _(spark, sf):
+    scores = base.quality_scores(spark, sf)
+    before = tree_of(spark, sf, profiles(spark, sf), scores)
+    now = tree_of(spark, sf, P.profile_all({"customer": base.contacts(spark, sf)}),
+                  scores.where("table_name <> 'part'"))
+    return I.changes(before, now)
+
+
 @query("I6_reused_findings", f"select {ROUNDED}, true as reused from {ALL_SQL}")
 def _(spark, sf):
     folder = f"{ensure_checkpoint_dir(spark)}/findings-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyglass.operators import relations as R
+from tallyglass.operators import paths, relations as R
 from tallyglass.sources import catalog
 from workload import base
 from workload.base import EDGES, STAR, query, tables
@@ -221,3 +221,65 @@ where from_table in ('customer', 'orders', 'supplier')
 def _(spark, sf):
     counted = R.measure_relations(odd_edges(spark), planted(spark, sf))
     return R.fanout_check(counted, ["customer", "orders", "supplier"])
+
+
+def steps_sql(edges=EDGES) -> str:
+    """Both directions of each edge with fan-out and share of matched rows, edge by edge."""
+    parts = []
+    for a, c, b, d, _ in edges:
+        source = base.ORDERS_PLUS_SQL if a == "orders" else a
+        target = base.ORDERS_PLUS_SQL if b == "orders" else b
+        parts.append(f"""
+          select '{a}' as a, '{c}' as c, '{b}' as b, '{d}' as d,
+            cast(sum(n * m) as double) as pairs, sum(n) as n, sum(m) as m,
+            sum(n) filter (m is not null) as met_n, sum(m) filter (n is not null) as met_m
+          from (select {c} as k, count(*) as n from {source} where {c} is not null group by 1)
+          full join (select {d} as k, count(*) as m from {target} where {d} is not null group by 1)
+            using (k)""")
+    facts = " union all ".join(parts)
+    return f"""(
+      select a as source, c as source_column, b as target, d as target_column,
+        coalesce(pairs / met_n, 0) as fan_out, coalesce(met_n / n, 0) as kept from ({facts})
+      union all
+      select b, d, a, c, coalesce(pairs / met_m, 0), coalesce(met_m / m, 0) from ({facts}))"""
+
+
+def paths_sql(start: str, most: int) -> str:
+    return f"""(
+      with recursive walk(at_table, visited, path, hops, fan_out, kept, multiplies) as (
+        select '{start}', ['{start}'], '{start}', 0, 1e0, 1e0, false
+        union all
+        select s.target, list_append(w.visited, s.target),
+          w.path || ' -[' || s.source_column || '=' || s.target_column || ']-> ' || s.target,
+          w.hops + 1, w.fan_out * s.fan_out, w.kept * s.kept, w.multiplies or s.fan_out > 1
+        from walk w join {steps_sql()} s on s.source = w.at_table
+        where w.hops < {most} and not list_contains(w.visited, s.target))
+      select at_table as end_table, path, hops, round(fan_out, 6) as fan_out,
+        round(kept, 6) as kept, multiplies from walk where hops > 0)"""
+
+
+def walked(spark, sf, start, most, end=None):
+    steps = paths.edge_steps(base.edges(spark), planted(spark, sf))
+    return paths.join_paths(steps, start, end, most)
+
+
+def shown(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("fan_out", "kept")})
+
+
+@query("J4_join_paths", f"select * from {paths_sql('lineitem', 4)} where end_table = 'region'")
+def _(spark, sf):
+    return shown(walked(spark, sf, "lineitem", 4, "region"))
+
+
+@query("J8_path_fan_out", f"select * from {paths_sql('customer', 4)}")
+def _(spark, sf):
+    return shown(walked(spark, sf, "customer", 4))
+
+
+@query("J8_safest_paths", f"""
+select * from {paths_sql('supplier', 4)}
+qualify row_number() over (partition by end_table order by fan_out, -kept, hops, path) = 1
+""")
+def _(spark, sf):
+    return paths.safest_paths(shown(walked(spark, sf, "supplier", 4)))

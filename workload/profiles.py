@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tallyglass.operators import profile as P
+from tallyglass.operators import distinct, profile as P, stored
+from tallyglass.session import ensure_checkpoint_dir
 from tallyglass.sources.catalog import union_all
 from workload import base
 from workload.base import profile_sql, query, table, tables
@@ -178,3 +181,67 @@ def _(spark, sf):
     known = tables(spark, sf, ["supplier", "nation"])
     stale = P.profile_all({"supplier": known["supplier"].limit(0), "nation": known["nation"]})
     return flat(P.profile_all(known, only="supplier", existing_df=stale), EVERYTHING)
+
+
+@query("C1_profile_by_summaries", flat_sql(base.plain_part("lineitem"), base.plain_part("orders"),
+                                           base.plain_part("documents")))
+def _(spark, sf):
+    """As a large table is profiled: no value of a whole-number column is shuffled."""
+    return flat(P.profile_all(tables(spark, sf, ("lineitem", "orders", "documents")),
+                              small_bytes=0))
+
+
+INTEGERS = [(t, c) for t, columns in base.SCHEMA.items() for c, kind in columns
+            if kind in ("int", "bigint")]
+
+
+@query("C3_distinct_by_bitmaps", " union all ".join(
+    f"select '{t}' as table_name, '{c}' as column_name, count(*) as row_count, "
+    f"count({c}) as non_null_count, count(distinct {c}) as distinct_count from {t}"
+    for t, c in INTEGERS))
+def _(spark, sf):
+    return distinct.distinct_numbers(tables(spark, sf))
+
+
+@query("C12_unique_numbers", " union all ".join(
+    f"select '{t}' as table_name, '{c}' as column_name, count(distinct {c}) as distinct_count "
+    f"from {t} having count(*) = count({c}) and count(*) = count(distinct {c}) and count(*) > 0"
+    for t, c in INTEGERS))
+def _(spark, sf):
+    return distinct.unique_numbers(tables(spark, sf))
+
+
+@query("C13_incremental_profile", f"""
+select table_name, column_name, ordinal, declared_type, sample_size as row_count, null_count,
+  non_null_count, round(1 - non_null_count / cast(sample_size as double), 6) as null_rate,
+  case when kind = 'integer' then distinct_count end as distinct_count,
+  kind = 'integer' as distinct_is_exact, min_value, max_value, round(mean_value, 7) as mean_value,
+  round(avg_length, 6) as avg_length
+from ({profile_sql(base.plain_part("events"))})
+""")
+def _(spark, sf):
+    """The events come in two loads; each leaves its state, and the states fold into the profile."""
+    store = f"{ensure_checkpoint_dir(spark)}/profile-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "events")
+    for load in (0, 1):
+        part = rows.where(F.col("event_id") % 2 == load).withColumn("__load", F.lit(f"load {load}"))
+        stored.profile_state(part, "__load").write.mode("append").parquet(store)
+    known = stored.profile_of_state(spark.read.parquet(store), "events")
+    return known.withColumns({
+        "distinct_count": F.when(F.col("distinct_is_exact"), F.col("distinct_count")),
+        "null_rate": F.round("null_rate", 6), "mean_value": F.round("mean_value", 7),
+        "avg_length": F.round("avg_length", 6)})
+
+
+@query("A4_profile_of_files", flat_sql(base.plain_part("supplier"), columns=[
+    "column_name", "sample_size", "null_count", "min_value", "max_value"]))
+def _(spark, sf):
+    """A folder of files is profiled, then again with more files: only the new ones are read."""
+    folder = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "supplier")
+    for load in (0, 1):
+        rows.where(F.col("s_suppkey") % 2 == load).write.mode("append").parquet(f"{folder}/data")
+        stored.refresh(spark, f"{folder}/data", f"{folder}/state")
+    return stored.stored_profile(spark, f"{folder}/data", f"{folder}/state", "supplier").select(
+        "column_name", F.col("row_count").alias("sample_size"), "null_count", "min_value",
+        "max_value")

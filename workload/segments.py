@@ -233,6 +233,17 @@ def _(spark, sf):
     return cross(spark, sf, 12).withColumn("total", F.col("total").cast("double"))
 
 
+@query("G10_crosstab_margins", f"""
+select a, b, cast(grouping(a, b) as int) as grouping_id, cast(sum(n) as bigint) as n,
+  cast(sum(total) as double) as total
+from {CROSSTAB_SQL} where a is not null and b is not null group by cube (a, b)
+""")
+def _(spark, sf):
+    return G.crosstab_margins(base_table(spark, sf), Dimension.band("age", Bands(18, 11)),
+                              Dimension.category("c_mktsegment"), "amount").withColumn(
+        "total", F.col("total").cast("double"))
+
+
 @query("G11_dominant_cell", f"""
 select a, b, cast(total as double) as value, round(share, 6) as share
 from (select *, cast(total as double) / sum(cast(total as double)) over () as share
