@@ -7,18 +7,19 @@ each collection has a group in which they agree, with probability (1 - (1 - s^2)
 0.85, more above. Candidates are confirmed on the sets themselves, word for word.
 
 Equal texts are one class from the start. A bucket of more than BUCKET classes is not paired.
-Its classes are compared with one hub; buckets whose classes are then in several components are
-compared with a hub of the largest one, ROUNDS times; what is left goes through an exact prefix
-filter: two sets of similarity 0.85 share one of the rarest 15 % (and one) of their shingles. Only
-classes of different components are compared there. So a group of near copies costs about its
-size, and no link inside a bucket is lost.
+Its classes are compared with one hub, which puts most of a group of near copies into one component.
+Buckets whose classes are then in several components are gathered by their largest component, and
+all classes outside of it are compared with all of the group, in blocks. A block holds sets as what
+they differ in from the set of most of them, so near copies cost little, and it sends out no more
+edges than connect what it has found. So a group of near copies emits about its size in pairs, and no
+link inside a bucket is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyglass.llm.common import prepare, whole_text
 from tallyglass.llm.components import connected
@@ -26,9 +27,9 @@ from tallyglass.llm.components import connected
 GROUPS, WIDTH = 8, 2
 SHARE = 85  # per cent of the union that two linked sets share at least
 BUCKET = 32
-ROUNDS = 2
+BLOCK_SHINGLES = 1 << 20  # of one side of a block
 FAN = 1024  # pairs of one class that meet its text in one task
-KEPT_WORDS, KEPT_SETS = 200_000, 64
+KEPT_WORDS, KEPT_SHINGLES = 200_000, 300_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,12 +148,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> Dat
     """Those of the pairs (a, b) whose sets share enough, written to the shared folder."""
     def linked(batches):
         sets: dict[int, set] = {}
+        held = 0
 
         def of(node, text):
+            nonlocal held
             if node not in sets:
-                if len(sets) >= KEPT_SETS or len(text) > 1 << 20:
+                if held > KEPT_SHINGLES:
                     sets.clear()
+                    held = 0
                 sets[node] = shingles(text, words)
+                held += len(sets[node])
             return sets[node]
 
         for batch in batches:
@@ -167,43 +172,86 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> Dat
     return _with_texts(pairs, texts).mapInArrow(linked, "a long, b long").checkpoint()
 
 
-def _rare_first(open_: DataFrame, texts: DataFrame, words: int, share: int) -> DataFrame:
-    """(a, b): pairs of different components that share one of their rarest shingles."""
-    def tokens(batches):
-        known = Hashes()
-        for batch in batches:
-            nodes, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for node, text in zip(nodes, sets, strict=True):
-                own = np.unique(shingle_hashes(text, words, known)).view(np.int64)
-                yield pa.record_batch([pa.array([node] * len(own), pa.int64()), pa.array(own)],
-                                      ["node", "token"])
-
-    members = open_.select("node", "n", "root").distinct()
-    rows = texts.join(members.select("node"), "node", "left_semi").select(
-        "node", "text").mapInArrow(tokens, "node long, token long").checkpoint()
-    often = rows.groupBy("token").agg(F.count("*").alias("__often")).where("__often > 1")
-    ranked = rows.join(often, "token", "left").withColumn("__at", F.row_number().over(
-        Window.partitionBy("node").orderBy(F.coalesce("__often", F.lit(1)), "token")))
-    first = ranked.join(members, "node").where(
-        f"__at <= n - (({share} * n + 99) div 100) + 1 and __often > 1").select(
-        "token", "node", "n", "root").checkpoint()
-    shared = first.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where(
-        "r < s").select("token")
-    first = first.join(shared, "token")
-    return first.alias("x").join(first.alias("y"), "token").where(
-        f"x.node < y.node and x.root <> y.root and {_alike('x.n', 'y.n', share)}").select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+def spanning(strays: list, members: list, share: int) -> list[tuple[int, int]]:
+    """Edges (stray, member) that connect what links between them connect, beyond known roots.
 
+    Each is (node, root, sorted distinct hashes of shingles). Sets are held as differences from the
+    set of those hashes that most of them have: |x ^ y| = |dx| + |dy| - 2 |dx & dy|.
+    """
+    every = members + strays
+    values, often = np.unique(np.concatenate([x for _, _, x in every]), return_counts=True)
+    usual = values[often * 2 > len(every)]
+    gaps = [np.searchsorted(values, np.setxor1d(x, usual, assume_unique=True)) for _, _, x in every]
+    size = np.array([len(x) for _, _, x in every])
+    gap = np.array([len(g) for g in gaps])
+    many = len(members)
+    flat = np.concatenate([*gaps[:many], np.zeros(0, np.int64)])
+    order = np.argsort(flat, kind="stable")
+    holder = np.repeat(np.arange(many), gap[:many])[order]
+    ends = np.cumsum(np.bincount(flat, minlength=len(values)))
+    starts = np.concatenate(([0], ends[:-1]))
+    _, label = np.unique([root for _, root, _ in every], return_inverse=True)
+    out = []
+    for i in range(many, len(every)):
+        first, width = starts[gaps[i]], ends[gaps[i]] - starts[gaps[i]]
+        at = np.arange(width.sum()) + np.repeat(first - np.cumsum(width) + width, width)
+        shared = np.bincount(holder[at], minlength=many)
+        apart = gap[i] + gap[:many] - 2 * shared
+        both = size[i] + size[:many]
+        linked = np.flatnonzero((100 * (both - apart) >= share * (both + apart))
+                                & (label[:many] != label[i]))
+        names, one = np.unique(label[linked], return_index=True)
+        out += [(every[i][0], members[linked[k]][0]) for k in one]
+        if len(names):
+            label[np.isin(label, names)] = label[i]
+    return out
 
-def _hubs(large: DataFrame, turn: int) -> DataFrame:
-    """(key, hub, hub_root): in each bucket one class of the component with most classes there."""
-    each = large.groupBy("key", "root").agg(
-        F.count("*").alias("many"),
-        F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "node", "n")).alias("hub"))
-    return each.groupBy("key").agg(F.max_by(F.struct("hub", "root"), F.struct(
-        "many", -F.col("hub.order"))).alias("best")).select(
-        "key", F.col("best.hub.node").alias("hub"), F.col("best.hub.n").alias("hub_n"),
-        F.col("best.root").alias("hub_root"))
+
+def _in_blocks(open_: DataFrame, texts: DataFrame, words: int, share: int) -> DataFrame:
+    """(a, b): edges that connect what links within open buckets connect; see `spanning`.
+
+    Classes outside the largest component of a bucket are the ones that are compared with all.
+    """
+    def hashed(batches):
+        known = Hashes()
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words, known)).tobytes()
+                    for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["node", "tokens"])
+
+    def compared(left, right):
+        def rows(table):
+            return list(zip(table["node"].to_pylist(), table["root"].to_pylist(), [
+                np.frombuffer(t, np.uint64) for t in table["tokens"].to_pylist()], strict=True))
+
+        edges = spanning(rows(left), rows(right), share) if len(left) and len(right) else []
+        return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    each = open_.groupBy("key", "root").agg(
+        F.count("*").alias("many"), F.min(F.xxhash64("node")).alias("order"))
+    largest = each.groupBy("key").agg(
+        F.max_by("root", F.struct("many", "order")).alias("group"))
+    placed = open_.join(largest, "key").select("group", "node", "n", "root").distinct().checkpoint()
+    outside = F.col("root") != F.col("group")
+    cuts = placed.groupBy("group").agg(*[
+        F.expr(f"(coalesce(sum({n}), 0) div {BLOCK_SHINGLES}) + 1").alias(name)
+        for name, n in (("strays", "if(root <> group, n, 0)"), ("members", "n"))])
+    tokens = texts.join(placed.select("node").distinct(), "node", "left_semi").select(
+        "node", "text").mapInArrow(hashed, "node long, tokens binary")
+    rows = placed.join(cuts, "group").join(tokens, "node").checkpoint()
+
+    def block(name):
+        return F.pmod(F.xxhash64("node"), F.col(name))
+
+    def all_of(name):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+
+    left = rows.where(outside).select("group", block("strays").alias("s"), all_of("members").alias("m"),
+                                      "node", "root", "tokens")
+    right = rows.select("group", all_of("strays").alias("s"), block("members").alias("m"), "node",
+                        "root", "tokens")
+    return left.groupBy("group", "s", "m").cogroup(right.groupBy("group", "s", "m")).applyInArrow(
+        compared, "a long, b long")
 
 
 def links(met: DataFrame, texts: DataFrame, words: int, share: int, bucket: int) -> DataFrame:
@@ -216,27 +264,23 @@ def links(met: DataFrame, texts: DataFrame, words: int, share: int, bucket: int)
         f"x.node < y.node and {_alike('x.n', 'y.n', share)}").select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     large = met.where(F.col("size") > bucket).select("key", "node", "n")
-
-    def stars(rows, turn):
-        return rows.join(_hubs(rows, turn), "key").where(
-            f"root <> hub_root and {_alike('n', 'hub_n', share)}").select(
-            F.col("hub").alias("a"), F.col("node").alias("b"))
-
     crowded = not large.isEmpty()
     if crowded:
-        pairs = pairs.union(stars(large.withColumn("root", F.col("node")), 0))
+        hubs = large.groupBy("key").agg(F.min(F.struct(
+            F.xxhash64("node"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h"))
+        pairs = pairs.union(large.join(hubs.select("key", "h.hub", "h.hub_n"), "key").where(
+            f"node <> hub and {_alike('n', 'hub_n', share)}").select(
+            F.col("hub").alias("a"), F.col("node").alias("b")))
     edges = confirmed(pairs, texts, words, share)
-    for turn in range(1, ROUNDS + 2) if crowded else ():
-        roots = connected(edges)
-        rooted = large.join(roots, "node", "left").select(
+    if crowded:
+        rooted = large.join(connected(edges), "node", "left").select(
             "key", "node", "n", F.coalesce("root", "node").alias("root"))
         several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where(
             "r < s").select("key")
         open_ = rooted.join(several, "key").checkpoint()
-        if open_.isEmpty():
-            break
-        more = stars(open_, turn) if turn <= ROUNDS else _rare_first(open_, texts, words, share)
-        edges = edges.union(confirmed(more, texts, words, share))
+        if not open_.isEmpty():
+            edges = edges.union(confirmed(
+                _in_blocks(open_, texts, words, share), texts, words, share))
     return edges
 
 

@@ -73,15 +73,41 @@ def test_minhash_groups(spark, near, bucket, odd, none):
         assert by_id[None] == {(3, None, True), (0, None, True)}
 
 
-def test_minhash_rare_shingles_and_heavy_ends(spark, near, monkeypatch):
-    """Without any round of hubs, and with pairs dealt out, the result is the same."""
-    monkeypatch.setattr(minhash, "ROUNDS", 0)
+def test_minhash_small_blocks_and_heavy_ends(spark, near, monkeypatch):
+    """With many blocks, and with pairs dealt out, the result is the same."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 3000)
     monkeypatch.setattr(minhash, "FAN", 5)
     docs = spark.createDataFrame(list(near.items()), "doc_id long, text string")
     got = minhash.near_duplicates(docs, bucket=3).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(near)
 
 
+def test_minhash_blocks_connect_what_links_connect():
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 1 << 60, 200).astype(np.uint64)) for _ in range(3)]
+    sets = []
+    for k in range(120):
+        own = base[k % 3]
+        lost = rng.random(len(own)) > rng.choice([.01, .05, .1])
+        sets.append(np.unique(np.concatenate((own[lost], rng.integers(0, 1 << 60, 5).astype(np.uint64)))))
+    roots = [0 if k < 30 and k % 3 == 0 else k for k in range(120)]
+    members = [(k, roots[k], x) for k, x in enumerate(sets)]
+    edges = minhash.spanning([m for m in members if m[1]], members, 85)
+    assert len(edges) < 120
+
+    def groups(pairs):
+        label = list(roots)
+        for a, b in pairs:
+            x, y = label[a], label[b]
+            label = [min(x, y) if v in (x, y) else v for v in label]
+        return label
+
+    links = [(a, b) for a in range(120) for b in range(a) if 100 * len(np.intersect1d(
+        sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    got, want = groups(edges), groups(links)
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
 def test_minhash_keys_meet_as_computed():
     rng, known, met = random.Random(2), minhash.Hashes(), 0
     for _ in range(400):
