@@ -33,7 +33,7 @@ def _name(field: T.StructField) -> str:
     return "`" + field.name.replace("`", "``") + "`"
 
 
-def _text_sql(field: T.StructField) -> str:
+def text_sql(field: T.StructField) -> str:
     """SQL for the value of any column as text."""
     name = _name(field)
     if isinstance(field.dataType, T.BinaryType):
@@ -43,7 +43,8 @@ def _text_sql(field: T.StructField) -> str:
     if isinstance(field.dataType, (T.MapType, T.StructType)):
         return f"to_json({name})"
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return f"cast({name} + 0 as string)"  # zero and minus zero are one value
+        zero = f"cast(0 as {field.dataType.simpleString()})"
+        return f"cast({name} + {zero} as string)"  # zero and minus zero are one value
     return f"cast({name} as string)"
 
 
@@ -121,7 +122,7 @@ def cells(tables: Tables, columns: list[str] | None = None, wanted: tuple[str, .
                 kind = kinds.kind_of(f.dataType)
                 names.append((name, f.name, kind))
                 if not wanted or kind in wanted:
-                    structs.append(f"named_struct('c', {len(names)}, 'cell', {_text_sql(f)})")
+                    structs.append(f"named_struct('c', {len(names)}, 'cell', {text_sql(f)})")
         if structs:
             parts.append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
     if not parts:
@@ -367,7 +368,8 @@ def _by_summaries(source: Cells, tables: Tables) -> tuple[DataFrame, DataFrame]:
     counts = distinct.by_values(others.withColumnRenamed("item", "v")).unionByName(
         others.sparkSession.createDataFrame(
             [(c, n) for c, (n, _) in numbers.items()], "c int, distinct_count bigint"))
-    facts = _value_facts(source).drop("distinct_count").join(counts, "c", "left")
+    facts = _value_facts(source).where("sample_size is not null").drop("distinct_count").join(
+        counts, "c", "left")
     return facts.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long"))), \
         _heavy(source, TOP_VALUES, numbers)
 
@@ -408,7 +410,7 @@ def quick_counts(df: DataFrame, name: str, lg_k: int = 12) -> DataFrame:
     for i, f in enumerate(fields):
         aggregates += [
             F.count(f"`{f.name}`").alias(f"known_{i}"),
-            F.hll_sketch_estimate(F.hll_sketch_agg(F.expr(_text_sql(f)), lg_k))
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.expr(text_sql(f)), lg_k))
             .alias(f"distinct_{i}"),
         ]
     rows = [

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tallyglass.functions import kinds
 from tallyglass.functions.text import quoted
 from tallyglass.operators import distinct
+from tallyglass.operators.profile import text_sql
 
 LG_K = 12
 EXTREMES = {"integer": "bigint", "number": "double", "decimal": "decimal(38,18)",
@@ -29,7 +30,6 @@ STATE = [
     ("total", "double"), ("whole", "decimal(38,0)"), ("length", "bigint"), ("sketch", "binary"),
     ("exact", "boolean"),
     *[(f"{side}_{k}", t) for k, t in EXTREMES.items() for side in ("low", "high")]]
-NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
 
 def _shaped(df: DataFrame) -> DataFrame:
@@ -55,14 +55,12 @@ def _facts(df: DataFrame, part: str) -> DataFrame:
         if field.name == part:
             continue
         name, kind = "`" + field.name.replace("`", "``") + "`", kinds.kind_of(field.dataType)
-        text = f"cast({name} as string)"
-        if isinstance(field.dataType, NESTED):
-            text = f"if({name} is null, null, to_json(struct({name})))"
+        text = text_sql(field)
         own = _extreme_kind(field.dataType)
         aggregates += [
             F.expr(f"count({name})").alias(f"known_{i}"),
             F.expr(f"sum(length({text}))").alias(f"length_{i}"),
-            F.expr(f"hll_sketch_agg({text}, {LG_K})").alias(f"sketch_{i}")]
+            F.expr(f"hll_sketch_agg(concat('=', {text}), {LG_K})").alias(f"sketch_{i}")]
         total = whole = "null"
         if kind == "number":
             total = f"total_{i}"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.functions.buckets import Bands, time_bucket
-from tallyglass.functions.ordering import fitting_unit, previous_value, running_number
+from tallyglass.functions.ordering import previous_value
 from tallyglass.operators import segments as G, series as T
 from tallyglass.operators.segments import Dimension
 
@@ -147,25 +147,14 @@ def test_previous_value_equals_a_plain_scan_when_one_key_holds_most_rows(spark):
     assert got == want
 
 
-def test_crowded_periods_are_cut_finer(spark):
+def test_calendar_units_are_used_on_request(spark):
     df = spark.range(4000).selectExpr(
         "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) as t",
         "cast(id as double) as v")
-    assert fitting_unit(df, "t", (), most=10_000) == "month"
-    assert fitting_unit(df, "t", (), most=3_700) == "hour"
-    assert fitting_unit(df, "t", (), most=100) == "minute"
     assert previous_value(df, "t", "v", "p", unit="minute").where(
         "v > 0 and p <> v - 1 or v > 0 and p is null").isEmpty()
 
 
-def test_running_number_counts_every_group_from_one(spark):
-    df = spark.range(500).selectExpr("id % 3 as g", "md5(cast(id as string)) as d")
-    rows = running_number(df, "d", "g", "n").collect()
-    for g in range(3):
-        own = sorted((r.d, r.n) for r in rows if r.g == g)
-        assert [n for _, n in own] == list(range(1, len(own) + 1))
-
-
 def test_projection_and_allocation(spark):
     df = spark.createDataFrame([(10.0,), (30.0,)], "v double")
     plan = G.project(df, "v", 10).first()
