@@ -1,16 +1,19 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A text is cut into words, and into overlapping windows of words that cover all of it. A word enters
-as a learned vector (for words frequent in the training sample) beside the mean of learned vectors
-of its character trigrams. Two gated recurrent layers read a window in both directions, attention
-weighs their states, and a logistic unit scores the sum. A document's score is that of its most
-toxic window, as one passage is enough.
-
-Training runs in one task, over a sample with a stated bound: SAMPLE_DOCS labelled documents,
-chosen by a hash of their id, each with all its windows. Their words are numbered once, and windows
-are cut from the numbers and scored in blocks of bounded size. A label belongs to a document, so after two thirds of the rounds, over random windows, every document is represented by
-the window that scores highest. From then on a positive label counts by the square of that score:
-labels that nothing in the text bears out are noise, and are not learned by heart. Scoring runs over all windows of all documents, in blocks of words of bounded size.
+as a learned vector (for words of two or more training documents) beside the scaled sum of learned
+vectors of its character pieces: three and five bytes long, its ends included, hashed into rows. Two
+gated recurrent layers read a window in both directions, attention weighs their states, and a
+logistic unit scores the sum. A document's score is that of its most toxic window, as one passage is
+enough.
+
+Training runs in one task, over a sample with a stated bound: SAMPLE_DOCS labelled documents, as many
+of either label where there are enough, chosen by a hash of their id, each with all its windows.
+The first number of a word's or piece's vector starts from how much oftener it occurs in documents of
+label 1 (a log ratio of counts), all others at random; all are learned. A label belongs to a document, so a document of label 1
+is represented by the window that scores highest so far, one of label 0 by that or by any other, in
+turn. One document in VALIDATED takes no part in that; on those the bias is set so that a score of 0.5 parts the
+labels best. Scoring runs over all windows of all documents, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -19,16 +22,20 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyglass.llm.common import prepare, whole_text
 
 SAMPLE_DOCS = 4000
 COMPARED = 12  # windows spread over a document by which copies of it are known
 WINDOW, STRIDE = 32, 16
-HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 8, 8, 256
-SHARE_OF_DOCS = 80  # a word is frequent if at least one document in so many has it
-STEPS, BATCH, RATE, DECAY = 600, 64, 0.003, 0.01
+HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 8, 8, 1 << 14
+PIECES = (3, 5)  # bytes
+STEPS, BATCH, RATE, DECAY = 900, 64, 0.003, 0.01
+UNKNOWN = 0.5  # share of words that a step knows by their pieces only
+SCORED = 3  # times that all windows are scored during training
+VALIDATED = 8
+PRIOR = 4  # documents of both labels that are added to every count, as often as these come
 MARKS = b".,;:!?\"'()[]{}*#&$%-_|<>~+=/\\"
 BLOCK_WORDS = 100_000
 BLOCK_WINDOWS = 2048
@@ -45,20 +52,29 @@ def window_starts(n_words: int) -> range:
 
 
 class Words:
-    """Word and trigram numbers of distinct words."""
+    """Word and piece numbers of distinct words."""
 
     def __init__(self, words: list[bytes], vocabulary: dict[bytes, int]):
         get = vocabulary.get
         self.word = np.array([get(w, 0) for w in words], np.int64)
-        line = np.frombuffer(b"\n\n" + b"\n".join(words) + b"\n\n", np.uint8).astype(np.int64)
+        line = np.frombuffer(b"\n" + b"\n".join(words) + b"\n" * max(PIECES), np.uint8).astype(np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words))
-        first = np.concatenate(([0], np.cumsum(size + 1)[:-1])) + 1  # the newline before each word
-        code = (line[:-2] * 961 + line[1:-1] * 31 + line[2:]) * 2654435761 >> 7
-        code = code % CHAR_ROWS
-        reach = np.repeat(np.arange(len(words)), size)
-        offset = np.arange(len(reach)) - np.repeat(np.cumsum(size) - size, size)
-        self.gram, self.of = code[first[reach] + offset].astype(np.int32), reach.astype(np.int32)
-        self.size = np.maximum(size, 1)
+        first = np.cumsum(size + 1) - size - 1  # the newline before each word
+        grams, owners = [], []
+        for n in PIECES:
+            many = np.maximum(size + 3 - n, 0) * (size > 0)
+            code = np.full(max(len(line) - n + 1, 0), n, np.int64)
+            for k in range(n):
+                code = (code * 0x9E3779B1 + line[k:k + len(code)]) & 0xFFFFFFFF
+            owner = np.repeat(np.arange(len(words)), many)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + first[owner]
+            mixed = code[at] * 0x85EBCA6B & 0xFFFFFFFF
+            grams.append((mixed >> 16) % CHAR_ROWS)
+            owners.append(owner)
+        order = np.argsort(np.concatenate(owners), kind="stable")
+        self.gram = np.concatenate(grams)[order].astype(np.int32)
+        self.of = np.concatenate(owners)[order].astype(np.int32)
+        self.scale = np.sqrt(np.maximum(np.bincount(self.of, minlength=len(words)), 1))
 
     def inputs(self, p: dict) -> np.ndarray:
         grams = np.zeros((len(self.word), CHAR_DIM), p["char"].dtype)
@@ -68,7 +84,7 @@ class Words:
                 sums = np.add.reduceat(p["char"][self.gram[first[0]:first[-1]]],
                                        np.minimum(first[:-1], first[-1] - 1) - first[0])
                 sums[first[1:] == first[:-1]] = 0
-                grams[k:k + (1 << 14)] = sums / self.size[k:k + (1 << 14), None]
+                grams[k:k + (1 << 14)] = sums / self.scale[k:k + (1 << 14), None]
         return np.concatenate((p["word"][self.word], grams), axis=1).astype(p["char"].dtype)
 
 
@@ -78,8 +94,8 @@ def parameters(n_words: int, seed: int = 5) -> dict[str, np.ndarray]:
     def draw(*shape):
         return rng.normal(0, 1 / np.sqrt(shape[0]), shape)
 
-    p = {"word": rng.normal(0, .3, (n_words, WORD_DIM)),
-         "char": rng.normal(0, .3, (CHAR_ROWS, CHAR_DIM)),
+    p = {"word": rng.normal(0, .1, (n_words, WORD_DIM)),
+         "char": rng.normal(0, .1, (CHAR_ROWS, CHAR_DIM)),
          "attend": draw(2 * HIDDEN, HIDDEN), "query": draw(HIDDEN), "out": draw(2 * HIDDEN),
          "bias": np.array([-1.0])}
     for side in "fb":
@@ -146,8 +162,8 @@ def backward(p: dict, ids, mask, keep: dict, wrong: np.ndarray) -> tuple[dict, d
     for at, side in enumerate("fb"):
         u, d_state = p["u" + side], d_both[:, :, at * HIDDEN:(at + 1) * HIDDEN]
         g["u" + side] = np.zeros_like(u)
-        d_gate = np.zeros((*ids.shape, 3 * HIDDEN))
-        d_h = np.zeros((len(ids), HIDDEN))
+        d_gate = np.zeros((*ids.shape, 3 * HIDDEN), u.dtype)
+        d_h = np.zeros((len(ids), HIDDEN), u.dtype)
         for t, h, z, r, new, own, m in reversed(keep[side]):
             d = d_h + d_state[:, t]
             d_new = m * d * (1 - z) * (1 - new ** 2)
@@ -181,30 +197,56 @@ def numbered(windows, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 class Sample:
     """Labels and numbered words of training documents, and the windows over them, by number.
 
-    A document that shares one of its compared windows with an earlier one is a copy, and adds
-    nothing. Only the distinct words and four bytes of each word are held.
+    A document that shares one of its compared windows with an earlier one of the same label is a
+    copy, and adds nothing. Only the distinct words and four bytes of each word are held.
     """
 
     def __init__(self, rows):
         known: dict[bytes, int] = {b"": 0}
-        met, label, lines, seen = set(), [], [], {}
+        met, label, lines = (set(), set()), [], []
         for y, line in rows:
             words = line.split()
             starts = window_starts(len(words))
             some = np.unique(np.linspace(0, len(starts) - 1, COMPARED).astype(int)).tolist()
             own = {b" ".join(words[starts[k]:starts[k] + WINDOW]) for k in some} - {b""}
-            if met.isdisjoint(own):
+            if met[y].isdisjoint(own):
                 label.append(y)
                 lines.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32))
-                for k in np.unique(lines[-1]).tolist():
-                    seen[k] = seen.get(k, 0) + 1
-            met |= own
+            met[y].update(own)
         self.label, self.words = np.array(label, float), list(known)
         self.ids = np.concatenate([*lines, np.zeros(1, np.int32)])
         self.begin = np.cumsum([0] + [len(x) for x in lines])
         self.first = np.cumsum([0] + [len(window_starts(len(x))) for x in lines])
-        least = max(2, len(label) // SHARE_OF_DOCS)
-        self.frequent = sorted(self.words[k] for k, n in seen.items() if n >= least)
+        # Every eighth document of each label, as they come, is left for validation.
+        self.held = np.zeros(len(label), bool)
+        for y in (0, 1):
+            self.held[np.flatnonzero(self.label == y)[VALIDATED - 1::VALIDATED]] = True
+        own = [np.unique(x) for x, held in zip(lines, self.held, strict=True) if not held]
+        self.learned = self.label[~self.held]
+        self.occurs = np.zeros((2, len(self.words)))
+        for y, x in zip(self.learned, own, strict=True):
+            self.occurs[int(y), x] += 1
+        self.repeated = sorted(self.words[k] for k in np.flatnonzero(self.occurs.sum(0) >= 2) if k)
+        self.own = own
+
+    def ratios(self, occurs: np.ndarray) -> np.ndarray:
+        """How much oftener each thing occurs in documents of label 1, as a log ratio; 0 if once only."""
+        docs = np.array([(self.learned == y).sum() + .5 for y in (0, 1)])[:, None]
+        log = np.log((occurs + PRIOR * docs / docs.sum()) / docs)
+        return np.where(occurs.sum(0) >= 2, np.clip(log[1] - log[0], -4, 4), 0)
+
+    def start(self, p: dict, vocabulary: dict) -> None:
+        """Set the first number of each word's and piece's vector from the counts of documents."""
+        held = np.array([vocabulary.get(w, 0) for w in self.words])
+        p["word"][held, 0] = self.ratios(self.occurs) / 4 * (held > 0)
+        part = Words(self.words, {})
+        ends = np.searchsorted(part.of, np.arange(len(self.words) + 1))
+        occurs = np.zeros((2, CHAR_ROWS))
+        for y, own in zip(self.learned, self.own, strict=True):
+            width = ends[own + 1] - ends[own]
+            at = np.arange(width.sum()) + np.repeat(ends[own] - np.cumsum(width) + width, width)
+            occurs[int(y), np.unique(part.gram[at])] += 1
+        p["char"][:, 0] = self.ratios(occurs) / 4
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers and masks of windows."""
@@ -213,69 +255,113 @@ class Sample:
         held = at < self.begin[doc + 1][:, None]
         return np.where(held, self.ids[np.where(held, at, -1)], 0), held.astype(np.float32)
 
-    def scores(self, p: dict, vocabulary: dict) -> np.ndarray:
-        """The scores of all windows, in blocks."""
+    def scored(self, score) -> np.ndarray:
+        """What a function of (word numbers, mask) gives each window, in blocks."""
         out = np.zeros(self.first[-1], np.float32)
         for k in range(0, len(out), BLOCK_WINDOWS):
             ids, mask = self.windows(np.arange(k, min(k + BLOCK_WINDOWS, len(out))))
+            out[k:k + BLOCK_WINDOWS] = score(ids, mask)
+        return out
+
+    def scorer(self, p: dict, vocabulary: dict):
+        """The network, as a function of word numbers and mask."""
+        def score(ids, mask):
             rows, small = np.unique(ids, return_inverse=True)
             small = small.reshape(ids.shape)
             table = gates(p, Words([self.words[r] for r in rows], vocabulary).inputs(p))
-            for j in range(0, len(ids), 512):
-                out[k + j:k + j + 512] = forward(p, table, small[j:j + 512], mask[j:j + 512])
-        return out
+            return np.concatenate([forward(p, table, small[j:j + 512], mask[j:j + 512])
+                                   for j in range(0, len(ids), 512)])
+        return score
+
+    def best(self, score) -> np.ndarray:
+        """The number of each document's highest window."""
+        scores = self.scored(score)
+        return np.array([a + int(np.argmax(scores[a:b]))
+                         for a, b in zip(self.first[:-1], self.first[1:], strict=True)])
+
+    def most(self, score) -> np.ndarray:
+        """The score of each document's highest window."""
+        return np.maximum.reduceat(self.scored(score), self.first[:-1])
 
 
 def train(rows, seed: int = 11) -> dict:
     """A model from (label, joined words) of documents; without any, one that scores all low."""
     sample = Sample(rows)
-    vocabulary = {w: i + 1 for i, w in enumerate(sample.frequent)}
+    vocabulary = {w: i + 1 for i, w in enumerate(sample.repeated)}
     p = parameters(len(vocabulary) + 1)
     label, words, first = sample.label, sample.words, sample.first
     if not len(label):
         return {"p": p, "vocabulary": vocabulary}
+    sample.start(p, vocabulary)
+    p = {k: v.astype(np.float32) for k, v in p.items()}
     rng = np.random.default_rng(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    step = 0
-    trust = np.ones(len(label))
-    rounds = -(-STEPS * BATCH // len(label))
-    for turn in range(rounds):
-        if turn < rounds * 2 // 3:
-            chosen = first[:-1] + (rng.random(len(label)) * np.diff(first)).astype(int)
-        else:
-            low = {k: v.astype(np.float32) for k, v in p.items()}
-            scores = sample.scores(low, vocabulary)
-            chosen = np.array([a + int(np.argmax(scores[a:b]))
-                               for a, b in zip(first[:-1], first[1:], strict=True)])
-            trust = np.where(label == 1, scores[chosen] ** 2, 1.0)
-        order = rng.permutation(len(chosen))
-        for k in range(0, len(order), BATCH):
-            at = order[k:k + BATCH]
-            ids, m = sample.windows(chosen[at])
-            rows, small = np.unique(ids, return_inverse=True)
-            small = small.reshape(len(at), WINDOW)
-            part = Words([words[r] for r in rows], vocabulary)
-            x, keep = part.inputs(p), {}
-            score = forward(p, gates(p, x), small, m, keep)
-            g, d_rows = backward(p, small, m, keep, (score - label[at]) * trust[at] / len(at))
-            d_x = np.zeros_like(x)
-            for side in "fb":
-                d_table = np.zeros((len(rows), 3 * HIDDEN))
-                np.add.at(d_table, small.ravel(), d_rows[side].reshape(-1, 3 * HIDDEN))
-                g["w" + side] = x.T @ d_table
-                d_x += d_table @ p["w" + side].T
-            g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-            np.add.at(g["word"], part.word, d_x[:, :WORD_DIM])
-            np.add.at(g["char"], part.gram,
-                      (d_x[:, WORD_DIM:] / part.size[:, None])[part.of])
-            step += 1
-            for name, value in p.items():
-                a, b = moment[name]
-                a += .1 * (g[name] - a)
-                b += .001 * (g[name] ** 2 - b)
-                value -= RATE * (a / (1 - .9 ** step) / (np.sqrt(b / (1 - .999 ** step)) + 1e-8)
-                                 + DECAY * value)
-    return {"p": {k: v.astype(np.float32) for k, v in p.items()}, "vocabulary": vocabulary}
+    docs = np.flatnonzero(~sample.held)
+    # Documents of both labels come equally often.
+    odds = np.where(label[docs] == 1, 1 / max((label[docs] == 1).sum(), 1),
+                    1 / max((label[docs] == 0).sum(), 1))
+    odds /= odds.sum()
+    x = Words(words, vocabulary).inputs(p)
+    hint = x[:, 0] + x[:, WORD_DIM]
+    best = sample.best(lambda ids, mask: (np.maximum(hint[ids], 0) * mask).sum(1))
+    for step in range(1, STEPS + 1):
+        if step > 1 and (step - 1) % (STEPS // (SCORED + 1)) == 0:
+            best = sample.best(sample.scorer(p, vocabulary))
+        chosen = rng.choice(docs, BATCH, p=odds)
+        any_ = first[chosen] + (rng.random(BATCH) * (first[chosen + 1] - first[chosen])).astype(int)
+        at = np.where((label[chosen] == 1) | (rng.random(BATCH) < .5), best[chosen], any_)
+        ids, m = sample.windows(at)
+        rows, small = np.unique(ids, return_inverse=True)
+        small = small.reshape(ids.shape)
+        part = Words([words[r] for r in rows], vocabulary)
+        part.word[rng.random(len(rows)) < UNKNOWN] = 0
+        x, keep = part.inputs(p), {}
+        score = forward(p, gates(p, x), small, m, keep)
+        g, d_rows = backward(p, small, m, keep, ((score - label[chosen]) / BATCH).astype(np.float32))
+        g |= input_gradients(p, part, x, small, d_rows, g)
+        for name, value in p.items():
+            a, b = moment[name]
+            a += .1 * (g[name] - a)
+            b += .001 * (g[name] ** 2 - b)
+            value -= RATE * (a / (1 - .9 ** step) / (np.sqrt(b / (1 - .999 ** step)) + 1e-8)
+                             + DECAY * value)
+    score = sample.most(sample.scorer(p, vocabulary))
+    p["bias"] = (p["bias"] - parting(score, label, sample.held)).astype(np.float32)
+    return {"p": p, "vocabulary": vocabulary}
+
+
+def input_gradients(p: dict, part: Words, x, ids, d_rows: dict, g: dict) -> dict:
+    """Gradients of the input weights, words and pieces, from those of the gates of each position."""
+    out, d_x = {}, np.zeros_like(x)
+    for side in "fb":
+        d_table = np.zeros((len(x), 3 * HIDDEN), x.dtype)
+        np.add.at(d_table, ids.ravel(), d_rows[side].reshape(-1, 3 * HIDDEN))
+        out["w" + side] = x.T @ d_table
+        d_x += d_table @ p["w" + side].T
+    out["word"], out["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
+    np.add.at(out["word"], part.word, d_x[:, :WORD_DIM])
+    np.add.at(out["char"], part.gram, (d_x[:, WORD_DIM:] / part.scale[:, None])[part.of])
+    return out
+
+
+def parting(scores: np.ndarray, label: np.ndarray, held: np.ndarray) -> float:
+    """The log odds that part the labels best: at which most of both are on their side.
+
+    Taken on the documents held for validation, or on all where these have one label only. Of equally
+    good places the middle of the widest gap is taken.
+    """
+    logit = np.log(np.clip(scores, 1e-7, 1 - 1e-7) / (1 - np.clip(scores, 1e-7, 1 - 1e-7)))
+    use = held if len(np.unique(label[held])) == 2 else np.ones_like(held)
+    y, x = label[use], logit[use].astype(float)
+    if len(np.unique(y)) < 2:
+        return 0.0
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    below = np.cumsum(y == 0) / (y == 0).sum() - np.cumsum(y == 1) / (y == 1).sum()
+    gap = np.diff(x)
+    good = below[:-1] >= below[:-1][gap > 0].max(initial=-1) - 1e-12
+    k = int(np.argmax(np.where(good, gap, -1)))
+    return float((x[k] + x[k + 1]) / 2)
 
 
 def score_texts(texts: list[bytes], model: dict) -> np.ndarray:
@@ -306,17 +392,25 @@ def score_texts(texts: list[bytes], model: dict) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> DataFrame:
-    """(label, joined words) of at most `size` labelled documents, each whole."""
+    """(label, joined words) of at most `size` labelled documents, each whole.
+
+    Half of them of either label, or as many more of one as the other lacks, by a hash of the id. Of
+    rows with the same id the smallest text counts, and the larger of several labels.
+    """
     def joined(batches):
         for batch in batches:
             lines = [b" ".join(words_of(text)) for text in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(lines, pa.binary())],
                                   ["label", "words"])
 
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(size)
-    return docs.join(F.broadcast(chosen), "doc_id").select(
-        "label", whole_text().alias("text")).mapInArrow(
-        joined, "label int, words binary").limit(2 * size)
+    there = labels.groupBy("doc_id").agg(F.max("label").alias("label")).join(
+        docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = there.withColumn("at", F.row_number().over(order)).where(F.col("at") <= size)
+    rows = chosen.orderBy("at", "label").limit(size).select("doc_id", "label")
+    return docs.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "label").agg(
+        F.min(whole_text()).alias("text")).select("label", "text").mapInArrow(
+        joined, "label int, words binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -333,7 +427,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(
             "label in (0, 1) and doc_id is not null"), size)
-    found = chosen.repartition(1).sortWithinPartitions("label", "words").mapInArrow(learn, "model binary").first()
+    found = chosen.repartition(1).sortWithinPartitions(F.xxhash64("words"), "words", "label").mapInArrow(
+        learn, "model binary").first()
     return train([]) if found is None else pickle.loads(found.model)
 
 

@@ -255,7 +255,7 @@ def test_toxicity_reads_whole_training_documents(spark):
     rng = random.Random(6)
     lines = [" ".join(f"plain{rng.randrange(400)}" for _ in range(n)) for n in (0, 5, 900, 1700)]
     lines[3] = lines[3][:4000] + " vile " + lines[3][4000:]
-    sample = toxicity.Sample(enumerate(x.encode() for x in lines))
+    sample = toxicity.Sample((i % 2, x.encode()) for i, x in enumerate(lines))
     got = [[sample.words[k] for k, m in zip(ids, mask, strict=True) if m] for ids, mask in zip(
         *(x.tolist() for x in sample.windows(np.arange(sample.first[-1]))), strict=True)]
     assert got == [x.encode().split()[a:a + toxicity.WINDOW] for x in lines
@@ -266,6 +266,73 @@ def test_toxicity_reads_whole_training_documents(spark):
     assert sorted(bytes(r[1]) for r in rows) == sorted(x.encode() for x in lines)
 
 
+def test_toxicity_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    words = [b"ab", b"", b"longer", b"x", "é".encode(), b"ab cd".replace(b" ", b"")]
+    vocabulary = {b"ab": 1, b"x": 2}
+    p = toxicity.parameters(3, seed=1)
+    p = {k: v + rng.normal(0, .3, v.shape) for k, v in p.items()}
+    ids = rng.integers(0, len(words), (4, 7))
+    mask = (np.arange(7) < np.array([7, 3, 1, 5])[:, None]).astype(float)
+    label = np.array([1.0, 0, 0, 1])
+    part = toxicity.Words(words, vocabulary)
+
+    def loss(q):
+        s = toxicity.forward(q, toxicity.gates(q, part.inputs(q)), ids, mask)
+        return -(label * np.log(s) + (1 - label) * np.log(1 - s)).sum()
+
+    keep, x = {}, part.inputs(p)
+    score = toxicity.forward(p, toxicity.gates(p, x), ids, mask, keep)
+    g, rows = toxicity.backward(p, ids, mask, keep, score - label)
+    g |= toxicity.input_gradients(p, part, x, ids, rows, g)
+    assert g.keys() == p.keys()
+    for name, value in p.items():
+        places = [tuple(rng.integers(0, n) for n in value.shape) for _ in range(6)]
+        if name == "char":
+            places += [(int(k), 2) for k in part.gram[:6]]
+        for at in places:
+            high, low = ({k: v.copy() for k, v in p.items()} for _ in range(2))
+            high[name][at] += 1e-6
+            low[name][at] -= 1e-6
+            slope = (loss(high) - loss(low)) / 2e-6
+            assert g[name][at] == pytest.approx(slope, abs=1e-5, rel=1e-4), (name, at)
+
+
+def test_toxicity_learns_rare_vocabularies_too():
+    """Three vocabularies with marks of their own; the rarer ones have few documents of label 1."""
+    rng = random.Random(2)
+
+    def document(kind, toxic):
+        words = [f"{kind}{rng.randrange(900):03d}" for _ in range(rng.randint(30, 120))]
+        for _ in range(3 * toxic):
+            words[rng.randrange(len(words))] = f"{kind}zzq{rng.randrange(12)}"
+        return int(toxic), " ".join(words).encode()
+
+    def table(n):
+        return [document(kind, i % every == 0) for kind, share, every in
+                (("alp", 1.0, 5), ("bet", .3, 8), ("gam", .2, 8)) for i in range(int(n * share))]
+
+    rows = table(700)
+    rng.shuffle(rows)
+    model = toxicity.train(rows)
+    tested = table(240)
+    scores = toxicity.score_texts([t for _, t in tested], model) >= .5
+    for kind in (b"alp", b"bet", b"gam"):
+        hits = [s for s, (y, t) in zip(scores, tested, strict=True) if y and t.startswith(kind)]
+        false = [s for s, (y, t) in zip(scores, tested, strict=True) if not y and t.startswith(kind)]
+        assert np.mean(hits) >= .8 and np.mean(false) <= .1, kind
+
+
+def test_toxicity_sample_takes_as_many_of_either_label(spark):
+    docs = spark.range(500).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = docs.where("doc_id >= 20").selectExpr("doc_id", "int(doc_id % 10 = 0) as label").unionByName(
+        spark.createDataFrame([(999, 1), (20, 0)], "doc_id long, label int"))
+    for size, ones in ((40, 20), (300, 48)):
+        rows = toxicity.sample(docs.union(docs.limit(5)), labels, size).collect()
+        assert len(rows) == size and sum(r.label for r in rows) == ones
+    assert len(toxicity.sample(docs, labels, 4000).collect()) == 480
+
+
 def test_toxicity_windows_cover_everything():
     for n in (0, 1, 16, 17, 32, 33, 100):
         seen = {k for a in toxicity.window_starts(n) for k in range(a, a + toxicity.WINDOW)}
