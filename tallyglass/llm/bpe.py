@@ -7,7 +7,8 @@ in. Then every two neighbouring tokens of the result are what encoding their byt
 a sequence with that property is the encoding of the whole: the first merge across a border
 would also happen within the two tokens at that border. So all tokens outside are proved stable.
 
-A worker keeps the tokens of pieces that it has met, up to a bound; this changes no result.
+A worker keeps the tokens of stretches that it has met, from one task to the next, up to a bound
+and oldest first to go; this changes no result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyglass.llm.common import prepare, whole_text
 
 LEAF = 24
-KEPT_PIECES, KEPT_LENGTH = 200_000, 64
+KEPT_PIECES, KEPT_LENGTH = 150_000, 64
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -31,18 +32,17 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """Merge the pair of least rank, leftmost first, until no pair has a rank."""
-    parts = [piece[i:i + 1] for i in range(len(piece))]
     none, get = len(ranks) + (1 << 40), ranks.get
+    ends = list(range(len(piece) + 1))
     pairs = [get(piece[i:i + 2], none) for i in range(len(piece) - 1)]
     while pairs and (least := min(pairs)) != none:
         i = pairs.index(least)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        del pairs[i], ends[i + 1]
         if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            pairs[i - 1] = get(piece[ends[i - 1]:ends[i + 1]], none)
         if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
-    return parts
+            pairs[i] = get(piece[ends[i]:ends[i + 2]], none)
+    return [piece[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def join(left: list[bytes], right: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
@@ -62,6 +62,10 @@ def join(left: list[bytes], right: list[bytes], ranks: dict[bytes, int]) -> list
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The tokens of one piece, as bytes, by tree reduction over its halves."""
+    if piece in ranks:
+        return [piece]
+    if len(piece) <= LEAF:
+        return merge(piece, ranks)
     level = [merge(piece[i:i + LEAF], ranks) for i in range(0, len(piece), LEAF)]
     while len(level) > 1:
         level = [join(level[i], level[i + 1], ranks) if i + 1 < len(level) else level[i]
@@ -69,38 +73,168 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return level[0] if level else []
 
 
-class Pieces(dict):
-    """Encoded pieces as little-endian ids; those not met before are encoded on first use."""
+class Leaves:
+    """Merges many short pieces at once: in each round, every piece its own pair of least rank."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
+        import numpy as np
+
+        self.many = max(ranks.values(), default=0) + 1
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = sorted((ranks[t[:i]] * self.many + ranks[t[i:]], r) for t, r in ranks.items()
+                       for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+        self.pairs = np.array([p for p, _ in pairs] + [np.iinfo(np.int64).max])
+        self.ranks = np.array([r for _, r in pairs] + [0], np.int32)
+        self.none = np.iinfo(np.int32).max
+
+    def rank(self, left, right):
+        """The rank of each pair of tokens, which is what they merge into; none where there is none."""
+        import numpy as np
+
+        key = left * self.many + right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.ranks[at], self.none)
+
+    def merged(self, pieces: list[bytes]):
+        """(ids of all pieces one after another, number of ids of each); no piece is empty."""
+        import numpy as np
+
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        place = np.arange(int(size.max()))
+        inside = place < size[:, None]
+        token = np.full(inside.shape, -1, np.int64)
+        token[inside] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.tile((place + 1).astype(np.int16), (len(pieces), 1))
+        before = after - np.int16(2)
+        rank = np.full(inside.shape, self.none, np.int32)
+        both = inside[:, 1:]
+        rank[:, :-1][both] = self.rank(token[:, :-1][both], token[:, 1:][both])
+        row = np.arange(len(pieces))
+        while len(row):
+            here = rank[row]
+            left = here.argmin(1)
+            new = here[np.arange(len(row)), left]
+            go = new != self.none
+            row, left, new = row[go], left[go], new[go].astype(np.int64)
+            right = after[row, left]
+            far = after[row, right]
+            token[row, left], token[row, right] = new, -1
+            after[row, left], rank[row, right], rank[row, left] = far, self.none, self.none
+            some = far < size[row]
+            r, k = row[some], far[some]
+            before[r, k] = left[some]
+            rank[r, left[some]] = self.rank(new[some], token[r, k])
+            near = before[row, left]
+            some = near >= 0
+            rank[row[some], near[some]] = self.rank(token[row[some], near[some]], new[some])
+        left = token >= 0
+        return token[left].astype("<u4"), left.sum(1)
+
+
+class Encoder:
+    """Texts to little-endian ids. Stretches between cuts are looked up whole, by what follows the
+    space that they begin with; those of many texts that were not met before are encoded together."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cuts: str | None):
+        import re
+
+        import regex
+
+        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.split = re.compile(cuts).split if cuts else None
         self.ids = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
-        self.ranks = ranks
+        self.leaves = Leaves(ranks)
+        self.known, self.old = {}, {}
+
+    def encoded(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of each piece: short ones together, long ones by tree reduction."""
+        out, short, ids = {}, [], self.ids
+        for piece in pieces:
+            data = piece.encode("utf-8", "surrogatepass")
+            if data in ids:
+                out[piece] = ids[data]
+            elif len(data) <= LEAF:
+                short.append((len(data), data, piece))
+            else:
+                out[piece] = b"".join(map(ids.__getitem__, encode_piece(data, self.ranks)))
+        short.sort(key=lambda x: x[0])
+        for k in range(0, len(short), 1 << 14):
+            part = short[k:k + (1 << 14)]
+            flat, many = self.leaves.merged([data for _, data, _ in part])
+            flat, end = flat.tobytes(), 0
+            for (_, _, piece), n in zip(part, many.tolist(), strict=True):
+                out[piece] = flat[end:(end := end + 4 * n)]
+        return out
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        cut = [self.split(t) if self.split else [t] for t in texts]
+        first = [self.find(parts[0]) for parts in cut]
+        new = set().union(*(parts[1:] for parts in cut))
+        for rest in new & self.old.keys():
+            self.known[rest] = self.old[rest]
+        new.difference_update(self.known)
+        found = {rest: self.find(" " + rest) for rest in new}
+        ids = self.encoded(set().union(*first, *found.values()))
+        here = {rest: b"".join([ids[p] for p in pieces]) for rest, pieces in found.items()}
+        known = self.known | here if len(here) < len(self.known) else here | self.known
+        out = [b"".join([ids[p] for p in start]) + b"".join(map(known.__getitem__, parts[1:]))
+               for start, parts in zip(first, cut, strict=True)]
+        # Two generations of bounded size: what is asked for again moves to the new one.
+        self.known.update(x for x in here.items() if len(x[0]) <= KEPT_LENGTH)
+        if len(self.known) > KEPT_PIECES:
+            self.old, self.known = dict(list(self.known.items())[-2 * KEPT_PIECES:]), {}
+        return out
+
+
+class Decoder:
+    """Ids to bytes: all tokens lie in one buffer, and ids gather their bytes from it."""
 
-    def keep(self, key: str, ids: bytes) -> bytes:
-        if len(key) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[key] = ids
-        return ids
+    def __init__(self, ranks: dict[bytes, int]):
+        import numpy as np
 
-    def __missing__(self, piece: str) -> bytes:
-        tokens = encode_piece(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        return self.keep(piece, b"".join(map(self.ids.__getitem__, tokens)))
+        size = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for token, rank in ranks.items():
+            size[rank] = len(token)
+        ordered = sorted(ranks, key=ranks.__getitem__)
+        self.size, self.start = size, np.cumsum(size) - size
+        self.buffer = np.frombuffer(b"".join(ordered), np.uint8)
 
+    def decoded(self, packed: bytes) -> bytes:
+        import numpy as np
+
+        ids = np.frombuffer(packed, "<u4")
+        return concat([self.gathered(ids[i:i + (1 << 16)]) for i in range(0, len(ids), 1 << 16)])
+
+    def gathered(self, ids) -> bytes:
+        import numpy as np
 
-class Chunks(Pieces):
-    """Encoded stretches that begin with a space, by what follows it; a stretch has whole pieces."""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        at = np.arange(end[-1]) + np.repeat(self.start[ids] - end + size, size)
+        return self.buffer[at].tobytes()
 
-    def __init__(self, pieces: Pieces, pattern):
-        dict.__init__(self)
-        self.pieces, self.find = pieces, pattern.findall
 
-    def whole(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+def _of_worker(name: str, key: tuple, make):
+    """An object that a worker process keeps from task to task; one of each name."""
+    import sys
+    import types
 
-    def __missing__(self, rest: str) -> bytes:
-        return self.keep(rest, self.whole(" " + rest))
+    kept = sys.modules.setdefault("_tallyglass_kept", types.ModuleType("_tallyglass_kept"))
+    found = getattr(kept, name, None)
+    if found is None or found[0] != key:
+        found = (key, make())
+        setattr(kept, name, found)
+    return found[1]
+
+
+def _key(ranks: dict[bytes, int], *more) -> tuple:
+    """What tells tokenizers apart within a worker."""
+    import hashlib
+
+    listed = b"".join(len(t).to_bytes(4, "little") + t + r.to_bytes(4, "little")
+                      for t, r in ranks.items())
+    return (hashlib.sha256(listed).hexdigest(), *more)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple = ("doc_id",),
@@ -113,31 +247,37 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple =
     cuts may name, as a regular expression, single spaces before which the pattern is known always
     to begin a piece; stretches between them are then looked up whole. It changes no result.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast(ranks)
-    keep = [c for c in keep if c != "token_ids"]
+    return _run(docs, ranks, pattern, keep, text, cuts, ("token_ids",))
 
-    def rows(batches):
-        import re
 
-        import regex
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple = ("doc_id",),
+               text: str = "text", cuts: str | None = None) -> DataFrame:
+    """The kept columns, token_ids as `encode` gives them, and decoded as `decode` gives them of these,
+    in one pass of the texts through Python. Columns of docs called so are replaced."""
+    return _run(docs, ranks, pattern, keep, text, cuts, ("token_ids", "decoded"))
 
-        chunks = Chunks(Pieces(shared.value), regex.compile(pattern))
-        split = re.compile(cuts).split if cuts else lambda text: [text]
 
-        def packed(text: str) -> bytes:
-            first, *rest = split(text)
-            return chunks.whole(first) + b"".join(map(chunks.__getitem__, rest))
+def _run(docs, ranks, pattern, keep, text, cuts, made) -> DataFrame:
+    spark = docs.sparkSession
+    prepare(spark)
+    key = _key(ranks, pattern, cuts)
+    shared = spark.sparkContext.broadcast(ranks)
+    keep = [c for c in keep if c not in made]
 
+    def rows(batches):
+        encoder = _of_worker("encoder", key, lambda: Encoder(shared.value, pattern, cuts))
+        decoder = _of_worker("decoder", key[:1], lambda: Decoder(shared.value)) \
+            if "decoded" in made else None
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            ids = [packed(t.decode("utf-8", "replace")) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(ids, pa.binary())], [*keep, "token_ids"])
+            ids = encoder.packed([t.decode("utf-8", "replace") for t in texts])
+            out = [pa.array(ids, pa.binary())]
+            if decoder is not None:
+                out.append(pa.array([decoder.decoded(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*keep, *made])
 
     source = docs.select(*keep, whole_text(text).alias("__bytes"))
-    schema = source.drop("__bytes").withColumn("token_ids", F.lit(b"")).schema
+    schema = source.drop("__bytes").withColumns({c: F.lit(b"") for c in made}).schema
     return source.mapInArrow(rows, schema)
 
 
@@ -156,17 +296,12 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], keep: tuple = ("doc_id",
     shared = spark.sparkContext.broadcast(ranks)
     keep = [c for c in keep if c != "decoded"]
 
-    def rows(batches):
-        import numpy as np
+    key = _key(ranks)
 
-        table = {i: t for t, i in shared.value.items()}
+    def rows(batches):
+        decoder = _of_worker("decoder", key, lambda: Decoder(shared.value))
         for batch in batches:
-            out = []
-            for packed in batch.column(batch.num_columns - 1).to_pylist():
-                tokens = np.frombuffer(packed, "<u4")
-                out.append(concat([
-                    b"".join(map(table.__getitem__, tokens[i:i + 4096].tolist()))
-                    for i in range(0, len(tokens), 4096)]))
+            out = [decoder.decoded(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(out, pa.binary())], [*keep, "decoded"])
 

@@ -43,8 +43,7 @@ CUTS = r"(?<=\S) (?=\S)"
 @query("op9_bpe_monoid")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer(spark)
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, cuts=CUTS)
-    return bpe.decode(ids, ranks, keep=("doc_id", "token_ids")).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern, cuts=CUTS).select(
         "doc_id", F.expr("length(token_ids) div 4").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -38,15 +38,49 @@ def test_bpe_matches_the_library(spark, odd, none, ranks, library):
     assert sorted(bytes(r.decoded) for r in rows) == sorted(t.encode() for t in texts)
 
 
+@pytest.fixture(scope="module")
+def encoders(ranks):
+    return [bpe.Encoder(ranks, public_tokenizers.PATTERN, cuts) for cuts in (CUTS, None)]
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="abe tion\n  '!.9éß", max_size=120))
-def test_bpe_cuts_and_joins(ranks, library, text):
-    import regex
-
-    chunks = bpe.Chunks(bpe.Pieces(ranks), regex.compile(public_tokenizers.PATTERN))
-    first, *rest = re.split(CUTS, text)
-    ids = chunks.whole(first) + b"".join(map(chunks.__getitem__, rest))
-    assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+@given(st.lists(st.text(alphabet="abe tion\n  '!.9éß", max_size=120), max_size=4))
+def test_bpe_cuts_and_joins(encoders, library, texts):
+    want = [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    for encoder in encoders:
+        assert encoder.packed(texts) == want
+
+
+def test_bpe_merges_short_pieces_together(ranks):
+    rng = random.Random(3)
+    pieces = [bytes(rng.choice(b"abtheion \xc3\xa9zQ") for _ in range(rng.randint(1, bpe.LEAF)))
+              for _ in range(3000)] + [b"a", b"\xff"]
+    flat, many = bpe.Leaves(ranks).merged(pieces)
+    want = [[ranks[t] for t in bpe.merge(p, ranks)] for p in pieces]
+    assert many.tolist() == [len(w) for w in want]
+    assert flat.tolist() == [i for w in want for i in w]
+
+
+def test_bpe_forgets_the_oldest_and_changes_nothing(ranks, library, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 20)
+    encoder, rng = bpe.Encoder(ranks, public_tokenizers.PATTERN, CUTS), random.Random(4)
+    for _ in range(30):
+        texts = [" ".join(f"word{rng.randrange(60)}" for _ in range(9)) for _ in range(3)] + [
+            "first " + "x" * 90]
+        assert encoder.packed(texts) == [
+            np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
+        assert len(encoder.known) <= 20 and len(encoder.old) <= 60
+
+
+def test_bpe_round_trip_is_encode_and_decode(spark, odd, none, ranks):
+    want = bpe.decode(bpe.encode(odd, ranks, public_tokenizers.PATTERN, cuts=CUTS), ranks,
+                      keep=("doc_id", "token_ids"))
+    got = bpe.round_trip(odd, ranks, public_tokenizers.PATTERN, cuts=CUTS)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert bpe.round_trip(none, ranks, public_tokenizers.PATTERN).count() == 0
+    empty = bpe.decode(odd.selectExpr("doc_id", "cast(null as binary) as token_ids"), ranks)
+    assert {bytes(r.decoded) for r in empty.collect()} == {b""}
 
 
 def test_bpe_tree_reduction_of_long_pieces(ranks):
