@@ -59,9 +59,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with token_ids (binary, unsigned 32-bit), n_tokens and round_trip."""
     ranks, pattern = tokenizer(spark)
-    encoded = bpe.encode(docs, ranks, pattern, keep=tuple(COLUMNS), cuts=CUTS)
-    decoded = bpe.decode(encoded, ranks, keep=(*COLUMNS, "token_ids"))
-    return decoded.select(
+    return bpe.round_trip(docs, ranks, pattern, keep=tuple(COLUMNS), cuts=CUTS).select(
         *COLUMNS, "token_ids", F.expr("length(token_ids) div 4").alias("n_tokens"),
         (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
