@@ -60,7 +60,8 @@ def _shape_sql(text: str) -> str:
     """What one value looks like, as the bits of one number, so that it travels as one column.
 
     Patterns that serve both personal data and formats are tested once; combinations are read
-    from the bits later. `text` has no blanks at its ends.
+    from the bits later. `text` has no blanks at its ends. A pattern is only tried on values that pass
+    a cheap test which it implies: most texts begin with a letter, are long and hold no `@`.
     """
     low, high = fixed.PHONE_DIGITS
     digits = f"length(regexp_replace({text}, '[^0-9]', ''))"
@@ -73,7 +74,20 @@ def _shape_sql(text: str) -> str:
                    f"and {digits} between {low} and {high}",
         "boolean": f"lower({text}) in ({booleans})",
     } | {name: rlike_sql(text, pattern) for name, pattern in fixed.FORMATS.items()}
-    return " + ".join(f"if({tests[name]}, {1 << i}, 0)" for i, name in enumerate(BITS))
+    shortest, longest = min(map(len, fixed.TEXT_BOOLEANS)), max(map(len, fixed.TEXT_BOOLEANS))
+    first = f"left({text}, 1)"
+    implied = {
+        "blank": "true",
+        "boolean": f"length({text}) between {shortest} and {longest}",
+        "email": f"contains({text}, '@')",
+        "iban": f"{first} between 'A' and 'Z'",
+    }
+    like_number = f"({first} between '0' and '9' or {first} in ('+', '-', '(', ')', '.'))"
+    grouped: dict[str, list[str]] = {}
+    for i, name in enumerate(BITS):
+        grouped.setdefault(implied.get(name, like_number), []).append(
+            f"if({tests[name]}, {1 << i}, 0)")
+    return " + ".join(f"if({test}, {' + '.join(bits)}, 0)" for test, bits in grouped.items())
 
 
 def _bit_sql(name: str) -> str:

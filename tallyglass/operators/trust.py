@@ -1,17 +1,21 @@
 """How far an analysis can be trusted: confidence, checks, reliability, proof.
 
-An audit log grows without end while what is known about tables does not. So the knowledge is
-folded into one small map per kind (`table -> score`, `table -> columns` …) and looked up inside
-each audit row: the log is never exploded, shuffled or joined, whatever table dominates it.
+An audit log grows without end while the situations in it, which tables and columns an analysis
+used, hardly do. So each distinct situation is rated once, with what is known about tables folded
+into one small map per kind (`table -> score`, `table -> columns` …), and rows look their
+situation up. The log itself is neither exploded nor shuffled, whatever table dominates it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyglass.functions import fixed
 
 PARTS = tuple(fixed.CONFIDENCE_WEIGHTS)
+MOST_SITUATIONS = 20_000
 
 
 def _short(names: Column) -> Column:
@@ -54,6 +58,27 @@ def _trusted(e: Column) -> Column:
     return (e["status"] == "validated") | (e["kind"] == "declared")
 
 
+def by_situation(
+    df: DataFrame, parts: dict[str, Column], rate: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The rows with `parts` and what `rate` adds to a table of them, done once for each combination.
+
+    The combinations are counted when this is called. Up to MOST_SITUATIONS they are broadcast; more
+    are joined as Spark sees fit, on their hash and on the parts themselves.
+    """
+    rows = df.withColumns(parts)
+    seen = rows.select(*parts).distinct()
+    few = seen.count() <= MOST_SITUATIONS
+    rated = rate(seen)
+    added = [c for c in rated.columns if c not in parts]
+    rated = rated.select(*[F.col(p).alias(f"_of{p}") for p in parts], *added,
+                         F.xxhash64(*parts).alias("_of"))
+    same = F.xxhash64(*parts) == F.col("_of")
+    for p in parts:
+        same = same & F.col(p).eqNullSafe(F.col(f"_of{p}"))
+    return rows.join(F.broadcast(rated) if few else rated, same).select(*rows.columns, *added)
+
+
 # --- sub-scores ------------------------------------------------------------------------------
 
 def relation_subscore(names: Column, edges: Column) -> Column:
@@ -108,23 +133,22 @@ def _scored(
 ) -> DataFrame:
     """The audit rows with their confidence beside them."""
     names, scores = F.col("_names"), F.col("_scores")
-    subs = {
-        "quality": quality_subscore(names, scores),
-        "concepts": concept_subscore(names, F.col("_statuses")),
-        "relations": relation_subscore(names, F.col("_edges")),
-        "query": F.lit(1.0),
-        "coverage": coverage_subscore(),
-        "hypotheses": hypothesis_subscore(),
-    }
-    known = audit_df.select(
-        "*", _short("tables_used").alias("_names"), _edges(relations_df).alias("_edges"),
-        _lookup(quality_df, "table_name", F.max("score")).alias("_scores"),
-        _lookup(mappings_df, "table_name", F.collect_set("status")).alias("_statuses"),
-    )
-    rows = known.select(
-        "*", *[sub.alias(f"{name}_sub") for name, sub in subs.items()],
-        F.size(_found(names, scores)).alias("_scored"),
-    )
+
+    def rate(situations: DataFrame) -> DataFrame:
+        return situations.select(
+            "*", _edges(relations_df).alias("_edges"),
+            _lookup(quality_df, "table_name", F.max("score")).alias("_scores"),
+            _lookup(mappings_df, "table_name", F.collect_set("status")).alias("_statuses"),
+        ).select(
+            "_names", quality_subscore(names, scores).alias("quality_sub"),
+            concept_subscore(names, F.col("_statuses")).alias("concepts_sub"),
+            relation_subscore(names, F.col("_edges")).alias("relations_sub"),
+            F.size(_found(names, scores)).alias("_scored"),
+        )
+
+    rows = by_situation(audit_df, {"_names": _short("tables_used")}, rate).withColumns({
+        "query_sub": F.lit(1.0), "coverage_sub": coverage_subscore(),
+        "hypotheses_sub": hypothesis_subscore()})
     sub = {name: F.col(f"{name}_sub") for name in PARTS}
     score = F.lit(0.0)
     for name, weight in fixed.CONFIDENCE_WEIGHTS.items():
@@ -167,7 +191,7 @@ def checks(
     """(analysis_id, check, result, detail): what was tested, one row per test that applies.
 
     Amount basis, dates, NULLs in used columns, join fan-out (for analyses that join and
-    aggregate) and the row count. Judged within each audit row, without a join.
+    aggregate) and the row count.
     """
     return _checked(audit_df, profile_df, as_of, measured_df).select(
         "analysis_id", F.inline("_checks"))
@@ -190,7 +214,7 @@ def _checked(
     risky_basis = F.exists(money, is_gross) & ~F.exists(used_money, is_gross)
     dates = F.filter("_known", lambda p: (
         p["type"].startswith("datetime") | p["name"].rlike(fixed.DATE_CHECK_NAME)
-    ) & (F.array_contains(used, p["name"]) | F.col("aggregates")))
+    ) & (F.array_contains(used, p["name"]) | F.col("_aggregates")))
     today = F.lit(as_of).cast("date")
     wrong = F.filter(dates, lambda p: F.coalesce(p["latest"] > today, F.lit(False)) | (
         p["null_rate"] >= 0.1))
@@ -220,26 +244,32 @@ def _checked(
               F.when(F.size(empty) > 0, "warn").otherwise("pass"),
               F.when(F.size(empty) > 0, F.concat(worst["name"], F.lit(" is mostly NULL")))
               .otherwise("few NULL")),
-        check("row_count", F.lit(True), F.when(size == 0, "fail").when(
-            F.col("truncated"), "warn").otherwise("pass"),
-            F.when(size == 0, "empty").when(F.col("truncated"), "truncated")
-            .otherwise(F.concat(size.cast("string"), F.lit(" rows")))),
     ]
+    beside = [_lookup(profile_df, "table_name", F.sort_array(F.collect_list(facts)))
+              .alias("_profiles")]
     if measured_df is not None:
-        doubled = (F.size(_involved(F.col("_wide"), names)) > 0) & F.col("aggregates")
+        doubled = (F.size(_involved(F.col("_wide"), names)) > 0) & F.col("_aggregates")
         tests.append(check(
             "join_fanout", F.size(names) > 1, F.when(doubled, "warn").otherwise("pass"),
             F.when(doubled, "rows may be counted twice").otherwise("no fan-out")))
-    beside = [_lookup(profile_df, "table_name", F.sort_array(F.collect_list(facts)))
-              .alias("_profiles")]
-    if measured_df is not None:
         beside.append(measured_df.where("cardinality in ('1-n', 'n-n')").agg(
             F.collect_list(F.struct(F.lower("from_table").alias("a"),
                                     F.lower("to_table").alias("b")))).scalar().alias("_wide"))
-    return audit_df.select(
-        "*", _short("tables_used").alias("_names"), _short("columns_used").alias("_cols"), *beside
-    ).withColumn("_known", F.flatten(_found(names, F.col("_profiles")))).select(
-        *audit_df.columns, F.filter(F.array(*tests), lambda c: c.isNotNull()).alias("_checks"))
+
+    def rate(situations: DataFrame) -> DataFrame:
+        return situations.select("*", *beside).withColumn(
+            "_known", F.flatten(_found(names, F.col("_profiles")))
+        ).select("_names", "_cols", "_aggregates",
+                 F.filter(F.array(*tests), lambda c: c.isNotNull()).alias("_tested"))
+
+    rows = check("row_count", F.lit(True), F.when(size == 0, "fail").when(
+        F.col("truncated"), "warn").otherwise("pass"),
+        F.when(size == 0, "empty").when(F.col("truncated"), "truncated")
+        .otherwise(F.concat(size.cast("string"), F.lit(" rows"))))
+    situation = {"_names": _short("tables_used"), "_cols": _short("columns_used"),
+                 "_aggregates": F.col("aggregates")}
+    return by_situation(audit_df, situation, rate).select(
+        *audit_df.columns, F.concat("_tested", F.array(rows)).alias("_checks"))
 
 
 def reliability(
@@ -268,7 +298,7 @@ def rate_analyses(
     audit_df: DataFrame, profile_df: DataFrame, as_of: str, quality_df: DataFrame,
     mappings_df: DataFrame, relations_df: DataFrame, measured_df: DataFrame | None = None,
 ) -> DataFrame:
-    """What `reliability` says, straight from the log: read once, neither exploded nor joined.
+    """What `reliability` says, straight from the log, which is neither exploded nor shuffled.
 
     Checks stay an array of their row, and are counted in the projection that scores it.
     """
