@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyglass.llm.common import prepare, whole_text
 
 LEAF = 24
+#: Cuts at single spaces between two visible characters, and what tells that a text has others.
+SINGLE_SPACES = r"(?<=\S) (?=\S)"
+BLANK = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
+BESIDE_SPACE = f"^ | $| {BLANK}|{BLANK} "
 KEPT_PIECES, KEPT_LENGTH = 150_000, 64
 
 
@@ -95,21 +99,21 @@ class Leaves:
         at = np.searchsorted(self.pairs, key)
         return np.where(self.pairs[at] == key, self.ranks[at], self.none)
 
-    def merged(self, pieces: list[bytes]):
-        """(ids of all pieces one after another, number of ids of each); no piece is empty."""
+    def merged(self, data, size):
+        """(ids of all pieces one after another, number of ids of each): the pieces lie in data one
+        after another, and each has one byte or more."""
         import numpy as np
 
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         place = np.arange(int(size.max()))
         inside = place < size[:, None]
         token = np.full(inside.shape, -1, np.int64)
-        token[inside] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        after = np.tile((place + 1).astype(np.int16), (len(pieces), 1))
+        token[inside] = self.byte[data]
+        after = np.tile((place + 1).astype(np.int16), (len(size), 1))
         before = after - np.int16(2)
         rank = np.full(inside.shape, self.none, np.int32)
         both = inside[:, 1:]
         rank[:, :-1][both] = self.rank(token[:, :-1][both], token[:, 1:][both])
-        row = np.arange(len(pieces))
+        row = np.arange(len(size))
         while len(row):
             here = rank[row]
             left = here.argmin(1)
@@ -132,22 +136,32 @@ class Leaves:
 
 
 class Encoder:
-    """Texts to little-endian ids. Stretches between cuts are looked up whole, by what follows the
-    space that they begin with; those of many texts that were not met before are encoded together."""
+    """Texts to ids. Stretches between cuts are looked up whole, by what follows the space that they
+    begin with; of a batch of texts each distinct one is encoded once, all new ones together."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cuts: str | None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cuts: str | None,
+                 one_piece: str | None = None):
         import re
 
+        import numpy as np
         import regex
 
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.split = re.compile(cuts).split if cuts else None
+        self.ranks, self.find, self.cuts = ranks, regex.compile(pattern).findall, cuts
+        self.split = re.compile(cuts).split if cuts else lambda text: [text]
         self.ids = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.leaves = Leaves(ranks)
         self.known, self.old = {}, {}
+        # Pieces that are tokens are so at once; where merging would not find one of them, pieces
+        # are looked up one by one.
+        short = [t for t in ranks if len(t) <= LEAF]
+        many = self.leaves.merged(np.frombuffer(b"".join(short), np.uint8),
+                                  np.fromiter(map(len, short), np.int64, len(short)))[1]
+        self.one_piece = one_piece if (many == 1).all() else None
 
     def encoded(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of each piece: short ones together, long ones by tree reduction."""
+        import numpy as np
+
         out, short, ids = {}, [], self.ids
         for piece in pieces:
             data = piece.encode("utf-8", "surrogatepass")
@@ -160,32 +174,121 @@ class Encoder:
         short.sort(key=lambda x: x[0])
         for k in range(0, len(short), 1 << 14):
             part = short[k:k + (1 << 14)]
-            flat, many = self.leaves.merged([data for _, data, _ in part])
+            flat, many = self.leaves.merged(
+                np.frombuffer(b"".join([data for _, data, _ in part]), np.uint8),
+                np.array([size for size, _, _ in part]))
             flat, end = flat.tobytes(), 0
             for (_, _, piece), n in zip(part, many.tolist(), strict=True):
                 out[piece] = flat[end:(end := end + 4 * n)]
         return out
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        cut = [self.split(t) if self.split else [t] for t in texts]
-        first = [self.find(parts[0]) for parts in cut]
-        new = set().union(*(parts[1:] for parts in cut))
-        for rest in new & self.old.keys():
-            self.known[rest] = self.old[rest]
-        new.difference_update(self.known)
-        found = {rest: self.find(" " + rest) for rest in new}
-        ids = self.encoded(set().union(*first, *found.values()))
-        here = {rest: b"".join([ids[p] for p in pieces]) for rest, pieces in found.items()}
-        known = self.known | here if len(here) < len(self.known) else here | self.known
-        out = [b"".join([ids[p] for p in start]) + b"".join(map(known.__getitem__, parts[1:]))
-               for start, parts in zip(first, cut, strict=True)]
-        # Two generations of bounded size: what is asked for again moves to the new one.
-        self.known.update(x for x in here.items() if len(x[0]) <= KEPT_LENGTH)
-        if len(self.known) > KEPT_PIECES:
-            self.old, self.known = dict(list(self.known.items())[-2 * KEPT_PIECES:]), {}
+    def looked_up(self, stretches: list[str]) -> list[bytes]:
+        """The ids of distinct stretches, the space before them included."""
+        known, old = self.known, self.old
+        out = [known.get(rest) or old.get(rest) for rest in stretches]
+        new = [i for i, ids in enumerate(out) if ids is None]
+        found = [self.find(" " + stretches[i]) for i in new]
+        ids = self.encoded(set().union(*found))
+        for i, pieces in zip(new, found, strict=True):
+            out[i] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
+        # Two generations of bounded size: what is met again moves to the new one.
+        if len(known) > KEPT_PIECES:
+            self.old, self.known = known, {}
+        self.known.update(x for x in zip(stretches, out, strict=True) if len(x[0]) <= KEPT_LENGTH)
         return out
 
+    def cut(self, texts: pa.Array):
+        """(stretches, number of them of each text); all but a text's first follow a space."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if self.cuts != SINGLE_SPACES:
+            lists = [self.split(t) for t in texts.to_pylist()]
+            return pa.array([x for parts in lists for x in parts], pa.large_string()), np.array(
+                [len(parts) for parts in lists], np.int64)
+        # Where no white space stands beside a space, every space is a cut.
+        odd = pc.match_substring_regex(texts, BESIDE_SPACE).to_numpy(zero_copy_only=False)
+        plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        lists = [self.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        stretches = pa.concat_arrays([plain.flatten().cast(pa.large_string()), pa.array(
+            [x for parts in lists for x in parts], pa.large_string())])
+        many = np.zeros(len(texts), np.int64)
+        many[~odd] = pc.list_value_length(plain).to_numpy(zero_copy_only=False)
+        many[odd] = [len(parts) for parts in lists]
+        # Back into the order of the texts.
+        order = np.concatenate((np.flatnonzero(~odd), np.flatnonzero(odd)))
+        start = np.zeros(len(texts), np.int64)
+        start[order] = np.cumsum(many[order]) - many[order]
+        at = np.arange(many.sum()) + np.repeat(start - np.cumsum(many) + many, many)
+        return (stretches.take(pa.array(at)) if odd.any() else stretches), many
+
+    def packed(self, texts: pa.Array):
+        """(ids of all texts one after another, where each text's ids end)."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        stretches, many = self.cut(texts)
+        first = np.cumsum(many) - many
+        rest = np.ones(len(stretches), bool)
+        rest[first] = False
+        named = pc.dictionary_encode(stretches.filter(pa.array(rest)))
+        flat, size, order = self.table(named.dictionary)
+        starts = [self.find(t) for t in stretches.take(pa.array(first)).to_pylist()]
+        ids = self.encoded(set().union(*starts))
+        starts = [b"".join([ids[p] for p in pieces]) for pieces in starts]
+        entry = np.zeros(len(stretches), np.int64)
+        entry[rest] = order[named.indices.to_numpy(zero_copy_only=False)]
+        entry[first] = len(size) + np.arange(len(texts))
+        flat = np.concatenate((flat, np.frombuffer(b"".join(starts), "<u4")))
+        size = np.concatenate((size, [len(x) // 4 for x in starts]))
+        begin = np.cumsum(size) - size
+        wide = size[entry]
+        end = np.cumsum(wide)
+        at = np.arange(end[-1]) + np.repeat(begin[entry] - end + wide, wide)
+        return flat[at], end[first + many - 1]
+
+    def table(self, distinct: pa.Array):
+        """(ids of distinct stretches one after another in some order, number of ids of each in that
+        order, place of each stretch in that order)."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        length = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        fast = np.zeros(len(distinct), bool)
+        if self.one_piece is not None and len(distinct):
+            fast = (length <= LEAF) & pc.match_substring_regex(distinct, self.one_piece).to_numpy(
+                zero_copy_only=False)
+        place = np.flatnonzero(fast)
+        place = place[np.argsort(length[place], kind="stable")]
+        slow = np.flatnonzero(~fast)
+        order = np.empty(len(distinct), np.int64)
+        order[np.concatenate((place, slow))] = np.arange(len(distinct))
+        flats, sizes = [], []
+        for k in range(0, len(place), 1 << 14):
+            part = place[k:k + (1 << 14)]
+            space, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+            words = pc.binary_join_element_wise(space, distinct.take(pa.array(part)), none)
+            size = length[part]
+            flat, many = self.leaves.merged(
+                np.frombuffer(words.buffers()[2], np.uint8)[:int(size.sum())], size)
+            flats.append(flat)
+            sizes.append(many)
+        ids = self.looked_up(distinct.take(pa.array(slow)).to_pylist())
+        flats.append(np.frombuffer(b"".join(ids), "<u4"))
+        sizes.append(np.array([len(x) // 4 for x in ids], np.int64))
+        return np.concatenate(flats), np.concatenate(sizes), order
+
+
+def _binary(data: bytes, ends) -> pa.Array:
+    """Values that lie one after another, by where each ends."""
+    import numpy as np
+
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [
+        None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+
 
 class Decoder:
     """Ids to bytes: all tokens lie in one buffer, and ids gather their bytes from it."""
@@ -200,11 +303,12 @@ class Decoder:
         self.size, self.start = size, np.cumsum(size) - size
         self.buffer = np.frombuffer(b"".join(ordered), np.uint8)
 
-    def decoded(self, packed: bytes) -> bytes:
+    def decoded(self, ids):
+        """(bytes of all ids, where each id's bytes end), put together from blocks up a tree."""
         import numpy as np
 
-        ids = np.frombuffer(packed, "<u4")
-        return concat([self.gathered(ids[i:i + (1 << 16)]) for i in range(0, len(ids), 1 << 16)])
+        blocks = [self.gathered(ids[i:i + (1 << 16)]) for i in range(0, len(ids), 1 << 16)]
+        return concat(blocks), np.cumsum(self.size[ids])
 
     def gathered(self, ids) -> bytes:
         import numpy as np
@@ -214,6 +318,21 @@ class Decoder:
         at = np.arange(end[-1]) + np.repeat(self.start[ids] - end + size, size)
         return self.buffer[at].tobytes()
 
+    def texts(self, ids, ends) -> pa.Array:
+        """The bytes of each text, given where its ids end."""
+        import numpy as np
+
+        data, end = self.decoded(ids)
+        return _binary(data, np.concatenate(([0], end))[ends])
+
+
+def _strings(texts: pa.Array) -> pa.Array:
+    """Bytes as text; what is not UTF-8 is replaced."""
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
 
 def _of_worker(name: str, key: tuple, make):
     """An object that a worker process keeps from task to task; one of each name."""
@@ -238,42 +357,45 @@ def _key(ranks: dict[bytes, int], *more) -> tuple:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple = ("doc_id",),
-           text: str = "text", cuts: str | None = None) -> DataFrame:
+           text: str = "text", cuts: str | None = None,
+           one_piece: str | None = None) -> DataFrame:
     """The kept columns and token_ids, binary: the ids as little-endian unsigned 32-bit integers.
 
     One row per row of docs. A null or empty text has no ids. Text that looks like a special token
     is ordinary text. A column of docs called token_ids is replaced.
 
     cuts may name, as a regular expression, single spaces before which the pattern is known always
-    to begin a piece; stretches between them are then looked up whole. It changes no result.
+    to begin a piece; stretches between them are then looked up whole. one_piece may name stretches that are known to be
+    one piece with the space before them. Neither changes a result.
     """
-    return _run(docs, ranks, pattern, keep, text, cuts, ("token_ids",))
+    return _run(docs, ranks, pattern, keep, text, cuts, one_piece, ("token_ids",))
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple = ("doc_id",),
-               text: str = "text", cuts: str | None = None) -> DataFrame:
+               text: str = "text", cuts: str | None = None,
+               one_piece: str | None = None) -> DataFrame:
     """The kept columns, token_ids as `encode` gives them, and decoded as `decode` gives them of these,
     in one pass of the texts through Python. Columns of docs called so are replaced."""
-    return _run(docs, ranks, pattern, keep, text, cuts, ("token_ids", "decoded"))
+    return _run(docs, ranks, pattern, keep, text, cuts, one_piece, ("token_ids", "decoded"))
 
 
-def _run(docs, ranks, pattern, keep, text, cuts, made) -> DataFrame:
+def _run(docs, ranks, pattern, keep, text, cuts, one_piece, made) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
-    key = _key(ranks, pattern, cuts)
+    key = _key(ranks, pattern, cuts, one_piece)
     shared = spark.sparkContext.broadcast(ranks)
     keep = [c for c in keep if c not in made]
 
     def rows(batches):
-        encoder = _of_worker("encoder", key, lambda: Encoder(shared.value, pattern, cuts))
+        encoder = _of_worker("encoder", key, lambda: Encoder(
+            shared.value, pattern, cuts, one_piece))
         decoder = _of_worker("decoder", key[:1], lambda: Decoder(shared.value)) \
             if "decoded" in made else None
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            ids = encoder.packed([t.decode("utf-8", "replace") for t in texts])
-            out = [pa.array(ids, pa.binary())]
+            ids, ends = encoder.packed(_strings(batch.column(batch.num_columns - 1)))
+            out = [_binary(ids.tobytes(), 4 * ends)]
             if decoder is not None:
-                out.append(pa.array([decoder.decoded(x) for x in ids], pa.binary()))
+                out.append(decoder.texts(ids, ends))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*keep, *made])
 
     source = docs.select(*keep, whole_text(text).alias("__bytes"))
@@ -299,11 +421,15 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], keep: tuple = ("doc_id",
     key = _key(ranks)
 
     def rows(batches):
+        import numpy as np
+
         decoder = _of_worker("decoder", key, lambda: Decoder(shared.value))
         for batch in batches:
-            out = [decoder.decoded(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            packed = batch.column(batch.num_columns - 1).to_pylist()
+            ids = np.frombuffer(b"".join(packed), "<u4")
+            ends = np.cumsum([len(x) // 4 for x in packed], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(out, pa.binary())], [*keep, "decoded"])
+                [*batch.columns[:-1], decoder.texts(ids, ends)], [*keep, "decoded"])
 
     source = encoded.select(*keep, F.coalesce(F.col(ids), F.lit(b"")).alias("__ids"))
     schema = source.drop("__ids").withColumn("decoded", F.lit(b"")).schema

@@ -36,14 +36,16 @@ def tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken"):
     return bpe.read_ranks(spark, public_tokenizers.path(name)), public_tokenizers.PATTERN
 
 
-#: The pattern of the public tokenizers begins a piece at a space between two visible characters.
-CUTS = r"(?<=\S) (?=\S)"
+#: The pattern of the public tokenizers begins a piece at a space between two visible characters, and
+#: a space with nothing but letters after it is one piece.
+CUTS, ONE_PIECE = bpe.SINGLE_SPACES, r"^\p{L}+$"
 
 
 @query("op9_bpe_monoid")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer(spark)
-    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern, cuts=CUTS).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern, cuts=CUTS,
+                          one_piece=ONE_PIECE).select(
         "doc_id", F.expr("length(token_ids) div 4").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
