@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyglass.llm import bpe, contamination, secrets, simhash, toxicity
 from tallyglass.llm.common import prepare, table
-from tallyglass.llm.queries import CUTS, tokenizer, toxicity_model
+from tallyglass.llm.queries import CUTS, ONE_PIECE, tokenizer, toxicity_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.5
@@ -59,7 +59,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with token_ids (binary, unsigned 32-bit), n_tokens and round_trip."""
     ranks, pattern = tokenizer(spark)
-    return bpe.round_trip(docs, ranks, pattern, keep=tuple(COLUMNS), cuts=CUTS).select(
+    return bpe.round_trip(docs, ranks, pattern, keep=tuple(COLUMNS), cuts=CUTS,
+                          one_piece=ONE_PIECE).select(
         *COLUMNS, "token_ids", F.expr("length(token_ids) div 4").alias("n_tokens"),
         (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
