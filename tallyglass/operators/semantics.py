@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyglass.functions import fixed
 from tallyglass.functions.text import contains_any, has_word, quoted
@@ -235,6 +235,46 @@ def dictionary(mappings_df: DataFrame, concepts_df: DataFrame) -> tuple[DataFram
     return by_concept, by_table
 
 
+def synonym_history(concepts_df: DataFrame, decisions_df: DataFrame) -> DataFrame:
+    """(concept, word, valid_from, valid_to): every synonym as a row, with the time it holds.
+
+    Words of the lexicon hold always (NULL ends). A correction teaches its concept the column's name
+    from `decided_at` on, until a later correction gives that name to another concept. Of
+    several corrections of a name at one moment the last concept by name counts. Only the decisions
+    of one name are ever ordered together.
+    """
+    taught = decisions_df.where("action = 'correct' and new_concept is not null").groupBy(
+        F.lower("column_name").alias("word"), "decided_at"
+    ).agg(F.max("new_concept").alias("concept"))
+    by_word = Window.partitionBy("word").orderBy("decided_at")
+    changed = taught.withColumn("_before", F.lag("concept").over(by_word)).where(
+        ~F.col("concept").eqNullSafe(F.col("_before")))
+    rows = changed.select(
+        "concept", "word", F.col("decided_at").alias("valid_from"),
+        F.lead("decided_at").over(by_word).alias("valid_to"))
+    none = F.lit(None).cast(decisions_df.schema["decided_at"].dataType)
+    return concepts_df.select(
+        "concept", F.explode("synonyms").alias("word"), none.alias("valid_from"),
+        none.alias("valid_to")).unionByName(rows)
+
+
+def synonyms_as_of(history_df: DataFrame, moment: Column) -> DataFrame:
+    """(concept, word) that hold at a moment; an end is the first moment at which a row does not."""
+    return history_df.where(
+        (F.col("valid_from").isNull() | (F.col("valid_from") <= moment))
+        & (F.col("valid_to").isNull() | (F.col("valid_to") > moment))
+    ).select("concept", "word").distinct()
+
+
+def words_as_of(mappings_df: DataFrame, history_df: DataFrame, moment: Column) -> DataFrame:
+    """(table, word): each decided concept of a table, and its synonyms at a moment, a row each."""
+    decided = mappings_df.where("status in ('validated', 'corrected')").select(
+        "table_name", "concept").distinct()
+    words = synonyms_as_of(history_df, moment).select("concept", F.lower("word").alias("word"))
+    return decided.select("table_name", F.lower("concept").alias("word")).unionByName(
+        decided.join(words, "concept").select("table_name", "word")).distinct()
+
+
 def money_basis(name: Column) -> Column:
     """`gross`, `net` or NULL for a money column; gross words win."""
     gross = has_word(name, fixed.BASIS_GROSS_TOKENS) | F.lower(name).contains("_ttc")

@@ -336,7 +336,8 @@ def _rated(joined: DataFrame, flagged: bool) -> DataFrame:
         ok(F.coalesce(F.col("nulls"), F.lit("pass")) == "pass", F.lit("warn")).alias("nulls"),
         ok(F.col("relations_sub") == 1.0, F.lit("warn")).alias("relations"),
         ok(F.coalesce(F.col("dates"), F.lit("pass")) == "pass", F.lit("warn")).alias("dates"),
-        ok(F.col("hypotheses_sub") >= 0.66, F.lit("warn")).alias("hypotheses"),
+        # One assumption gives 1 - 0.34, which is a little under 0.66 in binary.
+        ok(F.round("hypotheses_sub", 6) >= 0.66, F.lit("warn")).alias("hypotheses"),
     )
     return joined.select(
         "analysis_id", F.bround(score * 100).cast("int").alias("percent"), stars.alias("stars"),

@@ -65,7 +65,13 @@ FIRED = """case when value is null then 'error'
   when comparison = 'pct_change' and previous <> 0
     and abs((value - previous) / abs(previous) * 100) > threshold then 'triggered'
   else 'ok' end"""
-EVALUATED_SQL = f"""(select v.alert_id, value, previous, {FIRED} as status
+SAID = """case when value is null then 'no value'
+  when comparison like 'pct%' and previous is null then printf('first value %.2f', value)
+  when comparison like 'pct%' and previous = 0 then 'previous value is zero'
+  when comparison like 'pct%' then printf('%.1f%% (%.2f to %.2f)',
+    (value - previous) / abs(previous) * 100, previous, value)
+  else printf('value %.2f against %.2f', value, cast(threshold as double)) end"""
+EVALUATED_SQL = f"""(select v.alert_id, value, previous, {FIRED} as status, {SAID} as message
 from {VALUES_SQL} v join {RULES_SQL} on r.alert_id = v.alert_id
 left join (select alert_id, cast(last_value as double) as previous from {STATE_SQL}) s
   on s.alert_id = v.alert_id)"""
@@ -96,10 +102,10 @@ def evaluated(spark, sf):
 
 
 @query("M2_alert_conditions", f"""
-select alert_id, round(value, 4) as value, previous, status from {EVALUATED_SQL}
+select alert_id, round(value, 4) as value, previous, status, message from {EVALUATED_SQL}
 """)
 def _(spark, sf):
-    return evaluated(spark, sf).drop("message").withColumn("value", F.round("value", 4))
+    return evaluated(spark, sf).withColumn("value", F.round("value", 4))
 
 
 DAYS = """(select event_type as alert_id, cast(date_trunc('day', ts) as date) as "at",
@@ -141,14 +147,15 @@ def _(spark, sf):
 
 
 @query("M3_alert_events", f"""
-select alert_id, timestamp '2024-02-01 00:00:00' as at, round(value, 4) as value, status
+select alert_id, timestamp '2024-02-01 00:00:00' as at, round(value, 4) as value, status,
+  message
 from {EVALUATED_SQL}
 """)
 def _(spark, sf):
     past = spark.createDataFrame(
         [], "alert_id string, at timestamp_ntz, value double, status string, message string")
     at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    return M.alert_events(past, evaluated(spark, sf), at).drop("message").withColumn(
+    return M.alert_events(past, evaluated(spark, sf), at).withColumn(
         "value", F.round("value", 4))
 
 
@@ -229,7 +236,7 @@ union all select 'spent', batch, cast(sum(cast(value as decimal(18,2)))
 union all select 'users', batch, cast(count(distinct user_id) as double) from {BATCHES} group by batch
 union all select 'nothing', batch, null from {BATCHES} group by batch)"""
 WATCHED_EVENTS_SQL = f"""(
-select *, {FIRED} as status from (
+select *, {FIRED} as status, {SAID} as message from (
   select *, lag(value) over (partition by alert_id order by batch) as previous,
     (select max(ts) from events e where e.event_id % 2 = w.batch) as "at" from {WATCHED_SQL} w)
 join {WATCHED_RULES} using (alert_id))"""
@@ -248,11 +255,12 @@ def watched(spark, sf):
 
 
 @query("M2_events_of_a_stream", f"""
-select alert_id, batch, "at", round(value, 4) as value, round(previous, 4) as previous, status
+select alert_id, batch, "at", round(value, 4) as value, round(previous, 4) as previous, status,
+  message
 from {WATCHED_EVENTS_SQL}
 """)
 def _(spark, sf):
-    return owned.events(spark, watched(spark, sf)).drop("message").withColumns(
+    return owned.events(spark, watched(spark, sf)).withColumns(
         {c: F.round(c, 4) for c in ("value", "previous")})
 
 

@@ -45,6 +45,13 @@ def proposals_sql() -> str:
         table_hint = _hint_sql("table_name", entry.get("table_hints", ()))
         branches.append(f"""
           select table_name, column_name, '{entry['concept']}' as concept, {order} as rank,
+            concat_ws(' ; ', case when c0 = 0.9 then 'values look like ' || pii_type
+                when c0 = 0.75 then 'values are points in time' end,
+              case when hint is not null then 'name says ' || hint || case when {fits} then ''
+                else ' but values are not numbers' end end,
+              case when th is not null and (column_name = 'id'
+                or column_name = rtrim(table_name, 's') || '_id')
+                then 'key of table ' || table_name end) as rationale,
             greatest(c0, case when hint is not null and {fits}
                 then case when c0 >= 0.7 then 0.85 else 0.7 end end,
               case when th is not null and (column_name = 'id'
@@ -53,7 +60,7 @@ def proposals_sql() -> str:
                   {hint} as hint, {table_hint} as th from p)""")
     return f"""(
       with p as ({profile_sql(*PARTS)}), candidates as ({' union all '.join(branches)})
-      select table_name, column_name, concept, cast(confidence as double) as confidence
+      select table_name, column_name, concept, cast(confidence as double) as confidence, rationale
       from candidates where confidence > 0
       qualify row_number() over (partition by table_name, column_name
         order by confidence desc, rank) = 1)"""
@@ -61,7 +68,7 @@ def proposals_sql() -> str:
 
 @query("E1_concept_proposals", f"select * from {proposals_sql()}")
 def _(spark, sf):
-    return S.propose_concepts(profiles(spark, sf)).drop("rationale")
+    return S.propose_concepts(profiles(spark, sf))
 
 
 NAMES = ("concat(replace(p_name, ' ', '_'), case p_size % 5 when 0 then '_ht' when 1 then '_ttc' "
@@ -151,7 +158,10 @@ select s.table_name, s.column_name, coalesce(l.concept, p.concept) as concept,
     when p.concept = l.concept then least(0.98, p.confidence + 0.05 + 0.02 * support)
     else least(0.95, 0.85 + 0.03 * support) end, 6) as confidence,
   case when l.concept is not null and (p.concept is null or p.concept <> l.concept) then false
-    else p.needs_arbitration end as needs_arbitration
+    else p.needs_arbitration end as needs_arbitration,
+  case when l.concept is null then p.rationale when p.concept = l.concept
+    then concat_ws(' ; ', p.rationale, 'learned from ' || support || ' decisions')
+    else 'learned from ' || support || ' decisions' end as rationale
 from seen s left join {LEARNED_SQL} l on l.name = lower(s.column_name)
 left join prop p on p.table_name = s.table_name and p.column_name = s.column_name
 where l.concept is not null or p.concept is not null
@@ -161,7 +171,7 @@ def _(spark, sf):
     learned = S.learned_patterns(history(spark, sf))
     return S.apply_learning(
         supplier.where(OPEN).selectExpr(*PROPOSED), supplier.selectExpr(*SEEN), learned
-    ).drop("rationale").withColumn("confidence", F.round("confidence", 6))
+    ).withColumn("confidence", F.round("confidence", 6))
 
 
 # New proposals for the mapped columns, with concepts that sometimes differ.
@@ -294,6 +304,45 @@ def _(spark, sf):
     return by_table
 
 
+# Corrections with their dates; the same names are corrected again and again.
+DATED = ["lower(p_type) as table_name", "concat('Col_', cast(p_size as string)) as column_name",
+         "case p_partkey % 4 when 0 then 'validate' else 'correct' end as action",
+         "case p_partkey % 3 when 0 then 'Magasin' when 1 then 'Contrat' else 'Montant' end "
+         "as new_concept",
+         "cast(date '2024-01-01' + cast(p_partkey * 7 % 400 as int) as date) as decided_at"]
+HISTORY_OF_WORDS_SQL = f"""(
+with t as (select lower(column_name) as word, decided_at, max(new_concept) as concept
+  from (select {', '.join(DATED)} from part) where action = 'correct' group by 1, 2),
+c as (select *, lag(concept) over (partition by word order by decided_at) as before from t)
+select concept, word, decided_at as valid_from,
+  lead(decided_at) over (partition by word order by decided_at) as valid_to
+from c where concept is distinct from before
+union all select concept, unnest(synonyms), null, null from {base.LEXICON_SQL})"""
+MOMENT = "2024-07-01"
+WORDS_AS_OF_SQL = f"""(select distinct concept, word from {HISTORY_OF_WORDS_SQL}
+where (valid_from is null or valid_from <= date '{MOMENT}')
+  and (valid_to is null or valid_to > date '{MOMENT}'))"""
+
+
+def words_through_time(spark, sf):
+    return S.synonym_history(S.concepts(spark), table(spark, sf, "part").selectExpr(*DATED))
+
+
+@query("E7_synonyms_through_time", f"select * from {HISTORY_OF_WORDS_SQL}")
+def _(spark, sf):
+    return words_through_time(spark, sf)
+
+
+@query("E8_words_as_of", f"""
+select distinct table_name, lower(concept) as word from {VALID_SQL}
+union select table_name, lower(w.word) from {VALID_SQL} v
+  join {WORDS_AS_OF_SQL} w on w.concept = v.concept
+""")
+def _(spark, sf):
+    return S.words_as_of(base.mappings(spark, sf), words_through_time(spark, sf),
+                         F.lit(MOMENT).cast("date"))
+
+
 @query("E9_measure_arbitration", f"""
 select 'amounts' as table_name, c as column_name, basis, rec as recommended, cho as chosen,
   (select count(*) from lineitem) as n_rows

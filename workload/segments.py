@@ -321,28 +321,111 @@ def _(spark, sf):
         "place", "share"), "value", digits=4)
 
 
-@query("G14_deep_analysis_of_the_catalog")
+# What the catalog of these four tables leads to: orders, o_totalprice, and these dimensions.
+CATALOG_BASE = "(select *, cast(o_totalprice as decimal(18,2)) as amount from orders " \
+               "join customer on o_custkey = c_custkey)"
+BAND = "(select cast(trunc(min(c_acctbal)) as bigint) as lo, greatest(1, cast(round_even(" \
+       "(max(c_acctbal) - min(c_acctbal)) / 5, 0) as bigint)) as width from customer)"
+START = f"(select cast(trunc((c_acctbal - lo) / width) as bigint) * width + lo from {BAND})"
+CATALOG_DIMENSIONS = {
+    "o_orderstatus": ("categorical", "o_orderstatus"),
+    "o_orderdate by month": ("temporal", "strftime(o_orderdate, '%Y-%m')"),
+    "o_orderpriority": ("categorical", "o_orderpriority"),
+    "c_acctbal bands (customer)": (
+        "band", f"concat(cast({START} as varchar), '–', cast({START} + (select width from {BAND}) - 1 "
+                "as varchar))"),
+    "c_mktsegment (customer)": ("categorical", "c_mktsegment"),
+}
+CATALOG_SEGMENTS = "(select *, total / cast(n as double) as avg from (" + " union all ".join(
+    f"select '{name}' as dimension, '{kind}' as kind, label, count(*) as n, sum(amount) as total "
+    f"from (select {label} as label, amount from {CATALOG_BASE}) where label is not null group by 3"
+    for name, (kind, label) in CATALOG_DIMENSIONS.items()
+) + ") qualify count(*) over (partition by dimension) between 2 and 25)"
+CATALOG_CELLS = " union all ".join(
+    f"select '{x}' as x, '{y}' as y, a, b, count(*) as n, sum(amount) as total "
+    f"from (select {CATALOG_DIMENSIONS[x][1]} as a, {CATALOG_DIMENSIONS[y][1]} as b, amount "
+    f"from {CATALOG_BASE}) where a is not null and b is not null group by a, b"
+    for x in CATALOG_DIMENSIONS for y in CATALOG_DIMENSIONS if x != y)
+
+
+@query("G14_deep_analysis_of_the_catalog", f"""
+with s as {CATALOG_SEGMENTS},
+ranked as (select *, cast(row_number() over (order by power desc, dimension) as int) as place
+  from {STATS_SQL.replace(SEGMENTS_SQL, 's')}),
+top as (select r.place, s.dimension, s.label, s.n, cast(total as double) as value,
+    cast(row_number() over (partition by s.dimension order by total desc, label) as int) as rank,
+    cast(total as double) / sum(cast(total as double)) over (partition by s.dimension) * 100 as share
+  from s join ranked r on r.dimension = s.dimension),
+spread as (select dimension, count(avg) as k, min(avg) as lo, max(avg) as hi,
+    arg_min(label, (avg, label)) as low_label, arg_max(label, (avg, label)) as high_label
+  from s group by dimension),
+pair as (select (select dimension from ranked where place = 1) as x, dimension as y from ranked
+  where place > 1 order by (select kind from ranked where place = 1) <> 'temporal'
+    and kind = 'temporal', place limit 1),
+cells as (select c.* from ({CATALOG_CELLS}) c join pair on pair.x = c.x and pair.y = c.y),
+flags as (
+  select 'concentration' as flag, dimension, top_label as label, top_share as strength
+  from ranked where place = 1 and top_share > 0.5
+  union all select * from (select 'target', 'crosstab', a || ' / ' || b,
+    cast(total as double) / sum(cast(total as double)) over () from cells order by total desc, a, b
+    limit 1)
+  union all select * from (select 'axis', dimension, top_label, cv from ranked where cv > 0.3
+    order by place limit 1))
+select 'segment' as section, rank as place, dimension, label, cast(null as varchar) as other,
+  round(value, 4) as value, round(share, 6) as share, n from top where place <= 4 and rank <= 4
+union all
+select 'driver', place, r.dimension,
+  case when k >= 3 and hi / lo >= 1.2 then 'gradient' else 'concentration' end,
+  case when k >= 3 and hi / lo >= 1.2 then low_label || ' -> ' || high_label else top_label end,
+  round(case when k >= 3 and hi / lo >= 1.2 then hi / lo else top_share end, 4), null, null
+from ranked r join spread p on p.dimension = r.dimension where place <= 3
+union all
+select 'atypical', 1, dimension, label, null, round(avg, 4), null, null
+from (select *, avg(avg) over w as m, stddev_pop(avg) over w as sd, count(avg) over w as k
+      from s window w as (partition by dimension))
+where k >= 4 and sd > 0 and avg - m > 2 * sd
+qualify row_number() over (partition by dimension order by total desc, label) = 1
+union all
+select * from (select 'crosstab', 1, x || ' x ' || y, a, b, round(cast(total as double), 4), null, n
+  from cells order by total desc, a, b limit 6)
+union all
+select 'flag', 1, dimension, label, flag, round(strength, 4), null, null from (
+  select * from flags union all select 'balanced', null, null, null where not exists (from flags))
+""")
 def _(spark, sf):
-    return analysis.deep_analysis(analysis.choose_subject(knowledge(spark, sf)))
+    report = analysis.deep_analysis(analysis.choose_subject(knowledge(spark, sf)),
+                                    F.col("o_totalprice").cast("decimal(18,2)"))
+    return rounded(rounded(report, "value", digits=4), "share")
 
 
 @query("V1_investigation", f"""
 with ranked as (select *, cast(row_number() over (order by power desc, dimension) as int) as pl
   from {STATS_SQL}),
 line as (select strftime(o_orderdate, '%Y-%m') as p, cast(sum(amount) as double) as v
-  from {BASE_SQL} group by all)
-select r.pl as step_no, s.dimension as step, s.label, round(s.value, 4) as value, s.rank as place
-from ({TOP_SQL}) s join ranked r on r.dimension = s.dimension where s.rank <= 4
-union all select 0, 'trend', min(p), round(min_by(v, p), 4), 1 from line
-union all select 0, 'trend', max(p), round(max_by(v, p), 4), 2 from line
-union all select 0, 'trend', arg_min(p, (v, p)), round(min(v), 4), 3 from line
-union all select 99, d, 'rejected', null, 1 from (values {", ".join(f"('{d}')" for d in DIMENSIONS_SQL)})
+  from {BASE_SQL} group by all),
+direction as (select case when pct < -2 then 'down' when pct > 2 then 'up' else 'stable' end
+  from (select (max_by(v, p) - min_by(v, p)) / abs(min_by(v, p)) * 100 as pct from line)),
+spread as (
+  select dimension, count(avg) as k, min(avg) as lo, max(avg) as hi,
+    arg_min(label, (avg, label)) as low_label, arg_max(label, (avg, label)) as high_label
+  from {SEGMENTS_SQL} group by dimension),
+found as (select r.dimension, case when k >= 3 and hi / lo >= 1.2
+    then 'gradient ' || low_label || ' -> ' || high_label else 'concentration ' || top_label end
+    as finding
+  from ranked r join spread s on s.dimension = r.dimension)
+select r.pl as step_no, s.dimension as step, s.label, round(s.value, 4) as value, s.rank as place,
+  finding as detail
+from ({TOP_SQL}) s join ranked r on r.dimension = s.dimension
+join found f on f.dimension = s.dimension where s.rank <= 4
+union all select 0, 'trend', min(p), round(min_by(v, p), 4), 1, (from direction) from line
+union all select 0, 'trend', max(p), round(max_by(v, p), 4), 2, (from direction) from line
+union all select 0, 'trend', arg_min(p, (v, p)), round(min(v), 4), 3, (from direction) from line
+union all select 99, d, 'rejected', null, 1, 'no usable groups' from (values {", ".join(f"('{d}')" for d in DIMENSIONS_SQL)})
   as t(d) where d not in (select dimension from {SEGMENTS_SQL})
 """)
 def _(spark, sf):
     subject = analysis.Subject("orders", base_table(spark, sf), "amount", dims())
-    return rounded(analysis.investigate(subject, "o_orderdate").drop("detail"), "value",
-                   digits=4)
+    return rounded(analysis.investigate(subject, "o_orderdate"), "value", digits=4)
 
 
 @query("V2_key_drivers", f"""

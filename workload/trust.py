@@ -34,7 +34,8 @@ select a.analysis_id, coalesce(q, 0.7) as quality_sub, q is not null as scored,
   1.0 as query_sub,
   case when row_count = 0 then 0.0 else greatest(0, 1 - case when sampled then 0.4 else 0 end
     - case when truncated then 0.4 else 0 end) end as coverage_sub,
-  greatest(0, 1 - 0.34 * n_assumptions) as hypotheses_sub
+  greatest(0, 1 - 0.34 * n_assumptions) as hypotheses_sub,
+  len(names) as used, row_count, sampled, truncated, n_assumptions
 from a left join q on q.analysis_id = a.analysis_id
 left join c on c.analysis_id = a.analysis_id left join r on r.analysis_id = a.analysis_id)"""
 
@@ -42,6 +43,19 @@ CONFIDENCE_SQL = f"""(select *, 0.35 * quality_sub + 0.25 * concepts_sub + 0.18
   + 0.12 * query_sub + 0.06 * coverage_sub + 0.04 * hypotheses_sub as score from {SUBS_SQL})"""
 
 
+FACTORS_SQL = """coalesce(nullif(concat_ws('; ',
+  case when used > 0 and not scored then 'quality unknown'
+    when scored and quality_sub < 0.95 then 'quality below 95%' end,
+  case when used > 0 and concepts_sub = 0.5 then 'no concept known'
+    when concepts_sub = 0.8 then 'some concepts only proposed'
+    when concepts_sub = 0.6 then 'concepts not validated' end,
+  case when relations_sub = 0.6 then 'inferred relations' end,
+  case when row_count = 0 then 'no rows' end,
+  case when row_count > 0 and sampled then 'sample only' end,
+  case when row_count > 0 and truncated then 'truncated' end,
+  case when n_assumptions > 0 then 'assumptions made' end), ''), 'all signals good')"""
+
+
 def confidence(spark, sf):
     return X.confidence(base.audit(spark, sf), base.quality_scores(spark, sf),
                         key_mappings(spark), base.edges(spark))
@@ -53,9 +67,10 @@ SUBS = ["quality_sub", "concepts_sub", "relations_sub", "query_sub", "coverage_s
 
 @query("X1_confidence", "select analysis_id, round(score, 6) as score, "
        + ", ".join(f"round(cast({s} as double), 6) as {s}" for s in SUBS)
-       + f" from {CONFIDENCE_SQL}")
+       + f", {FACTORS_SQL} as factors from {CONFIDENCE_SQL}")
 def _(spark, sf):
-    return rounded(confidence(spark, sf).drop("factors", "breakdown"), "score", *SUBS)
+    return rounded(confidence(spark, sf).drop("breakdown"), "score", *SUBS).withColumn(
+        "factors", F.array_join("factors", "; "))
 
 
 @query("X1_confidence_breakdown", f"""
@@ -108,11 +123,12 @@ def profiles(spark, sf):
 
 CHECKS_SQL = f"""(
 with a as {NAMED_SQL},
-p as (select table_name, lower(column_name) as name, detected_type, max_value,
+p as (select table_name, lower(column_name) as name, ordinal, detected_type, max_value,
     1 - non_null_count / cast(sample_size as double) as null_rate
   from ({profile_sql(base.plain_part('lineitem'), base.ORDERS_PART, base.CONTACTS_PART)})),
 k as (
   select a.*, p.name, list_contains(cols, name) as used,
+    (list_position(names, table_name), ordinal) as place,
     regexp_matches(name, '(?i)amount|price|montant|revenue|ca\\b|total|net') as money,
     contains(name, 'ttc') as gross, null_rate,
     starts_with(detected_type, 'datetime') or regexp_matches(name, '(?i)date|_at$|jour|day')
@@ -124,18 +140,26 @@ j as (
     bool_or(money and gross) and not bool_or(money and gross and used) as risky,
     bool_or(dated and (used or aggregates)) as has_dates,
     bool_or(dated and (used or aggregates) and (future or null_rate >= 0.1)) as bad_dates,
+    arg_min(name, place) filter (dated and (used or aggregates) and (future or null_rate >= 0.1))
+      as first_date,
+    string_agg(distinct name, ',' order by name) filter (money and used) as amounts,
+    arg_max(name, (null_rate, name)) filter (used and null_rate >= 0.3) as emptiest,
     bool_or(used and null_rate >= 0.3) as empty
   from k group by all)
-select a.analysis_id, 'measure' as "check", case when risky then 'warn' else 'pass' end as result
+select a.analysis_id, 'measure' as "check", case when risky then 'warn' else 'pass' end as result,
+  'amount: ' || amounts as detail
 from a join j on j.analysis_id = a.analysis_id where measured
 union all
-select analysis_id, 'dates', case when bad_dates then 'warn' else 'pass' end from j where has_dates
+select analysis_id, 'dates', case when bad_dates then 'warn' else 'pass' end,
+  coalesce('look at ' || first_date, 'plausible') from j where has_dates
 union all
-select a.analysis_id, 'nulls', case when empty then 'warn' else 'pass' end
+select a.analysis_id, 'nulls', case when empty then 'warn' else 'pass' end,
+  coalesce(emptiest || ' is mostly NULL', 'few NULL')
 from a left join j on j.analysis_id = a.analysis_id where len(cols) > 0
 union all
 select analysis_id, 'row_count', case when row_count = 0 then 'fail' when truncated then 'warn'
-  else 'pass' end from a)"""
+  else 'pass' end, case when row_count = 0 then 'empty' when truncated then 'truncated'
+    else row_count || ' rows' end from a)"""
 
 
 def checks(spark, sf):
@@ -144,26 +168,37 @@ def checks(spark, sf):
 
 @query("X4_checks", f"select * from {CHECKS_SQL}")
 def _(spark, sf):
-    return checks(spark, sf).drop("detail")
+    return checks(spark, sf)
 
 
 @query("X5_reliability", f"""
 with t as (select analysis_id, count(*) filter (result = 'fail') as f,
-    count(*) filter (result = 'warn') as w from {CHECKS_SQL} group by all),
-s as (select c.analysis_id, greatest(0, least(1, score - 0.2 * coalesce(f, 0)
-    - 0.05 * coalesce(w, 0))) as s, row_count, causal, has_drivers
+    count(*) filter (result = 'warn') as w,
+    coalesce(max(result) filter ("check" = 'nulls'), 'pass') as nulls,
+    coalesce(max(result) filter ("check" = 'dates'), 'pass') as dates
+  from {CHECKS_SQL} group by all),
+s as (select c.analysis_id, concepts_sub, relations_sub, hypotheses_sub, nulls, dates, greatest(0, least(1, score - 0.2 * coalesce(f, 0)
+    - 0.05 * coalesce(w, 0))) as s, a.row_count, causal, has_drivers
   from {CONFIDENCE_SQL} c left join t on t.analysis_id = c.analysis_id
   join {base.AUDIT_SQL} a on a.analysis_id = c.analysis_id)
 select analysis_id, cast(round_even(cast(s * 100 as double), 0) as int) as percent,
   case when row_count = 0 then 1 else
     cast(least(5, greatest(1, round_even(cast(s * 5 as double), 0))) as int) end as stars,
-  case when causal and not has_drivers then 'cannot_conclude' end as verdict
+  case when causal and not has_drivers then 'cannot_conclude' end as verdict,
+  concat_ws(',', case concepts_sub when 1.0 then 'ok' when 0.8 then 'ok' when 0.5 then 'warn'
+      else 'fail' end,
+    case when nulls = 'pass' then 'ok' else 'warn' end,
+    case when relations_sub = 1 then 'ok' else 'warn' end,
+    case when dates = 'pass' then 'ok' else 'warn' end,
+    case when hypotheses_sub >= 0.66 then 'ok' else 'warn' end) as factors
 from s
 """)
 def _(spark, sf):
     return X.rate_analyses(
         base.audit(spark, sf), profiles(spark, sf), AS_OF, base.quality_scores(spark, sf),
-        key_mappings(spark), base.edges(spark)).drop("factors")
+        key_mappings(spark), base.edges(spark)).withColumn("factors", F.concat_ws(
+            ",", *[f"factors.{f}" for f in ("concepts", "nulls", "relations", "dates",
+                                            "hypotheses")]))
 
 
 PROOF_SQL = f"""(
