@@ -1,13 +1,15 @@
 """Secret scan: patterns find candidates, and how widely the corpus shares each decides on it.
 
 Candidates of all texts are hashed, and each hash is counted by distinct repositories and owners.
-A value that many owners carry is an example that was copied about; a value that stays with few
-owners looks like a live credential. Base patterns are always reported. Opaque tokens (long runs of
+A value that many owners carry in many repositories is an example that was copied about; one that
+stays with few owners, or in one repository under several owners (a fork), looks like a live
+credential. Base patterns are always reported. Opaque tokens (long runs of
 mixed letters and digits), which alone would be too vague, are reported only where they look live.
 So are private keys: a key is its whole block up to the END line, or without one the lines of base64
 that follow, and what is counted is its body without line breaks.
-Only DataFrame functions are used. Counting sums before it shuffles, so a hash held by a third of
-all rows is no larger than any other afterwards.
+Only DataFrame functions are used. Counting sums before it shuffles, and the counts of values that
+occur in very many places are broadcast where their number allows, so rows never gather at a value
+that a third of them hold.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ ADDED = (
     ("opaque", "(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])(?=[0-9_-]{0,200}[A-Za-z])"
                "[A-Za-z0-9_-]{20,}", 0, 20),
 )
-COPIED_OWNERS = 3
+COPIED_OWNERS = COPIED_REPOSITORIES = 3
+HOT_PLACES, MOST_HOT = 1000, 100_000
 MARK = "<secret>"
 
 
@@ -89,11 +92,32 @@ def ownership(found: DataFrame) -> DataFrame:
         F.countDistinct("__repo").alias("n_repositories"), F.count("*").alias("n_places"))
 
 
+def _counted(hashes: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each (__key, hash) with the hash's counts. A hash of more than HOT_PLACES places, of which there
+    are few, is not gathered: up to MOST_HOT of them are broadcast."""
+    counts = counts.checkpoint()
+    hot = counts.where(F.col("n_places") > HOT_PLACES)
+    if not 0 < hot.count() <= MOST_HOT:
+        return hashes.join(counts, "hash")
+    rare = counts.where(F.col("n_places") <= HOT_PLACES)
+    return hashes.join(F.broadcast(hot), "hash").unionByName(
+        hashes.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(rare, "hash"))
+
+
+def looks_live(span: Column, copied: int = COPIED_OWNERS,
+               repositories: int = COPIED_REPOSITORIES) -> Column:
+    """Whether few owners, or few repositories, hold the value of a span of a scanned row."""
+    seen = F.element_at("owners", F.sha2(span["value"], 256))
+    within = F.element_at("repositories", F.sha2(span["value"], 256))
+    return (seen < copied) | (within < repositories)
+
+
 def scan(docs: DataFrame, keep: tuple = ("doc_id",), owner: str = "source",
-         repository: str = "source", text: str = "text", copied: int = COPIED_OWNERS) -> DataFrame:
+         repository: str = "source", text: str = "text", copied: int = COPIED_OWNERS,
+         copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """One row per row of docs: the kept columns, base and spans (arrays of start, rank, stop, kind,
-    value), owners (map from a value's hash to its number of distinct owners), and, where there are
-    candidates, __text.
+    value), owners and repositories (maps from a value's hash to its numbers of distinct ones), and,
+    where there are candidates, __text.
 
     Null texts are empty and have empty arrays. Null owners and repositories count as none. Repeated
     rows stay. An empty table gives no rows. Columns of docs other than those named are not read.
@@ -106,14 +130,15 @@ def scan(docs: DataFrame, keep: tuple = ("doc_id",), owner: str = "source",
     held = found.where("__key is not null")
     hashes = held.select("__key", F.explode(F.array_distinct(F.transform(
         F.concat("__base", "__added"), lambda s: F.sha2(s["value"], 256)))).alias("hash")).distinct()
-    owners = hashes.join(ownership(held), "hash").groupBy("__key").agg(F.map_from_entries(
-        F.collect_list(F.struct("hash", "n_owners"))).alias("owners"))
+    owners = _counted(hashes, ownership(held)).groupBy("__key").agg(*[F.map_from_entries(
+        F.collect_list(F.struct("hash", f"n_{name}"))).alias(name)
+        for name in ("owners", "repositories")])
     nothing = F.expr("cast(map() as map<string,bigint>)")
-    joined = held.join(owners, "__key", "left").unionByName(
-        found.where("__key is null").withColumn("owners", nothing))
+    joined = held.join(owners, "__key", "left").unionByName(found.where("__key is null").withColumns(
+        {"owners": nothing, "repositories": nothing}))
 
     def live(s):
-        return F.element_at("owners", F.sha2(s["value"], 256)) < copied
+        return looks_live(s, copied, copied_repositories)
 
     def apart(s, keys):
         within = F.exists(keys, lambda k: (k["start"] <= s["start"]) & (s["stop"] <= k["stop"]))
@@ -124,7 +149,8 @@ def scan(docs: DataFrame, keep: tuple = ("doc_id",), owner: str = "source",
         F.array(F.filter("__added", lambda s: s["kind"] == "pem")),
         lambda keys: F.filter("__added", lambda s: live(s) & apart(s, keys))))
     return joined.select(*keep, F.col("__text"), F.col("__base").alias("base"),
-                         F.array_sort(F.concat("__base", added)).alias("spans"), "owners")
+                         F.array_sort(F.concat("__base", added)).alias("spans"), "owners",
+                         "repositories")
 
 
 def listed(spans: Column) -> Column:
@@ -133,7 +159,8 @@ def listed(spans: Column) -> Column:
                                                                  s["stop"])), ",")
 
 
-def redact(scanned: DataFrame, copied: int = COPIED_OWNERS) -> DataFrame:
+def redact(scanned: DataFrame, copied: int = COPIED_OWNERS,
+           copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """Scanned rows with every live-looking secret of __text replaced; copied examples stay.
 
     Kinds are replaced one after the other, each in a projection of its own, so that the
@@ -141,7 +168,8 @@ def redact(scanned: DataFrame, copied: int = COPIED_OWNERS) -> DataFrame:
     them. Rows without such secrets are left alone.
     """
     for kind, pattern, group, _ in (ADDED[0], *BASE, *ADDED[1:]):
-        live = F.transform(F.filter("spans", _is_live(kind, copied)), lambda s: s["value"])
+        live = F.transform(F.filter("spans", _is_live(kind, copied, copied_repositories)),
+                           lambda s: s["value"])
         out = scanned.withColumn("__live", live).withColumn(
             "__hits", F.when(F.size("__live") > 0, matches(_text(), pattern)))
         text = replaced(_text(), pattern, F.col("__hits"), _marked(kind, pattern, group))
@@ -151,9 +179,8 @@ def redact(scanned: DataFrame, copied: int = COPIED_OWNERS) -> DataFrame:
     return scanned
 
 
-def _is_live(kind: str, copied: int):
-    return lambda s: (s["kind"] == kind) & (
-        F.element_at("owners", F.sha2(s["value"], 256)) < copied)
+def _is_live(kind: str, copied: int, repositories: int):
+    return lambda s: (s["kind"] == kind) & looks_live(s, copied, repositories)
 
 
 def _marked(kind: str, pattern: str, group: int):

@@ -142,6 +142,26 @@ def test_secrets_shared_by_owners_stay(spark):
     assert spans == {0: 0, 1: 0, 2: 0, 7: 1}
 
 
+@pytest.mark.parametrize("hot", [2, secrets.HOT_PLACES])
+def test_secrets_need_owners_and_repositories(spark, hot, monkeypatch):
+    """A value of many owners in one repository is a fork's; one of a third of all rows is like any."""
+    monkeypatch.setattr(secrets, "HOT_PLACES", hot)
+    fork, example, own = "c" * 8 + "2" * 8, "d" * 8 + "3" * 8, "e" * 8 + "4" * 8
+    rows = [(i, f"x {fork} y", f"owner{i}", "same") for i in range(4)]
+    rows += [(10 + i, f"x {example} y {own}", f"owner{i % 5}", f"repo{i}") for i in range(40)]
+    rows += [(90, f"z {own}", None, None), (91, f"z {example}", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    out = secrets.scan(df, repository="repo").checkpoint()
+    live = {r.doc_id: [s.value for s in r.spans] for r in out.withColumn(
+        "spans", F.filter("spans", lambda s: secrets.looks_live(s))).collect()}
+    assert all(live[i] == [fork] for i in range(4))
+    assert all(live[10 + i] == [] for i in range(40)) and live[90] == live[91] == []
+    assert {len(r.owners) for r in out.where("doc_id between 10 and 49").collect()} == {2}
+    few = secrets.scan(df.where("doc_id in (10, 11, 90)"), repository="repo")
+    assert {len(r.spans) for r in few.withColumn("spans", F.filter(
+        "spans", lambda s: secrets.looks_live(s))).where("doc_id < 90").collect()} == {2}
+
+
 def pem(seed, label="RSA ", lines=20, end=True, head="", br="\n"):
     rng = random.Random(seed)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
