@@ -203,6 +203,36 @@ def test_nearest(spark, none):
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_in_many_leaves(spark, monkeypatch):
+    """Small shards, repeated query rows, mixed lengths, a vector that a third of all rows have, and
+    queries in many blocks: factor one is exact."""
+    for name, value in (("SHARD_ROWS", 60), ("QUERY_ROWS", 7), ("SAMPLE_ROWS", 200)):
+        monkeypatch.setattr(vptree, name, value)
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.normal(c, .4, (130, 6)) for c in rng.normal(0, 3, (5, 6))])
+    points[100:300] = points[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(points)]
+    odd = [(1000 + i, [1.0] * n) for i, n in enumerate((1, 5, 7, 12))] + [(20, [1.0, 2.0])]
+    df = spark.createDataFrame(rows + odd + rows[:1] * 3 + rows[100:102], "vec_id long, embedding array<double>"
+                               ).repartition(6).withColumn("leaf", F.lit("x")).withColumn("bound", F.lit(1))
+    ids = np.array([i for i, _ in rows] + [0] * 3 + [100, 101])
+    every = points[ids]
+    got = defaultdict(list)
+    for r in vptree.nearest(df, df.where("vec_id % 20 = 0"), 20, 1.0).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 650, 20))
+    for q, found in got.items():
+        score = (every * points[q]).sum(1)
+        score[ids == q] = -np.inf
+        want = np.lexsort((ids, -score))[:20]
+        found.sort()
+        assert [x[0] for x in found] == list(range(1, 21))
+        assert [x[1] for x in found] == ids[want].tolist()
+        assert [x[2] for x in found] == pytest.approx(score[want].tolist())
+    # fewer vectors are met than there are pairs of shards and queries
+    assert vptree.nearest(df.where("vec_id >= 1000"), df.where("vec_id = 1000"), 20).count() == 0
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://WWW.Example.ORG/es/x"), (2, "http://sub.example.org/en/12?q#f"), (3, None),
             (4, "no scheme"), (5, "https://a.com/fr/"), (6, "https://com/de/"), (7, "x://a.net"),
