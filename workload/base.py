@@ -44,6 +44,7 @@ SCHEMA = {
 }
 STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents",
         "labels"]
+ALL = list(SCHEMA)
 EDGES = [
     ("customer", "c_nationkey", "nation", "n_nationkey", 0.8),
     ("labels", "doc_id", "documents", "doc_id", 0.65),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyglass.operators import paths, relations as R
 from tallyglass.sources import catalog
 from workload import base
-from workload.base import EDGES, STAR, query, tables
+from workload.base import ALL, EDGES, STAR, query, tables
 
 STEM = "regexp_replace(bare, '(_id|id|_key|key)$', '')"
 
@@ -17,8 +17,8 @@ with cols as (
   select c.*, regexp_replace(lower(c.column_name), '^[a-z]_', '') as bare, s.n_rows,
     k.column_name is not null as is_pk,
     count(k.column_name) over (partition by c.table_name) as n_keys
-  from {base.columns_sql(STAR)} c join {base.sizes_sql(STAR)} s on s.table_name = c.table_name
-  left join {base.unique_keys_sql(STAR)} k
+  from {base.columns_sql(ALL)} c join {base.sizes_sql(ALL)} s on s.table_name = c.table_name
+  left join {base.unique_keys_sql(ALL)} k
     on k.table_name = c.table_name and k.column_name = c.column_name
   where true),
 stems as (select *, {STEM} as stem from cols
@@ -46,7 +46,7 @@ select ft as from_table, fc as from_column, tt as to_table, tc as to_column,
 from best where rn = 1
 """)
 def _(spark, sf):
-    sizes, columns = catalog.build_catalog(tables(spark, sf, STAR))
+    sizes, columns = catalog.build_catalog(tables(spark, sf))
     return R.infer_relations(columns, sizes)
 
 
@@ -176,18 +176,18 @@ def key_mappings(spark):
 with decided as (
   select km.table_name, max(case when k.column_name is not null then concept end) as entity,
     string_agg(distinct concept, ',' order by concept) as concepts
-  from {KEY_MAPPINGS_SQL} left join {base.unique_keys_sql(STAR)} k
+  from {KEY_MAPPINGS_SQL} left join {base.unique_keys_sql(ALL)} k
     on k.table_name = km.table_name and k.column_name = km.column_name
   where status in ('validated', 'corrected') group by 1)
 select s.table_name, entity, coalesce(concepts, '') as concepts, n_rows,
-  (select count(*) from {base.columns_sql(STAR)} c where c.table_name = s.table_name)
+  (select count(*) from {base.columns_sql(ALL)} c where c.table_name = s.table_name)
     as n_columns,
   round(score, 4) as quality, 'table' as kind
-from {base.sizes_sql(STAR)} s left join decided d on d.table_name = s.table_name
+from {base.sizes_sql(ALL)} s left join decided d on d.table_name = s.table_name
 left join {base.QUALITY_SQL} q on q.table_name = s.table_name
 """)
 def _(spark, sf):
-    sizes, columns = catalog.build_catalog(tables(spark, sf, STAR))
+    sizes, columns = catalog.build_catalog(tables(spark, sf))
     return R.graph_nodes(sizes, columns, key_mappings(spark), base.quality_scores(spark, sf)
                          ).withColumn("concepts", F.array_join("concepts", ","))
 

@@ -158,11 +158,10 @@ def _(spark, sf):
     f"select '{t}' as table_name, '{c}' as column_name, {i} as ordinal, "
     f"count(distinct {c}) as distinct_count from {t} "
     f"having count(*) = count({c}) and count(*) = count(distinct {c})"
-    for t in ("customer", "supplier", "part", "orders", "nation", "region")
+    for t in base.ALL
     for i, (c, _) in enumerate(base.SCHEMA[t], start=1)))
 def _(spark, sf):
-    names = ("customer", "supplier", "part", "orders", "nation", "region")
-    return P.key_candidates(P.profile_all(tables(spark, sf, names)))
+    return P.key_candidates(P.profile_all(tables(spark, sf)))
 
 
 EVERYTHING = ["table_name", "column_name", "sample_size", "null_count", "distinct_count",

@@ -10,7 +10,7 @@ from tallyglass.operators.segments import Dimension
 from tallyglass.plans import analysis
 from tallyglass.sources import catalog
 from workload import base
-from workload.base import STAR, profile_sql, query, table, tables
+from workload.base import profile_sql, query, table, tables
 
 AMOUNT = "cast(o_totalprice + (age - 18) * 1800 as decimal(18,2))"
 BASE_SQL = (f"(select o.*, c.*, {AMOUNT} as amount from orders o "
@@ -69,14 +69,14 @@ RANKED_SQL = (f"(select *, cast(row_number() over (order by power desc, dimensio
 
 @query("G1_fact_table", f"""
 select s.table_name, count(e.to_table) as n_outgoing, any_value(n_rows) as n_rows
-from {base.sizes_sql(STAR)} s left join {base.EDGES_SQL} e on e.from_table = s.table_name
+from {base.sizes_sql(base.ALL)} s left join {base.EDGES_SQL} e on e.from_table = s.table_name
 group by s.table_name order by n_outgoing desc, n_rows desc, s.table_name limit 1
 """.replace("edges(from_table", "e(from_table").replace(") e on", ") on"))
 def _(spark, sf):
-    return G.pick_fact(catalog.row_counts(tables(spark, sf, STAR)), base.edges(spark))
+    return G.pick_fact(catalog.row_counts(tables(spark, sf)), base.edges(spark))
 
 
-STAR_PARTS = [base.plain_part(n) for n in ("customer", "part", "orders", "lineitem")]
+ALL_PARTS = [base.plain_part(n) for n in base.ALL]
 
 
 @query("G2_measure_choice", f"""
@@ -85,10 +85,10 @@ select table_name, min_by(column_name, ordinal) filter (
     and not regexp_matches(lower(column_name), '(^id|_id|key)$')
     and (""" + " or ".join(f"contains(lower(column_name), '{h}')"
                            for h in base.fixed.MEASURE_HINTS) + f""")) as measure
-from ({profile_sql(*STAR_PARTS)}) group by table_name
+from ({profile_sql(*ALL_PARTS)}) group by table_name
 """)
 def _(spark, sf):
-    known = tables(spark, sf, ["customer", "part", "orders", "lineitem"])
+    known = tables(spark, sf)
     profiles = P.profile_all(known)
     columns = catalog.build_catalog(known, P.primary_keys(profiles))[1]
     return G.pick_measure(columns, profiles)

@@ -139,11 +139,11 @@ def _exceptions(spark):
 
 @query("A7_governed_counts", " union all ".join(
     f"select '{t}' as table_name, '{c}' as column_name, count({c}) as non_null_count from {t}"
-    for t in ("customer", "orders", "lineitem")
+    for t in base.ALL if t != "supplier"
     for c, _ in base.SCHEMA[t] if c not in ("c_acctbal", "o_totalprice")
 ))
 def _(spark, sf):
-    seen = access.govern(tables(spark, sf, ["customer", "orders", "lineitem", "supplier"]),
+    seen = access.govern(tables(spark, sf),
                          _exceptions(spark), "sales")
     return catalog.union_all([
         profiling.quick_counts(df, name) for name, df in seen.items()
@@ -157,11 +157,11 @@ select c.table_name, c.column_name, c.data_type, s.n_rows,
   not exists (select 1 from {EXCEPTIONS_SQL} where space = 'sales'
     and lower(x.table_name) = c.table_name and lower(x.column_name) = c.column_name)
     as column_enabled
-from {base.columns_sql(base.STAR)} c join {base.sizes_sql(base.STAR)} s
+from {base.columns_sql(base.ALL)} c join {base.sizes_sql(base.ALL)} s
   on s.table_name = c.table_name
 """)
 def _(spark, sf):
-    sizes, columns = catalog.build_catalog(tables(spark, sf, base.STAR))
+    sizes, columns = catalog.build_catalog(tables(spark, sf))
     return access.governance_view(columns, _exceptions(spark), "sales").join(
         sizes.select("table_name", "n_rows"), "table_name")
 

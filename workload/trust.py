@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyglass.operators import profile as P, trust as X
 from tallyglass.sources import catalog
 from workload import base
-from workload.base import AS_OF, STAR, profile_sql, query, tables
+from workload.base import AS_OF, profile_sql, query, tables
 from workload.joins import KEY_MAPPINGS_SQL, key_mappings
 from workload.segments import rounded
 
@@ -203,7 +203,7 @@ def _(spark, sf):
 
 PROOF_SQL = f"""(
 with a as (select * from {NAMED_SQL} where len(names) > 0),
-cat as (select table_name, lower(column_name) as c from {base.columns_sql(STAR)}),
+cat as (select table_name, lower(column_name) as c from {base.columns_sql(base.ALL)}),
 f as (
   select analysis_id, names[1] as t, n_assumptions,
     (select count(*) from (select unnest(cols) as x) where x in (select c from cat)) as needed,
@@ -229,7 +229,7 @@ from g)"""
 
 @query("X6_table_proof", f"select * from {PROOF_SQL}")
 def _(spark, sf):
-    columns = catalog.table_columns(spark, tables(spark, sf, STAR), "main")
+    columns = catalog.table_columns(spark, tables(spark, sf), "main")
     return X.table_proof(base.audit(spark, sf), columns, base.quality_scores(spark, sf),
                          key_mappings(spark))
 
