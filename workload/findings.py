@@ -106,6 +106,21 @@ def _(spark, sf):
     return rounded(found.select(*SHOWN), "figure", digits=4)
 
 
+EVERY_COLUMNS_SQL = COLUMNS_SQL.replace(
+    profile_sql(*PARTS), profile_sql(*[base.plain_part(n) for n in base.ALL]))
+EVERY_RELATIONS_SQL = RELATIONS_SQL.replace(measured_sql(), measured_sql(planted_orders=False))
+
+
+@query("I3_discoveries_of_all_tables", f"""
+select {ROUNDED} from {EVERY_COLUMNS_SQL} union all select {ROUNDED} from {PLAIN_SERIES_SQL}
+union all select {ROUNDED} from {EVERY_RELATIONS_SQL}
+""")
+def _(spark, sf):
+    found = analysis.discover(knowledge(spark, sf, base.ALL), fact="orders",
+                              measure=F.col("o_totalprice").cast("decimal(18,2)"))
+    return rounded(found.select(*SHOWN), "figure", digits=4)
+
+
 @query("I3_discoveries_less_hidden", f"""
 select {ROUNDED} from {PLAIN_COLUMNS_SQL}
 where table_name <> 'customer' and column_name <> 'o_orderpriority'
