@@ -77,12 +77,28 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared store, by any path that Spark can open."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again.
+
+    A stage's table goes when the next one is written, or when a stage fails; the last one stays, as
+    the result is computed from it.
+    """
     prepare(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
-        docs = spark.read.parquet(f"{folder}/{number}")
+    try:
+        for number, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+            docs = spark.read.parquet(f"{folder}/{number}")
+            if number:
+                _remove(spark, f"{folder}/{number - 1}")
+    except Exception:
+        _remove(spark, folder)
+        raise
     return STAGES[-1][1](spark, docs, sf_dir)
