@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 
 from tallyglass.llm import secrets, simhash, toxicity
+from tallyglass.llm.common import prepare
 from tallyglass.llm.queries import tokenizer
 
 SECRET = "deadbeef0123456789"
@@ -83,11 +84,16 @@ def test_pipeline_end_to_end(spark, corpus, tmp_path, monkeypatch):
     import corpus_pipeline
 
     monkeypatch.setattr(toxicity, "STEPS", 300)
+    prepare(spark)
     rows, toxic, passages = corpus
     folder = str(tmp_path / "tables")
     labels = [(i, 1, int(i in toxic)) for i in range(260)] + [(None, 1, 1), (3, None, None)]
     write(spark, folder, rows, labels, passages)
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(shared))
     got = corpus_pipeline.run(spark, folder).collect()
+    ours = [d for d in set(os.listdir(shared)) - before if d.startswith("pipeline-")]
+    assert [os.listdir(f"{shared}/{d}") for d in ours] == [["3"]]
     want = expected(rows, toxic, passages)
     assert sorted(((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in got), key=str) == want
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN,
