@@ -221,8 +221,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     seed = F.xxhash64("vec_id", "v")
     sample = points.where(F.pmod(seed, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(
         seed).limit(SAMPLE_ROWS).select("v").toArrow()
+    leaves = 1 << max(-(-count // SHARD_ROWS) - 1, 0).bit_length()  # halves all the way down
     fitted = Upper(lifted(matrix(sample), reach) if sample.num_rows else np.zeros((0, 1)),
-                   min(max(1, -(-count // SHARD_ROWS)), MOST_LEAVES))
+                   min(leaves, MOST_LEAVES))
     upper = spark.sparkContext.broadcast((fitted.nodes, fitted.leaves))
 
     def above():
