@@ -79,8 +79,10 @@ class Tree:
             rows[ask] = np.take_along_axis(name, top, 1)
             return
         far = np.sqrt(((queries[ask] - self.points[vantage]) ** 2).sum(1))
-        near_in = far < radius
-        for first_in in (True, False):
+        # The nearer side comes first where there is no bound yet; else all go down together.
+        bounded = np.isfinite(best[ask[0], 0])
+        near_in = np.full(len(ask), True) if bounded else far < radius
+        for first_in in (True,) if bounded else (True, False):
             some = near_in if first_in else ~near_in
             for inside in (first_in, not first_in):
                 here, there = ask[some], far[some]
