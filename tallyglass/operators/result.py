@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyglass.functions import fixed
 from tallyglass.functions.text import rlike_sql, stripped_sql
-from tallyglass.operators.profile import cells
+from tallyglass.operators.profile import cells, counted
 
 
 def column_roles(df: DataFrame) -> DataFrame:
@@ -17,14 +17,16 @@ def column_roles(df: DataFrame) -> DataFrame:
     Distinct values are counted from one grouped pass, not one `Expand` branch per column.
     """
     source = cells({"": df})
-    text = stripped_sql("cell")
+    tests = {"dated": fixed.ROLE_DATE, "numbered": fixed.ROLE_NUMBER}
+
+    def tested(value: str) -> dict[str, str]:
+        return {name: rlike_sql(stripped_sql(value), pattern) for name, pattern in tests.items()}
+
     # Long texts travel as a digest; their shape is read before that.
-    values = source.df.where("cell is not null").selectExpr(
-        "c", "if(length(cell) <= 256, cell, sha2(cell, 256)) as v",
-        f"{rlike_sql(text, fixed.ROLE_DATE)} as dated",
-        f"{rlike_sql(text, fixed.ROLE_NUMBER)} as numbered",
-    ).groupBy("c", "v", "dated", "numbered").agg(F.count("*").alias("n"))
-    counted = values.groupBy("c").agg(
+    values = counted(source, tested("cell")).where("value is not null or about is not null")
+    values = values.selectExpr("c", "n", *[
+        f"coalesce(about.{name}, {sql}) as {name}" for name, sql in tested("value").items()])
+    facts = values.groupBy("c").agg(
         F.sum("n").alias("filled"), F.count("*").alias("distinct"),
         F.bool_and("dated").alias("dated"), F.bool_and("numbered").alias("numbered"),
     )
@@ -34,7 +36,7 @@ def column_roles(df: DataFrame) -> DataFrame:
          for i, (_, name, kind) in enumerate(source.names, 1)],
         "c int, column_name string, kind string, is_id boolean, is_time boolean",
     )
-    facts = listed.join(counted, "c", "left").fillna(0, ["filled", "distinct"])
+    facts = listed.join(facts, "c", "left").fillna(0, ["filled", "distinct"])
     number = F.col("kind").isin("integer", "number") | ((F.col("kind") == "text")
                                                         & F.col("numbered"))
     few = F.col("distinct") <= F.greatest(F.lit(30), F.floor(F.col("filled") / 2))

@@ -41,3 +41,14 @@ def test_a_large_file_is_profiled_a_column_at_a_time(spark, tmp_path, monkeypatc
     tasks = P.cells({"t": df}).texts.selectExpr(
         "spark_partition_id() as p", "c").distinct().groupBy("p").count()
     assert {r["count"] for r in tasks.collect()} == {1}
+
+
+
+def test_roles_of_a_large_file_are_counted_a_column_at_a_time(spark, tmp_path, monkeypatch):
+    spark.range(50).selectExpr("id", "string(id) as word").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    want = sorted(result.column_roles(df).collect())
+    monkeypatch.setattr(P, "COLUMNWISE_BYTES", 0)
+    found = result.column_roles(df)
+    assert sorted(found.collect()) == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
