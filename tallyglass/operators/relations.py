@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tallyglass.functions.text import percent
+from tallyglass.operators.profile import columnwise
 from tallyglass.sources.catalog import union_all
 
 INTEGER_TYPES = ("tinyint", "smallint", "int", "bigint")
@@ -89,7 +90,8 @@ def common_type(left: T.DataType, right: T.DataType) -> str:
 
 
 def _edge_values(edges: list, tables: dict[str, DataFrame], side: str) -> DataFrame:
-    """(e, v, t, n): how often each value occurs on one side of each edge; one scan per table.
+    """(e, v, t, n): how often each value occurs on one side of each edge; a large file is read an
+    edge at a time, any other table once.
 
     Whole numbers travel as such (v), all else as text of the edge's common type (t). Counting
     before the join means a value that fills a third of a table travels as one row.
@@ -109,8 +111,12 @@ def _edge_values(edges: list, tables: dict[str, DataFrame], side: str) -> DataFr
             else:
                 value = f"{value} + 0.0D" if kind == "double" else value
                 number, text = "cast(null as bigint)", f"cast({value} as string)"
-            structs.append(f"named_struct('e', {i}, 'v', {number}, 't', {text})")
-        parts.append(tables[name].selectExpr(f"inline(array({', '.join(structs)}))"))
+            structs.append((f"{i} as e", f"{number} as v", f"{text} as t"))
+        if columnwise(tables[name]):  # so that a task counts the values of one edge
+            parts += [tables[name].selectExpr(*struct) for struct in structs]
+        else:
+            rows = ", ".join(f"struct({', '.join(struct)})" for struct in structs)
+            parts.append(tables[name].selectExpr(f"inline(array({rows}))"))
     return union_all(parts).where("v is not null or t is not null").groupBy("e", "v", "t").agg(
         F.count("*").alias("n"))
 

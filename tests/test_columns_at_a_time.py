@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallyglass.operators import profile as P, result
+from tallyglass.operators import profile as P, relations as R, result
+from tallyglass.session import ADVISED, configure
 
 
 def test_a_large_file_is_profiled_a_column_at_a_time(spark, tmp_path, monkeypatch):
@@ -43,7 +44,6 @@ def test_a_large_file_is_profiled_a_column_at_a_time(spark, tmp_path, monkeypatc
     assert {r["count"] for r in tasks.collect()} == {1}
 
 
-
 def test_roles_of_a_large_file_are_counted_a_column_at_a_time(spark, tmp_path, monkeypatch):
     spark.range(50).selectExpr("id", "string(id) as word").write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
@@ -52,3 +52,26 @@ def test_roles_of_a_large_file_are_counted_a_column_at_a_time(spark, tmp_path, m
     found = result.column_roles(df)
     assert sorted(found.collect()) == want
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relations_of_a_large_file_are_measured_an_edge_at_a_time(spark, tmp_path, monkeypatch):
+    spark.range(40).selectExpr(
+        "if(id % 9 = 0, null, id % 12) as a_id", "cast(id % 3 as string) as b_id"
+    ).write.parquet(f"{tmp_path}/f")
+    spark.range(10).selectExpr("id as a_id").write.parquet(f"{tmp_path}/a")
+    spark.range(2).selectExpr("id as b_id").write.parquet(f"{tmp_path}/b")
+    tables = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in "fab"}
+    edges = spark.createDataFrame([("f", "a_id", "a", "a_id"), ("f", "b_id", "b", "b_id")], R.EDGE)
+    want = sorted(R.measure_relations(edges, tables).collect())
+    assert [(r.total, r.orphans) for r in want] == [(35, 6), (40, 13)]
+    monkeypatch.setattr(P, "COLUMNWISE_BYTES", 0)
+    found = R.measure_relations(edges, tables)
+    assert sorted(found.collect()) == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffled_partitions_are_small_where_the_application_sets_nothing(spark):
+    started_with = spark.sparkContext.getConf()
+    configure(spark)
+    for key, value in ADVISED.items():
+        assert spark.conf.get(key) == started_with.get(key, value)
