@@ -39,6 +39,7 @@ PRIOR = 4  # documents of both labels that are added to every count, as often as
 MARKS = b".,;:!?\"'()[]{}*#&$%-_|<>~+=/\\"
 BLOCK_WORDS = 100_000
 BLOCK_WINDOWS = 2048
+MET_WORDS, MET_BYTES = 1 << 17, 16 << 20  # words whose gates a task keeps while scoring
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -183,15 +184,101 @@ def gates(p: dict, x: np.ndarray) -> dict:
     return {side: x @ p["w" + side] + p["b" + side] for side in "fb"}
 
 
-def numbered(windows, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words of n windows, and the windows as rows of their numbers with a mask."""
-    known: dict[bytes, int] = {b"": 0}
-    ids = np.zeros((n, WINDOW), np.int32)
-    mask = np.zeros((n, WINDOW), np.float32)
-    for i, window in enumerate(windows):
-        ids[i, :len(window)] = [known.setdefault(w, len(known)) for w in window]
-        mask[i, :len(window)] = 1
-    return list(known), ids, mask
+class Met(dict):
+    """Words as texts hold them, by number: marks at both ends are taken off, and 0 has no letters left.
+
+    The inputs' part of the gates of each word is kept from one block of windows to the next, in
+    tables of one gate each: update, reset and new state.
+    """
+
+    def __init__(self, model: dict):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.fresh, self.many, self.held = [b""], 1, 0
+        self.tables = {side: [np.zeros((0, HIDDEN), np.float32)] * 3 for side in "fb"}
+
+    def __missing__(self, text: bytes) -> int:
+        word, number = text.strip(MARKS), 0
+        if word:
+            number = self.many
+            self.many += 1
+            self.fresh.append(word)
+        self.held += len(text)
+        self[text] = number
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return out[out > 0]
+
+    def lines(self, text: bytes):
+        """(numbers of words, how many windows) of the stretches of a text, of bounded size."""
+        words = text.lower().split()
+        if len(words) <= BLOCK_WORDS:
+            line = self.numbers(words)
+            yield line, len(window_starts(len(line)))
+            return
+        words = words_of(text)
+        windows, most = len(window_starts(len(words))), BLOCK_WORDS // STRIDE
+        for k in range(0, windows, most):
+            n = min(most, windows - k)
+            yield self.numbers(words[k * STRIDE:(k + n - 1) * STRIDE + WINDOW]), n
+
+    def gates(self) -> dict:
+        """The tables, with the words met since they were last asked for."""
+        if self.fresh:
+            p, start = self.model["p"], self.many - len(self.fresh)
+            x = Words(self.fresh, self.model["vocabulary"]).inputs(p)
+            for side, new in gates(p, x).items():
+                if self.many > len(self.tables[side][0]):
+                    self.tables[side] = [np.concatenate((t[:start], np.zeros(
+                        (2 * self.many - start, HIDDEN), np.float32))) for t in self.tables[side]]
+                for k, t in enumerate(self.tables[side]):
+                    t[start:self.many] = new[:, k * HIDDEN:(k + 1) * HIDDEN]
+            self.fresh = []
+        return self.tables
+
+
+def read_windows(p: dict, tables: dict, ids: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+    """Scores of windows as by `forward`, which keeps what learning needs; ids (time, n) are rows of
+    the tables of one gate each, mask (time, n) is 1 at words, None if all are."""
+    time, n = ids.shape
+    states = []
+    for side in "fb":
+        (update, reset, fresh) = tables[side]
+        u_update, u_reset, u_fresh = (np.ascontiguousarray(u) for u in np.split(p["u" + side], 3, axis=1))
+        h, out = np.zeros((n, HIDDEN), np.float32), np.empty((time, n, HIDDEN), np.float32)
+        for t in range(time) if side == "f" else range(time - 1, -1, -1):
+            new = h @ u_fresh
+            new /= one_plus_exp(h @ u_reset, reset.take(ids[t], axis=0))
+            new += fresh.take(ids[t], axis=0)
+            np.tanh(new, out=new)
+            new -= h
+            new *= 1 - 1 / one_plus_exp(h @ u_update, update.take(ids[t], axis=0))
+            if mask is not None:
+                new *= mask[t, :, None]
+            h = np.add(h, new, out=out[t])
+        states.append(out)
+    view = sum(s.reshape(-1, HIDDEN) @ a for s, a in zip(states, np.split(p["attend"], 2), strict=True))
+    weight = np.exp(np.minimum(np.tanh(view) @ p["query"], 30)).reshape(time, n)
+    if mask is not None:
+        weight *= mask
+    weight /= np.maximum(weight.sum(0), 1e-9)
+    pooled = sum(np.einsum("tnk,tn->nk", s, weight) @ o
+                 for s, o in zip(states, np.split(p["out"], 2), strict=True))
+    return sigmoid(pooled + p["bias"])
+
+
+def one_plus_exp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 + exp(-(a + b)), in the place of a; its inverse is the sigmoid of the sum."""
+    a += b
+    np.negative(a, out=a)
+    np.exp(a, out=a)
+    a += 1
+    return a
 
 
 class Sample:
@@ -364,29 +451,46 @@ def parting(scores: np.ndarray, label: np.ndarray, held: np.ndarray) -> float:
     return float((x[k] + x[k + 1]) / 2)
 
 
-def score_texts(texts: list[bytes], model: dict) -> np.ndarray:
-    """The score of each text: its highest window's. Every word of every text is read."""
+def score_texts(texts: list[bytes], model: dict, met: Met | None = None) -> np.ndarray:
+    """The score of each text: its highest window's. Every word of every text is read.
+
+    met: the words met in earlier calls with the same model.
+    """
     p, best = model["p"], np.zeros(len(texts))
-    windows: list[list[bytes]] = []
+    met = Met(model) if met is None else met
+    lines: list[np.ndarray] = []
     owner: list[int] = []
+    many: list[int] = []
 
     def flush():
-        words, ids, mask = numbered(windows, len(windows))
-        table = gates(p, Words(words, model["vocabulary"]).inputs(p))
-        for k in range(0, len(ids), 1024):
-            got = forward(p, table, ids[k:k + 1024], mask[k:k + 1024])
-            np.maximum.at(best, owner[k:k + 1024], got)
-        windows.clear()
+        size, n = np.array([len(x) for x in lines]), np.array(many)
+        end = np.cumsum(size)
+        line = np.concatenate([*lines, np.zeros(WINDOW, np.int32)])
+        own, last = np.repeat(owner, n), np.repeat(end, n)
+        first = np.repeat(end - size, n) + STRIDE * (
+            np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
+        length = np.minimum(last - first, WINDOW)
+        order = np.argsort(-length, kind="stable")  # whole windows need no mask
+        tables, steps = met.gates(), np.arange(WINDOW)[:, None]
+        for k in range(0, len(order), 1024):
+            some = order[k:k + 1024]
+            time = steps[:max(length[some[0]], 1)]
+            mask = None if length[some[-1]] == WINDOW else (time < length[some]).astype(np.float32)
+            np.maximum.at(best, own[some], read_windows(p, tables, line[first[some] + time], mask))
+        lines.clear()
         owner.clear()
+        many.clear()
+        if met.many > MET_WORDS or met.held > MET_BYTES:
+            met.forget()
 
     for i, text in enumerate(texts):
-        words = words_of(text)
-        for a in window_starts(len(words)):
-            windows.append(words[a:a + WINDOW])
+        for line, n in met.lines(text):
+            lines.append(line)
             owner.append(i)
-            if len(windows) * WINDOW >= BLOCK_WORDS:
+            many.append(n)
+            if sum(many) * WINDOW >= BLOCK_WORDS:
                 flush()
-    if windows:
+    if lines:
         flush()
     return best
 
@@ -445,9 +549,10 @@ def score(docs: DataFrame, model: dict, keep: tuple = ("doc_id",), text: str = "
     keep = [c for c in keep if c != "score"]
 
     def rows(batches):
+        met = Met(shared.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            got = score_texts(texts, shared.value).astype(float)
+            got = score_texts(texts, met.model, met).astype(float)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got)],
                                              [*keep, "score"])
 

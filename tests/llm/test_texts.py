@@ -393,6 +393,48 @@ def test_toxicity_sample_takes_as_many_of_either_label(spark):
     assert len(toxicity.sample(docs, labels, 4000).collect()) == 480
 
 
+def test_toxicity_scores_are_those_of_the_network_and_words_are_read_once(monkeypatch):
+    """Blocks of few words, texts longer than these, marks, empty texts: the pieces of a word are looked
+    up once for all blocks and batches, and scores are those of `forward` over all windows."""
+    rng = random.Random(8)
+    many = [f"{rng.choice(['', '(', '--'])}W{rng.randrange(300)}{rng.choice(['', ',', ' -- ', '.)'])}"
+            for _ in range(6000)]
+    texts = [" ".join(rng.choices(many, k=n)).encode() for n in (0, 1, 16, 17, 33, 90, 700, 2900, 31)]
+    texts += [b" ... ", b"", texts[5]]
+    vocabulary = {f"w{i}".encode(): i + 1 for i in range(0, 200)}
+    p = {k: v.astype(np.float32) for k, v in toxicity.parameters(201, seed=4).items()}
+    model = {"p": p, "vocabulary": vocabulary}
+    want = []
+    for text in texts:
+        words = toxicity.words_of(text)
+        windows = [words[a:a + toxicity.WINDOW] for a in toxicity.window_starts(len(words))]
+        known = sorted({b"", *words})
+        ids, mask = np.zeros((2, len(windows), toxicity.WINDOW), int)
+        for i, w in enumerate(windows):
+            ids[i, :len(w)], mask[i, :len(w)] = [known.index(x) for x in w], 1
+        x = toxicity.Words(known, vocabulary).inputs(p)
+        want.append(toxicity.forward(p, toxicity.gates(p, x), ids, mask.astype(np.float32)).max())
+    assert len(set(want)) >= 8
+    asked, plain = [], toxicity.Words
+
+    def counted(words, known):
+        asked.extend(words)
+        return plain(words, known)
+
+    monkeypatch.setattr(toxicity, "Words", counted)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 640)
+    assert toxicity.score_texts(texts, model) == pytest.approx(want, abs=1e-6)
+    distinct = {w for text in texts for w in text.lower().split() if w.strip(toxicity.MARKS)}
+    assert len(asked) <= 2 * len(distinct) + 1  # a word comes with marks and, in long texts, without
+    met, before = toxicity.Met(model), len(asked)
+    for text, score in zip(texts, want, strict=True):
+        assert toxicity.score_texts([text], model, met) == pytest.approx([score], abs=1e-6)
+    assert len(asked) - before <= 2 * len(distinct) + 1
+    for name in ("MET_WORDS", "MET_BYTES"):
+        monkeypatch.setattr(toxicity, name, 20)
+        assert toxicity.score_texts(texts, model) == pytest.approx(want, abs=1e-6)
+
+
 def test_toxicity_windows_cover_everything():
     for n in (0, 1, 16, 17, 32, 33, 100):
         seen = {k for a in toxicity.window_starts(n) for k in range(a, a + toxicity.WINDOW)}
