@@ -16,6 +16,7 @@ probability of each string, and the chunk adds them up. Words are counted in the
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -60,17 +61,24 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def coded(line: np.ndarray, starts: np.ndarray):
-    """Blocks of (text number, code) of every symbol that is to be predicted; a code is the context,
-    nearest byte first, and the symbol."""
-    wanted = np.ones(len(line), bool)
-    for k in range(ORDER):
-        wanted[starts + k] = False
+    """Blocks of (text numbers, symbols of each, codes) of all symbols to be predicted, in a row; a
+    code is the context, nearest byte first, and the symbol."""
     for a in range(0, len(line), BLOCK):
-        at = np.nonzero(wanted[a:a + BLOCK])[0] + a
-        code = line[at].astype(np.uint64)
-        for k in range(1, ORDER + 1):
-            code |= line[at - k].astype(np.uint64) << np.uint64(9 * (ORDER + 1 - k))
-        yield np.searchsorted(starts, at, side="right") - 1, code
+        low, high = max(a, ORDER), min(a + BLOCK, len(line))
+        if low >= high:
+            continue
+        code = np.zeros(high - low, np.uint64)
+        for k in (*range(1, ORDER + 1), 0):
+            code <<= np.uint64(9)
+            code |= line[low - k:high - k]
+        text = np.arange(*np.searchsorted(starts, (low, high - 1), side="right") + (-1, 0))
+        first = np.maximum(starts[text] + ORDER, low)
+        many = np.maximum(np.append(starts[text[1:]], high) - first, 0)
+        wanted = np.ones(len(code), bool)
+        for k in range(ORDER):
+            marks = starts[text] + k - low
+            wanted[marks[(marks >= 0) & (marks < len(code))]] = False
+        yield text, many, code[wanted]
 
 
 def words_in(text: bytes):
@@ -84,6 +92,14 @@ def words_in(text: bytes):
         a = b
 
 
+class Numbers(dict):
+    """Numbers of things, as they come."""
+
+    def __missing__(self, thing) -> int:
+        self[thing] = number = len(self)
+        return number
+
+
 class Chunk:
     """Texts of one chunk, in lower case, with their ids and whether they are held out."""
 
@@ -92,33 +108,71 @@ class Chunk:
         self.held = np.array(docs.column("held_out").to_pylist(), bool)
         self.texts = [zlib.decompress(t) for t in docs.column("packed").to_pylist()]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-        """Hashes of the distinct words, sorted, their counts in training, and places of words."""
-        import xxhash
-
-        count: dict[bytes, int] = {}
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the distinct words, sorted, and their counts in training."""
+        count, others = Counter(), set()
         for text, held in zip(self.texts, self.held, strict=True):
-            add = 0 if held else 1
             for words in words_in(text):
-                for w in words:
-                    count[w] = count.get(w, 0) + add
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in count], np.uint64)
-        names, at = np.unique(h, return_inverse=True)
+                (others if held else count).update(words)
+        others -= count.keys()
+        names, at = word_names([*count, *others])
         counts = np.zeros(len(names), np.int64)
-        np.add.at(counts, at, np.fromiter(count.values(), np.int64, len(count)))
-        return names, counts, dict(zip(count, at.tolist(), strict=True))
+        np.add.at(counts, at[:len(count)], np.fromiter(count.values(), np.int64, len(count)))
+        return names, counts
+
+    def word_places(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Hashes of the distinct words, sorted, and each text's words as places among them."""
+        number = Numbers()
+        lines = [[np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+                  for words in words_in(text)] for text in self.texts]
+        names, at = word_names(number)
+        return names, [at[np.concatenate([np.zeros(0, np.int32), *line])] for line in lines]
 
     def strings(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct codes, sorted, and their counts in training."""
-        line, starts = symbols(self.texts)
-        parts = []
-        for text, code in coded(line, starts):
-            flag = (~self.held[text]).astype(np.uint64)
-            both, n = np.unique(code << np.uint64(1) | flag, return_counts=True)
-            parts.append((both >> np.uint64(1), n * (both & np.uint64(1)).astype(np.int64)))
-        if not parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return summed(np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]))
+        parts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for text, many, code in coded(*symbols(self.texts)):
+            code <<= np.uint64(1)
+            code |= np.repeat(~self.held[text], many)
+            both, n = np.unique(code, return_counts=True)
+            parts.append(both >> np.uint64(1))
+            counts.append(n * (both & np.uint64(1)).astype(np.int64))
+        return summed(np.concatenate(parts), np.concatenate(counts))
+
+    def places(self) -> tuple[np.ndarray, list]:
+        """Distinct codes, sorted, and blocks of (text numbers, symbols of each, places among them)."""
+        blocks, parts = [], [np.zeros(0, np.uint64)]
+        for text, many, code in coded(*symbols(self.texts)):
+            own, at = numbered(code)
+            blocks.append((text, many, at))
+            parts.append(own)
+        names, place = distinct(np.concatenate(parts))
+        ends = np.cumsum([len(own) for own in parts])
+        return names, [(text, many, place[a:b].astype(np.int32)[at]) for (text, many, at), a, b
+                       in zip(blocks, ends[:-1], ends[1:], strict=True)]
+
+
+def word_names(words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words, sorted, and the place of each word among them."""
+    import xxhash
+
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)),
+                     return_inverse=True)
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys as they come, and the place of each key among them."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the place of each key among them."""
+    names, at = numbered(keys)
+    order = np.argsort(names)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    return names[order], place[at]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,16 +188,21 @@ def string_part(code: np.ndarray, parts: int) -> np.ndarray:
     return parts_of(mix(code >> np.uint64(9 * (ORDER - 1))), parts)
 
 
-def sent(chunk: int, names: np.ndarray, counts: np.ndarray, part: np.ndarray) -> pa.Table:
-    """Rows (part, chunk, payload, counts); names stay sorted within a part."""
+def pieces(part: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The parts that occur, and the places of each in their order."""
     order = np.argsort(part, kind="stable")
     at, first = np.unique(part[order], return_index=True)
-    pieces = np.split(order, first[1:]) if len(at) else []
+    return at, np.split(order, first[1:]) if len(at) else []
+
+
+def sent(chunk: int, names: np.ndarray, counts: np.ndarray, part: np.ndarray) -> pa.Table:
+    """Rows (part, chunk, payload, counts); names stay sorted within a part."""
+    at, places = pieces(part)
     return pa.table({
         "part": pa.array(at.astype(np.int32)),
         "chunk": pa.array([chunk] * len(at), pa.int32()),
-        "payload": pa.array([pack(names[p]) for p in pieces], pa.binary()),
-        "counts": pa.array([pack_counts(counts[p]) for p in pieces], pa.binary())})
+        "payload": pa.array([pack(names[p]) for p in places], pa.binary()),
+        "counts": pa.array([pack_counts(counts[p]) for p in places], pa.binary())})
 
 
 def answered(rows: pa.Table, answer, write) -> pa.Table:
@@ -173,7 +232,9 @@ class Level:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys, self.counts = keys, counts
-        self.contexts, first = np.unique(keys >> np.uint64(9), return_index=True)
+        context = keys >> np.uint64(9)
+        first = np.flatnonzero(np.diff(context, prepend=~context[:1]))
+        self.contexts = context[first]
         self.distinct = np.diff(np.concatenate((first, [len(keys)])))
         self.first = first
         self.total = np.add.reduceat(counts, first) if len(keys) else counts
@@ -281,7 +342,7 @@ def score(docs: DataFrame, modulo: int = 10, doc_id: str = "doc_id", text: str =
         deal, "chunk int, doc_id long, held_out boolean, packed binary").groupBy("chunk")
 
     def send_words(key, rows):
-        names, counts, _ = Chunk(rows).words()
+        names, counts = Chunk(rows).words()
         return sent(key[0].as_py(), names, counts, parts_of(names, parts))
 
     def send_strings(key, rows):
@@ -309,29 +370,23 @@ def score(docs: DataFrame, modulo: int = 10, doc_id: str = "doc_id", text: str =
 
         def values(kind, part, read, dtype):
             out = np.zeros(len(part), dtype)
-            for k in np.unique(part).tolist():
-                out[part == k] = read(got[kind, k])
+            for k, at in zip(*pieces(part), strict=True):
+                out[at] = read(got[kind, int(k)])
             return out
 
-        codes, _ = chunk.strings()
+        codes, blocks = chunk.places()
         log = values("s", string_part(codes, parts), lambda b: np.frombuffer(b, "<f4"), float)
-        line, starts = symbols(chunk.texts)
         score_ = np.zeros(len(chunk.texts))
-        for text, code in coded(line, starts):
-            score_ += np.bincount(text, log[np.searchsorted(codes, code)], len(score_))
-        hashes, _, place = chunk.words()
+        for text, many, at in blocks:
+            score_ += np.bincount(np.repeat(text, many), log[at], len(score_))
+        hashes, lines = chunk.word_places()
         count = values("w", parts_of(hashes, parts), unpack_counts, np.int64)
         share = np.log10(count + 0.1)
         tokens, known, base = [], [], []
-        for text in chunk.texts:
-            n = k = 0
-            b = 0.0
-            for some in words_in(text):
-                at = np.fromiter(map(place.__getitem__, some), np.int64, len(some))
-                n, k, b = n + len(at), k + int((count[at] > 0).sum()), b + float(share[at].sum())
-            tokens.append(n + 1)
-            known.append(k)
-            base.append(b)
+        for line in lines:
+            tokens.append(len(line) + 1)
+            known.append(int((count[line] > 0).sum()))
+            base.append(float(share[line].sum()))
         return pa.table({
             "doc_id": chunk.ids, "held_out": rows.column("held_out"),
             "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),

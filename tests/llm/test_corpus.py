@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -175,6 +176,54 @@ def test_scores(spark, docs, texts, odd, none):
         assert ppm.score(untrained).first().score == pytest.approx(-3 * math.log10(257))
 
 
+def test_scores_find_the_places_of_symbols_once(texts, monkeypatch):
+    """Chunks count and place the same strings and words in blocks of any size, and look up no symbol
+    one by one."""
+    held = [i % 4 == 1 for i in range(len(texts))]
+    lower = [t.encode().lower() for t in texts]
+    chunk = ppm.Chunk(pa.table({"doc_id": range(len(texts)), "held_out": held,
+                                "packed": [zlib.compress(t) for t in lower]}))
+    strings, trained, words = [], Counter(), Counter()
+    for text, out in zip(lower, held, strict=True):
+        line = [256] * ppm.ORDER + list(text) + [256]
+        own = [sum(line[k - n] << 9 * (ppm.ORDER + 1 - n) for n in range(1, ppm.ORDER + 1)) + line[k]
+               for k in range(ppm.ORDER, len(line))]
+        strings.append(own)
+        trained.update(own if not out else [])
+        words.update(text.split() if not out else [])
+    every = sorted({c for own in strings for c in own})
+    size, plain, asked = ppm.BLOCK, np.searchsorted, []
+
+    def counted(a, v, *more, **named):
+        asked.append(np.size(v))
+        return plain(a, v, *more, **named)
+
+    monkeypatch.setattr(np, "searchsorted", counted)
+    for block in (3, 50, 1000, size):
+        monkeypatch.setattr(ppm, "BLOCK", block)
+        names, counts = chunk.strings()
+        assert names.tolist() == every and counts.tolist() == [trained[c] for c in every]
+        asked.clear()
+        names, blocks = chunk.places()
+        assert sum(asked) <= 2 * len(blocks) + 2 * 5 * len(texts)
+        got = [[] for _ in texts]
+        for text, many, at in blocks:
+            for i, c in zip(np.repeat(text, many).tolist(), names[at].tolist(), strict=True):
+                got[i].append(c)
+        assert names.tolist() == every and got == strings
+        (hashes, counts), (names, lines) = chunk.words(), chunk.word_places()
+        assert hashes.tolist() == names.tolist() and counts.sum() == words.total()
+        for text, line in zip(lower, lines, strict=True):
+            some = text.split()
+            assert len(line) == len(some)
+            known = dict(zip(some, line.tolist(), strict=True))
+            assert all(counts[known[w]] == words[w] for w in some)
+            assert len(set(known.values())) == len(known)
+    part = np.array([5, 2, 5, 0, 2])
+    at, pieces = ppm.pieces(part)
+    assert at.tolist() == [0, 2, 5] and [p.tolist() for p in pieces] == [[3], [1, 4], [0, 2]]
+
+
 def test_nearest(spark, none):
     rng = np.random.default_rng(6)
     points = rng.normal(size=(700, 12))
