@@ -39,7 +39,7 @@ PRIOR = 4  # documents of both labels that are added to every count, as often as
 MARKS = b".,;:!?\"'()[]{}*#&$%-_|<>~+=/\\"
 BLOCK_WORDS = 100_000
 BLOCK_WINDOWS = 2048
-MET_WORDS, MET_BYTES = 1 << 17, 16 << 20  # words whose gates a task keeps while scoring
+MET_WORDS, MET_BYTES = 1 << 17, 16 << 20  # words whose inputs a task keeps while scoring
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -138,6 +138,11 @@ def forward(p: dict, table: dict, ids: np.ndarray, mask: np.ndarray, keep: dict
         states.append(read_one_way(table[side][ids], mask, p["u" + side], steps,
                                    None if keep is None else keep[side]))
     both = np.concatenate(states, axis=2)
+    return pooled_score(p, both, mask, keep)
+
+
+def pooled_score(p: dict, both: np.ndarray, mask: np.ndarray, keep: dict | None) -> np.ndarray:
+    """Scores from the states of both directions, by attention."""
     view = np.tanh(both @ p["attend"])
     weight = np.exp(np.minimum(view @ p["query"], 30)) * mask
     weight = weight / np.maximum(weight.sum(1, keepdims=True), 1e-9)
@@ -187,27 +192,28 @@ def gates(p: dict, x: np.ndarray) -> dict:
 class Met(dict):
     """Words as texts hold them, by number: marks at both ends are taken off, and 0 has no letters left.
 
-    The inputs' part of the gates of each word is kept from one block of windows to the next, in
-    tables of one gate each: update, reset and new state.
+    The inputs of each word are kept from one block of windows to the next.
     """
 
     def __init__(self, model: dict):
         self.model = model
-        self.forget()
+        self.forget([])
 
-    def forget(self) -> None:
+    def forget(self, lines: list[np.ndarray]) -> list[np.ndarray]:
+        """Start anew, with the words of some lines, which get other numbers."""
+        words = [[self.words[k] for k in line] for line in lines]
         self.clear()
-        self.fresh, self.many, self.held = [b""], 1, 0
-        self.tables = {side: [np.zeros((0, HIDDEN), np.float32)] * 3 for side in "fb"}
+        self.words, self.number, self.held = [b""], {b"": 0}, 0
+        self.x = np.zeros((0, WORD_DIM + CHAR_DIM), self.model["p"]["char"].dtype)
+        self.filled = 0
+        return [self.numbers(line) for line in words]
 
     def __missing__(self, text: bytes) -> int:
-        word, number = text.strip(MARKS), 0
-        if word:
-            number = self.many
-            self.many += 1
-            self.fresh.append(word)
+        word = text.strip(MARKS)
+        self[text] = number = self.number.setdefault(word, len(self.words))
+        if number == len(self.words):
+            self.words.append(word)
         self.held += len(text)
-        self[text] = number
         return number
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -227,58 +233,42 @@ class Met(dict):
             n = min(most, windows - k)
             yield self.numbers(words[k * STRIDE:(k + n - 1) * STRIDE + WINDOW]), n
 
-    def gates(self) -> dict:
-        """The tables, with the words met since they were last asked for."""
-        if self.fresh:
-            p, start = self.model["p"], self.many - len(self.fresh)
-            x = Words(self.fresh, self.model["vocabulary"]).inputs(p)
-            for side, new in gates(p, x).items():
-                if self.many > len(self.tables[side][0]):
-                    self.tables[side] = [np.concatenate((t[:start], np.zeros(
-                        (2 * self.many - start, HIDDEN), np.float32))) for t in self.tables[side]]
-                for k, t in enumerate(self.tables[side]):
-                    t[start:self.many] = new[:, k * HIDDEN:(k + 1) * HIDDEN]
-            self.fresh = []
-        return self.tables
-
-
-def read_windows(p: dict, tables: dict, ids: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
-    """Scores of windows as by `forward`, which keeps what learning needs; ids (time, n) are rows of
-    the tables of one gate each, mask (time, n) is 1 at words, None if all are."""
+    def inputs(self, numbers: np.ndarray) -> np.ndarray:
+        """The inputs of words; those of words met since the last call are looked up first."""
+        a, b = self.filled, len(self.words)
+        if a < b:
+            if b > len(self.x):
+                self.x = np.concatenate((self.x[:a], np.zeros((2 * b - a, self.x.shape[1]), self.x.dtype)))
+            self.x[a:b] = Words(self.words[a:], self.model["vocabulary"]).inputs(self.model["p"])
+            self.filled = b
+        return self.x[numbers]
+
+
+def read_windows(p: dict, table: dict, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Scores of windows of the given lengths as by `forward`, which keeps what learning needs; ids
+    (time, n) are rows of the tables of both gates and of new states."""
     time, n = ids.shape
-    states = []
-    for side in "fb":
-        (update, reset, fresh) = tables[side]
-        u_update, u_reset, u_fresh = (np.ascontiguousarray(u) for u in np.split(p["u" + side], 3, axis=1))
-        h, out = np.zeros((n, HIDDEN), np.float32), np.empty((time, n, HIDDEN), np.float32)
+    over = [np.flatnonzero(length <= t) for t in range(time)]
+    both = np.empty((n, time, 2 * HIDDEN), p["attend"].dtype)
+    for at, side in enumerate("fb"):
+        (gate, fresh), h = table[side], np.zeros((n, HIDDEN), both.dtype)
         for t in range(time) if side == "f" else range(time - 1, -1, -1):
-            new = h @ u_fresh
-            new /= one_plus_exp(h @ u_reset, reset.take(ids[t], axis=0))
+            own = h @ p["u" + side]
+            zr = gate.take(ids[t], axis=0)
+            zr += own[:, :2 * HIDDEN]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.divide(1, zr, out=zr)
+            new = zr[:, HIDDEN:] * own[:, 2 * HIDDEN:]
             new += fresh.take(ids[t], axis=0)
             np.tanh(new, out=new)
             new -= h
-            new *= 1 - 1 / one_plus_exp(h @ u_update, update.take(ids[t], axis=0))
-            if mask is not None:
-                new *= mask[t, :, None]
-            h = np.add(h, new, out=out[t])
-        states.append(out)
-    view = sum(s.reshape(-1, HIDDEN) @ a for s, a in zip(states, np.split(p["attend"], 2), strict=True))
-    weight = np.exp(np.minimum(np.tanh(view) @ p["query"], 30)).reshape(time, n)
-    if mask is not None:
-        weight *= mask
-    weight /= np.maximum(weight.sum(0), 1e-9)
-    pooled = sum(np.einsum("tnk,tn->nk", s, weight) @ o
-                 for s, o in zip(states, np.split(p["out"], 2), strict=True))
-    return sigmoid(pooled + p["bias"])
-
-
-def one_plus_exp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """1 + exp(-(a + b)), in the place of a; its inverse is the sigmoid of the sum."""
-    a += b
-    np.negative(a, out=a)
-    np.exp(a, out=a)
-    a += 1
-    return a
+            new *= 1 - zr[:, :HIDDEN]
+            new[over[t]] = 0
+            h += new
+            both[:, t, at * HIDDEN:(at + 1) * HIDDEN] = h
+    return pooled_score(p, both, (np.arange(time) < length[:, None]).astype(np.float32), None)
 
 
 class Sample:
@@ -458,6 +448,7 @@ def score_texts(texts: list[bytes], model: dict, met: Met | None = None) -> np.n
     """
     p, best = model["p"], np.zeros(len(texts))
     met = Met(model) if met is None else met
+    most = -(-BLOCK_WORDS // WINDOW)
     lines: list[np.ndarray] = []
     owner: list[int] = []
     many: list[int] = []
@@ -465,31 +456,40 @@ def score_texts(texts: list[bytes], model: dict, met: Met | None = None) -> np.n
     def flush():
         size, n = np.array([len(x) for x in lines]), np.array(many)
         end = np.cumsum(size)
-        line = np.concatenate([*lines, np.zeros(WINDOW, np.int32)])
         own, last = np.repeat(owner, n), np.repeat(end, n)
         first = np.repeat(end - size, n) + STRIDE * (
             np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
         length = np.minimum(last - first, WINDOW)
-        order = np.argsort(-length, kind="stable")  # whole windows need no mask
-        tables, steps = met.gates(), np.arange(WINDOW)[:, None]
-        for k in range(0, len(order), 1024):
-            some = order[k:k + 1024]
-            time = steps[:max(length[some[0]], 1)]
-            mask = None if length[some[-1]] == WINDOW else (time < length[some]).astype(np.float32)
-            np.maximum.at(best, own[some], read_windows(p, tables, line[first[some] + time], mask))
+        # The words of the block, as they come after the empty one.
+        words, begin, line = np.unique(np.concatenate(([0], *lines)), return_index=True,
+                                       return_inverse=True)
+        order = np.argsort(begin)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        line = np.concatenate((place[line[1:]], np.zeros(WINDOW, np.int32)))
+        table = {side: [np.ascontiguousarray(t) for t in np.split(rows, [2 * HIDDEN], axis=1)]
+                 for side, rows in gates(p, met.inputs(words[order])).items()}
+        steps = np.arange(WINDOW)[:, None]
+        for k in range(0, len(own), 1024):
+            got = read_windows(p, table, line[first[k:k + 1024] + steps], length[k:k + 1024])
+            np.maximum.at(best, own[k:k + 1024], got)
         lines.clear()
         owner.clear()
         many.clear()
-        if met.many > MET_WORDS or met.held > MET_BYTES:
-            met.forget()
 
     for i, text in enumerate(texts):
         for line, n in met.lines(text):
-            lines.append(line)
-            owner.append(i)
-            many.append(n)
-            if sum(many) * WINDOW >= BLOCK_WORDS:
-                flush()
+            k = 0
+            while k < n:
+                some = min(n - k, most - sum(many))
+                lines.append(line[k * STRIDE:(k + some - 1) * STRIDE + WINDOW])
+                owner.append(i)
+                many.append(some)
+                k += some
+                if sum(many) >= most:
+                    flush()
+            if len(met.words) > MET_WORDS or met.held > MET_BYTES:
+                lines[:] = met.forget(lines)
     if lines:
         flush()
     return best
